@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from passagework.catalog import retrieval
+from passagework.catalog import evaluation, questions, retrieval
 
-MODULES = [retrieval]
+MODULES = [retrieval, questions, evaluation]
 
 
 def queries() -> dict:

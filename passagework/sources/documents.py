@@ -11,19 +11,20 @@ from passagework.operators.chunking import METADATA
 TEXT_FILES = "*.{txt,md}"
 
 
-@F.pandas_udf("string")
-def _decode_dropping(content: pd.Series) -> pd.Series:
-    return content.map(lambda raw: None if raw is None else bytes(raw).decode("utf-8", "ignore"))
-
-
 def decode_text(content: Column) -> Column:
     """Bytes to text; bytes that are no UTF-8 are dropped.
 
     Valid content, the usual case, is decoded without leaving the JVM.
     """
+
+
+    @F.pandas_udf("string")
+    def decode_dropping(raw: pd.Series) -> pd.Series:
+        return raw.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
+
     valid = F.is_valid_utf8(content.cast("string"))
     return F.coalesce(
-        F.when(valid, content.cast("string")), _decode_dropping(F.when(~valid, content))
+        F.when(valid, content.cast("string")), decode_dropping(F.when(~valid, content))
     )
 
 
