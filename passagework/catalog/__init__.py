@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from passagework.catalog import evaluation, questions, retrieval
+from passagework.catalog import evaluation, ingestion, questions, retrieval, training
 
-MODULES = [retrieval, questions, evaluation]
+MODULES = [retrieval, questions, evaluation, training, ingestion]
 
 
 def queries() -> dict:

@@ -248,7 +248,7 @@ _LOW_MSG = (
 _OK_MSG = (
     "'Injected ' || n_passing || ' chunk(s) (rejected ' || n_rejected || ' below threshold).'"
 )
-_STATUSES = f"""
+STATUSES = f"""
 {_BLOCKS},
 statuses AS (
     SELECT q.query_id, q.text, coalesce(n_hits, 0) AS n_hits, coalesce(n_passing, 0) AS n_passing,
@@ -318,7 +318,7 @@ ORACLES = {
                context_block
         FROM blocks""",
     "enrich_prompts": f"""
-        WITH {_STATUSES}
+        WITH {STATUSES}
         SELECT query_id,
                {sql_text(BASE_SYSTEM)} || CASE WHEN context_block IS NULL THEN '' ELSE
                    {sql_text(CONTEXT_INTRO)} || context_block || {sql_text(CONTEXT_END)} END
@@ -328,7 +328,7 @@ ORACLES = {
                n_passing > 0 AS rag_used, rag_status, rag_status_msg, {_WARNING} AS rag_warning
         FROM statuses""",
     "rag_status": f"""
-        WITH {_STATUSES}
+        WITH {STATUSES}
         SELECT 'indexed' AS setting, query_id, rag_status, n_passing > 0 AS rag_used,
                rag_status_msg, {_WARNING} AS rag_warning
         FROM statuses
