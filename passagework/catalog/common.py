@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from passagework.functions.fixed_values import WHITESPACE
 from passagework.operators.chunking import METADATA
+from passagework.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +22,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("lang") != "en", F.upper("lang")).alias("ticker"),
         F.lit(None).cast("string").alias("date"),
     )
-    return docs.select("doc_id", "text", metadata.cast(METADATA).alias("metadata"))
+    docs = docs.select("doc_id", "text", metadata.cast(METADATA).alias("metadata"))
+    return spread(docs, "doc_id")
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -140,7 +140,9 @@ def _questions(spark, sf_dir):
 
 def q_answer_queries(spark, sf_dir):
     index = index_documents(documents(spark, sf_dir), EMBEDDER)
-    answers = answer_queries(_questions(spark, sf_dir), index, MODELS, embedder=EMBEDDER)
+    answers = answer_queries(
+        _questions(spark, sf_dir), index, MODELS, embedder=EMBEDDER, dim=EMBEDDER.dim
+    )
     return answers.select(
         "query_id", "answer", "agent_used", "query_type", "rag_used", "rag_status", "error"
     )
@@ -151,7 +153,9 @@ def q_batch_files(spark, sf_dir):
     questions, answers = shared_folder(spark, "questions"), shared_folder(spark, "answers")
     _questions(spark, sf_dir).select("query").write.json(questions + ".jsonl")
     index = index_documents(documents(spark, sf_dir), EMBEDDER)
-    run_batch(spark, questions + ".jsonl", answers, index, MODELS, embedder=EMBEDDER)
+    run_batch(
+        spark, questions + ".jsonl", answers, index, MODELS, embedder=EMBEDDER, dim=EMBEDDER.dim
+    )
     fields = "query string, answer string, agent_used string, rag_status string, error string"
     return spark.read.schema(fields).json(answers)
 

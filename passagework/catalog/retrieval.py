@@ -110,14 +110,14 @@ def _index(spark, sf_dir):
 
 def q_text_search(spark, sf_dir):
     questions = _questions(spark, sf_dir).withColumn("embedding", EMBEDDER.vector("query"))
-    hits = knn(questions, _index(spark, sf_dir))
+    hits = knn(questions, _index(spark, sf_dir), dim=EMBEDDER.dim)
     return hits.withColumn("score", F.round("score", 6))
 
 
 def q_context_blocks(spark, sf_dir):
     questions = _questions(spark, sf_dir).withColumn("embedding", EMBEDDER.vector("query"))
     index = _index(spark, sf_dir)
-    blocks = context_blocks(with_texts(gate(knn(questions, index)), index))
+    blocks = context_blocks(with_texts(gate(knn(questions, index, dim=EMBEDDER.dim)), index))
     return blocks.select(
         "query_id",
         "n_hits",
@@ -129,7 +129,8 @@ def q_context_blocks(spark, sf_dir):
 
 
 def q_enrich_prompts(spark, sf_dir):
-    return enrich(_questions(spark, sf_dir), _index(spark, sf_dir), EMBEDDER).select(
+    questions, index = _questions(spark, sf_dir), _index(spark, sf_dir)
+    return enrich(questions, index, EMBEDDER, dim=EMBEDDER.dim).select(
         "query_id",
         "system_prompt",
         "user_prompt",
@@ -146,9 +147,9 @@ def q_rag_status(spark, sf_dir):
     questions, index = _questions(spark, sf_dir), _index(spark, sf_dir)
     foreign = HashedEmbedder(64)
     cases = {
-        "indexed": enrich(questions, index, EMBEDDER),
+        "indexed": enrich(questions, index, EMBEDDER, dim=EMBEDDER.dim),
         "empty": enrich(questions, empty_index(spark), EMBEDDER),
-        "foreign": enrich(questions, index, foreign),
+        "foreign": enrich(questions, index, foreign, dim=EMBEDDER.dim),
     }
     out = None
     for name, result in cases.items():

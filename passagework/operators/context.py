@@ -57,6 +57,7 @@ def enrich(
     k: int = TOP_K,
     max_distance: float = MAX_DISTANCE,
     base_system: str = BASE_SYSTEM,
+    dim: int | None = None,
     **search,
 ) -> DataFrame:
     """One row per question with an explicit status, whatever was found.
@@ -64,12 +65,14 @@ def enrich(
     ``queries`` has ``query_id, query`` and either ``embedding`` or an
     ``embedder`` to make it. All its columns are kept; added are
     ``system_prompt, user_prompt, retrieved_chunks, rag_used, rag_status,
-    rag_status_msg, rag_warning`` and the counts behind them.
+    rag_status_msg, rag_warning`` and the counts behind them. ``dim``, the size
+    of the index's vectors, saves computing one to see where it is known.
     """
     if embedder is not None and "embedding" not in queries.columns:
         queries = queries.withColumn("embedding", embedder.vector("query"))
-    dim = vector_size(index)
-    empty = dim is None and index.isEmpty()
+    empty = index.isEmpty()
+    if dim is None and not empty:
+        dim = vector_size(index)
     hits = gate(knn(queries, index, k, dim=dim, **search), max_distance)
     blocks = context_blocks(with_texts(hits, index))
 

@@ -7,7 +7,8 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,19 +40,20 @@ class HashedEmbedder:
         buckets = F.transform(words(col), lambda w: (md5_int(w, 6) % self.dim).cast("int"))
         dim = self.dim
 
-        @F.pandas_udf(VECTOR)
-        def scatter(batch: pd.Series) -> pd.Series:
-            lengths = batch.map(lambda b: 0 if b is None else len(b)).to_numpy(dtype=np.int64)
-            if not lengths.any():
-                return pd.Series([None] * len(batch), dtype=object)
-            flat = np.concatenate([b for b in batch if b is not None and len(b)])
+        @F.arrow_udf(VECTOR)
+        def scatter(batch: pa.Array) -> pa.Array:
+            lengths = pc.fill_null(pc.list_value_length(batch), 0).to_numpy().astype(np.int64)
             row = np.repeat(np.arange(len(batch)), lengths)
-            counts = np.bincount(row * dim + flat, minlength=len(batch) * dim)
-            dense = counts.reshape(len(batch), dim).astype(np.float64)
-            norm = np.sqrt((dense * dense).sum(axis=1))
-            norm[norm == 0] = 1.0
-            unit = (dense / norm[:, None]).astype(np.float32)
-            return pd.Series([v if n else None for v, n in zip(unit, lengths)], dtype=object)
+            cell = row * dim + batch.flatten().to_numpy()
+            dense = np.bincount(cell, minlength=len(batch) * dim).reshape(len(batch), dim)
+            known = lengths > 0
+            dense = dense[known].astype(np.float64)
+            norm = np.sqrt((dense * dense).sum(axis=1, keepdims=True))
+            unit = (dense / norm).astype(np.float32)
+            offsets = np.concatenate([[0], np.cumsum(known * dim)]).astype(np.int32)
+            return pa.ListArray.from_arrays(
+                pa.array(offsets), pa.array(unit.ravel()), mask=pa.array(~known)
+            )
 
         return scatter(buckets)
 

@@ -70,10 +70,11 @@ def knn(
     if dim is None or k < 1:
         empty = index.sparkSession.createDataFrame([], schema)
         return empty.withColumn("rank", F.lit(0))
-    doubles = F.col(vector).cast("array<double>").alias("v")
-    usable = (F.size(vector) == dim) & ~F.exists(vector, lambda x: x.isNull())
-    q = queries.where(usable).select(F.col(query_id).alias("id"), doubles)
-    x = index.where(usable).select(F.col(index_id).alias("id"), doubles)
+    # Only the size is tested here; a vector with a null or NaN in it is left out
+    # where whole blocks are at hand.
+    fits = F.size(vector) == dim
+    q = queries.where(fits).select(F.col(query_id).alias("id"), F.col(vector).alias("v"))
+    x = index.where(fits).select(F.col(index_id).alias("id"), F.col(vector).alias("v"))
 
     bound = max(1, max_broadcast_bytes // (8 * dim))
     table = q.limit(bound + 1).toArrow()  # never more than the broadcast bound
@@ -104,17 +105,28 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return np.ascontiguousarray(flat, dtype=np.float64).reshape(-1, dim)
 
 
+def _complete(ids: list, vectors: np.ndarray) -> tuple[list, np.ndarray]:
+    """Rows without a null (read as NaN) or NaN in their vector."""
+    good = ~np.isnan(vectors).any(axis=1)
+    if good.all():
+        return ids, vectors
+    return [i for i, ok in zip(ids, good) if ok], vectors[good]
+
+
 class _Best:
     """Best k per question over the index blocks seen so far."""
 
     def __init__(self, ids, vectors: np.ndarray, k: int):
-        self.ids, self.vectors, self.k = ids, vectors, k
-        self.norms = np.einsum("ij,ij->i", vectors, vectors)
-        self.limit = np.full(len(vectors), np.inf)
-        self.found: list[list] = [[] for _ in range(len(vectors))]
+        self.ids, self.vectors = _complete(ids, vectors)
+        self.k = k
+        self.norms = np.einsum("ij,ij->i", self.vectors, self.vectors)
+        self.limit = np.full(len(self.vectors), np.inf)
+        self.found: list[list] = [[] for _ in self.ids]
 
     def add(self, ids, block: np.ndarray) -> None:
-        ids, block = _without_surplus_copies(ids, block, self.k)
+        ids, block = _without_surplus_copies(*_complete(ids, block), self.k)
+        if not ids:
+            return
         block_norms = np.einsum("ij,ij->i", block, block)
         for start in range(0, len(self.vectors), QUERY_BLOCK):
             part = slice(start, start + QUERY_BLOCK)
@@ -192,7 +204,8 @@ def _by_broadcast(table: pa.Table, x, k, dim, schema) -> DataFrame:
 
 
 def _by_cells(q, x, k, dim, schema, shard_rows, pivots) -> DataFrame:
-    spark = x.sparkSession
+    q, x = [side.where(~F.exists("v", lambda e: e.isNull() | F.isnan(e))) for side in (q, x)]
+    q, x = [side.withColumn("v", F.col("v").cast("array<double>")) for side in (q, x)]
     centres = _pivots(x, dim, pivots or MAX_PIVOTS)
 
     @F.pandas_udf("struct<cell:int,d:double>")

@@ -41,6 +41,7 @@ def answer_queries(
     order="turn",
     template=TURN_TEMPLATE,
     keep=(),
+    **search,
 ) -> DataFrame:
     """One answered row per question.
 
@@ -49,7 +50,7 @@ def answer_queries(
     column and an ``error`` of an earlier step, which keeps a row unanswered.
     """
     routed = route_queries(queries, agents, override)
-    enriched = enrich(routed, index, embedder, k, max_distance)
+    enriched = enrich(routed, index, embedder, k, max_distance, **search)
     if turns is not None and "conv_id" in queries.columns:
         past = prompt_history(turns, history, order=order)
         enriched = enriched.join(past, "conv_id", "left")

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from functools import lru_cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str | int = "*", app: str = "passagework", **conf) -> SparkSession:
@@ -49,3 +49,15 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         root = _local_root()
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame, *key: str) -> DataFrame:
+    """Enough partitions for a costly narrow step on a scan.
+
+    A large input arrives in more partitions than there are cores and is left
+    as it is. A small one, or one file that does not split, is redistributed.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *key)
