@@ -14,16 +14,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents table, in enough partitions for work on its texts."""
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with their metadata: source, the language in place of a ticker."""
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     metadata = F.struct(
         F.col("source"),
         F.when(F.col("lang") != "en", F.upper("lang")).alias("ticker"),
         F.lit(None).cast("string").alias("date"),
     )
-    docs = docs.select("doc_id", "text", metadata.cast(METADATA).alias("metadata"))
-    return spread(docs, "doc_id")
+    return docs.select("doc_id", "text", metadata.cast(METADATA).alias("metadata"))
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:

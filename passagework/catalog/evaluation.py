@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from passagework.catalog.common import sql_text, table
+from passagework.catalog.common import sql_text, table, texts
 from passagework.functions.fixed_values import (
     PHRASEBANK_LABELS,
     PUBLISHED_SCORES,
@@ -13,7 +13,7 @@ from passagework.functions.fixed_values import (
     TWEET_LABELS,
 )
 from passagework.functions.labels import (
-    label_lookup,
+    map_labels,
     normalize_sentiment,
     normalize_yes_no,
     score_to_label,
@@ -40,7 +40,7 @@ def _verdicts(spark, sf_dir):
         .when(F.col("toxic") == 1, "Clearly Negative.")
         .otherwise("Not since yesterday.")
     )
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts(spark, sf_dir).select("doc_id", "text")
     labels = table(spark, sf_dir, "labels")
     return docs.join(labels, "doc_id", "left").select(
         "doc_id",
@@ -78,9 +78,9 @@ def q_map_labels(spark, sf_dir):
     customers = table(spark, sf_dir, "customer").withColumn("raw", raw)
     return customers.select(
         "c_custkey",
-        label_lookup("raw", SEVEN_CLASS_LABELS, "neutral", clean=True).alias("seven_class"),
-        label_lookup("c_nationkey", PHRASEBANK_LABELS).alias("phrasebank"),
-        label_lookup("c_nationkey", TWEET_LABELS).alias("tweet"),
+        map_labels("raw", SEVEN_CLASS_LABELS, "neutral", clean=True).alias("seven_class"),
+        map_labels("c_nationkey", PHRASEBANK_LABELS).alias("phrasebank"),
+        map_labels("c_nationkey", TWEET_LABELS).alias("tweet"),
     )
 
 
@@ -182,7 +182,7 @@ def _cases():
 
 def _scored(spark, sf_dir):
     """Every document graded as an answer to every open question."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("answer"))
+    docs = texts(spark, sf_dir).select("doc_id", F.col("text").alias("answer"))
     return keyword_scores(docs.select("doc_id", "answer", F.inline(_cases())))
 
 

@@ -54,7 +54,7 @@ def q_index_store(spark, sf_dir):
     path = shared_folder(spark, "index")
     rows = index_documents(documents(spark, sf_dir), EMBEDDER)
     append_index(rows, path)
-    append_index(rows, path)
+    append_index(rows, path, skip_existing=True)
     return _index_rows(load_index(spark, path, EMBEDDER.name))
 
 
@@ -67,6 +67,7 @@ def q_stream_index(spark, sf_dir):
     )
     metadata = F.struct("source", F.lit(None).alias("ticker"), F.lit(None).alias("date"))
     docs = arriving.select("doc_id", "text", metadata.cast(METADATA).alias("metadata"))
+    docs = docs.repartition(spark.sparkContext.defaultParallelism, "doc_id")  # one file arrives
     stream_index(docs, path, checkpoint, EMBEDDER).awaitTermination()
     return _index_rows(load_index(spark, path, EMBEDDER.name))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from passagework.catalog.common import SQL_TOKEN, sql_strip, sql_text, table, turns
+from passagework.catalog.common import SQL_TOKEN, sql_strip, sql_text, table, texts, turns
 from passagework.functions.fixed_values import (
     BASE_SYSTEM,
     NEWS_INSTRUCTION,
@@ -28,7 +28,7 @@ FORECAST = "Please predict the stock movement for the next week."
 
 def _prompts(spark, sf_dir):
     """Every document as a question; its language decides the instruction."""
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     lang = F.col("lang")
     instruction = (
         F.when(lang == "en", sentiment_instruction(F.when(F.col("source") == "src0", "post")))
@@ -101,12 +101,12 @@ def q_strip_think(spark, sf_dir):
         .when(F.col("lang") == "fr", F.concat(text, end))
         .otherwise(F.concat(F.lit(" \n"), text, F.lit("\t ")))
     )
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     return docs.select("doc_id", strip_think(answer).alias("answer"))
 
 
 def q_answer_preview(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     return docs.select(
         "doc_id", preview("text").alias("answer"), preview("text", 80, True).alias("passage")
     )

@@ -13,6 +13,7 @@ from passagework.catalog.common import (
     sql_text,
     sql_vectors,
     table,
+    texts,
     turns,
 )
 from passagework.functions.fixed_values import (
@@ -39,17 +40,17 @@ EMBEDDER = HashedEmbedder()
 
 
 def q_chunk_documents(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts(spark, sf_dir).select("doc_id", "text")
     return chunk_documents(docs)
 
 
 def q_chunk_pages(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts(spark, sf_dir).select("doc_id", "text")
     return chunk_pages(split_pages(docs, "\n"))
 
 
 def q_chunk_stats(spark, sf_dir):
-    chunks = chunk_documents(table(spark, sf_dir, "documents").select("source", "doc_id", "text"))
+    chunks = chunk_documents(texts(spark, sf_dir).select("source", "doc_id", "text"))
     return chunks.groupBy("source").agg(
         F.count("*").alias("n_chunks"),
         F.count_if(F.col("chunk_no") == 0).alias("n_documents"),

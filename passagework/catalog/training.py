@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from passagework.catalog.common import SQL_TOKEN, sql_strip, sql_text, table, turns
+from passagework.catalog.common import SQL_TOKEN, sql_strip, sql_text, table, texts, turns
 from passagework.functions.fixed_values import BASE_SYSTEM, FORECAST_SYSTEM
 from passagework.operators.ordering import (
     concat_datasets,
@@ -48,7 +48,7 @@ def _dialogue(spark, sf_dir):
 
 def _readings(spark, sf_dir):
     """Every document as an example: its source asked, its text answered."""
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir).select(
         F.concat_ws("/", F.lit("doc"), "doc_id").alias("example_id"),
         F.col("source").alias("instruction"),
         F.col("lang").alias("input"),
@@ -61,7 +61,7 @@ def _joined(ids="input_ids"):
 
 
 def _tokens(spark, sf_dir, max_len=512):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts(spark, sf_dir).select("doc_id", "text")
     return tokenize(docs, max_len=max_len)
 
 

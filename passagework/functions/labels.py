@@ -35,7 +35,7 @@ def score_to_label(col) -> Column:
     )
 
 
-def label_lookup(col, mapping: dict, default=None, clean: bool = False) -> Column:
+def map_labels(col, mapping: dict, default=None, clean: bool = False) -> Column:
     """Look a label up in a small fixed mapping, as a literal map.
 
     ``clean`` trims and lower-cases text labels first. Unknown labels give

@@ -63,15 +63,17 @@ def batch_answer(
     models: Mapping[str, Callable[[], Callable[[list[str]], list[str]]]],
     prompt: str = "prompt",
     query_id: str = "query_id",
-    spread: int = 1024,
+    tasks: int | None = None,
     clean: bool = True,
 ) -> DataFrame:
     """Add ``answer`` and ``error``; one failing row does not stop the others.
 
     ``models`` maps an agent to a factory, which loads the model and returns a
-    function from prompts to answers. Rows are clustered by agent so that a task
-    loads a model once instead of swapping for every row; an agent's rows are
-    spread over many tasks, since two or three agents share all of them.
+    function from prompts to answers. Rows are ranged by agent and a hash of the
+    id: a task sees one agent, rarely two, and loads a model once instead of
+    swapping for every row, and an agent with most rows fills most tasks. The
+    number of ``tasks`` is fixed, as partitions that are small in bytes but long
+    to answer must not be merged.
     """
     fields = list(queries.schema.fields)
     schema = T.StructType(
@@ -95,10 +97,13 @@ def batch_answer(
                 out.append(_answered(rows, loaded, failure, prompt))
             yield pd.concat(out).sort_index()
 
-    salt = F.pmod(F.xxhash64(query_id), F.lit(spread))
+    spark = queries.sparkSession
+    if tasks is None:
+        shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        tasks = max(spark.sparkContext.defaultParallelism, shuffle)
     answered = (
-        queries.withColumn("_salt", salt)
-        .repartition("agent_used", "_salt")
+        queries.withColumn("_salt", F.xxhash64(query_id))
+        .repartitionByRange(tasks, "agent_used", "_salt")
         .sortWithinPartitions("agent_used")
         .drop("_salt")
         .mapInPandas(answer, schema)

@@ -83,19 +83,22 @@ def _metric_columns(pos_label=None) -> dict[str, Column]:
 
 
 def keyword_hits(text, keywords) -> Column:
-    """Keywords that occur in the text, as substrings in any case, in list order."""
-    lowered = F.lower(text)
-    return F.filter(keywords, lambda word: F.contains(lowered, F.lower(word)))
+    """Keywords that occur in the text, as substrings in any case, in list order.
+
+    The one-element array binds the lower-cased text to a variable; written
+    straight into the filter it would be lower-cased again for every keyword.
+    """
+    found = F.transform(
+        F.array(F.lower(text)),
+        lambda lowered: F.filter(keywords, lambda word: F.contains(lowered, F.lower(word))),
+    )
+    return F.get(found, 0)
 
 
 def keyword_scores(df: DataFrame, text: str = "answer", keywords: str = "keywords") -> DataFrame:
     """Add ``keywords_hit`` and ``score``, the share of the keywords found."""
-    scored = df.withColumn("_lowered", F.lower(text)).withColumn(
-        "keywords_hit",
-        F.filter(keywords, lambda word: F.contains(F.col("_lowered"), F.lower(word))),
-    )
     share = F.size("keywords_hit") / F.nullif(F.size(keywords), F.lit(0))
-    return scored.withColumn("score", share).drop("_lowered")
+    return df.withColumn("keywords_hit", keyword_hits(text, keywords)).withColumn("score", share)
 
 
 def avg_keyword_score(scored: DataFrame, by=()) -> DataFrame:

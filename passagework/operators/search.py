@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,8 +33,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from passagework.functions.fixed_values import MAX_DISTANCE, TOP_K
 
 MAX_BROADCAST_BYTES = 64 << 20
+MAX_BROADCAST_HITS = 1_000_000
 SHARD_ROWS = 16_384
 MAX_PIVOTS = 256
+MAX_TASKS = 50_000
 QUERY_BLOCK = 512
 MERGE_ROWS = 1 << 14
 MARGIN = 1e-7
@@ -70,21 +73,23 @@ def knn(
     if dim is None or k < 1:
         empty = index.sparkSession.createDataFrame([], schema)
         return empty.withColumn("rank", F.lit(0))
-    # Only the size is tested here; a vector with a null or NaN in it is left out
-    # where whole blocks are at hand.
-    fits = F.size(vector) == dim
-    q = queries.where(fits).select(F.col(query_id).alias("id"), F.col(vector).alias("v"))
-    x = index.where(fits).select(F.col(index_id).alias("id"), F.col(vector).alias("v"))
+    q = queries.where(F.size(vector) == dim).select(
+        F.col(query_id).alias("id"), F.col(vector).alias("v")
+    )
+    x = index.select(F.col(index_id).alias("id"), F.col(vector).alias("v"))
 
     bound = max(1, max_broadcast_bytes // (8 * dim))
     table = q.limit(bound + 1).toArrow()  # never more than the broadcast bound
-    if table.num_rows <= bound:
+    few = table.num_rows <= bound
+    if few:
         hits = _by_broadcast(table, x, k, dim, schema)
     else:
         hits = _by_cells(q, x, k, dim, schema, shard_rows, pivots)
     nearest = Window.partitionBy(query_id).orderBy("score", index_id)
-    ranked = hits.withColumn("rank", F.row_number().over(nearest))
-    return ranked.where(F.col("rank") <= k)
+    ranked = hits.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
+    # The number of questions is known here, so is the size of the result: say so
+    # to a later join, which would otherwise start to shuffle the index.
+    return F.broadcast(ranked) if few and table.num_rows * k <= MAX_BROADCAST_HITS else ranked
 
 
 def gate(hits: DataFrame, max_distance: float = MAX_DISTANCE, score: str = "score") -> DataFrame:
@@ -98,35 +103,36 @@ def vector_size(index: DataFrame, vector: str = "embedding") -> int | None:
     return row[0] if row else None
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return np.ascontiguousarray(flat, dtype=np.float64).reshape(-1, dim)
-
+def _rows(ids, vectors, dim: int) -> tuple[list, np.ndarray]:
+    """Ids and matrix of the rows whose vector has the right size and no gaps.
 
-def _complete(ids: list, vectors: np.ndarray) -> tuple[list, np.ndarray]:
-    """Rows without a null (read as NaN) or NaN in their vector."""
-    good = ~np.isnan(vectors).any(axis=1)
+    Tested here and not by a filter on the DataFrame: where the vectors are
+    computed by a UDF, Spark would compute them once more for the filter.
+    """
+    if isinstance(vectors, pa.ChunkedArray):
+        ids, vectors = ids.combine_chunks(), vectors.combine_chunks()
+    fits = pc.fill_null(pc.equal(pc.list_value_length(vectors), dim), False)
+    if not pc.all(fits).as_py():
+        ids, vectors = ids.filter(fits), vectors.filter(fits)
+    flat = vectors.flatten().to_numpy(zero_copy_only=False)  # null reads as NaN
+    matrix = np.ascontiguousarray(flat, dtype=np.float64).reshape(-1, dim)
+    good = ~np.isnan(matrix).any(axis=1)
     if good.all():
-        return ids, vectors
-    return [i for i, ok in zip(ids, good) if ok], vectors[good]
+        return ids.to_pylist(), matrix
+    return ids.filter(pa.array(good)).to_pylist(), matrix[good]
 
 
 class _Best:
     """Best k per question over the index blocks seen so far."""
 
     def __init__(self, ids, vectors: np.ndarray, k: int):
-        self.ids, self.vectors = _complete(ids, vectors)
-        self.k = k
-        self.norms = np.einsum("ij,ij->i", self.vectors, self.vectors)
-        self.limit = np.full(len(self.vectors), np.inf)
-        self.found: list[list] = [[] for _ in self.ids]
+        self.ids, self.vectors, self.k = ids, vectors, k
+        self.norms = np.einsum("ij,ij->i", vectors, vectors)
+        self.limit = np.full(len(ids), np.inf)
+        self.found: list[list] = [[] for _ in ids]
 
     def add(self, ids, block: np.ndarray) -> None:
-        ids, block = _without_surplus_copies(*_complete(ids, block), self.k)
-        if not ids:
-            return
+        ids, block = _without_surplus_copies(ids, block, self.k)
         block_norms = np.einsum("ij,ij->i", block, block)
         for start in range(0, len(self.vectors), QUERY_BLOCK):
             part = slice(start, start + QUERY_BLOCK)
@@ -190,22 +196,26 @@ def _without_surplus_copies(ids, block: np.ndarray, k: int):
 
 def _by_broadcast(table: pa.Table, x, k, dim, schema) -> DataFrame:
     arrow = to_arrow_schema(schema)
-    vectors = _matrix(table["v"], dim) if table.num_rows else np.empty((0, dim))
-    shared = x.sparkSession.sparkContext.broadcast((table["id"].to_pylist(), vectors))
+    shared = x.sparkSession.sparkContext.broadcast(_rows(table["id"], table["v"], dim))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = _Best(*shared.value, k)
         for batch in batches:
-            if batch.num_rows:
-                best.add(batch["id"].to_pylist(), _matrix(batch["v"], dim))
+            ids, block = _rows(batch["id"], batch["v"], dim)
+            if ids:
+                best.add(ids, block)
         yield best.batch(arrow)
 
     return x.mapInArrow(search, schema)
 
 
 def _by_cells(q, x, k, dim, schema, shard_rows, pivots) -> DataFrame:
-    q, x = [side.where(~F.exists("v", lambda e: e.isNull() | F.isnan(e))) for side in (q, x)]
-    q, x = [side.withColumn("v", F.col("v").cast("array<double>")) for side in (q, x)]
+    gap = F.exists("v", lambda e: e.isNull() | F.isnan(e))
+    whole = (F.size("v") == dim) & ~gap
+    q, x = [
+        side.where(whole).select("id", F.col("v").cast("array<double>").alias("v"))
+        for side in (q, x)
+    ]
     centres = _pivots(x, dim, pivots or MAX_PIVOTS)
 
     @F.pandas_udf("struct<cell:int,d:double>")
@@ -277,6 +287,10 @@ def _by_cells(q, x, k, dim, schema, shard_rows, pivots) -> DataFrame:
         )
     )
     arrow = to_arrow_schema(schema)
+    # A fixed number: few bytes mean much work here, so partitions must not be
+    # merged by size.
+    cores = x.sparkSession.sparkContext.defaultParallelism
+    tasks = min(max(sum(shards.values()), cores), MAX_TASKS)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, blocks = None, [], []
@@ -285,18 +299,19 @@ def _by_cells(q, x, k, dim, schema, shard_rows, pivots) -> DataFrame:
                 if here != key:
                     key, ids, blocks = here, [], []
                 if side == 0:
-                    ids += rows["index_id"].to_pylist()
-                    blocks.append(_matrix(rows["v"], dim))
+                    more, block = _rows(rows["index_id"], rows["v"], dim)
+                    ids += more
+                    blocks.append(block)
                 elif blocks:
                     if len(blocks) > 1:
                         blocks = [np.concatenate(blocks)]
-                    best = _Best(rows["query_id"].to_pylist(), _matrix(rows["v"], dim), k)
+                    best = _Best(*_rows(rows["query_id"], rows["v"], dim), k)
                     best.add(ids, blocks[0])
                     yield best.batch(arrow)
 
     return (
         index_rows.unionByName(query_rows)
-        .repartition("cell", "shard")
+        .repartition(tasks, "cell", "shard")
         .sortWithinPartitions("cell", "shard", "side")
         .mapInArrow(search, schema)
     )
@@ -322,5 +337,5 @@ def _to_centres(v: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 def _pivots(x: DataFrame, dim: int, n: int) -> np.ndarray:
     """At most ``n`` index vectors, chosen by hash of the id: a bounded collect."""
-    chosen = x.orderBy(F.xxhash64("id"), "id").limit(n).select("v").toArrow()
-    return np.unique(_matrix(chosen["v"], dim), axis=0)
+    chosen = x.orderBy(F.xxhash64("id"), "id").limit(n).toArrow()
+    return np.unique(_rows(chosen["id"], chosen["v"], dim)[1], axis=0)

@@ -206,14 +206,21 @@ def pack_sequences(
     blocks = F.sequence(
         F.floor(F.col("_start") / F.lit(block)), F.floor(last / F.lit(block))
     )
-    parts = offset.withColumn("block_id", F.explode(blocks))
-    begin = F.greatest(F.col("block_id") * block, F.col("_start"))
-    stop = F.least((F.col("block_id") + 1) * block, last + 1)
-    piece = F.slice(
-        "_ids", (begin - F.col("_start") + 1).cast("int"), (stop - begin).cast("int")
-    )
+
+    def part(block_id):
+        """The tokens this sequence puts into one block, with their place."""
+        begin = F.greatest(block_id * block, F.col("_start"))
+        stop = F.least((block_id + 1) * block, last + 1)
+        piece = F.slice(
+            "_ids", (begin - F.col("_start") + 1).cast("int"), (stop - begin).cast("int")
+        )
+        return F.struct(
+            block_id.alias("block_id"), F.struct(begin.alias("place"), piece.alias("ids")).alias("part")
+        )
+
+    # Cut before exploding: a long sequence is not copied for each of its blocks.
     packed = (
-        parts.select("block_id", F.struct(begin.alias("at"), piece.alias("ids")).alias("part"))
+        offset.select(F.inline(F.transform(blocks, part)))
         .groupBy("block_id")
         .agg(F.sort_array(F.collect_list("part")).alias("_parts"))
         .select("block_id", F.flatten(F.transform("_parts", lambda p: p["ids"])).alias(ids))

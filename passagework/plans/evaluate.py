@@ -13,7 +13,7 @@ from passagework.functions.fixed_values import (
     TWEET_LABELS,
 )
 from passagework.functions.labels import (
-    label_lookup,
+    map_labels,
     normalize_sentiment,
     normalize_yes_no,
     score_to_label,
@@ -46,7 +46,7 @@ def phrasebank_examples(df: DataFrame, key: str = "example_id") -> DataFrame:
         "FPB",
         key,
         build_prompt(F.lit(NEWS_INSTRUCTION), "sentence"),
-        label_lookup("label", PHRASEBANK_LABELS),
+        map_labels("label", PHRASEBANK_LABELS),
     )
 
 
@@ -68,7 +68,7 @@ def tweet_examples(df: DataFrame, key: str = "example_id") -> DataFrame:
         "TFNS",
         key,
         build_prompt(F.lit(TWEET_INSTRUCTION), "text"),
-        label_lookup("label", TWEET_LABELS),
+        map_labels("label", TWEET_LABELS),
     )
 
 
@@ -79,7 +79,7 @@ def seven_class_examples(df: DataFrame, key: str = "example_id") -> DataFrame:
         "NWGI",
         key,
         build_prompt(F.lit(NEWS_INSTRUCTION), "news"),
-        label_lookup("label", SEVEN_CLASS_LABELS, "neutral", clean=True),
+        map_labels("label", SEVEN_CLASS_LABELS, "neutral", clean=True),
     )
 
 

@@ -13,6 +13,8 @@ INDEX_SCHEMA = (
     f"metadata {METADATA}, embedding array<float>, model_name string"
 )
 
+MAX_BROADCAST_IDS = 1_000_000
+
 
 def empty_index(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], INDEX_SCHEMA)
@@ -33,24 +35,34 @@ def load_index(spark: SparkSession, path: str, model_name: str | None = None) ->
     return index if model_name is None else index.where(F.col("model_name") == model_name)
 
 
-def append_index(rows: DataFrame, path: str, skip_existing: bool = True) -> int:
+def append_index(rows: DataFrame, path: str, skip_existing: bool = False) -> int:
     """Append index rows and return how many; the commit is all or nothing.
 
-    Chunk ids come from content, so a replayed append finds its ids in place and
-    adds nothing. Turn ``skip_existing`` off when the rows are known to be new:
-    it joins the new ids with the stored ones.
+    A plain append shuffles nothing. ``skip_existing`` makes a repeated append
+    add nothing: chunk ids come from content, so rows already stored are found
+    by id and left out, as are repeats among the new rows.
     """
     if skip_existing:
-        stored = load_index(rows.sparkSession, path).select("model_name", "chunk_id")
-        rows = rows.dropDuplicates(["model_name", "chunk_id"]).join(
-            stored, ["model_name", "chunk_id"], "left_anti"
-        )
+        rows = _only_new(rows, load_index(rows.sparkSession, path))
     written = Observation("append_index")
     observed = _conform(rows).observe(written, F.count(F.lit(1)).alias("n"))
     observed.write.mode("append").partitionBy("model_name").parquet(path)
     return written.get["n"]
 
 
+def _only_new(rows: DataFrame, stored: DataFrame) -> DataFrame:
+    """Rows whose id is not stored.
+
+    A batch of few ids is broadcast to the stored ids, so these are scanned but
+    not shuffled, and at most as many come back. A larger batch is joined.
+    """
+    key = ["model_name", "chunk_id"]
+    ids, present = rows.select(key), stored.select(key)
+    if ids.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS:
+        present = F.broadcast(present.join(F.broadcast(ids), key, "left_semi").distinct())
+    return rows.dropDuplicates(key).join(present, key, "left_anti")
+
+
 def _conform(rows: DataFrame) -> DataFrame:
     return rows.sparkSession.createDataFrame([], INDEX_SCHEMA).unionByName(rows)
 
