@@ -5,41 +5,26 @@ Two plans give the same rows:
 * few questions: their matrix is broadcast, every index partition keeps its own
   best k per question while it streams by, and the partial results are merged
   by one top-k shuffle. The index itself is never shuffled.
-* many questions (above ``max_broadcast_bytes``): both sides are partitioned
-  into cells around a bounded set of pivots. The triangle inequality gives an
-  upper bound of every question's k-th distance and a lower bound of its
-  distance to each cell, so a question travels only to cells that can hold one
-  of its neighbours. Cells are split into shards of bounded size, sorted
-  within partitions with index rows first, so a task holds one shard while the
-  questions stream through it. (k-NN join by Voronoi cells, VLDB 2012.)
-
-Distances that decide or leave the operator are summed in dimension order on
-doubles; the matrix product only preselects, with a margin.
+* many questions, above ``max_broadcast_bytes``: both sides are partitioned by
+  cells, see ``cells``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from passagework.functions.fixed_values import MAX_DISTANCE, TOP_K
+from passagework.operators.cells import MAX_PIVOTS, SHARD_ROWS, search_cells
+from passagework.operators.nearest import Best, rows_of
 
 MAX_BROADCAST_BYTES = 64 << 20
 MAX_BROADCAST_HITS = 1_000_000
-SHARD_ROWS = 16_384
-MAX_PIVOTS = 256
-MAX_TASKS = 50_000
-QUERY_BLOCK = 512
-MERGE_ROWS = 1 << 14
-MARGIN = 1e-7
 
 
 def knn(
@@ -52,7 +37,7 @@ def knn(
     vector: str = "embedding",
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
     shard_rows: int = SHARD_ROWS,
-    pivots: int | None = None,
+    pivots: int = MAX_PIVOTS,
     dim: int | None = None,
 ) -> DataFrame:
     """Nearest ``k`` index rows of every question: ``query_id, chunk_id, score, rank``.
@@ -84,7 +69,7 @@ def knn(
     if few:
         hits = _by_broadcast(table, x, k, dim, schema)
     else:
-        hits = _by_cells(q, x, k, dim, schema, shard_rows, pivots)
+        hits = search_cells(q, x, k, dim, schema, shard_rows, pivots)
     nearest = Window.partitionBy(query_id).orderBy("score", index_id)
     ranked = hits.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
     # The number of questions is known here, so is the size of the result: say so
@@ -103,239 +88,16 @@ def vector_size(index: DataFrame, vector: str = "embedding") -> int | None:
     return row[0] if row else None
 
 
-def _rows(ids, vectors, dim: int) -> tuple[list, np.ndarray]:
-    """Ids and matrix of the rows whose vector has the right size and no gaps.
-
-    Tested here and not by a filter on the DataFrame: where the vectors are
-    computed by a UDF, Spark would compute them once more for the filter.
-    """
-    if isinstance(vectors, pa.ChunkedArray):
-        ids, vectors = ids.combine_chunks(), vectors.combine_chunks()
-    fits = pc.fill_null(pc.equal(pc.list_value_length(vectors), dim), False)
-    if not pc.all(fits).as_py():
-        ids, vectors = ids.filter(fits), vectors.filter(fits)
-    flat = vectors.flatten().to_numpy(zero_copy_only=False)  # null reads as NaN
-    matrix = np.ascontiguousarray(flat, dtype=np.float64).reshape(-1, dim)
-    good = ~np.isnan(matrix).any(axis=1)
-    if good.all():
-        return ids.to_pylist(), matrix
-    return ids.filter(pa.array(good)).to_pylist(), matrix[good]
-
-
-class _Best:
-    """Best k per question over the index blocks seen so far."""
-
-    def __init__(self, ids, vectors: np.ndarray, k: int):
-        self.ids, self.vectors, self.k = ids, vectors, k
-        self.norms = np.einsum("ij,ij->i", vectors, vectors)
-        self.limit = np.full(len(ids), np.inf)
-        self.found: list[list] = [[] for _ in ids]
-
-    def add(self, ids, block: np.ndarray) -> None:
-        ids, block = _without_surplus_copies(ids, block, self.k)
-        block_norms = np.einsum("ij,ij->i", block, block)
-        for start in range(0, len(self.vectors), QUERY_BLOCK):
-            part = slice(start, start + QUERY_BLOCK)
-            near = self._candidates(part, block, block_norms)
-            for at in range(0, len(near[0]), MERGE_ROWS):
-                piece = slice(at, at + MERGE_ROWS)
-                self._merge(start, (near[0][piece], near[1][piece]), ids, block)
-
-    def _candidates(self, part, block, block_norms):
-        scale = 1.0 + self.norms[part][:, None] + block_norms[None, :]
-        rough = self.norms[part][:, None] + block_norms[None, :]
-        rough -= 2.0 * (self.vectors[part] @ block.T)
-        limit = self.limit[part]
-        if len(block) > self.k:
-            kth = np.partition(rough, self.k - 1, axis=1)[:, self.k - 1]
-            limit = np.minimum(limit, kth + MARGIN * scale.max(axis=1))
-        return np.nonzero(rough <= limit[:, None] + MARGIN * scale)
-
-    def _merge(self, start, near, ids, block) -> None:
-        rows, cols = near
-        left, right = self.vectors[rows + start], block[cols]
-        score = np.zeros(len(rows))
-        for d in range(left.shape[1]):  # dimension order, as a left fold
-            step = left[:, d] - right[:, d]
-            score += step * step
-        bounds = np.flatnonzero(np.diff(rows)) + 1
-        for group in np.split(np.arange(len(rows)), bounds):
-            at = rows[group[0]] + start
-            best = self.found[at] + [(score[g], ids[cols[g]]) for g in group]
-            best.sort()
-            self.found[at] = best[: self.k]
-            if len(self.found[at]) == self.k:
-                self.limit[at] = best[self.k - 1][0]
-
-    def batch(self, schema: pa.Schema) -> pa.RecordBatch:
-        flat = [(q, i, s) for q, best in zip(self.ids, self.found) for s, i in best]
-        columns = zip(*flat) if flat else ((), (), ())
-        arrays = [pa.array(list(c), type=f.type) for c, f in zip(columns, schema)]
-        return pa.RecordBatch.from_arrays(arrays, schema=schema)
-
-
-def _without_surplus_copies(ids, block: np.ndarray, k: int):
-    """Of equal vectors only the k smallest ids can be among the best k.
-
-    Dropping the others first keeps a block of copies from making every one of
-    its rows a candidate for every question.
-    """
-    if len(block) <= k:
-        return ids, block
-    rows = np.ascontiguousarray(block + 0.0).view(np.dtype((np.void, block.shape[1] * 8))).ravel()
-    _, group, counts = np.unique(rows, return_inverse=True, return_counts=True)
-    if counts.max() <= k:
-        return ids, block
-    kept, seen = [], np.zeros(len(counts), dtype=np.int64)
-    for at in sorted(range(len(ids)), key=ids.__getitem__):
-        if seen[group[at]] < k:
-            seen[group[at]] += 1
-            kept.append(at)
-    return [ids[at] for at in kept], block[kept]
-
-
-def _by_broadcast(table: pa.Table, x, k, dim, schema) -> DataFrame:
+def _by_broadcast(table: pa.Table, x: DataFrame, k: int, dim: int, schema) -> DataFrame:
     arrow = to_arrow_schema(schema)
-    shared = x.sparkSession.sparkContext.broadcast(_rows(table["id"], table["v"], dim))
+    shared = x.sparkSession.sparkContext.broadcast(rows_of(table["id"], table["v"], dim))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _Best(*shared.value, k)
+        best = Best(*shared.value, k)
         for batch in batches:
-            ids, block = _rows(batch["id"], batch["v"], dim)
+            ids, block = rows_of(batch["id"], batch["v"], dim)
             if ids:
                 best.add(ids, block)
         yield best.batch(arrow)
 
     return x.mapInArrow(search, schema)
-
-
-def _by_cells(q, x, k, dim, schema, shard_rows, pivots) -> DataFrame:
-    gap = F.exists("v", lambda e: e.isNull() | F.isnan(e))
-    whole = (F.size("v") == dim) & ~gap
-    q, x = [
-        side.where(whole).select("id", F.col("v").cast("array<double>").alias("v"))
-        for side in (q, x)
-    ]
-    centres = _pivots(x, dim, pivots or MAX_PIVOTS)
-
-    @F.pandas_udf("struct<cell:int,d:double>")
-    def nearest_centre(v):
-        distances = _to_centres(np.stack(v.to_numpy()), centres)
-        cell = distances.argmin(axis=1)
-        return pd.DataFrame(
-            {"cell": cell.astype(np.int32), "d": distances[np.arange(len(cell)), cell]}
-        )
-
-    placed = x.withColumn("at", nearest_centre("v")).select("id", "v", "at.cell", "at.d")
-
-    # Per cell: size, inner and outer radius, and the k smallest radii. At most
-    # pivots * k rows, whatever the size of the index.
-    spread = Window.partitionBy("cell").orderBy("d")
-    inner = (
-        placed.select("cell", "d")
-        .withColumn("i", F.row_number().over(spread))
-        .where(F.col("i") <= k)
-        .groupBy("cell")
-        .agg(F.sort_array(F.collect_list("d")).alias("nearest"))
-    )
-    size = placed.groupBy("cell").agg(
-        F.count("*").alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi")
-    )
-    cells = {r["cell"]: r for r in size.join(inner, "cell").toLocalIterator()}
-    shards = {c: -(-r["n"] // shard_rows) for c, r in cells.items()}
-    known = np.array(sorted(cells), dtype=np.int64)
-    lo = np.array([cells[c]["lo"] for c in known])
-    hi = np.array([cells[c]["hi"] for c in known])
-    radii = np.array(
-        [(cells[c]["nearest"] + [np.inf] * k)[:k] for c in known]
-    )  # (cells, k)
-
-    reach = 1.0 + np.sqrt((centres * centres).sum(axis=1).max()) + hi
-
-    @F.pandas_udf("array<int>")
-    def reachable(v):
-        vectors = np.stack(v.to_numpy())
-        norms = np.sqrt((vectors * vectors).sum(axis=1))
-        out = []
-        for row, norm in zip(_to_centres(vectors, centres)[:, known], norms):
-            ceiling = np.partition((row[:, None] + radii).ravel(), k - 1)[k - 1]
-            floor = np.maximum(row - hi, lo - row)
-            slack = 1e-6 * (reach + norm)  # rounding of the distances to centres
-            out.append(known[floor <= ceiling + slack].astype(np.int32))
-        return pd.Series(out)
-
-    shard_map = F.create_map(*[F.lit(int(v)) for c in known for v in (c, shards[c])])
-    n_shards = F.element_at(shard_map, F.col("cell"))
-    index_rows = placed.select(
-        "cell",
-        F.pmod(F.xxhash64("id"), n_shards).cast("int").alias("shard"),
-        F.lit(0).alias("side"),
-        F.col("id").alias("index_id"),
-        F.lit(None).cast(schema[0].dataType).alias("query_id"),
-        "v",
-    )
-    query_rows = (
-        q.withColumn("cell", F.explode(reachable("v")))
-        .withColumn("shard", F.explode(F.sequence(F.lit(0), n_shards - 1)))
-        .select(
-            "cell",
-            "shard",
-            F.lit(1).alias("side"),
-            F.lit(None).cast(schema[1].dataType).alias("index_id"),
-            F.col("id").alias("query_id"),
-            "v",
-        )
-    )
-    arrow = to_arrow_schema(schema)
-    # A fixed number: few bytes mean much work here, so partitions must not be
-    # merged by size.
-    cores = x.sparkSession.sparkContext.defaultParallelism
-    tasks = min(max(sum(shards.values()), cores), MAX_TASKS)
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, blocks = None, [], []
-        for batch in batches:
-            for here, side, rows in _runs(batch):
-                if here != key:
-                    key, ids, blocks = here, [], []
-                if side == 0:
-                    more, block = _rows(rows["index_id"], rows["v"], dim)
-                    ids += more
-                    blocks.append(block)
-                elif blocks:
-                    if len(blocks) > 1:
-                        blocks = [np.concatenate(blocks)]
-                    best = _Best(*_rows(rows["query_id"], rows["v"], dim), k)
-                    best.add(ids, blocks[0])
-                    yield best.batch(arrow)
-
-    return (
-        index_rows.unionByName(query_rows)
-        .repartition(tasks, "cell", "shard")
-        .sortWithinPartitions("cell", "shard", "side")
-        .mapInArrow(search, schema)
-    )
-
-
-def _runs(batch: pa.RecordBatch):
-    """Slices of equal (cell, shard, side) in a sorted batch."""
-    if not batch.num_rows:
-        return
-    columns = [batch[c].to_numpy() for c in ("cell", "shard", "side")]
-    change = np.zeros(batch.num_rows - 1, dtype=bool)
-    for c in columns:
-        change |= c[1:] != c[:-1]
-    edges = [0, *(np.flatnonzero(change) + 1), batch.num_rows]
-    for a, b in zip(edges, edges[1:]):
-        yield (columns[0][a], columns[1][a]), columns[2][a], batch.slice(a, b - a)
-
-
-def _to_centres(v: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    square = (v * v).sum(axis=1)[:, None] + (centres * centres).sum(axis=1)[None, :]
-    return np.sqrt(np.maximum(square - 2.0 * (v @ centres.T), 0.0))
-
-
-def _pivots(x: DataFrame, dim: int, n: int) -> np.ndarray:
-    """At most ``n`` index vectors, chosen by hash of the id: a bounded collect."""
-    chosen = x.orderBy(F.xxhash64("id"), "id").limit(n).toArrow()
-    return np.unique(_rows(chosen["id"], chosen["v"], dim)[1], axis=0)
