@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passagework.functions.fixed_values import AGENTS, MAX_DISTANCE, PROMPT_HISTORY, TOP_K
-from passagework.functions.prompts import TURN_TEMPLATE, chat_prompt, messages
+from passagework.functions.prompts import MESSAGE, TURN_TEMPLATE, chat_prompt, messages
 from passagework.operators.agents import batch_answer, route_queries
 from passagework.operators.context import enrich
 from passagework.operators.history import prompt_history
@@ -51,14 +51,14 @@ def answer_queries(
     """
     routed = route_queries(queries, agents, override)
     enriched = enrich(routed, index, embedder, k, max_distance, **search)
-    if turns is not None and "conv_id" in queries.columns:
+    in_conversation = "conv_id" in queries.columns
+    if in_conversation:
+        keep = ["conv_id", *[c for c in keep if c != "conv_id"]]
+    if in_conversation and turns is not None:
         past = prompt_history(turns, history, order=order)
         enriched = enriched.join(past, "conv_id", "left")
-        keep = ["conv_id", *[c for c in keep if c != "conv_id"]]
     else:
-        enriched = enriched.withColumn(
-            "history", F.lit(None).cast("array<struct<role:string,content:string>>")
-        )
+        enriched = enriched.withColumn("history", F.lit(None).cast(f"array<{MESSAGE}>"))
     listed = messages(F.col("system_prompt"), "history", "user_prompt")
     asked = enriched.withColumn("prompt", chat_prompt(listed, template))
     if "error" in queries.columns:
