@@ -32,7 +32,7 @@ from passagework.operators.chunking import (
     split_pages,
 )
 from passagework.operators.context import context_blocks, enrich, first_warning, with_texts
-from passagework.operators.embedding import HashedEmbedder
+from passagework.operators.embedding import HashedEmbedder, ModelEmbedder, embed
 from passagework.operators.search import gate, knn
 from passagework.sources.index_store import empty_index, index_status, ingest_summary
 
@@ -76,12 +76,31 @@ def q_ingest_summary(spark, sf_dir):
     return ingest_summary(whole, index)
 
 
-def _vector_hits(spark, sf_dir):
+def letters_model():
+    """Stands in for an embedding model: counts of the letters a, e, i, o, u."""
+    return lambda texts: [[float(t.count(c)) for c in "aeiou"] for t in texts]
+
+
+def missing_model():
+    raise OSError("this model is not here")
+
+
+def q_embed_model(spark, sf_dir):
+    """Whole documents through a caller's model, the second of two."""
+    embedder = ModelEmbedder([("missing", missing_model), ("letters", letters_model)], 5)
+    docs = texts(spark, sf_dir).select("doc_id", "text")
+    vectors = embed(docs, "text", embedder)
+    return vectors.select("doc_id", "model_name", F.posexplode("embedding").alias("pos", "x")).select(
+        "doc_id", "model_name", "pos", F.col("x").cast("bigint").alias("n")
+    )
+
+
+def _vector_hits(spark, sf_dir, **search):
     """Every vector's nearest others: one more than wanted, then itself left out."""
     vectors = table(spark, sf_dir, "embeddings")
     queries = vectors.select(F.col("vec_id").alias("query_id"), "embedding")
     index = vectors.select(F.col("vec_id").alias("chunk_id"), "embedding")
-    others = knn(queries, index, 6).where(F.col("chunk_id") != F.col("query_id"))
+    others = knn(queries, index, 6, **search).where(F.col("chunk_id") != F.col("query_id"))
     again = Window.partitionBy("query_id").orderBy("rank")
     return others.withColumn("rank", F.row_number().over(again)).where(F.col("rank") <= 5)
 
@@ -90,6 +109,12 @@ def q_knn_topk(spark, sf_dir):
     return _vector_hits(spark, sf_dir).withColumn("score", F.round("score", 6))
 
 
+def q_knn_many_questions(spark, sf_dir):
+    """The same search by the plan for questions too many to broadcast."""
+    hits = _vector_hits(spark, sf_dir, max_broadcast_bytes=0, pivots=8)
+    return hits.withColumn("score", F.round("score", 6))
+
+
 def q_gate_hits(spark, sf_dir):
     hits = gate(_vector_hits(spark, sf_dir))
     return hits.groupBy("query_id").agg(
@@ -186,7 +211,9 @@ QUERIES = {
     "embed_hashed": q_embed_hashed,
     "index_status": q_index_status,
     "ingest_summary": q_ingest_summary,
+    "embed_model": q_embed_model,
     "knn_topk": q_knn_topk,
+    "knn_many_questions": q_knn_many_questions,
     "gate_hits": q_gate_hits,
     "text_search": q_text_search,
     "context_blocks": q_context_blocks,
@@ -207,6 +234,10 @@ ranked AS (
 hits AS (SELECT * FROM ranked WHERE rank <= 5)
 """
 
+_NEAREST = f"""
+    WITH {_VECTOR_HITS}
+    SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM hits"""
+
 _TEXT_HITS = f"""
 {SQL_CHUNKS},
 {sql_vectors('index_vectors', 'chunks', 'chunk_id')},
@@ -302,9 +333,13 @@ ORACLES = {
         WITH {SQL_CHUNKS}
         SELECT (SELECT count(*) FROM documents) AS chunks_added, count(*) AS total_chunks
         FROM chunks""",
-    "knn_topk": f"""
-        WITH {_VECTOR_HITS}
-        SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM hits""",
+    "embed_model": """
+        WITH letters AS (SELECT unnest(range(5)) AS i)
+        SELECT doc_id, 'letters' AS model_name, CAST(i AS INTEGER) AS pos,
+               length(text) - length(replace(text, substr('aeiou', i + 1, 1), '')) AS n
+        FROM documents, letters""",
+    "knn_topk": _NEAREST,
+    "knn_many_questions": _NEAREST,
     "gate_hits": f"""
         WITH {_VECTOR_HITS}
         SELECT query_id, count(*) FILTER (score <= 1.2::DOUBLE) AS n_passing,

@@ -13,6 +13,7 @@ from passagework.operators.ordering import (
     train_test_split,
 )
 from passagework.operators.training import (
+    ModelTokenizer,
     collate,
     dataset_sizes,
     format_examples,
@@ -117,6 +118,17 @@ def q_tokenize(spark, sf_dir):
     )
 
 
+def word_lengths():
+    """Stands in for a tokenizer: one id per word, its length."""
+    return lambda batch: [[len(word) for word in text.split(" ")] for text in batch]
+
+
+def q_tokenize_model(spark, sf_dir):
+    docs = texts(spark, sf_dir).select("doc_id", "text")
+    tokens = tokenize(docs, ModelTokenizer(word_lengths), None)
+    return tokens.select("doc_id", _joined().alias("input_ids"))
+
+
 def q_collate(spark, sf_dir):
     batches = collate(_tokens(spark, sf_dir), 16, "doc_id")
     return batches.select(
@@ -168,6 +180,7 @@ QUERIES = {
     "seeded_shuffle": q_seeded_shuffle,
     "global_position": q_global_position,
     "tokenize": q_tokenize,
+    "tokenize_model": q_tokenize_model,
     "collate": q_collate,
     "pack_sequences": q_pack_sequences,
     "training_steps": q_training_steps,
@@ -283,6 +296,11 @@ ORACLES = {
         WITH cut AS (SELECT doc_id, {_sql_ids('text')}[1:512] AS ids FROM documents)
         SELECT doc_id, CAST(len(ids) AS INTEGER) AS n_ids, {_sql_joined('ids')} AS input_ids
         FROM cut""",
+    "tokenize_model": """
+        SELECT doc_id,
+               array_to_string(list_transform(string_split(text, ' '), lambda w: length(w)), ' ')
+                   AS input_ids
+        FROM documents""",
     "collate": f"""
         WITH cut AS (
             SELECT doc_id, {_sql_ids('text')}[1:512] AS ids,

@@ -113,21 +113,29 @@ def batch_answer(
 
 def _answered(rows: pd.DataFrame, model, failure, prompt: str) -> pd.DataFrame:
     """Ask the model for the whole batch; on failure find the rows at fault."""
-    texts = rows[prompt].tolist()
+    asked = rows[prompt].notna()
+    texts = rows.loc[asked, prompt].tolist()
     if model is None:
         answers = [(None, failure)] * len(texts)
     else:
-        try:
-            replies = model(texts)
-            if len(replies) != len(texts):
-                raise ValueError("the model returned another number of answers")
-            answers = [(reply, None) for reply in replies]
-        except Exception:
-            answers = []
-            for text in texts:
-                try:
-                    answers.append((model([text])[0], None))
-                except Exception as problem:
-                    answers.append((None, f"{type(problem).__name__}: {problem}"))
-    answered, errors = zip(*answers)
-    return rows.assign(answer=list(answered), error=list(errors))
+        answers = _ask(model, texts)
+    replies = iter(answers)
+    both = [next(replies) if ok else (None, "no prompt") for ok in asked]
+    return rows.assign(answer=[a for a, _ in both], error=[e for _, e in both])
+
+
+def _ask(model, texts: list[str]) -> list[tuple]:
+    try:
+        replies = model(texts) if texts else []
+        if len(replies) != len(texts):
+            raise ValueError("the model returned another number of answers")
+        return [(reply, None) for reply in replies]
+    except Exception:
+        return [_ask_one(model, text) for text in texts]
+
+
+def _ask_one(model, text: str) -> tuple:
+    try:
+        return model([text])[0], None
+    except Exception as problem:
+        return None, f"{type(problem).__name__}: {problem}"

@@ -9,7 +9,7 @@ from passagework.functions.fixed_values import AGENTS, MAX_DISTANCE, PROMPT_HIST
 from passagework.functions.prompts import MESSAGE, TURN_TEMPLATE, chat_prompt, messages
 from passagework.operators.agents import batch_answer, route_queries
 from passagework.operators.context import enrich
-from passagework.operators.history import prompt_history
+from passagework.operators.history import fit_history, prompt_history
 from passagework.sources.turn_log import SESSION
 
 ANSWER_COLUMNS = [
@@ -38,6 +38,7 @@ def answer_queries(
     k: int = TOP_K,
     max_distance: float = MAX_DISTANCE,
     history: int = PROMPT_HISTORY,
+    budget: int | None = None,
     order="turn",
     template=TURN_TEMPLATE,
     keep=(),
@@ -48,6 +49,7 @@ def answer_queries(
     ``queries`` has ``query_id, query`` and may have ``embedding``, ``conv_id``
     (whose newest messages from ``turns`` go into the prompt), an agent override
     column and an ``error`` of an earlier step, which keeps a row unanswered.
+    ``budget`` limits the history by tokens as well as by messages.
     """
     routed = route_queries(queries, agents, override)
     enriched = enrich(routed, index, embedder, k, max_distance, **search)
@@ -55,6 +57,8 @@ def answer_queries(
     if in_conversation:
         keep = ["conv_id", *[c for c in keep if c != "conv_id"]]
     if in_conversation and turns is not None:
+        if budget is not None:
+            turns = fit_history(turns, budget, order=order)
         past = prompt_history(turns, history, order=order)
         enriched = enriched.join(past, "conv_id", "left")
     else:
