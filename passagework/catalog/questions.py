@@ -18,9 +18,10 @@ from passagework.functions.prompts import (
     messages,
     sentiment_instruction,
 )
-from passagework.functions.text import preview, strip_think, whitespace_token_count
+from passagework.functions.text import preview, strip_think
 from passagework.operators.agents import batch_answer, route_queries, routing_counts
 from passagework.operators.history import fit_history, prompt_history, prune_turns
+from passagework.session import spread
 
 HEADLINE = "Does this headline talk about the price going up?"
 FORECAST = "Please predict the stock movement for the next week."
@@ -147,7 +148,7 @@ def q_chat_messages(spark, sf_dir):
 
 def q_parse_forecast(spark, sf_dir):
     """Every order told as a forecast: its status the direction, its priority a concern."""
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(table(spark, sf_dir, "orders"), "o_orderkey")
     move = F.when(F.col("o_orderstatus") == "F", "Prediction: Up by ").when(
         F.col("o_orderstatus") == "O", "Prediction: down "
     )

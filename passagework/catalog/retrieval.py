@@ -90,9 +90,8 @@ def q_embed_model(spark, sf_dir):
     embedder = ModelEmbedder([("missing", missing_model), ("letters", letters_model)], 5)
     docs = texts(spark, sf_dir).select("doc_id", "text")
     vectors = embed(docs, "text", embedder)
-    return vectors.select("doc_id", "model_name", F.posexplode("embedding").alias("pos", "x")).select(
-        "doc_id", "model_name", "pos", F.col("x").cast("bigint").alias("n")
-    )
+    counts = vectors.select("doc_id", "model_name", F.posexplode("embedding").alias("pos", "x"))
+    return counts.withColumn("n", F.col("x").cast("bigint")).drop("x")
 
 
 def _vector_hits(spark, sf_dir, **search):

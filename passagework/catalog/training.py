@@ -279,7 +279,8 @@ ORACLES = {
                    CAST('0x' || substr(md5('42:' || doc_id), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE
                        AS share
             FROM documents)
-        SELECT doc_id, CASE WHEN i <= ceil(n * 0.25::DOUBLE) THEN 'test' ELSE 'train' END AS quarter,
+        SELECT doc_id,
+               CASE WHEN i <= ceil(n * 0.25::DOUBLE) THEN 'test' ELSE 'train' END AS quarter,
                CASE WHEN i <= ceil(n * 0.226::DOUBLE) THEN 'test' ELSE 'train' END AS scored,
                CASE WHEN share < 0.25 THEN 'test' ELSE 'train' END AS hashed
         FROM placed""",

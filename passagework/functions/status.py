@@ -34,7 +34,8 @@ def rag_status(index_empty, failed, n_hits, n_passing) -> Column:
 def rag_status_msg(status, n_hits, n_passing, best_score, max_distance: float) -> Column:
     low = F.concat(
         F.lit("All "), n_hits.cast("string"),
-        F.lit(f" candidate chunk(s) exceeded the distance threshold ({max_distance}). Best score: "),
+        F.lit(f" candidate chunk(s) exceeded the distance threshold ({max_distance}). "),
+        F.lit("Best score: "),
         F.format_string("%.3f", best_score),
         F.lit(". Consider raising max_distance or adding more relevant documents."),
     )

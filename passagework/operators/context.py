@@ -104,11 +104,12 @@ def enrich(
     )
     used = F.col("n_passing") > 0
     returned = F.when(used, F.filter("hits", lambda h: h["passing"])).otherwise(F.col("hits"))
+    nothing = F.array().cast(counted.schema["hits"].dataType)
     return counted.withColumns(
         {
             "system_prompt": system_prompt("context_block", base_system),
             "user_prompt": F.col("query"),
-            "retrieved_chunks": F.coalesce(returned, F.array().cast(counted.schema["hits"].dataType)),
+            "retrieved_chunks": F.coalesce(returned, nothing),
             "rag_used": used,
             "rag_warning": rag_warning(F.col("rag_status"), F.col("rag_status_msg")),
         }

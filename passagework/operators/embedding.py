@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passagework.functions.fixed_values import HASHED_DIM
-from passagework.functions.text import md5_int, words
+from passagework.functions.text import words
 
 VECTOR = T.ArrayType(T.FloatType(), True)
 
@@ -24,8 +25,8 @@ VECTOR = T.ArrayType(T.FloatType(), True)
 class HashedEmbedder:
     """Word counts hashed into ``dim`` buckets, scaled to length one.
 
-    Splitting and hashing are Spark expressions; only the scatter into a dense
-    vector is done in Python, one NumPy call per Arrow batch. Null text and text
+    Spark finds the words; hashing and the scatter into dense vectors are done
+    per Arrow batch, where each distinct word is hashed once. Null text and text
     without a word give null, as there is no direction to compare.
     """
 
@@ -37,14 +38,16 @@ class HashedEmbedder:
 
     def vector(self, col) -> Column:
         col = F.col(col) if isinstance(col, str) else col
-        buckets = F.transform(words(col), lambda w: (md5_int(w, 6) % self.dim).cast("int"))
         dim = self.dim
 
         @F.arrow_udf(VECTOR)
         def scatter(batch: pa.Array) -> pa.Array:
             lengths = pc.fill_null(pc.list_value_length(batch), 0).to_numpy().astype(np.int64)
+            coded = batch.flatten().dictionary_encode()
+            digests = [md5(w.encode()).hexdigest() for w in coded.dictionary.to_pylist()]
+            bucket = np.array([int(d[:6], 16) % dim for d in digests], dtype=np.int64)
             row = np.repeat(np.arange(len(batch)), lengths)
-            cell = row * dim + batch.flatten().to_numpy()
+            cell = row * dim + bucket[coded.indices.to_numpy()]
             dense = np.bincount(cell, minlength=len(batch) * dim).reshape(len(batch), dim)
             known = lengths > 0
             dense = dense[known].astype(np.float64)
@@ -55,7 +58,7 @@ class HashedEmbedder:
                 pa.array(offsets), pa.array(unit.ravel()), mask=pa.array(~known)
             )
 
-        return scatter(buckets)
+        return scatter(words(col))
 
 
 @dataclass(frozen=True)

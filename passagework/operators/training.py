@@ -214,9 +214,8 @@ def pack_sequences(
         piece = F.slice(
             "_ids", (begin - F.col("_start") + 1).cast("int"), (stop - begin).cast("int")
         )
-        return F.struct(
-            block_id.alias("block_id"), F.struct(begin.alias("place"), piece.alias("ids")).alias("part")
-        )
+        tokens = F.struct(begin.alias("place"), piece.alias("ids"))
+        return F.struct(block_id.alias("block_id"), tokens.alias("part"))
 
     # Cut before exploding: a long sequence is not copied for each of its blocks.
     packed = (

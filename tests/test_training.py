@@ -8,7 +8,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from passagework.functions.fixed_values import BASE_SYSTEM, FORECAST_SYSTEM
-from passagework.functions.text import whitespace_token_count
 from passagework.operators.ordering import (
     concat_datasets,
     global_position,
