@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from passagework.catalog import evaluation, ingestion, questions, retrieval, training
+from passagework.catalog import answers, evaluation, ingestion, questions, retrieval, training
 
-MODULES = [retrieval, questions, evaluation, training, ingestion]
+MODULES = [retrieval, questions, answers, evaluation, training, ingestion]
 
 
 def queries() -> dict:

@@ -27,7 +27,7 @@ from passagework.operators.metrics import (
 )
 from passagework.plans.evaluate import evaluate_tasks
 
-def _balance():
+def balance():
     """Account balance on a scale about zero."""
     return (F.col("c_acctbal") - 4500) / 5500
 
@@ -60,7 +60,7 @@ def q_normalize_labels(spark, sf_dir):
 
 def q_score_labels(spark, sf_dir):
     customers = table(spark, sf_dir, "customer")
-    return customers.select("c_custkey", score_to_label(_balance()).alias("label"))
+    return customers.select("c_custkey", score_to_label(balance()).alias("label"))
 
 
 def q_map_labels(spark, sf_dir):
@@ -99,8 +99,8 @@ def _segments(spark, sf_dir):
     return customers.select(
         "c_custkey",
         "c_mktsegment",
-        score_to_label(_balance()).alias("target"),
-        score_to_label(_balance() + 0.3).alias("prediction"),
+        score_to_label(balance()).alias("target"),
+        score_to_label(balance() + 0.3).alias("prediction"),
     )
 
 
@@ -119,7 +119,7 @@ def _examples(spark, sf_dir):
     customers = table(spark, sf_dir, "customer").select(
         F.lit("FiQA-SA").alias("task"),
         F.col("c_custkey").cast("string").alias("example_id"),
-        score_to_label(_balance()).alias("target"),
+        score_to_label(balance()).alias("target"),
     )
     labels = table(spark, sf_dir, "labels").select(
         F.lit("Headline").alias("task"),
@@ -133,7 +133,7 @@ def _answers(spark, sf_dir):
     customers = table(spark, sf_dir, "customer").select(
         F.lit("FiQA-SA").alias("task"),
         F.col("c_custkey").cast("string").alias("example_id"),
-        F.concat(F.lit("I would call it "), F.upper(score_to_label(_balance() + 0.3)), F.lit("."))
+        F.concat(F.lit("I would call it "), F.upper(score_to_label(balance() + 0.3)), F.lit("."))
         .alias("answer"),
         F.when(F.col("c_mktsegment") == "MACHINERY", "multitask")
         .otherwise("sentiment")
@@ -212,17 +212,17 @@ QUERIES = {
     "avg_keyword_score": q_avg_keyword_score,
 }
 
-_SCORE = "(c_acctbal - 4500) / 5500"
+SCORE = "(c_acctbal - 4500) / 5500"
 
 
-def _sql_class(score: str) -> str:
+def sql_class(score: str) -> str:
     return (
         f"CASE WHEN {score} < -0.1::DOUBLE THEN 'negative' "
         f"WHEN {score} >= 0.1::DOUBLE THEN 'positive' ELSE 'neutral' END"
     )
 
 
-def _sql_scores(source: str, by: str) -> str:
+def sql_scores(source: str, by: str) -> str:
     """CTEs ending in ``scores``: per label support, predicted, tp, f1."""
     return f"""
     supports AS (
@@ -238,7 +238,7 @@ def _sql_scores(source: str, by: str) -> str:
     """
 
 
-_METRICS = """
+METRICS = """
     CAST(sum(support) AS BIGINT) AS n_samples,
     round(CAST(sum(tp) AS DOUBLE) / sum(support), {d}) AS accuracy,
     round(sum(f1 * support) / sum(support), {d}) AS f1_weighted,
@@ -248,8 +248,8 @@ _METRICS = """
 
 _SEGMENTS = f"""
 segments AS (
-    SELECT c_custkey, c_mktsegment, {_sql_class(_SCORE)} AS target,
-           {_sql_class(f'({_SCORE} + 0.3::DOUBLE)')} AS prediction
+    SELECT c_custkey, c_mktsegment, {sql_class(SCORE)} AS target,
+           {sql_class(f'({SCORE} + 0.3::DOUBLE)')} AS prediction
     FROM customer)
 """
 
@@ -261,9 +261,9 @@ answered AS (
     FROM segments
     UNION ALL
     SELECT 'Headline', CAST(quality AS VARCHAR), CAST(toxic AS VARCHAR), 'multitask' FROM labels),
-{_sql_scores('answered', 'task')},
+{sql_scores('answered', 'task')},
 results AS (
-    SELECT task, {_METRICS.format(d=4)},
+    SELECT task, {METRICS.format(d=4)},
            round(coalesce(max(f1) FILTER (label = '1'), 0), 4) AS f1_binary
     FROM scores GROUP BY task),
 routing AS (
@@ -306,7 +306,7 @@ ORACLES = {
                     WHEN answer LIKE '%negative%' THEN 'negative' ELSE 'neutral' END AS sentiment,
                CASE WHEN answer LIKE '%yes%' THEN 1 ELSE 0 END AS yes_no
         FROM answers""",
-    "score_labels": f"SELECT c_custkey, {_sql_class(_SCORE)} AS label FROM customer",
+    "score_labels": f"SELECT c_custkey, {sql_class(SCORE)} AS label FROM customer",
     "map_labels": """
         SELECT c_custkey,
                CASE WHEN c_acctbal < 2000 THEN 'negative' WHEN c_acctbal < 6500 THEN 'neutral'
@@ -318,15 +318,15 @@ ORACLES = {
         FROM customer""",
     "metrics_binary": f"""
         WITH pairs AS (SELECT 0 AS g, quality AS target, toxic AS prediction FROM labels),
-        {_sql_scores('pairs', 'g')}
-        SELECT {_METRICS.format(d=6)},
+        {sql_scores('pairs', 'g')}
+        SELECT {METRICS.format(d=6)},
                round(coalesce(max(f1) FILTER (label = 1), 0), 6) AS f1_binary
         FROM scores""",
     "metrics_multiclass": f"""
-        WITH {_SEGMENTS}, {_sql_scores('segments', 'c_mktsegment')}
-        SELECT c_mktsegment, {_METRICS.format(d=6)} FROM scores GROUP BY c_mktsegment""",
+        WITH {_SEGMENTS}, {sql_scores('segments', 'c_mktsegment')}
+        SELECT c_mktsegment, {METRICS.format(d=6)} FROM scores GROUP BY c_mktsegment""",
     "label_scores": f"""
-        WITH {_SEGMENTS}, {_sql_scores('segments', 'c_mktsegment')}
+        WITH {_SEGMENTS}, {sql_scores('segments', 'c_mktsegment')}
         SELECT c_mktsegment, label, support, predicted, tp, round(f1, 6) AS f1 FROM scores""",
     "task_results": f"""
         WITH {_TASKS}

@@ -7,28 +7,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from passagework.catalog import retrieval
-from passagework.catalog.common import (
-    SQL_CHUNKS,
-    SQL_TOKEN,
-    documents,
-    sql_strip,
-    sql_text,
-    table,
-    turns,
-)
+from passagework.catalog.common import SQL_CHUNKS, documents, sql_strip, table, turns
 from passagework.catalog.evaluation import ORACLES as EVALUATION
 from passagework.catalog.evaluation import q_task_results
 from passagework.catalog.questions import ORACLES as QUESTIONS
-from passagework.catalog.questions import count_words_model
-from passagework.functions.fixed_values import BASE_SYSTEM, CONTEXT_END, CONTEXT_INTRO
 from passagework.operators.chunking import METADATA, index_documents
 from passagework.operators.embedding import HashedEmbedder
 from passagework.operators.history import prompt_history, prune_turns
 from passagework.operators.ordering import train_test_split
 from passagework.operators.tickers import ticker_profiles
-from passagework.plans.answer import answer_queries
-from passagework.plans.batch import run_batch
 from passagework.session import shared_folder
 from passagework.sources.documents import read_documents, read_split, write_splits
 from passagework.sources.index_store import append_index, load_index
@@ -39,7 +26,6 @@ from passagework.streaming.index_stream import stream_index
 from passagework.streaming.turn_stream import stream_turns
 
 EMBEDDER = HashedEmbedder()
-MODELS = {"sentiment": count_words_model, "multitask": count_words_model}
 
 
 def _index_rows(index):
@@ -133,34 +119,6 @@ def q_report(spark, sf_dir):
     return read_report(spark, path).drop("run_ts")
 
 
-def _questions(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("query_id"), F.col("text").alias("query")
-    )
-
-
-def q_answer_queries(spark, sf_dir):
-    index = index_documents(documents(spark, sf_dir), EMBEDDER)
-    answers = answer_queries(
-        _questions(spark, sf_dir), index, MODELS, embedder=EMBEDDER, dim=EMBEDDER.dim
-    )
-    return answers.select(
-        "query_id", "answer", "agent_used", "query_type", "rag_used", "rag_status", "error"
-    )
-
-
-def q_batch_files(spark, sf_dir):
-    """A file of questions, answered into a file of answers, read back."""
-    questions, answers = shared_folder(spark, "questions"), shared_folder(spark, "answers")
-    _questions(spark, sf_dir).select("query").write.json(questions + ".jsonl")
-    index = index_documents(documents(spark, sf_dir), EMBEDDER)
-    run_batch(
-        spark, questions + ".jsonl", answers, index, MODELS, embedder=EMBEDDER, dim=EMBEDDER.dim
-    )
-    fields = "query string, answer string, agent_used string, rag_status string, error string"
-    return spark.read.schema(fields).json(answers)
-
-
 def q_ticker_profiles(spark, sf_dir):
     """Customers as tickers, their orders as facts; closed orders are the news."""
     customers, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
@@ -216,8 +174,6 @@ QUERIES = {
     "read_queries": q_read_queries,
     "read_split": q_read_split,
     "report": q_report,
-    "answer_queries": q_answer_queries,
-    "batch_files": q_batch_files,
     "ticker_profiles": q_ticker_profiles,
 }
 
@@ -228,22 +184,6 @@ _INDEX = f"""
            'hashed-words-384' AS model_name
     FROM chunks"""
 
-_PROMPT = f"""
-    '<|im_start|>system' || chr(10) || {sql_text(BASE_SYSTEM)}
-    || CASE WHEN context_block IS NULL THEN '' ELSE
-         {sql_text(CONTEXT_INTRO)} || context_block || {sql_text(CONTEXT_END)} END
-    || '<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || text || '<|im_end|>' || chr(10)
-    || '<|im_start|>assistant' || chr(10)
-"""
-_ANSWERS = f"""
-{retrieval.STATUSES},
-answers AS (
-    SELECT query_id, text, rag_status, n_passing > 0 AS rag_used,
-           len(regexp_extract_all({_PROMPT}, {SQL_TOKEN})) || ' words' AS answer
-    FROM statuses)
-"""
-
-
 def _money(column: str) -> str:
     return f"coalesce(CAST(CAST(round({column}, 2) AS DECIMAL(20, 2)) AS VARCHAR), 'n/a')"
 
@@ -277,15 +217,6 @@ ORACLES = {
     "report": f"""
         SELECT *, CASE WHEN task = 'Headline' THEN 'quality labels' END AS dataset_note
         FROM ({EVALUATION['task_results']})""",
-    "answer_queries": f"""
-        WITH {_ANSWERS}
-        SELECT query_id, answer, 'multitask' AS agent_used, 'multitask' AS query_type, rag_used,
-               rag_status, NULL AS error
-        FROM answers""",
-    "batch_files": f"""
-        WITH {_ANSWERS}
-        SELECT text AS query, answer, 'multitask' AS agent_used, rag_status, NULL AS error
-        FROM answers""",
     "ticker_profiles": f"""
         WITH facts AS (SELECT *, 'C' || o_custkey AS ticker FROM orders),
         spans AS (
