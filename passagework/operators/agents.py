@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,7 +74,8 @@ def batch_answer(
     id: a task sees one agent, rarely two, and loads a model once instead of
     swapping for every row, and an agent with most rows fills most tasks. The
     number of ``tasks`` is fixed, as partitions that are small in bytes but long
-    to answer must not be merged.
+    to answer must not be merged. Columns other than the prompt pass through as
+    they are, without becoming Python objects.
     """
     fields = list(queries.schema.fields)
     schema = T.StructType(
@@ -81,21 +83,24 @@ def batch_answer(
     )
     factories = dict(models)
 
-    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        loaded, name, failure = None, None, None
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, failure, loaded = None, None, []
         for batch in batches:
-            if batch.empty:
-                continue
-            out = []
-            for agent, rows in batch.groupby("agent_used", sort=False, dropna=False):
-                if agent != name:
-                    loaded, failure, name = None, None, agent
+            prompts, answers, errors = batch[prompt].to_pylist(), [], []
+            for agent, rows in _runs(batch["agent_used"].to_pylist()):
+                if loaded != [agent]:
+                    model, failure, loaded = None, None, [agent]
                     try:
-                        loaded = factories[agent]()
+                        model = factories[agent]()
                     except Exception as problem:
                         failure = f"{type(problem).__name__}: {problem}"
-                out.append(_answered(rows, loaded, failure, prompt))
-            yield pd.concat(out).sort_index()
+                for reply, error in _answered(prompts[rows], model, failure):
+                    answers.append(reply)
+                    errors.append(error)
+            added = [pa.array(answers, pa.string()), pa.array(errors, pa.string())]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, *added], [*batch.schema.names, "answer", "error"]
+            )
 
     spark = queries.sparkSession
     if tasks is None:
@@ -106,25 +111,29 @@ def batch_answer(
         .repartitionByRange(tasks, "agent_used", "_salt")
         .sortWithinPartitions("agent_used")
         .drop("_salt")
-        .mapInPandas(answer, schema)
+        .mapInArrow(answer, schema)
     )
     return answered.withColumn("answer", strip_think("answer")) if clean else answered
 
 
-def _answered(rows: pd.DataFrame, model, failure, prompt: str) -> pd.DataFrame:
-    """Ask the model for the whole batch; on failure find the rows at fault."""
-    asked = rows[prompt].notna()
-    texts = rows.loc[asked, prompt].tolist()
-    if model is None:
-        answers = [(None, failure)] * len(texts)
-    else:
-        answers = _ask(model, texts)
-    replies = iter(answers)
-    both = [next(replies) if ok else (None, "no prompt") for ok in asked]
-    return rows.assign(answer=[a for a, _ in both], error=[e for _, e in both])
+def _runs(values: list) -> Iterator[tuple[object, slice]]:
+    """Neighbouring equal values and where they are."""
+    start = 0
+    for value, group in groupby(values):
+        stop = start + sum(1 for _ in group)
+        yield value, slice(start, stop)
+        start = stop
+
+
+def _answered(prompts: list, model, failure: str | None) -> list[tuple]:
+    """Answer and error per prompt; a missing prompt is not put to the model."""
+    texts = [text for text in prompts if text is not None]
+    replies = iter([(None, failure)] * len(texts) if model is None else _ask(model, texts))
+    return [(None, "no prompt") if text is None else next(replies) for text in prompts]
 
 
 def _ask(model, texts: list[str]) -> list[tuple]:
+    """Ask for the whole batch; on failure find the rows at fault."""
     try:
         replies = model(texts) if texts else []
         if len(replies) != len(texts):

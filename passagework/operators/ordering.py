@@ -27,12 +27,9 @@ def _seeded(key: str, seed: int) -> Column:
 
 
 def _hashed(df: DataFrame, key: str, seed: int) -> DataFrame:
-    return df.withColumns(
-        {
-            "_hash": order_hash(key, seed),
-            "_bucket": md5_int(_seeded(key, seed), BUCKET_DIGITS).cast("int"),
-        }
-    )
+    """Add the order hash and its first digits, which sort like the hash itself."""
+    hashed = df.withColumn("_hash", order_hash(key, seed))
+    return hashed.withColumn("_bucket", F.substring("_hash", 1, BUCKET_DIGITS))
 
 
 def bucket_offsets(hashed: DataFrame, amount: Column) -> DataFrame:
