@@ -24,33 +24,34 @@ def confusion(df: DataFrame, target: str, prediction: str, by=()) -> DataFrame:
 
 def label_scores(df: DataFrame, target: str, prediction: str, by=()) -> DataFrame:
     """Per label seen in targets or predictions: hits, support, predicted, F1."""
-    return _label_scores(confusion(df, target, prediction, by), _listed(by))
+    by = _listed(by)
+    counts = confusion(df, target, prediction, by)
+    rows = counts.select(*by, F.inline(F.array(*_sides())))
+    return _with_f1(rows.groupBy(*by, "label").agg(*_sums(COUNTS)))
 
 
-def _label_scores(counts: DataFrame, by: list[str]) -> DataFrame:
-    hit = F.when(F.col("target").eqNullSafe(F.col("prediction")), F.col("n")).otherwise(0)
-    sides = F.array(
-        F.struct(
-            F.col("target").alias("label"),
-            F.col("n").alias("support"),
-            F.lit(0).cast("bigint").alias("predicted"),
-            hit.alias("tp"),
-        ),
+def _sides(*more: Column) -> list[Column]:
+    """A row of the confusion table seen from its target and from its prediction."""
+    none = F.lit(0).cast("bigint")
+    hit = F.when(F.col("target").eqNullSafe(F.col("prediction")), F.col("n")).otherwise(none)
+    return [
         F.struct(
-            F.col("prediction").alias("label"),
-            F.lit(0).cast("bigint").alias("support"),
-            F.col("n").alias("predicted"),
-            F.lit(0).cast("bigint").alias("tp"),
-        ),
-    )
-    per_label = (
-        counts.select(*by, F.inline(sides))
-        .groupBy(*by, "label")
-        .agg(*[F.sum(c).alias(c) for c in ("support", "predicted", "tp")])
-    )
-    # support + predicted is never zero here, so an F1 of zero comes from tp
-    f1 = 2.0 * F.col("tp") / (F.col("support") + F.col("predicted"))
-    return per_label.withColumn("f1", f1)
+            F.col(label).alias("label"), *[c.alias(n) for n, c in zip(COUNTS, values)], *more
+        )
+        for label, values in (
+            ("target", (F.col("n"), none, hit)),
+            ("prediction", (none, F.col("n"), none)),
+        )
+    ]
+
+
+def _sums(names) -> list[Column]:
+    return [F.sum(c).alias(c) for c in names]
+
+
+def _with_f1(labels: DataFrame) -> DataFrame:
+    # support + predicted is never zero, so an F1 of zero comes from tp
+    return labels.withColumn("f1", 2.0 * F.col("tp") / (F.col("support") + F.col("predicted")))
 
 
 def classification_metrics(
@@ -119,22 +120,32 @@ def task_results(
 ) -> DataFrame:
     """One row per task: size, rounded metrics, queries per agent.
 
-    The data is grouped once, by task, target, prediction and agent; metrics and
-    routing are both computed from that small table.
+    The data is grouped once, by task, target, prediction and agent. Labels and
+    agents are then rows of one small table, so nothing has to be joined.
     """
-    keys = [task, *([agent] if agent else [])]
-    counts = confusion(df, target, prediction, keys)
-    merged = counts.groupBy(task, "target", "prediction").agg(F.sum("n").alias("n"))
-    labels = _label_scores(merged, [task])
+    counts = confusion(df, target, prediction, [task, *_listed(agent or ())])
     rounded = [F.round(c, digits).alias(name) for name, c in _metric_columns(pos_label).items()]
-    results = labels.groupBy(task).agg(F.sum("support").alias("n_samples"), *rounded)
+    columns = [F.sum("support").alias("n_samples"), *rounded]
     if not agent:
-        return results
-    per_agent = counts.groupBy(task, agent).agg(F.sum("n").alias("n"))
-    routing = per_agent.groupBy(task).agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct(agent, "n")))).alias("routing")
+        rows = counts.select(task, F.inline(F.array(*_sides())))
+        return _with_f1(rows.groupBy(task, "label").agg(*_sums(COUNTS))).groupBy(task).agg(*columns)
+
+    def missing(name, like):
+        return F.lit(None).cast(counts.schema[like].dataType).alias(name)
+
+    per_label = _sides(missing("_agent", agent), missing("_asked", "n"))
+    per_agent = F.struct(
+        missing("label", "target"),
+        *[missing(c, "n") for c in COUNTS],
+        F.col(agent).alias("_agent"),
+        F.col("n").alias("_asked"),
     )
-    return results.join(routing, task)
+    rows = counts.select(task, F.inline(F.array(*per_label, per_agent)))
+    grouped = rows.groupBy(task, "label", "_agent").agg(*_sums([*COUNTS, "_asked"]))
+    entry = F.struct(F.col("_agent").alias(agent), F.col("_asked").alias("n"))
+    asked = F.collect_list(F.when(F.col("_asked").isNotNull(), entry))
+    routing = F.map_from_entries(F.sort_array(asked)).alias("routing")
+    return _with_f1(grouped).groupBy(task).agg(*columns, routing)
 
 
 def compare_scores(
