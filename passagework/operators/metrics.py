@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+COUNTS = ["support", "predicted", "tp"]
+
+
 def align(predictions: DataFrame, targets: DataFrame, on="example_id") -> DataFrame:
     """Predictions beside their targets, by id."""
     return targets.join(predictions, on)
