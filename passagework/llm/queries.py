@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.llm import exact_dedup, simhash
+from passagework.llm import exact_dedup, simhash, substring_dedup, token_counts
 from passagework.llm.common import table
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.count_tokens(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")
+    )
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(
@@ -16,6 +24,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.without_repeats(table(spark, sf_dir, "documents"), digest=True)
+    return found.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -34,8 +47,34 @@ w AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM w
 """
 
+# Every window of 50 words in full: a document's word is removed if a window
+# around it is also one of a smaller document.
+OP7_SQL = """
+WITH t AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w
+    FROM documents),
+win AS (
+    SELECT doc_id, i, md5(array_to_string(w[i + 1 : i + 50], ' ')) AS h
+    FROM (SELECT doc_id, w, unnest(range(len(w) - 49)) AS i FROM t WHERE len(w) >= 50)),
+hit AS (
+    SELECT doc_id, i FROM (
+        SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) AS first FROM win)
+    WHERE first < doc_id),
+gone AS (
+    SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i + 1, i + 51)) AS p FROM hit)),
+lists AS (SELECT doc_id, list(p) AS ps, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed,
+       sha256(coalesce(array_to_string(
+           CASE WHEN n IS NULL THEN w
+                ELSE list_filter(w, lambda x, j: NOT list_contains(ps, j)) END, ' '), ''))
+           AS kept_sha256
+FROM t LEFT JOIN lists USING (doc_id)
+"""
+
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
     "op3_simhash": op3_simhash,
+    "op7_substring_dedup": op7_substring_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
-ORACLES = {"op10_exact_dedup": OP10_SQL}
+ORACLES = {"op7_substring_dedup": OP7_SQL, "op10_exact_dedup": OP10_SQL}
