@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,3 +55,19 @@ def _is_stars(links: DataFrame) -> bool:
     twice = links.groupBy("a").count().filter("count > 1").select("a")
     inner = links.select(F.col("b").alias("a")).distinct().join(links, "a", "left_semi")
     return twice.unionByName(inner).isEmpty()
+
+
+def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the classes of a[i] and b[i], in place; a class has its least member as label."""
+    while len(a):
+        x, y = label[a], label[b]
+        differ = x != y
+        if not differ.any():
+            return
+        a, b, x, y = a[differ], b[differ], x[differ], y[differ]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            shorter = label[label]
+            if np.array_equal(shorter, label):
+                break
+            label[:] = shorter

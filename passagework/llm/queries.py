@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.llm import exact_dedup, simhash, substring_dedup, token_counts
+from passagework.llm import (
+    embedding_links,
+    exact_dedup,
+    mixing,
+    sentence_pieces,
+    simhash,
+    substring_dedup,
+    token_counts,
+)
 from passagework.llm.common import table
 
 
@@ -17,6 +25,14 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return sentence_pieces.encode(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), check=True
+    )
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(
@@ -24,6 +40,16 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = mixing.replicated(docs, mixing.target_rates(docs))
+    return found.select("row.doc_id", "row.source", "n_copies", "copy", "mix_key", "row.text")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.without_repeats(table(spark, sf_dir, "documents"), digest=True)
     return found.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
@@ -34,6 +60,50 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+OP4_SQL = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE label IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (
+    SELECT a.vec_id AS a, b.vec_id AS b
+    FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS b FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links,
+       least(vec_id, coalesce(c.b, vec_id)) AS component_id,
+       vec_id <= coalesce(c.b, vec_id) AS kept
+FROM embeddings LEFT JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id
+"""
+
+OP6_SQL = """
+WITH s AS (
+    SELECT source, sum(strlen(coalesce(text, '')) + 1) AS size FROM documents GROUP BY source),
+w AS (
+    SELECT source, size, sqrt(size) AS weight, sum(size) OVER () AS size_all,
+           sum(sqrt(size)) OVER () AS weight_all FROM s),
+r AS (
+    SELECT source, CAST(round(weight * (size_all / weight_all) / size, 9) AS DOUBLE) AS rate FROM w),
+k AS (SELECT source, rate, unnest(range(0, 200)) AS k FROM r),
+p AS (SELECT source, k, exp(-rate + k * ln(rate) - lgamma(k + 1)) AS p FROM k),
+c AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM p),
+u AS (
+    SELECT doc_id, source, text,
+           CAST('0x' || substr(md5('mix:' || doc_id || ':1'), 1, 13) AS BIGINT)
+               / 4503599627370496.0 AS u
+    FROM documents),
+l AS (SELECT source, list(c ORDER BY k) AS cs FROM c GROUP BY source),
+n AS (
+    SELECT doc_id, u.source, text, CAST(len(list_filter(cs, lambda x: x <= u)) AS INTEGER) AS n_copies
+    FROM u JOIN l ON u.source IS NOT DISTINCT FROM l.source),
+e AS (SELECT *, CAST(unnest(range(1, n_copies + 1)) AS INTEGER) AS copy FROM n)
+SELECT doc_id, source, n_copies, copy, md5('mix:order:' || doc_id || ':' || copy) AS mix_key, text
+FROM e
+"""
+
 OP10_SQL = """
 WITH t AS (
     SELECT doc_id, coalesce(text, '') AS text,
@@ -73,8 +143,16 @@ FROM t LEFT JOIN lists USING (doc_id)
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_simhash": op3_simhash,
+    "op4_embedding_links": op4_embedding_links,
+    "op6_mixing": op6_mixing,
     "op7_substring_dedup": op7_substring_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
-ORACLES = {"op7_substring_dedup": OP7_SQL, "op10_exact_dedup": OP10_SQL}
+ORACLES = {
+    "op4_embedding_links": OP4_SQL,
+    "op6_mixing": OP6_SQL,
+    "op7_substring_dedup": OP7_SQL,
+    "op10_exact_dedup": OP10_SQL,
+}

@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagework.llm.common import id_and_text, slices, stored, texts_of
-from passagework.llm.components import components
+from passagework.llm.common import id_and_text, sized, slices, stored, texts_of
+from passagework.llm.components import components, unite
 
 HASH_SEED = 42
 SHARD_ROWS = 8192
@@ -139,22 +139,7 @@ class Linker:
             part = a[start : start + step]
             away = np.bitwise_count(self.values[part][:, None] ^ self.values[b][None, :])
             i, j = np.nonzero(away <= self.max_bits)
-            self.unite(part[i], b[j])
-
-    def unite(self, a: np.ndarray, b: np.ndarray) -> None:
-        label = self.label
-        while len(a):
-            x, y = label[a], label[b]
-            differ = x != y
-            if not differ.any():
-                return
-            a, b, x, y = a[differ], b[differ], x[differ], y[differ]
-            np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
-            while True:
-                shorter = label[label]
-                if np.array_equal(shorter, label):
-                    break
-                label[:] = shorter
+            unite(self.label, part[i], b[j])
 
     def within(self, members: np.ndarray, tries: int = 4) -> None:
         """All links among ``members``."""
@@ -251,8 +236,6 @@ def one_per_group(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataFra
 
     Rows with a null id stay. Rows that share an id have one fate.
     """
-    from passagework.llm.common import sized
-
     found = near_duplicates(docs, words, max_bits)
     kept = found.filter("doc_id = component_id").select("doc_id").distinct()
     dropped = found.filter("doc_id <> component_id").select("doc_id").distinct()
