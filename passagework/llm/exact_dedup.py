@@ -204,14 +204,15 @@ def exact_duplicates(
         F.col("doc_id").alias("id"),
         F.col("row").alias("row"),
     )
-    groups = (
+    groups = stored(
         signatures.join(suspects, "fp", "left_semi")
         .groupBy("text_sha256")
         .agg(F.min(order).alias("best"), F.count("*").alias("group_size"))
-        .join(verified.select("text_sha256"), "text_sha256", "left_semi")
+        .join(verified.select("text_sha256"), "text_sha256", "left_semi"),
+        "groups",
     )
     single = F.col("best").isNull()
-    return signatures.join(groups, "text_sha256", "left").select(
+    return signatures.join(sized(groups), "text_sha256", "left").select(
         "doc_id",
         F.when(single, F.col("doc_id")).otherwise(F.col("best.id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
