@@ -10,9 +10,13 @@ from passagework.llm.common import stored
 
 
 def _large_star(links: DataFrame) -> DataFrame:
-    """Every larger neighbour of a node is linked to the least of the neighbourhood."""
+    """Every larger neighbour of a node is linked to the least of the neighbourhood.
+
+    The least is written first, so that the join reads both sides from a shuffle
+    and the links of a node with very many can be split over tasks.
+    """
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("root"))
+    least = stored(both.groupBy("a").agg(F.least("a", F.min("b")).alias("root")), "least")
     return (
         both.filter("b > a")
         .join(least, "a")
@@ -23,7 +27,7 @@ def _large_star(links: DataFrame) -> DataFrame:
 
 def _small_star(links: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are linked to the least of these."""
-    least = links.groupBy("a").agg(F.min("b").alias("root"))
+    least = stored(links.groupBy("a").agg(F.min("b").alias("root")), "least")
     moved = links.join(least, "a").filter("b <> root").select(F.col("b").alias("a"), "root")
     return moved.unionByName(least).select("a", F.col("root").alias("b")).distinct()
 

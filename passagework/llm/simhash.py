@@ -217,9 +217,12 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataF
         "distinct",
     )
     roots = components(fingerprint_links(distinct, max_bits))
-    classes = distinct.join(
-        roots.select(F.col("node").alias("first"), "root"), "first", "left"
-    ).select("fp", F.coalesce("root", "first").alias("component"))
+    classes = stored(
+        distinct.join(
+            roots.select(F.col("node").alias("first"), "root"), "first", "left"
+        ).select("fp", F.coalesce("root", "first").alias("component")),
+        "classes",
+    )
     return found.join(classes, "fp", "left").select(
         "doc_id",
         "fp",
