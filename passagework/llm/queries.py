@@ -13,6 +13,7 @@ from passagework.llm import (
     simhash,
     substring_dedup,
     token_counts,
+    toxicity,
 )
 from passagework.llm.common import table
 
@@ -44,6 +45,11 @@ def op4_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = mixing.replicated(docs, mixing.target_rates(docs))
@@ -146,6 +152,7 @@ QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_simhash": op3_simhash,
     "op4_embedding_links": op4_embedding_links,
+    "op5_toxicity": op5_toxicity,
     "op6_mixing": op6_mixing,
     "op7_substring_dedup": op7_substring_dedup,
     "op10_exact_dedup": op10_exact_dedup,
