@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from passagework.llm import (
     embedding_links,
     exact_dedup,
+    importance,
     mixing,
     sentence_pieces,
     simhash,
     substring_dedup,
     token_counts,
     toxicity,
+    training_order,
 )
 from passagework.llm.common import table
 
@@ -61,6 +63,22 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
 
 
+def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return training_order.training_order(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")
+    )
+
+
+def op9_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target is the text labelled good; kept is their share among the labelled."""
+    labels = table(spark, sf_dir, "labels").filter("quality in (0, 1)")
+    share = labels.agg(F.avg("quality")).first()[0] or 0.0
+    good = labels.filter("quality = 1").select("doc_id")
+    return importance.resampled(table(spark, sf_dir, "documents"), good, share)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -155,6 +173,8 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_mixing": op6_mixing,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_training_order": op8_training_order,
+    "op9_importance": op9_importance,
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLES = {
