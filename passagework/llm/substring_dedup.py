@@ -104,7 +104,10 @@ def least_ahead(keys: np.ndarray, n: int) -> np.ndarray:
 
 
 def blocks_of(words: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
-    """The blocks of some texts: text, start (word), windows, anchor, high, low."""
+    """The blocks of some texts: text, start (word), windows, anchor, content.
+
+    Anchor and content, two hashes of the words, name a block.
+    """
     lengths = np.diff(bounds)
     spans = np.maximum(lengths - WINDOW + 1, 0)
     text = np.repeat(np.arange(len(lengths)), spans)
@@ -117,17 +120,12 @@ def blocks_of(words: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
     at = np.flatnonzero(new)
     count = np.diff(np.append(at, len(window)))
     start = window[at]
-    high, low = (
-        _span_hashes(words, start, start + count + WINDOW - 1, step)
-        for step in (HIGH_STEP, LOW_STEP)
-    )
     return {
         "text": text[at],
         "start": start - bounds[text[at]],
         "windows": count,
         "anchor": keys[place[at]] if len(at) else keys[:0],
-        "high": high,
-        "low": low,
+        "content": _span_hashes(words, start, start + count + WINDOW - 1, HIGH_STEP),
     }
 
 
@@ -153,13 +151,13 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 batch.column("version").take(rows),
                 pa.array(found["start"].astype(np.int32)),
                 pa.array(found["windows"].astype(np.int32)),
-                *[_signed(found[c]) for c in ("anchor", "high", "low")],
+                *[_signed(found[c]) for c in ("anchor", "content")],
             ],
-            names=["doc_id", "version", "start", "windows", "anchor", "high", "low"],
+            names=["doc_id", "version", "start", "windows", "anchor", "content"],
         )
 
 
-BLOCKS = "doc_id long, version long, start int, windows int, anchor long, high long, low long"
+BLOCKS = "doc_id long, version long, start int, windows int, anchor long, content long"
 WINDOWS = "doc_id long, version long, start int, high long, low long"
 
 
@@ -189,73 +187,106 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _with_version(docs: DataFrame) -> DataFrame:
-    """Rows that share an id are told apart by a hash of their text."""
-    return docs.withColumn("version", F.xxhash64(F.coalesce("text", F.lit(""))))
+    """Rows that share an id are told apart by a hash of their text; zero if none do."""
+    known = docs.filter("doc_id is not null")
+    shared = not known.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    version = F.xxhash64(F.coalesce("text", F.lit(""))) if shared else F.lit(0).cast("long")
+    return docs.withColumn("version", version)
 
 
-def _attach(docs: DataFrame, spans: DataFrame, kind: str) -> DataFrame:
-    """Documents with the list of their spans; a short list of spans is broadcast."""
-    lists = spans.groupBy("doc_id", "version").agg(
+def _attach(docs: DataFrame, lists: DataFrame, kind: str) -> DataFrame:
+    """Documents with their list of spans; the lists are broadcast if all are short enough."""
+    spans = lists.agg(F.sum(F.size("spans"))).first()[0] or 0
+    if spans <= MAX_BROADCAST_SPANS:
+        lists = F.broadcast(lists)
+    return docs.join(lists, ["doc_id", "version"], kind)
+
+
+def _lists(spans: DataFrame) -> DataFrame:
+    """Spans by document: one row with the list of them, never more than it has words."""
+    return spans.groupBy("doc_id", "version").agg(
         F.collect_list(F.struct("start", "windows")).alias("spans")
     )
-    if spans.count() <= MAX_BROADCAST_SPANS:
-        lists = F.broadcast(lists)
-    return _with_version(docs).join(lists, ["doc_id", "version"], kind)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """Spans (doc_id, version, start, windows) of windows that a smaller id has too.
 
-    ``docs`` has doc_id and text. Rows with a null id are left out.
+    ``docs`` has doc_id, text and version. Rows with a null id are left out.
     """
     known = docs.filter("doc_id is not null")
-    blocks = stored(_with_version(known).mapInArrow(_blocks, BLOCKS), "blocks")
+    blocks = stored(known.mapInArrow(_blocks, BLOCKS), "blocks")
     # The index: every different block once, with the first document that has it.
     index = stored(
-        blocks.groupBy("anchor", "high", "low")
+        blocks.groupBy("anchor", "content")
         .agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")),
         "block-index",
     )
-    repeated = index.filter("first < last").select("anchor", "high", "low", "first")
-    factors = (
-        blocks.join(repeated, ["anchor", "high", "low"])
-        .filter("first < doc_id")
-        .select("doc_id", "version", "start", "windows")
-    )
     # Different blocks at one anchor may still share windows.
     several = stored(
         index.groupBy("anchor")
         .agg(F.count("*").alias("n"), F.min("first").alias("least"), F.max("first").alias("most"))
         .filter("n > 1 and least < most")
-        .select("anchor"),
+        .select("anchor", F.lit(True).alias("several")),
         "anchors",
     )
-    edges = index.join(sized(several), "anchor", "left_semi")
-    open_blocks = stored(
-        blocks.join(edges, ["anchor", "high", "low"])
-        .filter("first = doc_id")
-        .select("doc_id", "version", "start", "windows")
-        .distinct(),
-        "open-blocks",
+    marks = stored(
+        index.join(sized(several), "anchor", "left")
+        .filter("first < last or several")
+        .select("anchor", "content", "first", F.coalesce("several", F.lit(False)).alias("several")),
+        "marks",
+    )
+    found = stored(
+        blocks.join(marks, ["anchor", "content"])
+        .withColumn("whole", F.col("first") < F.col("doc_id"))
+        .filter("whole or (several and first = doc_id)")
+        .select("doc_id", "version", "start", "windows", "whole"),
+        "found",
     )
+    factors = found.filter("whole").drop("whole")
+    open_blocks = stored(_lists(found.filter("not whole").drop("whole")), "open-blocks")
     windows = stored(
         _attach(known, open_blocks, "inner")
         .select("doc_id", "version", "text", "spans")
         .mapInArrow(_windows, WINDOWS),
         "windows",
     )
-    earlier = (
+    earlier = stored(
         windows.groupBy("high", "low")
         .agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
         .filter("first < last")
-        .select("high", "low", "first")
+        .select("high", "low", "first"),
+        "earlier",
     )
     single = (
         windows.join(earlier, ["high", "low"])
         .filter("first < doc_id")
         .select("doc_id", "version", "start", F.lit(1).alias("windows"))
     )
-    return factors.unionByName(single).distinct()
+    return factors.unionByName(single)
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of spans with those that touch each other's words made one: the factors."""
+    for batch in slices(batches):
+        merged = []
+        for spans in batch.column("spans").to_pylist():
+            runs: list[dict] = []
+            for span in sorted(spans, key=lambda s: s["start"]):
+                end = span["start"] + span["windows"]
+                if runs and span["start"] < runs[-1]["start"] + runs[-1]["windows"] + WINDOW:
+                    runs[-1]["windows"] = max(runs[-1]["windows"], end - runs[-1]["start"])
+                else:
+                    runs.append(dict(span))
+            merged.append(runs)
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("windows", pa.int32())]))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("version"), pa.array(merged, kind)],
+            names=["doc_id", "version", "spans"],
+        )
+
+
+LISTS = "doc_id long, version long, spans array<struct<start: int, windows: int>>"
 
 
 def removed_words(spans: list[dict] | None, n_words: int) -> np.ndarray:
@@ -306,8 +337,8 @@ def without_repeats(
     none. Rows with a null id lose nothing and take nothing from others; rows with
     one id leave each other whole. An empty table gives no rows.
     """
-    own = id_and_text(docs, id_column, text_column)
-    spans = stored(repeated_spans(own), "spans")
+    own = _with_version(id_and_text(docs, id_column, text_column))
+    spans = stored(_lists(repeated_spans(own)).mapInArrow(_merge, LISTS), "spans")
     return (
         _attach(own, spans, "left")
         .select("doc_id", "text", "spans")
