@@ -45,6 +45,10 @@ class Merges:
         kinds = {p.type for p in spec.pieces} - {2, 3}
         if spec.trainer_spec.model_type != 2 or not kinds <= {NORMAL, BYTE} or BYTE not in kinds:
             raise ValueError("not a byte-pair model with byte fallback and plain pieces")
+        rule = spec.normalizer_spec
+        if not rule.add_dummy_prefix or not rule.escape_whitespaces:
+            raise ValueError("not a model that marks the start of a text as a blank")
+        self.plain = rule.name == "identity" and not rule.remove_extra_whitespaces
         normal = [(i, p.piece, p.score) for i, p in enumerate(spec.pieces) if p.type == NORMAL]
         self.byte_ids = [0] * 256
         for i, p in enumerate(spec.pieces):
@@ -246,10 +250,18 @@ class Encoder:
             self.letters[ord(letter)] = code
 
     def segments(self, text: str) -> list[str]:
-        plain = self.normalize(text)
+        """Parts of the text that are encoded alone, without the blank mark they start with."""
+        if not text:
+            return []
+        if not (self.merges.plain and self.merges.closed):
+            plain = self.normalize(text)
+        elif text[0] == " " or "  " in text or MARK in text:
+            plain = MARK + text.replace(" ", MARK)
+        else:
+            return text.split(" ")
         if not self.merges.closed:
-            return [plain] if plain else []
-        return self.cut(plain)
+            return [plain[1:]] if plain else []
+        return [s[1:] for s in self.cut(plain)]
 
     def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """:meth:`Merges.apart` behind a table of the pairs met last."""
@@ -266,10 +278,10 @@ class Encoder:
         return good
 
     def encode_segments(self, segments: list[str]) -> list[bytes]:
-        """Token ids of each segment, as the bytes of 32-bit numbers."""
-        joined = "\0".join(segments) + "\0"
+        """Token ids of each segment behind a blank mark, as the bytes of 32-bit numbers."""
+        joined = MARK + f"\0{MARK}".join(segments) + "\0"
         points = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
-        lengths = np.fromiter(map(len, segments), dtype=np.int64, count=len(segments))
+        lengths = np.fromiter(map(len, segments), dtype=np.int64, count=len(segments)) + 1
         ends = np.cumsum(lengths + 1) - 1
         starts = ends - lengths
         codes = self.letters[points]
@@ -301,7 +313,7 @@ class Encoder:
             last[b[good]] = s[good]
             back[b[good]] = a[good]
         mark = np.zeros(len(codes) + 1, dtype=bool)
-        place = ends[lengths > 0]
+        place = ends
         while len(place):
             mark[place] = True
             place = back[place]
