@@ -143,12 +143,15 @@ ORACLES = {
                        PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING)
                        AS tokens_to_end
             FROM conversations),
+        opening AS (SELECT conv_id, arg_min(text, turn) AS first FROM conversations GROUP BY 1),
         past AS (
             SELECT conv_id,
                    string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10),
                               '' ORDER BY turn) AS turns
-            FROM counted WHERE newest <= 3 AND tokens_to_end <= 150 GROUP BY conv_id),
-        opening AS (SELECT conv_id, arg_min(text, turn) AS first FROM conversations GROUP BY 1),
+            FROM counted JOIN opening USING (conv_id)
+            WHERE newest <= 3 AND tokens_to_end + {len(BASE_SYSTEM.split())}
+                  + len(regexp_extract_all(first, {SQL_TOKEN})) <= 150
+            GROUP BY conv_id),
         prompts AS (
             SELECT conv_id,
                    '<|im_start|>system' || chr(10) || {sql_text(BASE_SYSTEM)} || '<|im_end|>'

@@ -61,7 +61,7 @@ chunk_rows AS (
            CAST(unnest(range(len(chunks))) AS INTEGER) AS chunk_no, unnest(chunks) AS text
     FROM chunk_lists),
 chunks AS (
-    SELECT md5(doc_id || ':' || chunk_no || ':' || text) AS chunk_id, * FROM chunk_rows)
+    SELECT md5(length(CAST(doc_id AS VARCHAR)) || ':' || doc_id || '::' || chunk_no || ':' || text) AS chunk_id, * FROM chunk_rows)
 """
 
 

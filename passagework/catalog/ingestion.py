@@ -18,10 +18,10 @@ from passagework.operators.ordering import train_test_split
 from passagework.operators.tickers import ticker_profiles
 from passagework.session import shared_folder
 from passagework.sources.documents import read_documents, read_split, write_splits
-from passagework.sources.index_store import append_index, load_index
+from passagework.sources.index_store import append_index, clear_index, load_index
 from passagework.sources.query_files import read_queries
 from passagework.sources.reports import read_report, write_report
-from passagework.sources.turn_log import append_turns, load_turns
+from passagework.sources.turn_log import append_turns, load_turns, reset_turns
 from passagework.streaming.index_stream import stream_index
 from passagework.streaming.turn_stream import stream_turns
 
@@ -58,6 +58,43 @@ def q_stream_index(spark, sf_dir):
     return _index_rows(load_index(spark, path, EMBEDDER.name))
 
 
+def q_index_life(spark, sf_dir):
+    """Streamed, appended to, cleared, streamed on: English documents come last."""
+    path = shared_folder(spark, "index")
+    docs = documents(spark, sf_dir)
+    parts = shared_folder(spark, "arriving")
+    english = F.col("metadata.ticker").isNull()
+
+    def arrive(rows):
+        rows.select("doc_id", "text", "metadata").write.mode("append").parquet(parts)
+        arriving = spark.readStream.schema(rows.schema).parquet(parts)
+        stream_index(arriving, path, f"{parts}-checkpoint", EMBEDDER).awaitTermination()
+
+    arrive(docs.where(~english))
+    clear_index(spark, path)
+    arrive(docs.where(english & (F.col("doc_id") < F.lit(100))))
+    append_index(index_documents(docs.where(english), EMBEDDER), path, skip_existing=True)
+    return _index_rows(load_index(spark, path, EMBEDDER.name))
+
+
+def q_log_life(spark, sf_dir):
+    """Streamed, reset, streamed on, appended to: user messages, then all others."""
+    path, parts = shared_folder(spark, "turns"), shared_folder(spark, "arriving")
+    said = turns(spark, sf_dir).select("conv_id", "turn", "role", "content")
+
+    def arrive(rows):
+        rows.write.mode("append").parquet(parts)
+        arriving = spark.readStream.schema(said.schema).parquet(parts)
+        stream_turns(arriving, path, f"{parts}-checkpoint").awaitTermination()
+
+    arrive(said)
+    reset_turns(spark, path)
+    arrive(said.where(F.col("role") == "user"))
+    append_turns(said.where(F.col("role") != "user"), path)
+    kept = load_turns(spark, path)
+    return kept.select(F.col("conv_id").cast("bigint"), "turn", "role", "content")
+
+
 def q_stream_turns(spark, sf_dir):
     path, checkpoint = shared_folder(spark, "turns"), shared_folder(spark, "stream")
     schema = "conv_id bigint, turn bigint, role string, text string"
@@ -114,7 +151,7 @@ def q_report(spark, sf_dir):
     """Two runs written; the later one read."""
     path = shared_folder(spark, "report")
     results = q_task_results(spark, sf_dir)
-    write_report(results.limit(0), path, "20250101_080000")
+    write_report(results.withColumn("accuracy", F.lit(0.0)), path, "20250101_080000")
     write_report(results, path, "20250101_090000", {"Headline": "quality labels"})
     return read_report(spark, path).drop("run_ts")
 
@@ -168,6 +205,8 @@ def q_ticker_profiles(spark, sf_dir):
 QUERIES = {
     "index_store": q_index_store,
     "stream_index": q_stream_index,
+    "index_life": q_index_life,
+    "log_life": q_log_life,
     "stream_turns": q_stream_turns,
     "turn_log": q_turn_log,
     "read_documents": q_read_documents,
@@ -195,6 +234,8 @@ def _facts(**columns: str) -> str:
 ORACLES = {
     "index_store": _INDEX,
     "stream_index": _INDEX,
+    "index_life": _INDEX + " WHERE lang = 'en'",
+    "log_life": "SELECT conv_id, turn, role, text AS content FROM conversations",
     "stream_turns": QUESTIONS["prompt_history"],
     "turn_log": """
         SELECT conv_id, turn, role, text AS content FROM (

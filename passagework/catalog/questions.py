@@ -300,13 +300,7 @@ ORACLES = {
                    o_orderstatus IN ('F', 'O') AS moves
             FROM orders)
         SELECT o_orderkey,
-               CASE WHEN o_orderpriority = '1-URGENT'
-                    THEN '1. order ' || o_orderkey || chr(10) || '[Prediction & Analysis]:'
-                         || chr(10) || CASE o_orderstatus
-                             WHEN 'F' THEN 'Prediction: Up by ' || share || '%.'
-                             WHEN 'O' THEN 'Prediction: down ' || share || '%.'
-                             ELSE 'Nothing to predict.' END || ' Analysis: steady.'
-                    ELSE '1. order ' || o_orderkey END AS positive_developments,
+               '1. order ' || o_orderkey AS positive_developments,
                CASE WHEN o_orderpriority <> '1-URGENT' THEN '1. ' || o_orderpriority END
                    AS potential_concerns,
                CASE o_orderstatus

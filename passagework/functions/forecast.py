@@ -19,8 +19,10 @@ def _literal(header: str) -> str:
     return re.sub(r"([\[\]&])", r"\\\1", header) + ":?"
 
 
-def _section(col: Column, header: str, stop: str | None) -> Column:
-    end = f"(?:{_literal(stop)}|$)" if stop else "$"
+def _section(col: Column, header: str) -> Column:
+    """What follows a header, up to whichever header comes next."""
+    others = "|".join(_literal(h) for h in FORECAST_SECTIONS if h != header)
+    end = f"(?:{others}|$)"
     body = F.regexp_extract(col, f"(?s){_literal(header)}(.*?){end}", 1)
     return F.nullif(strip(body), F.lit(""))
 
@@ -31,10 +33,10 @@ def parse_forecast(col) -> Column:
     A section, direction or percentage that is not there is null.
     """
     col = F.col(col) if isinstance(col, str) else col
-    prediction = _section(col, PREDICTION, None)
+    prediction = _section(col, PREDICTION)
     return F.struct(
-        _section(col, POSITIVES, CONCERNS).alias("positive_developments"),
-        _section(col, CONCERNS, PREDICTION).alias("potential_concerns"),
+        _section(col, POSITIVES).alias("positive_developments"),
+        _section(col, CONCERNS).alias("potential_concerns"),
         prediction.alias("prediction_analysis"),
         F.nullif(F.lower(F.regexp_extract(prediction, MOVE, 1)), F.lit("")).alias("direction"),
         F.nullif(F.regexp_extract(prediction, PERCENT, 1), F.lit(""))

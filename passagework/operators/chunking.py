@@ -68,9 +68,17 @@ def split_pages(docs: DataFrame, separator: str = "\f", text: str = "text") -> D
     return docs.select(*others, F.posexplode(parts).alias("page_no", text))
 
 
-def chunk_key(*columns) -> Column:
-    """Chunk id from content: indexing the same chunk again gives the same id."""
-    return F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in columns]))
+def chunk_key(doc_id: str, page_no: str | None, chunk_no: str, text: str) -> Column:
+    """Chunk id from content: indexing the same chunk again gives the same id.
+
+    The document's id stands behind its length and a missing page is empty, so
+    no two chunks are written alike.
+    """
+    doc = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
+    page = F.coalesce(F.col(page_no).cast("string"), F.lit("")) if page_no else F.lit("")
+    return F.md5(
+        F.concat_ws(":", F.length(doc).cast("string"), doc, page, F.col(chunk_no), F.col(text))
+    )
 
 
 def index_documents(
@@ -94,7 +102,7 @@ def index_documents(
     else:
         chunks = docs.where(F.col("text").isNotNull()).withColumn("chunk_no", F.lit(0))
     rows = chunks.select(
-        chunk_key("doc_id", *paged, "chunk_no", "text").alias("chunk_id"),
+        chunk_key("doc_id", *(paged or [None]), "chunk_no", "text").alias("chunk_id"),
         F.col("doc_id").cast("string").alias("doc_id"),
         "chunk_no",
         "text",

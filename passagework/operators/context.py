@@ -82,7 +82,7 @@ def enrich(
     failed = (
         F.col("embedding").isNull()
         | (F.size("embedding") != F.lit(dim if dim is not None else -1))
-        | F.exists("embedding", lambda x: x.isNull())
+        | F.exists("embedding", lambda x: x.isNull() | F.isnan(x))
     )
     counted = joined.withColumns(
         {

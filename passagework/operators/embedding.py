@@ -68,7 +68,9 @@ class ModelEmbedder:
     ``factories`` are tried in order, the first that loads is used, so that a
     fallback can stand behind the primary model. Vectors of different models do
     not compare, so ``resolve`` settles which one it is, once, on the driver;
-    the tasks then load that one and fail if they cannot.
+    the tasks then load that one and fail if they cannot. A text that the model
+    refuses gets a vector of NaN: it is never found, and as a question it has
+    status ``error`` while the others are answered.
     """
 
     factories: Sequence[tuple[str, Callable[[], Callable]]]
@@ -102,8 +104,21 @@ class ModelEmbedder:
             encode = factory()
 
             def predict(texts: np.ndarray) -> np.ndarray:
-                vectors = np.asarray(encode([str(t) for t in texts]), dtype=np.float32)
-                return vectors.reshape(len(texts), dim)
+                texts = [str(t) for t in texts]
+                try:
+                    return vectors_of(texts)
+                except Exception:  # find the texts at fault; the others keep their vectors
+                    return np.concatenate([one(t) for t in texts])
+
+            def one(text: str) -> np.ndarray:
+                try:
+                    return vectors_of([text])
+                except Exception as error:
+                    logging.getLogger(__name__).warning("no vector for a text: %s", error)
+                    return np.full((1, dim), np.nan, dtype=np.float32)
+
+            def vectors_of(texts: list[str]) -> np.ndarray:
+                return np.asarray(encode(texts), dtype=np.float32).reshape(len(texts), dim)
 
             return predict
 

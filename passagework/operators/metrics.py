@@ -9,8 +9,8 @@ COUNTS = ["support", "predicted", "tp"]
 
 
 def align(predictions: DataFrame, targets: DataFrame, on="example_id") -> DataFrame:
-    """Predictions beside their targets, by id."""
-    return targets.join(predictions, on)
+    """Every target beside its prediction, by id; null where there is none."""
+    return targets.join(predictions, on, "left")
 
 
 def confusion(df: DataFrame, target: str, prediction: str, by=()) -> DataFrame:

@@ -65,6 +65,8 @@ def knn(
 
     bound = max(1, max_broadcast_bytes // (8 * dim))
     table = q.limit(bound + 1).toArrow()  # never more than the broadcast bound
+    if table.num_rows == 0:
+        return index.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(0))
     few = table.num_rows <= bound
     if few:
         hits = _by_broadcast(table, x, k, dim, schema)

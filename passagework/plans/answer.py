@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from passagework.functions.fixed_values import AGENTS, MAX_DISTANCE, PROMPT_HISTORY, TOP_K
 from passagework.functions.prompts import MESSAGE, TURN_TEMPLATE, chat_prompt, messages
+from passagework.functions.text import whitespace_token_count
 from passagework.operators.agents import batch_answer, route_queries
 from passagework.operators.context import enrich
 from passagework.operators.history import fit_history, prompt_history
@@ -39,7 +40,7 @@ def answer_queries(
     max_distance: float = MAX_DISTANCE,
     history: int = PROMPT_HISTORY,
     budget: int | None = None,
-    order="turn",
+    order=None,
     template=TURN_TEMPLATE,
     keep=(),
     **search,
@@ -49,7 +50,8 @@ def answer_queries(
     ``queries`` has ``query_id, query`` and may have ``embedding``, ``conv_id``
     (whose newest messages from ``turns`` go into the prompt), an agent override
     column and an ``error`` of an earlier step, which keeps a row unanswered.
-    ``budget`` limits the history by tokens as well as by messages.
+    ``budget`` limits the whole prompt by tokens: the oldest messages go until the
+    rest fits beside the system prompt with its passages and the question.
     """
     routed = route_queries(queries, agents, override)
     enriched = enrich(routed, index, embedder, k, max_distance, **search)
@@ -61,6 +63,11 @@ def answer_queries(
             turns = fit_history(turns, budget, order=order)
         past = prompt_history(turns, history, order=order)
         enriched = enriched.join(past, "conv_id", "left")
+        if budget is not None:
+            used = whitespace_token_count("system_prompt") + whitespace_token_count("user_prompt")
+            fitting = F.filter("history", lambda m: m["tokens_to_end"] + used <= budget)
+            plain = F.transform(fitting, lambda m: m.dropFields("tokens_to_end"))
+            enriched = enriched.withColumn("history", plain)
     else:
         enriched = enriched.withColumn("history", F.lit(None).cast(f"array<{MESSAGE}>"))
     listed = messages(F.col("system_prompt"), "history", "user_prompt")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passagework.plans.answer import answer_queries
+from passagework.plans.answer import answer_queries, new_turns
+from passagework.session import shared_folder
 from passagework.sources.query_files import read_queries, write_results
+from passagework.sources.turn_log import append_turns
 
 
 def run_batch(
@@ -15,8 +17,21 @@ def run_batch(
     index: DataFrame,
     models,
     mode: str = "errorifexists",
+    log: str | None = None,
     **options,
 ) -> None:
-    """Every line is answered on its own: a bad one gets an error, the rest go on."""
+    """Every line is answered on its own: a bad one gets an error, the rest go on.
+
+    With ``log`` the questions and their answers are also appended to that
+    conversation log; an evaluation leaves it out. The answers are then kept in
+    the shared folder first, so that the models are asked once.
+    """
     queries = read_queries(spark, questions)
-    write_results(answer_queries(queries, index, models, **options), answers, mode)
+    answered = answer_queries(queries, index, models, **options)
+    if log is not None:
+        kept = shared_folder(spark, "answered")
+        answered.write.parquet(kept)
+        answered = spark.read.parquet(kept)
+    write_results(answered, answers, mode)
+    if log is not None:
+        append_turns(new_turns(answered), log)

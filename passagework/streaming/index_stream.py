@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from passagework.operators.chunking import METADATA, index_documents
 from passagework.sources.documents import TEXT_FILES, decode_text
+from passagework.sources.index_store import append_index
 
 DOCUMENT_SCHEMA = f"doc_id string, text string, metadata {METADATA}"
 
@@ -39,15 +40,17 @@ def stream_index(
 ) -> StreamingQuery:
     """Chunk, embed and append a stream of documents; by default what is there now.
 
-    All steps are narrow, so there is no state. The file sink's log and the
-    checkpoint make each document count once over restarts.
+    Every batch is appended as a batch job would, so streams, appends and clearing
+    share one index. Chunk ids come from content: a batch that runs again after a
+    failure adds nothing twice.
     """
-    rows = index_documents(documents, embedder)
+
+    def add(batch: DataFrame, _: int) -> None:
+        append_index(index_documents(batch, embedder), path, skip_existing=True)
+
     return (
-        rows.writeStream.format("parquet")
-        .outputMode("append")
+        documents.writeStream.foreachBatch(add)
         .option("checkpointLocation", checkpoint)
-        .partitionBy("model_name")
         .trigger(**(trigger or {"availableNow": True}))
-        .start(path)
+        .start()
     )

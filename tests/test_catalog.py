@@ -8,9 +8,10 @@ import pytest
 
 import __spark_entry__ as entry_points
 import check
+from passagework import catalog
 
 SF = "/root/testdata/sf0.001"
-NAMES = sorted(entry_points.queries())
+NAMES = sorted(catalog.queries())
 
 
 @pytest.fixture(scope="module")
@@ -26,7 +27,8 @@ def test_same_rows_as_sql(spark, connection, name):
 
 
 def test_every_query_has_sql():
-    assert set(entry_points.oracle_sql()) == set(NAMES)
+    assert set(catalog.oracles()) == set(NAMES)
+    assert set(NAMES) <= set(entry_points.queries())
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables are not here")

@@ -175,3 +175,10 @@ def test_parse_forecast(spark):
         None, "1. debt", None, None,
     )
     assert set(c.asDict().values()) == {None}
+
+
+def test_a_missing_section_swallows_nothing(spark):
+    told = "[Positive Developments]:\n1. good\n[Prediction & Analysis]:\nPrediction: Up by 2%"
+    (found,) = apply(spark, [told], parse_forecast)
+    assert found.positive_developments == "1. good" and found.potential_concerns is None
+    assert found.direction == "up" and found.percent == 2.0

@@ -15,6 +15,7 @@ from passagework.operators.agents import (
 )
 from passagework.operators.history import fit_history, prompt_history, prune_turns
 from passagework.operators.metrics import (
+    align,
     avg_keyword_score,
     classification_metrics,
     compare_scores,
@@ -69,11 +70,38 @@ def test_fit_history(said, budget):
     assert {(r.conv_id, r.turn) for r in fit_history(df, budget).collect()} == expected
 
 
-def test_hot_conversation_is_cut_before_the_shuffle(said):
+@pytest.mark.parametrize("n", [5, 1500])
+def test_hot_conversation_is_cut_in_shards_first(said, n):
+    """At any n: the first shuffle deals a conversation to shards, the second what is left."""
     _, df = said
-    plan = prune_turns(df, 5)._jdf.queryExecution().executedPlan().toString()
-    partial, exchange = plan.index("WindowGroupLimit"), plan.index("Exchange hashpartitioning")
-    assert plan.count("WindowGroupLimit") == 2 and partial < exchange < plan.rindex("WindowGroupLimit")
+    plan = prune_turns(df, n)._jdf.queryExecution().executedPlan().toString()
+    last, first = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert "_shard" in first and "_shard" not in last
+    between = plan[plan.index(last) : plan.index(first)]
+    assert "_newest" in between and f"<= {n}" in between
+
+
+def test_messages_without_tokens_count_as_one(said):
+    _, df = said
+    free = fit_history(df, 3, token_count=lambda c: F.lit(0))
+    assert free.groupBy("conv_id").count().agg({"count": "max"}).first()[0] == 3
+
+
+def test_history_of_two_batches_and_of_a_log_without_turns(spark):
+    schema = "conv_id string, turn int, role string, content string, ts string, line string"
+    rows = [("c", 14, "user", "q1", "1", "a"), ("c", 15, "assistant", "a1", "1", "b"),
+            ("c", 0, "user", "q2", "2", "c"), ("c", 1, "assistant", "a2", "2", "d"),
+            ("d", None, "user", "q", "1", "a"), ("d", None, "assistant", "a", "1", "b")]
+    got = prompt_history(spark.createDataFrame(rows, schema)).collect()
+    assert {r.conv_id: [m.content for m in r.history] for r in got} == {
+        "c": ["q1", "a1", "q2", "a2"], "d": ["q", "a"]}
+
+
+def test_missing_answers_count_as_wrong(spark):
+    targets = spark.createDataFrame([(i, "positive") for i in range(4)], "example_id int, target string")
+    answers = spark.createDataFrame([(0, "positive")], "example_id int, prediction string")
+    aligned = align(answers, targets)
+    assert aligned.count() == 4 and aligned.where("prediction is null").count() == 3
 
 
 def test_routing_and_fallback(spark):

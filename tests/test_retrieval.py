@@ -239,3 +239,29 @@ def test_texts_are_joined_without_shuffling_the_index(spark, tmp_path):
     text = plan._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert "BroadcastHashJoin [chunk_id" in text
     assert "BroadcastNestedLoopJoin" not in text
+
+
+def load_picky():
+    def encode(texts):
+        if "bad" in texts:
+            raise ValueError("refused")
+        return [[float(len(t)), 1.0] for t in texts]
+
+    return encode
+
+
+def test_a_refused_question_has_status_error_and_the_others_go_on(spark):
+    embedder = ModelEmbedder([("picky", load_picky)], 2)
+    rows = [("a", "xyz"), ("b", "uvwx")]
+    index = index_documents(spark.createDataFrame(rows, "doc_id string, text string"), embedder)
+    queries = spark.createDataFrame([(1, "abc"), (2, "bad"), (3, "abcd")], "query_id int, query string")
+    got = {r.query_id: r.rag_status for r in enrich(queries, index, embedder, k=1).collect()}
+    assert got[2] == "error" and got[1] == got[3] != "error"
+
+
+def test_chunk_ids_do_not_collide(spark):
+    embedder = HashedEmbedder(4)
+    plain = spark.createDataFrame([("1:2", "same")], "doc_id string, text string")
+    paged = spark.createDataFrame([("1", 2, "same")], "doc_id string, page_no int, text string")
+    ids = {r.chunk_id for d in (plain, paged) for r in index_documents(d, embedder).collect()}
+    assert len(ids) == 2

@@ -4,8 +4,8 @@ from passagework.operators.chunking import index_documents
 from passagework.operators.embedding import HashedEmbedder
 from passagework.operators.history import prompt_history
 from passagework.sources.documents import read_documents
-from passagework.sources.index_store import load_index
-from passagework.sources.turn_log import load_turns
+from passagework.sources.index_store import append_index, clear_index, load_index
+from passagework.sources.turn_log import append_turns, load_turns, reset_turns
 from passagework.streaming.index_stream import document_files, stream_index
 from passagework.streaming.turn_stream import stream_turns, turn_files
 
@@ -52,3 +52,40 @@ def test_messages_in_two_drops(spark, tmp_path):
     history = prompt_history(load_turns(spark, log)).first().history
     assert [m.content for m in history] == [f"m{t}" for t in range(10, 30)]
     assert load_turns(spark, log).count() == 30
+
+
+def test_a_streamed_index_is_appended_to_and_cleared(spark, tmp_path):
+    source, index, checkpoint = (str(tmp_path / n) for n in ("in", "index", "checkpoint"))
+    (tmp_path / "in").mkdir()
+
+    def arrive(name, text):
+        (tmp_path / "in" / name).write_text(text)
+        stream_index(document_files(spark, source), index, checkpoint, EMBEDDER).awaitTermination()
+
+    arrive("a.txt", "alpha")
+    more = spark.createDataFrame([("z", "omega")], "doc_id string, text string")
+    assert append_index(index_documents(more, EMBEDDER), index) == 1
+    arrive("b.txt", "beta")
+    assert {r.text for r in load_index(spark, index).collect()} == {"alpha", "omega", "beta"}
+    clear_index(spark, index)
+    assert load_index(spark, index).count() == 0
+    arrive("c.txt", "gamma")
+    assert {r.text for r in load_index(spark, index).collect()} == {"gamma"}
+
+
+def test_a_streamed_log_is_appended_to_and_reset(spark, tmp_path):
+    source, log, checkpoint = (str(tmp_path / n) for n in ("in", "log", "checkpoint"))
+    (tmp_path / "in").mkdir()
+
+    def arrive(name):
+        line = f'{{"conv_id": "c", "turn": 1, "role": "user", "content": "{name}"}}'
+        (tmp_path / "in" / name).write_text(line)
+        stream_turns(turn_files(spark, source), log, checkpoint).awaitTermination()
+
+    arrive("a.json")
+    append_turns(spark.createDataFrame([("c", 2, "user", "more")], "conv_id string, turn int, role string, content string"), log)
+    arrive("b.json")
+    assert {r.content for r in load_turns(spark, log).collect()} == {"a.json", "more", "b.json"}
+    reset_turns(spark, log)
+    arrive("c.json")
+    assert {r.content for r in load_turns(spark, log).collect()} == {"c.json"}
