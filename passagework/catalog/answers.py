@@ -6,19 +6,38 @@ from pyspark.sql import functions as F
 
 from passagework.catalog import retrieval
 from passagework.catalog.common import SQL_TOKEN, documents, sql_text, table, turns
-from passagework.catalog.evaluation import METRICS, SCORE, balance, sql_class, sql_scores
-from passagework.catalog.questions import count_words_model
+from passagework.catalog.evaluation import (
+    METRICS,
+    PUBLISHED,
+    SCORE,
+    balance,
+    cases,
+    seven_classes,
+    sql_cases,
+    sql_class,
+    sql_scores,
+)
+from passagework.catalog.questions import HEADLINE, count_words_model
 from passagework.functions.fixed_values import (
     BASE_SYSTEM,
     CONTEXT_END,
     CONTEXT_INTRO,
     EMPTY_INDEX_WARNING,
+    PUBLISHED_SCORES,
 )
 from passagework.operators.chunking import index_documents
 from passagework.operators.embedding import HashedEmbedder
 from passagework.plans.answer import answer_queries
 from passagework.plans.batch import run_batch
-from passagework.plans.evaluate import evaluate_tasks, scored_examples
+from passagework.plans.evaluate import (
+    evaluate_questions,
+    evaluate_tasks,
+    headline_examples,
+    phrasebank_examples,
+    scored_examples,
+    seven_class_examples,
+    tweet_examples,
+)
 from passagework.session import shared_folder
 from passagework.sources.index_store import empty_index
 
@@ -104,11 +123,97 @@ def q_evaluate_answers(spark, sf_dir):
     return results.withColumn("n_sentiment", n_sentiment).drop("routing", "f1_binary")
 
 
+def last_digit_reader():
+    """Stands in for a model: judges by the last digit of the question, fails on a 9."""
+
+    def answer(prompts):
+        digits = [p.rsplit("<|im_end|>", 1)[0][-1] for p in prompts]
+        if "9" in digits:
+            raise ValueError("no nines, please")
+        return ["Yes, it is Positive" if d in "0123" else "negative, I fear" if d in "456" else "no"
+                for d in digits]
+
+    return answer
+
+
+def q_evaluate_all_tasks(spark, sf_dir):
+    """The five labelled tasks, from tables to scores beside the published ones.
+
+    Without an index; questions that end in 9 get no answer and count as wrong.
+    """
+    customers = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("example_id"),
+        F.concat_ws(" ", "c_mktsegment", "c_name").alias("sentence"),
+        F.pmod("c_nationkey", F.lit(3)).alias("label"),
+        balance().alias("sentiment_score"),
+        F.col("c_mktsegment").alias("format"),
+        seven_classes().alias("classes"),
+    )
+    renamed = customers.withColumnRenamed("sentence", "text")
+    news = customers.select(
+        "example_id", F.col("sentence").alias("news"), F.col("classes").alias("label")
+    )
+    headlines = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("example_id"),
+        F.lit(HEADLINE).alias("instruction"),
+        F.concat(F.lit("document "), "doc_id").alias("input"),
+        F.when(F.col("quality") == 1, "Yes").otherwise("No").alias("output"),
+    )
+    examples = (
+        phrasebank_examples(customers)
+        .unionByName(scored_examples(customers))
+        .unionByName(tweet_examples(renamed))
+        .unionByName(seven_class_examples(news))
+        .unionByName(headline_examples(headlines))
+    )
+    models = {"sentiment": last_digit_reader, "multitask": last_digit_reader}
+    answers = answer_queries(
+        examples.withColumn("query_id", F.concat_ws("/", "task", "example_id")),
+        empty_index(spark),
+        models,
+        embedder=EMBEDDER,
+        keep=["task", "example_id"],
+    ).where(F.col("error").isNull())
+    published = spark.createDataFrame(
+        PUBLISHED_SCORES, "task string, system string, score double"
+    )
+    results = evaluate_tasks(examples, answers, published).select(
+        "*",
+        F.try_element_at("routing", F.lit("sentiment")).alias("n_sentiment"),
+        F.try_element_at("routing", F.lit("multitask")).alias("n_multitask"),
+        F.explode("published").alias("p"),
+    )
+    return results.select(
+        *[c for c in results.columns if c not in ("routing", "published", "p")],
+        "p.system",
+        "p.reference",
+        F.round("p.delta", 6).alias("delta"),
+    )
+
+
+def q_evaluate_questions(spark, sf_dir):
+    """The open questions put to every document; those without a label have no answer."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    asked = docs.select("doc_id", F.inline(cases()))
+    example = F.concat_ws("/", "doc_id", "question").alias("example_id")
+    labelled = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    answers = labelled.select(
+        "doc_id",
+        F.col("text").alias("answer"),
+        F.explode(F.transform(cases(), lambda c: c["question"])).alias("question"),
+    ).select(example, "answer")
+    put = asked.select(example, "keywords", "difficulty")
+    scores = evaluate_questions(put, answers, "difficulty")
+    return scores.withColumn("avg_keyword_score", F.round("avg_keyword_score", 6))
+
+
 QUERIES = {
     "answer_queries": q_answer_queries,
     "answer_with_history": q_answer_with_history,
     "batch_files": q_batch_files,
     "evaluate_answers": q_evaluate_answers,
+    "evaluate_all_tasks": q_evaluate_all_tasks,
+    "evaluate_questions": q_evaluate_questions,
 }
 
 _PROMPT = f"""
@@ -171,4 +276,64 @@ ORACLES = {
         {sql_scores('answered', 'task')}
         SELECT task, {METRICS.format(d=4)}, (SELECT count(*) FROM customer) AS n_sentiment
         FROM scores GROUP BY task""",
+    "evaluate_all_tasks": f"""
+        WITH asked AS (
+            SELECT unnest(['FPB', 'TFNS', 'FiQA-SA', 'NWGI']) AS task, right(c_name, 1) AS digit,
+                   c_nationkey % 3 AS label, c_acctbal FROM customer
+            UNION ALL
+            SELECT 'Headline', right(CAST(doc_id AS VARCHAR), 1), quality, NULL FROM labels),
+        answered AS (
+            SELECT task,
+                   CASE task
+                       WHEN 'FPB' THEN ['negative', 'neutral', 'positive'][label + 1]
+                       WHEN 'TFNS' THEN ['negative', 'positive', 'neutral'][label + 1]
+                       WHEN 'FiQA-SA' THEN {sql_class(SCORE)}
+                       WHEN 'NWGI' THEN CASE WHEN c_acctbal < 2000 THEN 'negative'
+                                             WHEN c_acctbal < 6500 THEN 'neutral'
+                                             WHEN c_acctbal < 9500 THEN 'positive'
+                                             ELSE 'neutral' END
+                       ELSE CAST(CAST(label = 1 AS INTEGER) AS VARCHAR) END AS target,
+                   CASE WHEN digit = '9' THEN NULL
+                        WHEN task = 'Headline' THEN CASE WHEN digit < '4' THEN '1' ELSE '0' END
+                        WHEN digit < '4' THEN 'positive' WHEN digit < '7' THEN 'negative'
+                        ELSE 'neutral' END AS prediction,
+                   digit
+            FROM asked),
+        counted AS (
+            SELECT task, target, prediction, count(*) AS n FROM answered GROUP BY ALL),
+        sides AS (
+            SELECT task, target AS label, n AS support, 0 AS predicted,
+                   CASE WHEN target = prediction THEN n ELSE 0 END AS tp FROM counted
+            UNION ALL SELECT task, prediction, 0, n, 0 FROM counted),
+        sums AS (
+            SELECT task, label, sum(support) AS support, sum(predicted) AS predicted, sum(tp) AS tp
+            FROM sides GROUP BY task, label),
+        scores AS (SELECT *, 2.0::DOUBLE * tp / (support + predicted) AS f1 FROM sums),
+        results AS (
+            SELECT task, {METRICS.format(d=4)},
+                   round(coalesce(max(f1) FILTER (label = '1'), 0), 4) AS f1_binary
+            FROM scores GROUP BY task),
+        routing AS (
+            SELECT task, nullif(count(*) FILTER (task <> 'Headline'), 0) AS n_sentiment,
+                   nullif(count(*) FILTER (task = 'Headline'), 0) AS n_multitask
+            FROM answered WHERE digit <> '9' GROUP BY task),
+        published(task, system, reference) AS (VALUES {PUBLISHED})
+        SELECT task, n_samples, accuracy, f1_weighted,
+               CASE WHEN task <> 'Headline' THEN f1_macro END AS f1_macro,
+               CASE WHEN task <> 'Headline' THEN f1_micro END AS f1_micro,
+               CASE WHEN task = 'Headline' THEN f1_binary END AS f1_binary,
+               n_sentiment, n_multitask, system, reference,
+               round(f1_weighted - reference, 6) AS delta
+        FROM results JOIN routing USING (task) JOIN published USING (task)""",
+    "evaluate_questions": f"""
+        WITH cases AS ({sql_cases()}),
+        graded AS (
+            SELECT difficulty, len(keywords) AS n,
+                   CASE WHEN doc_id IN (SELECT doc_id FROM labels)
+                        THEN len(list_filter(keywords, lambda w: contains(lower(text), lower(w))))
+                        ELSE 0 END AS hits
+            FROM documents, cases)
+        SELECT difficulty, count(*) AS n_samples,
+               round(avg(CAST(hits AS DOUBLE) / n), 6) AS avg_keyword_score
+        FROM graded GROUP BY difficulty""",
 }

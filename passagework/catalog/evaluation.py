@@ -63,9 +63,9 @@ def q_score_labels(spark, sf_dir):
     return customers.select("c_custkey", score_to_label(balance()).alias("label"))
 
 
-def q_map_labels(spark, sf_dir):
-    """Account balances as seven classes, spelled carelessly; nations as integer labels."""
-    raw = (
+def seven_classes():
+    """Account balances as seven classes, spelled carelessly, and one that is none of them."""
+    return (
         F.when(F.col("c_acctbal") < 500, " Strong Negative\n")
         .when(F.col("c_acctbal") < 2000, "moderately negative")
         .when(F.col("c_acctbal") < 3500, "Mildly Negative ")
@@ -75,7 +75,11 @@ def q_map_labels(spark, sf_dir):
         .when(F.col("c_acctbal") < 9500, "strong positive")
         .otherwise("overwhelming")
     )
-    customers = table(spark, sf_dir, "customer").withColumn("raw", raw)
+
+
+def q_map_labels(spark, sf_dir):
+    """Account balances as classes; nations as integer labels."""
+    customers = table(spark, sf_dir, "customer").withColumn("raw", seven_classes())
     return customers.select(
         "c_custkey",
         map_labels("raw", SEVEN_CLASS_LABELS, "neutral", clean=True).alias("seven_class"),
@@ -166,7 +170,7 @@ def q_compare_scores(spark, sf_dir):
     return _rounded(compare_scores(results, published))
 
 
-def _cases():
+def cases():
     """The open questions as a literal: a fixed number of rows per document."""
     return F.array(
         *[
@@ -183,7 +187,7 @@ def _cases():
 def _scored(spark, sf_dir):
     """Every document graded as an answer to every open question."""
     docs = texts(spark, sf_dir).select("doc_id", F.col("text").alias("answer"))
-    return keyword_scores(docs.select("doc_id", "answer", F.inline(_cases())))
+    return keyword_scores(docs.select("doc_id", "answer", F.inline(cases())))
 
 
 def q_keyword_scores(spark, sf_dir):
@@ -272,13 +276,17 @@ routing AS (
     FROM answered GROUP BY task)
 """
 
-_CASES = " UNION ALL ".join(
-    f"SELECT {sql_text(q)} AS question, [{', '.join(sql_text(w) for w in words)}] AS keywords, "
-    f"'{level}' AS difficulty"
-    for q, words, level in QA_CASES
-)
+
+def sql_cases() -> str:
+    return " UNION ALL ".join(
+        f"SELECT {sql_text(q)} AS question, [{', '.join(sql_text(w) for w in words)}] AS keywords, "
+        f"'{level}' AS difficulty"
+        for q, words, level in QA_CASES
+    )
+
+
 _SCORED = f"""
-cases AS ({_CASES}),
+cases AS ({sql_cases()}),
 graded AS (
     SELECT doc_id, question, difficulty, len(keywords) AS n,
            list_filter(keywords, lambda w: contains(lower(text), lower(w))) AS hit
@@ -286,7 +294,7 @@ graded AS (
 scored AS (SELECT *, CAST(len(hit) AS DOUBLE) / n AS score FROM graded)
 """
 
-_PUBLISHED = ", ".join(
+PUBLISHED = ", ".join(
     f"('{task}', '{system}', {'NULL' if score is None else score}::DOUBLE)"
     for task, system, score in PUBLISHED_SCORES
 )
@@ -338,7 +346,7 @@ ORACLES = {
         FROM results JOIN routing USING (task)""",
     "compare_scores": f"""
         WITH {_TASKS},
-        published(task, system, reference) AS (VALUES {_PUBLISHED})
+        published(task, system, reference) AS (VALUES {PUBLISHED})
         SELECT task, system, f1_weighted AS score, reference,
                round(f1_weighted - reference, 6) AS delta
         FROM results LEFT JOIN published USING (task)""",

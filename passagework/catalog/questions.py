@@ -8,6 +8,7 @@ from passagework.catalog.common import SQL_TOKEN, sql_strip, sql_text, table, te
 from passagework.functions.fixed_values import (
     BASE_SYSTEM,
     NEWS_INSTRUCTION,
+    PASSAGE_PREVIEW,
     ROUTES,
     TWEET_INSTRUCTION,
 )
@@ -109,7 +110,7 @@ def q_strip_think(spark, sf_dir):
 def q_answer_preview(spark, sf_dir):
     docs = texts(spark, sf_dir)
     return docs.select(
-        "doc_id", preview("text").alias("answer"), preview("text", 80, True).alias("passage")
+        "doc_id", preview("text").alias("answer"), preview("text", PASSAGE_PREVIEW, True).alias("passage")
     )
 
 

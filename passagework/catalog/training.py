@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from passagework.catalog.common import SQL_TOKEN, sql_strip, sql_text, table, texts, turns
-from passagework.functions.fixed_values import BASE_SYSTEM, FORECAST_SYSTEM
+from passagework.functions.fixed_values import (
+    BASE_SYSTEM,
+    DEFAULT_TEST_SHARE,
+    FORECAST_SYSTEM,
+    SCORE_TASK_TEST_SHARE,
+)
 from passagework.operators.ordering import (
     concat_datasets,
     global_position,
     seeded_shuffle,
     train_test_split,
+    train_test_splits,
 )
 from passagework.operators.training import (
     ModelTokenizer,
@@ -100,8 +106,8 @@ def q_dataset_sizes(spark, sf_dir):
 
 def q_train_test_split(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id")
-    quarter = train_test_split(docs, "doc_id").withColumnRenamed("split", "quarter")
-    both = train_test_split(quarter, "doc_id", 0.226).withColumnRenamed("split", "scored")
+    shares = {"quarter": DEFAULT_TEST_SHARE, "scored": SCORE_TASK_TEST_SHARE}
+    both = train_test_splits(docs, "doc_id", shares)
     return train_test_split(both, "doc_id", exact=False).withColumnRenamed("split", "hashed")
 
 

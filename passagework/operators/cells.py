@@ -5,7 +5,9 @@ The triangle inequality gives an upper bound of a question's k-th distance and
 a lower bound of its distance to each cell, so a question travels only to cells
 that can hold one of its neighbours. Cells are split by hash of the id into
 shards of bounded size. A task sorts a shard's index rows before its questions,
-so it holds one shard while any number of questions streams through.
+so it holds one shard while any number of questions streams through. Vectors are
+written to the shared folder first: the passes over them (pivots, cells, search)
+read that table, so that a model makes each of them once.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from passagework.operators.nearest import Best, rows_of
+from passagework.session import written
 
 SHARD_ROWS = 16_384
 MAX_PIVOTS = 256
@@ -67,7 +70,8 @@ def search_cells(
     pivots: int = MAX_PIVOTS,
 ) -> DataFrame:
     """Nearest index rows per question and shard; both sides have ``id, v``."""
-    queries, index = _whole(queries, dim), _whole(index, dim)
+    queries = _whole(written(queries, "question-vectors"), dim)
+    index = _whole(written(index, "index-vectors"), dim)
     centres = _pivots(index, dim, pivots)
     placed = _placed(index, centres)
     cells = _cells(placed, centres, k)

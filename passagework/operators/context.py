@@ -9,6 +9,7 @@ from passagework.functions.fixed_values import BASE_SYSTEM, EMPTY_INDEX, MAX_DIS
 from passagework.functions.prompts import passage, system_prompt
 from passagework.functions.status import rag_status, rag_status_msg, rag_warning
 from passagework.operators.search import gate, knn, vector_size
+from passagework.session import written
 
 
 def with_texts(hits: DataFrame, index: DataFrame, index_id: str = "chunk_id") -> DataFrame:
@@ -66,10 +67,11 @@ def enrich(
     ``embedder`` to make it. All its columns are kept; added are
     ``system_prompt, user_prompt, retrieved_chunks, rag_used, rag_status,
     rag_status_msg, rag_warning`` and the counts behind them. ``dim``, the size
-    of the index's vectors, saves computing one to see where it is known.
+    of the index's vectors, saves computing one to see where it is known. Vectors
+    made here are written to the shared folder, as search and status both read them.
     """
     if embedder is not None and "embedding" not in queries.columns:
-        queries = queries.withColumn("embedding", embedder.vector("query"))
+        queries = written(queries.withColumn("embedding", embedder.vector("query")), "questions")
     empty = index.isEmpty()
     if dim is None and not empty:
         dim = vector_size(index)

@@ -146,7 +146,8 @@ def task_results(
     rows = counts.select(task, F.inline(F.array(*per_label, per_agent)))
     grouped = rows.groupBy(task, "label", "_agent").agg(*_sums([*COUNTS, "_asked"]))
     entry = F.struct(F.col("_agent").alias(agent), F.col("_asked").alias("n"))
-    asked = F.collect_list(F.when(F.col("_asked").isNotNull(), entry))
+    # A target without an answer was put to no agent.
+    asked = F.collect_list(F.when(F.col("_asked").isNotNull() & F.col("_agent").isNotNull(), entry))
     routing = F.map_from_entries(F.sort_array(asked)).alias("routing")
     return _with_f1(grouped).groupBy(task).agg(*columns, routing)
 

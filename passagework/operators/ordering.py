@@ -9,6 +9,9 @@ no task ever sees more than a bucket. ``key`` has to identify a row.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,44 +96,61 @@ def train_test_split(
     """Add ``split``: the first ``ceil(n * test_size)`` rows of the seeded order
     are ``test``, the others ``train``.
 
-    Exact without moving the data: the totals tell which bucket the cut falls
-    into, only that bucket's rows are ranked, and every row is compared with the
-    cut of its bucket. ``exact=False`` cuts the hash range itself, in one pass,
-    and hits the share only approximately.
+    ``exact=False`` cuts the hash range itself, without looking at the data, and
+    hits the share only approximately.
     """
-    if not 0.0 < test_size < 1.0:
-        raise ValueError("test_size must lie between 0 and 1")
-    hashed = _hashed(df, key, seed)
-    if not exact:
-        share = md5_int(_seeded(key, seed), 8) / F.lit(float(16**8))
-        split = F.when(share < test_size, "test").otherwise("train")
-        return hashed.withColumn("split", split).drop("_hash", "_bucket")
-
-    light = _hashed(df.select(key), key, seed)
-    everything = Window.partitionBy()
-    n_test = F.ceil(F.sum("_total").over(everything) * F.lit(test_size))
-    buckets = bucket_offsets(light, F.lit(1)).withColumn("_keep", n_test - F.col("_before"))
-    cut_bucket = buckets.where((F.col("_keep") > 0) & (F.col("_keep") < F.col("_total")))
-    ranked = light.join(F.broadcast(cut_bucket.select("_bucket", "_keep")), "_bucket").withColumn(
+    if exact:
+        return train_test_splits(df, key, {"split": test_size}, seed)
+    _check_share(test_size)
+    share = md5_int(_seeded(key, seed), 8) / F.lit(float(16**8))
+    return df.withColumn("split", F.when(share < test_size, "test").otherwise("train"))
+
+
+def train_test_splits(
+    df: DataFrame, key: str, shares: Mapping[str, float], seed: int = SPLIT_SEED
+) -> DataFrame:
+    """Several exact splits of one order: a column per name in ``shares``.
+
+    The keys are read twice now, whatever the number of shares: for the bucket
+    totals, which tell the buckets the cuts fall into, and for the rows at the
+    cuts, ranked within those buckets. What is returned compares each row with
+    the hash and key at each cut, so it moves no rows. A row without a key is
+    ``train``.
+    """
+    for share in shares.values():
+        _check_share(share)
+    keys = _hashed(df.select(key).where(F.col(key).isNotNull()), key, seed)
+    before = dict(keys.groupBy("_bucket").count().orderBy("_bucket").collect())
+    total, places, passed = sum(before.values()), {}, 0
+    wanted = {name: math.ceil(total * share) for name, share in shares.items()}
+    for bucket, n in before.items():
+        for name, n_test in wanted.items():
+            if passed < n_test <= passed + n:
+                places[name] = (bucket, n_test - passed)
+        passed += n
+    ranked = keys.where(F.col("_bucket").isin(sorted({b for b, _ in places.values()}))).withColumn(
         "_rank", F.row_number().over(Window.partitionBy("_bucket").orderBy("_hash", key))
     )
-    last_test = ranked.where(F.col("_rank") == F.col("_keep")).select(
-        "_bucket", F.col("_hash").alias("_cut_hash"), F.col(key).alias("_cut_key")
-    )
-    cuts = buckets.join(F.broadcast(last_test), "_bucket", "left").select(
-        "_bucket",
-        (F.col("_keep") >= F.col("_total")).alias("_whole"),
-        "_cut_hash",
-        "_cut_key",
-    )
-    in_test = F.col("_whole") | (
-        F.struct(F.col("_hash"), F.col(key)) <= F.struct(F.col("_cut_hash"), F.col("_cut_key"))
-    ) & F.col("_cut_hash").isNotNull()
-    return (
-        hashed.join(F.broadcast(cuts), "_bucket")
-        .withColumn("split", F.when(in_test, "test").otherwise("train"))
-        .drop("_hash", "_bucket", "_whole", "_cut_hash", "_cut_key")
-    )
+    at_cut = F.lit(False)
+    for bucket, rank in places.values():
+        at_cut = at_cut | ((F.col("_bucket") == bucket) & (F.col("_rank") == rank))
+    cuts = {(r["_bucket"], r["_rank"]): r for r in ranked.where(at_cut).collect()}
+
+    hashed, kind = df.withColumn("_hash", order_hash(key, seed)), df.schema[key].dataType
+    for name in shares:
+        in_test = F.lit(False)
+        if name in places:
+            cut = cuts[places[name]]
+            in_test = (F.col("_hash") < cut["_hash"]) | (
+                (F.col("_hash") == cut["_hash"]) & (F.col(key) <= F.lit(cut[key]).cast(kind))
+            )
+        hashed = hashed.withColumn(name, F.when(in_test, "test").otherwise("train"))
+    return hashed.drop("_hash")
+
+
+def _check_share(share: float) -> None:
+    if not 0.0 < share < 1.0:
+        raise ValueError("test_size must lie between 0 and 1")
 
 
 def concat_datasets(tag: str | None = "dataset", **datasets: DataFrame) -> DataFrame:

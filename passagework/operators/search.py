@@ -58,13 +58,12 @@ def knn(
     if dim is None or k < 1:
         empty = index.sparkSession.createDataFrame([], schema)
         return empty.withColumn("rank", F.lit(0))
-    q = queries.where(F.size(vector) == dim).select(
-        F.col(query_id).alias("id"), F.col(vector).alias("v")
-    )
+    q = queries.select(F.col(query_id).alias("id"), F.col(vector).alias("v"))
+    usable = q.where(F.size("v") == dim)
     x = index.select(F.col(index_id).alias("id"), F.col(vector).alias("v"))
 
     bound = max(1, max_broadcast_bytes // (8 * dim))
-    table = q.limit(bound + 1).toArrow()  # never more than the broadcast bound
+    table = usable.limit(bound + 1).toArrow()  # never more than the broadcast bound
     if table.num_rows == 0:
         return index.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(0))
     few = table.num_rows <= bound

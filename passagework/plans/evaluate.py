@@ -22,7 +22,6 @@ from passagework.functions.prompts import build_prompt, sentiment_instruction
 from passagework.operators.metrics import (
     align,
     avg_keyword_score,
-    compare_scores,
     keyword_scores,
     task_results,
 )
@@ -121,13 +120,24 @@ def evaluate_tasks(
     )
     if published is None:
         return results
-    compared = compare_scores(results, published).groupBy("task").agg(
-        F.sort_array(F.collect_list(F.struct("system", "reference", "delta"))).alias("published")
+    # The handful of published scores is grouped, not the results: they are made once.
+    listed = published.groupBy("task").agg(
+        F.sort_array(F.collect_list(F.struct("system", F.col("score").alias("reference"))))
+        .alias("published")
+    )
+    compared = F.transform(
+        "published", lambda p: p.withField("delta", F.col("f1_weighted") - p["reference"])
+    )
+    none = F.array().cast("array<struct<system:string,reference:double,delta:double>>")
+    return results.join(listed, "task", "left").withColumn(
+        "published", F.coalesce(compared, none)
     )
-    return results.join(compared, "task")
 
 
 def evaluate_questions(cases: DataFrame, answers: DataFrame, by=()) -> DataFrame:
-    """Open questions: mean share of expected keywords found in the answers."""
-    return avg_keyword_score(keyword_scores(align(answers, cases)), by)
+    """Open questions: mean share of expected keywords found in the answers.
 
+    ``cases`` has ``example_id, keywords``; a case without an answer scores 0.
+    """
+    aligned = align(answers, cases).withColumn("answer", F.coalesce("answer", F.lit("")))
+    return avg_keyword_score(keyword_scores(aligned), by)

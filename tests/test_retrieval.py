@@ -17,6 +17,7 @@ from passagework.operators.chunking import (
 from passagework.operators.context import enrich, first_warning
 from passagework.operators.embedding import HashedEmbedder, ModelEmbedder, embed
 from passagework.operators.search import knn
+from passagework.session import written
 from passagework.sources.index_store import append_index, empty_index, load_index
 
 
@@ -265,3 +266,36 @@ def test_chunk_ids_do_not_collide(spark):
     paged = spark.createDataFrame([("1", 2, "same")], "doc_id string, page_no int, text string")
     ids = {r.chunk_id for d in (plain, paged) for r in index_documents(d, embedder).collect()}
     assert len(ids) == 2
+
+
+class CountingModel:
+    """A model of two numbers per text that notes how often it is asked for one."""
+
+    def __init__(self, path):
+        self.path = path
+
+    def __call__(self):
+        def encode(texts):
+            with open(self.path, "a") as f:
+                f.write("".join(f"{t}\n" for t in texts))
+            return [[float(len(t)), 1.0] for t in texts]
+
+        return encode
+
+
+@pytest.mark.parametrize("options", [{}, {"max_broadcast_bytes": 1, "shard_rows": 20}])
+def test_a_model_makes_each_vector_once(spark, tmp_path, options):
+    embedder = ModelEmbedder([("counting", CountingModel(str(tmp_path / "asked")))], 2)
+    metadata = "CAST(NULL AS struct<source:string,ticker:string,date:string>) AS metadata"
+    docs = spark.range(90).selectExpr("id AS doc_id", "concat('text ', repeat('x', int(id))) AS text", metadata)
+    asked = spark.range(30).selectExpr("id AS query_id", "concat('question ', repeat('x', int(id))) AS query")
+    index = index_documents(docs, embedder, auto_chunk=False)
+    index = written(index, "index") if not options else index
+    if options:
+        hits = knn(written(asked.withColumn("embedding", embedder.vector("query")), "q"), index, 3,
+                   dim=2, **options)
+        assert hits.count() == 90
+    else:
+        assert enrich(asked, index, embedder, 3, dim=2).collect()
+    lines = (tmp_path / "asked").read_text().splitlines()
+    assert sorted(lines) == sorted(set(lines)) and len(lines) == 120

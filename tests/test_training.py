@@ -14,6 +14,7 @@ from passagework.operators.ordering import (
     running_total,
     seeded_shuffle,
     train_test_split,
+    train_test_splits,
 )
 from passagework.operators.training import (
     HashedTokenizer,
@@ -207,3 +208,13 @@ def test_no_window_over_the_whole_table(spark):
         before_single = text.split("Exchange SinglePartition")
         for part in before_single[1:]:
             assert "HashAggregate(keys=[_bucket" in part.split("Exchange")[0]
+
+
+def test_exact_splits_move_no_rows(spark):
+    df = spark.createDataFrame([(k, k % 3) for k in range(300)] + [(None, 1)], "k int, other int")
+    split = train_test_splits(df, "k", {"a": 0.1, "b": 0.5})
+    order = ordered(range(300))
+    for name, n in (("a", 30), ("b", 150)):
+        assert {r.k for r in split.where(f"{name} = 'test'").collect()} == set(order[:n])
+    assert split.count() == 301 and split.columns == ["k", "other", "a", "b"]
+    assert "Exchange" not in split._jdf.queryExecution().executedPlan().toString()
