@@ -189,11 +189,13 @@ def train(
     """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic).
 
     Ratios come from every row of the training folds. The weights come from at most
-    ``sample_per_class`` rows of either class, chosen by a hash of the id; the bias
-    is then set to the class sizes of all of them. With one class only, every text
+    ``sample_per_class`` ids of either class, chosen by a hash of the id, each with
+    its least text if rows share an id; labels without a document count for nothing.
+    The bias is then set to the class sizes of all of them. With one class only, every text
     scores that class's smoothed share.
     """
-    known = stored(training_labels(labels), "labels")
+    ids = id_and_text(docs).select("doc_id")
+    known = stored(training_labels(labels).join(ids, "doc_id", "left_semi"), "labels")
     chosen = [
         known.filter(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(
             sample_per_class
@@ -207,7 +209,11 @@ def train(
         return Model(np.zeros(ALL_FEATURES, dtype=np.float32), float(np.log(share / (1 - share))))
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
     sample = stored(
-        id_and_text(docs).join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id"), "sample"
+        id_and_text(docs)
+        .join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
+        .groupBy("doc_id", "label")
+        .agg(F.min("text").alias("text")),
+        "sample",
     )
     sizes = dict(sample.groupBy("label").count().collect())
     fitted = (

@@ -51,6 +51,32 @@ def test_toxicity_learns_nothing_from_held_out_labels(frame, spark):
     assert toxicity.scored(frame(["x"]), model).first().score == 0.5
 
 
+def test_toxicity_sample_has_only_documents(frame, spark, monkeypatch):
+    """Labels without a document, and rows that share an id, do not fill the sample."""
+    texts = ["calm words here"] * 40 + ["zgrub zgrub zgrub"] * 40
+    docs = frame(texts).unionByName(frame(["zgrub zgrub zgrub"] * 500, ids=[80] * 500))
+    labels = spark.range(1, 2000).select(
+        F.col("id").alias("doc_id"), (F.col("id") > 40).cast("int").alias("toxic")
+    )
+    sizes = []
+    fit = toxicity._fit
+
+    def watched(ratio):
+        def run(sample):
+            if sample.num_rows > 10 or len(set(sample.column("label").to_pylist())) != 2:
+                raise AssertionError("not a sample of both classes")
+            return fit(ratio)(sample)
+
+        sizes.append(1)
+        return run
+
+    monkeypatch.setattr(toxicity, "_fit", watched)
+    model = toxicity.train(docs, labels, sample_per_class=5)
+    assert sizes
+    got = {r.doc_id: r.predicted for r in toxicity.scored(docs, model).collect()}
+    assert got == {i: int(i > 40) for i in range(1, 81)}
+
+
 def test_importance_prefers_the_target(frame, spark):
     rnd = random.Random(2)
     good = [" ".join(rnd.choices("alpha beta gamma delta".split(), k=60)) for _ in range(100)]
