@@ -227,13 +227,15 @@ def train(
     return Model(weights, fitted["bias"] + float(odds))
 
 
-def _score(shared):
+def _score(shared, beside=()):
+    """Scores of the texts; columns named in ``beside`` go through as they are."""
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*shared.value)
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(model.scores(texts_of(batch)))],
-                names=["doc_id", "score"],
+                [*map(batch.column, ["doc_id", *beside]), pa.array(model.scores(texts_of(batch)))],
+                names=["doc_id", *beside, "score"],
             )
 
     return read
@@ -265,8 +267,19 @@ def scored(
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that score below the threshold, all columns as they are.
 
-    Rows that share an id go together, rows with a null id stay.
+    Every row goes or stays by its own text, also without an id or with one that
+    other rows have.
     """
-    found = scored(docs, model, threshold).filter("predicted = 1 and doc_id is not null")
-    rejected = stored(found.select("doc_id").distinct(), "rejected")
-    return docs.join(sized(rejected), "doc_id", "left_anti")
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
+    digest = F.xxhash64(F.coalesce("text", F.lit("")))
+    found = docs.select("doc_id", "text", digest.alias("digest")).mapInArrow(
+        _score(shared, ["digest"]), "doc_id long, digest long, score double"
+    )
+    rejected = stored(
+        found.filter(F.col("score") >= threshold)
+        .select(F.col("doc_id").alias("_key_id"), F.col("digest").alias("_key_digest"))
+        .distinct(),
+        "rejected",
+    )
+    same = docs["doc_id"].eqNullSafe(F.col("_key_id")) & (digest == F.col("_key_digest"))
+    return docs.join(sized(rejected), same, "left_anti")
