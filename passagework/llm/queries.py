@@ -18,6 +18,7 @@ from passagework.llm import (
     training_order,
 )
 from passagework.llm.common import table
+from passagework.session import shared_folder
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,11 +65,14 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shards are written to the shared folder; the rows are what their files hold."""
     import public_tokenizers
 
-    return training_order.training_order(
+    records = training_order.training_order(
         table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")
     )
+    folder = shared_folder(spark, "shards")
+    return training_order.read_index(training_order.write_index(records, folder), folder)
 
 
 def op9_importance(spark: SparkSession, sf_dir: str) -> DataFrame:

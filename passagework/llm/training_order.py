@@ -24,6 +24,8 @@ from passagework.llm.common import id_and_text, sized, slices, stored
 ROUNDS = 6
 SEQUENCE_TOKENS = 1024
 SHARD_SLOTS = 4096
+MAX_TASKS = 1 << 15
+INDEX = ["slot", "sequence", "shard", "byte_offset", "doc_ids", "path"]
 
 
 class Permutation:
@@ -210,7 +212,9 @@ def training_order(
     )
     shards = max(1, -(-sequences // shard_slots))
     shard = F.floor(F.col("slot") / shard_slots)
-    dealt = pieces.withColumn("shard", shard).repartition(shards, "shard")
+    tasks = min(shards, MAX_TASKS)
+    task = F.floor(shard * tasks / shards).cast("int")
+    dealt = pieces.repartitionById(tasks, task)
     records = dealt.sortWithinPartitions("slot", "start").mapInArrow(
         _records(length, 0), "slot long, sequence long, doc_ids array<long>, tokens binary"
     )
@@ -224,55 +228,109 @@ def training_order(
     )
 
 
-def _write(folder: str, length: int):
+def _write(folder: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(folder)
         attempt = TaskContext.get().taskAttemptId()
-        open_shard, sink, path, first, n = None, None, None, 0, 0
+        open_shard, sink, path = None, None, None
 
         def close():
             sink.close()
             store.move(f"{path}.{attempt}", path)
-            return pa.RecordBatch.from_pydict(
-                {"shard": [open_shard], "path": [path], "first_slot": [first], "n": [n]}
-            )
 
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("shard", "slot", "tokens"))
-            for shard, slot, tokens in zip(*columns):
+            columns = (batch.column(c).to_pylist() for c in ("shard", "tokens"))
+            paths = []
+            for shard, tokens in zip(*columns):
                 if shard != open_shard:
                     if sink is not None:
-                        yield close()
+                        close()
                     path = f"{root}/shard-{shard:08d}.bin"
-                    open_shard, first, n = shard, slot, 0
+                    open_shard = shard
                     sink = store.open_output_stream(f"{path}.{attempt}")
                 sink.write(tokens)
-                n += 1
+                paths.append(path)
+            kept = [batch.column(c) for c in INDEX[:-1]]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(paths, pa.string())], names=INDEX)
         if sink is not None:
-            yield close()
+            close()
 
     return write
 
 
-def write_shards(records: DataFrame, folder: str, length: int = SEQUENCE_TOKENS) -> DataFrame:
-    """The rows of :func:`training_order` as binary files, one per shard.
+def write_index(records: DataFrame, folder: str) -> DataFrame:
+    """Writes the files of :func:`write_shards`; a stored row for each of their records.
 
-    ``folder`` is a URI that every executor can write (a shared mount, HDFS, an
-    object store). A task writes beside the final name and then renames, so a
-    repeated task leaves one file. Returns (shard, path, first_slot, n).
+    The rows (see ``INDEX``) say where a record lies and which documents are in it;
+    its tokens are in the file alone.
     """
     from pyarrow import fs
 
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
     return stored(
-        records.select("shard", "slot", "tokens").mapInArrow(
-            _write(folder, length), "shard long, path string, first_slot long, n long"
+        records.select(*INDEX[:-1], "tokens").mapInArrow(
+            _write(folder),
+            "slot long, sequence long, shard long, byte_offset long, doc_ids array<long>, "
+            "path string",
         ),
-        "manifest",
+        "index",
+    )
+
+
+def write_shards(records: DataFrame, folder: str, length: int = SEQUENCE_TOKENS) -> DataFrame:
+    """The rows of :func:`training_order` as binary files, one per shard.
+
+    ``folder`` is a URI that every executor can write (a shared mount, HDFS, an
+    object store). A task writes beside the final name and then renames, so a
+    repeated task leaves one file. Returns (shard, path, first_slot, n).
+    """
+    return manifest(write_index(records, folder))
+
+
+def manifest(index: DataFrame) -> DataFrame:
+    """The files behind an index: (shard, path, first_slot, n)."""
+    return index.groupBy("shard", "path").agg(
+        F.min("slot").alias("first_slot"), F.count("*").alias("n")
+    )
+
+
+def _read(folder: str, length: int):
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, _ = fs.FileSystem.from_uri(folder)
+        at, file = None, None
+        for batch in slices(batches):
+            found = []
+            for path, offset in zip(*(batch.column(c).to_pylist() for c in ("path", "byte_offset"))):
+                if path != at:
+                    if file is not None:
+                        file.close()
+                    at, file = path, store.open_input_file(path)
+                tokens = file.read_at(2 * length, offset)
+                if len(tokens) != 2 * length:
+                    raise RuntimeError(f"{path} ends within the record at byte {offset}")
+                found.append(tokens)
+            kept = [batch.column(c) for c in INDEX[:-1]]
+            yield pa.RecordBatch.from_arrays(
+                [*kept, pa.array(found, pa.binary())], names=[*INDEX[:-1], "tokens"]
+            )
+        if file is not None:
+            file.close()
+
+    return read
+
+
+def read_index(index: DataFrame, folder: str, length: int = SEQUENCE_TOKENS) -> DataFrame:
+    """The rows of :func:`training_order` with the tokens the files hold."""
+    return index.mapInArrow(
+        _read(folder, length),
+        "slot long, sequence long, shard long, byte_offset long, doc_ids array<long>, "
+        "tokens binary",
     )
 
 
