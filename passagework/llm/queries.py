@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagework.llm import (
+    conversation_repair,
     embedding_links,
     exact_dedup,
     importance,
@@ -18,6 +19,7 @@ from passagework.llm import (
     training_order,
 )
 from passagework.llm.common import table
+from passagework.llm.conversation_sql import OP11_SQL
 from passagework.session import shared_folder
 
 
@@ -88,6 +90,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hurt = conversation_repair.damaged(table(spark, sf_dir, "conversations"))
+    return conversation_repair.repairs(hurt, F.col("present"))
+
+
 OP4_SQL = """
 WITH RECURSIVE v AS (
     SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
@@ -180,10 +187,12 @@ QUERIES = {
     "op8_training_order": op8_training_order,
     "op9_importance": op9_importance,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 ORACLES = {
     "op4_embedding_links": OP4_SQL,
     "op6_mixing": OP6_SQL,
     "op7_substring_dedup": OP7_SQL,
     "op10_exact_dedup": OP10_SQL,
+    "op11_conversation_repair": OP11_SQL,
 }
