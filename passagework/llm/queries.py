@@ -14,6 +14,7 @@ from passagework.llm import (
     sentence_pieces,
     simhash,
     substring_dedup,
+    suffix_dedup,
     token_counts,
     toxicity,
     training_order,
@@ -95,6 +96,11 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repairs(hurt, F.col("present"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.without_repeated_bytes(table(spark, sf_dir, "documents"), digest=True)
+    return found.withColumnRenamed("kept", "kept_sha256")
+
+
 OP4_SQL = """
 WITH RECURSIVE v AS (
     SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
@@ -176,6 +182,36 @@ SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed,
 FROM t LEFT JOIN lists USING (doc_id)
 """
 
+# Every string of 100 bytes in full, as hexadecimal digits.
+OP13_SQL = """
+WITH t AS (SELECT doc_id, hex(coalesce(text, '')) AS h FROM documents),
+win AS (
+    SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS k
+    FROM (SELECT doc_id, h, unnest(range(len(h) // 2 - 99)) AS i FROM t WHERE len(h) >= 200)),
+hit AS (
+    SELECT doc_id, i FROM win
+    QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1),
+islands AS (
+    SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM (
+        SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100
+                               THEN 0 ELSE 1 END AS new FROM hit)),
+runs AS (
+    SELECT doc_id, min(i) AS low, max(i) + 100 AS high FROM islands GROUP BY doc_id, island),
+ends AS (
+    SELECT doc_id, low, high FROM runs
+    UNION ALL SELECT doc_id, len(h) // 2, NULL FROM t),
+parts AS (
+    SELECT doc_id, coalesce(lag(high) OVER (PARTITION BY doc_id ORDER BY low, high NULLS LAST), 0) AS a,
+           low AS b FROM ends),
+kept AS (
+    SELECT doc_id, count(*) - 1 AS n_spans, sum(b - a) AS n_kept,
+           string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS k
+    FROM parts JOIN t USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, len(h) // 2 AS n_bytes, CAST(len(h) // 2 - n_kept AS BIGINT) AS n_removed, n_spans,
+       sha256(unhex(k)) AS kept_sha256
+FROM t JOIN kept USING (doc_id)
+"""
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_sentencepiece": op2_sentencepiece,
@@ -188,6 +224,7 @@ QUERIES = {
     "op9_importance": op9_importance,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_conversation_repair": op11_conversation_repair,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 ORACLES = {
     "op4_embedding_links": OP4_SQL,
@@ -195,4 +232,5 @@ ORACLES = {
     "op7_substring_dedup": OP7_SQL,
     "op10_exact_dedup": OP10_SQL,
     "op11_conversation_repair": OP11_SQL,
+    "op13_suffix_dedup": OP13_SQL,
 }
