@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagework.llm import (
+    collocations,
     conversation_repair,
     embedding_links,
     exact_dedup,
@@ -96,6 +97,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repairs(hurt, F.col("present"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.without_repeated_bytes(table(spark, sf_dir, "documents"), digest=True)
     return found.withColumnRenamed("kept", "kept_sha256")
@@ -182,6 +187,39 @@ SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed,
 FROM t LEFT JOIN lists USING (doc_id)
 """
 
+OP12_SQL = """
+WITH p AS (
+    SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws
+    FROM (SELECT lang, unnest(regexp_split_to_array(
+              translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+              '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)),
+g AS (
+    SELECT lang, m, array_to_string(ws[i : i + m - 1], ' ') AS phrase
+    FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i
+          FROM p, (SELECT unnest([1, 2, 3]) AS m) WHERE len(ws) >= m)),
+f AS (SELECT lang, m, phrase, count(*) AS n FROM g GROUP BY lang, m, phrase),
+c AS (
+    SELECT lang, m, phrase, n AS a, string_split(phrase, ' ') AS ws, unnest(range(1, m)) AS k
+    FROM f WHERE m > 1 AND n >= 10),
+s AS (
+    SELECT c.lang, c.phrase, c.a, c.k, x.n AS l, y.n AS r,
+           (1000000::HUGEINT * c.a * c.a) // (x.n::HUGEINT * y.n) AS score
+    FROM c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1 : c.k], ' ')
+           JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[c.k + 1 :], ' ')),
+cut AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+held AS (
+    SELECT lang, phrase, max(a) AS more FROM (
+        SELECT lang, a, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase
+        FROM c WHERE m = 3) GROUP BY lang, phrase),
+ranked AS (
+    SELECT cut.*, row_number() OVER (
+        PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+    FROM cut LEFT JOIN held USING (lang, phrase) WHERE more IS NULL OR 100 * more < 50 * a),
+t AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN t USING (lang) WHERE rank <= 2000
+"""
+
 # Every string of 100 bytes in full, as hexadecimal digits.
 OP13_SQL = """
 WITH t AS (SELECT doc_id, hex(coalesce(text, '')) AS h FROM documents),
@@ -224,6 +262,7 @@ QUERIES = {
     "op9_importance": op9_importance,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_collocations": op12_collocations,
     "op13_suffix_dedup": op13_suffix_dedup,
 }
 ORACLES = {
@@ -232,5 +271,6 @@ ORACLES = {
     "op7_substring_dedup": OP7_SQL,
     "op10_exact_dedup": OP10_SQL,
     "op11_conversation_repair": OP11_SQL,
+    "op12_collocations": OP12_SQL,
     "op13_suffix_dedup": OP13_SQL,
 }
