@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from passagework.catalog import retrieval
@@ -38,8 +40,10 @@ from passagework.plans.evaluate import (
     seven_class_examples,
     tweet_examples,
 )
+from passagework.plans.replay import replay_conversations
 from passagework.session import shared_folder
 from passagework.sources.index_store import empty_index
+from passagework.sources.turn_log import load_turns
 
 EMBEDDER = HashedEmbedder()
 MODELS = {"sentiment": count_words_model, "multitask": count_words_model}
@@ -86,6 +90,40 @@ def q_answer_with_history(spark, sf_dir):
     return answers.select("conv_id", "answer", "rag_status", "rag_warning")
 
 
+def remembering_model():
+    """Stands in for a model: a number made of the answer before, the question's words
+    and how many messages it was shown."""
+
+    def answer(prompts):
+        answers = []
+        for prompt in prompts:
+            turns = prompt.split("<|im_start|>")[2:-1]
+            before = [t for t in turns if t.startswith("assistant")]
+            last = int(before[-1].split()[1]) if before else 0
+            asked = turns[-1].removeprefix("user\n").rsplit("<|im_end|>", 1)[0]
+            words = len(re.findall("[^ \t\n\r\f\x0b]+", asked))
+            answers.append(f"{(31 * last + words + 7 * (len(turns) - 1)) % 9973} so far")
+        return answers
+
+    return answer
+
+
+def q_replay_conversations(spark, sf_dir):
+    """What users said, answered in turn beside what was said before; read from the log."""
+    said = turns(spark, sf_dir)
+    queries = said.where("role = 'user'").select(
+        "conv_id", "turn", F.concat_ws("/", "conv_id", "turn").alias("query_id"),
+        F.col("content").alias("query"),
+    )
+    folder, log = shared_folder(spark, "replay"), shared_folder(spark, "replay-log")
+    replay_conversations(
+        queries, empty_index(spark), {"multitask": remembering_model, "sentiment": remembering_model},
+        folder, said.where("role = 'system'"), EMBEDDER, history=4, order="turn", log=log,
+    )
+    kept = load_turns(spark, log)
+    return kept.select(F.col("conv_id").cast("bigint"), "turn", "role", "content")
+
+
 def instruction_reader():
     """Stands in for a model: judges by the wording of the question alone."""
 
@@ -211,6 +249,7 @@ QUERIES = {
     "answer_queries": q_answer_queries,
     "answer_with_history": q_answer_with_history,
     "batch_files": q_batch_files,
+    "replay_conversations": q_replay_conversations,
     "evaluate_answers": q_evaluate_answers,
     "evaluate_all_tasks": q_evaluate_all_tasks,
     "evaluate_questions": q_evaluate_questions,
@@ -266,6 +305,25 @@ ORACLES = {
         SELECT conv_id, len(regexp_extract_all(prompt, {SQL_TOKEN})) || ' words' AS answer,
                'empty_index' AS rag_status, {sql_text(EMPTY_INDEX_WARNING)} AS rag_warning
         FROM prompts""",
+    "replay_conversations": f"""
+        WITH RECURSIVE q AS (
+            SELECT c.conv_id, text, coalesce(n_system, 0) AS n_system,
+                   row_number() OVER (PARTITION BY c.conv_id ORDER BY turn) AS n,
+                   len(regexp_extract_all(text, {SQL_TOKEN})) AS words
+            FROM conversations c LEFT JOIN (
+                SELECT conv_id, count(*) AS n_system FROM conversations
+                WHERE role = 'system' GROUP BY conv_id) s ON s.conv_id = c.conv_id
+            WHERE role = 'user'),
+        a AS (
+            SELECT conv_id, n, (words + 7 * least(4, n_system)) % 9973 AS answer FROM q WHERE n = 1
+            UNION ALL
+            SELECT q.conv_id, q.n,
+                   (31 * answer + words + 7 * least(4, n_system + 2 * (q.n - 1))) % 9973
+            FROM a JOIN q ON q.conv_id = a.conv_id AND q.n = a.n + 1)
+        SELECT conv_id, n_system + 2 * (n - 1) AS turn, 'user' AS role, text AS content FROM q
+        UNION ALL
+        SELECT conv_id, n_system + 2 * n - 1, 'assistant', answer || ' so far'
+        FROM a JOIN q USING (conv_id, n)""",
     "evaluate_answers": f"""
         WITH answered AS (
             SELECT 'FiQA-SA' AS task, {sql_class(SCORE)} AS target,

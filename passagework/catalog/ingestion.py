@@ -19,10 +19,18 @@ from passagework.operators.tickers import ticker_profiles
 from passagework.session import shared_folder
 from passagework.sources.documents import read_documents, read_split, write_splits
 from passagework.sources.index_store import append_index, clear_index, load_index
+from passagework.sources.index_versions import (
+    TickerSectionMissing,
+    compact,
+    delete_documents,
+    load_version,
+    put_documents,
+    refresh_tickers,
+)
 from passagework.sources.query_files import read_queries
 from passagework.sources.reports import read_report, write_report
 from passagework.sources.turn_log import append_turns, load_turns, reset_turns
-from passagework.streaming.index_stream import stream_index
+from passagework.streaming.index_stream import stream_documents, stream_index
 from passagework.streaming.turn_stream import stream_turns
 
 EMBEDDER = HashedEmbedder()
@@ -59,11 +67,13 @@ def q_stream_index(spark, sf_dir):
 
 
 def q_index_life(spark, sf_dir):
-    """Streamed, appended to, cleared, streamed on: English documents come last."""
+    """Streamed, cleared, streamed on, appended to: English documents come last, half of them
+    in the stream and all in the append."""
     path = shared_folder(spark, "index")
     docs = documents(spark, sf_dir)
     parts = shared_folder(spark, "arriving")
     english = F.col("metadata.ticker").isNull()
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
 
     def arrive(rows):
         rows.select("doc_id", "text", "metadata").write.mode("append").parquet(parts)
@@ -72,11 +82,71 @@ def q_index_life(spark, sf_dir):
 
     arrive(docs.where(~english))
     clear_index(spark, path)
-    arrive(docs.where(english & (F.col("doc_id") < F.lit(100))))
+    arrive(docs.where(english & half))
     append_index(index_documents(docs.where(english), EMBEDDER), path, skip_existing=True)
     return _index_rows(load_index(spark, path, EMBEDDER.name))
 
 
+def _changed(docs):
+    """The French documents, each with a word more at its front."""
+    return docs.where(F.col("metadata.ticker") == "FR").withColumn(
+        "text", F.concat(F.lit("Nouveau. "), F.coalesce("text", F.lit("")))
+    )
+
+
+def q_index_versions(spark, sf_dir):
+    """Put, replaced (French), deleted (German), compacted; beside what the first version had."""
+    path = shared_folder(spark, "versions")
+    docs = documents(spark, sf_dir)
+    first = put_documents(index_documents(docs, EMBEDDER), path)
+    put_documents(index_documents(_changed(docs), EMBEDDER), path)
+    delete_documents(docs.where(F.col("metadata.ticker") == "DE"), path)
+    compact(spark, path)
+    before = load_version(spark, path, EMBEDDER.name, first).groupBy("doc_id").agg(
+        F.count("*").alias("n_before")
+    )
+    rows = _index_rows(load_version(spark, path, EMBEDDER.name)).drop("model_name")
+    return rows.join(before, "doc_id", "left")
+
+
+def q_stream_versions(spark, sf_dir):
+    """All documents arrive, then the French ones once more, changed."""
+    path, parts = shared_folder(spark, "versions"), shared_folder(spark, "arriving")
+    docs = documents(spark, sf_dir).select("doc_id", "text", "metadata")
+
+    def arrive(rows):
+        rows.write.mode("append").parquet(parts)
+        arriving = spark.readStream.schema(rows.schema).parquet(parts)
+        stream_documents(arriving, path, f"{parts}-checkpoint", EMBEDDER).awaitTermination()
+
+    arrive(docs)
+    arrive(_changed(docs))
+    return _index_rows(load_version(spark, path, EMBEDDER.name)).drop("model_name")
+
+
+def q_ticker_refresh(spark, sf_dir):
+    """Profiles of before a year, then of today; one that lacks a section changes nothing."""
+    path = shared_folder(spark, "tickers")
+    rows = lambda docs: index_documents(docs, EMBEDDER, auto_chunk=False)
+    early, late = _profiles(spark, sf_dir, "1996-01-01"), _profiles(spark, sf_dir)
+    known = early.select(F.col("metadata.ticker").alias("ticker")).distinct()
+    refresh_tickers(known, early, path, rows)
+    everyone = table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("ticker")
+    )
+    try:
+        refresh_tickers(everyone, late, path, rows)
+        outcome = "refreshed"
+    except TickerSectionMissing:
+        outcome = "unchanged"
+    unchanged = load_version(spark, path).select("doc_id", "text", F.lit(outcome).alias("step"))
+    version = refresh_tickers(known, late, path, rows)
+    fresh = load_version(spark, path, version=version).select(
+        "doc_id", "text", F.lit("refreshed").alias("step")
+    )
+    return unchanged.unionByName(fresh)
+
+
 def q_log_life(spark, sf_dir):
     """Streamed, reset, streamed on, appended to: user messages, then all others."""
     path, parts = shared_folder(spark, "turns"), shared_folder(spark, "arriving")
@@ -158,7 +228,14 @@ def q_report(spark, sf_dir):
 
 def q_ticker_profiles(spark, sf_dir):
     """Customers as tickers, their orders as facts; closed orders are the news."""
+    return _profiles(spark, sf_dir).select("doc_id", "text", "metadata.*")
+
+
+def _profiles(spark, sf_dir, until=None):
+    """Profiles from all orders, or from those before a day."""
     customers, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    if until is not None:
+        orders = orders.where(F.col("o_orderdate") < F.lit(until).cast("timestamp"))
     ticker = F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("ticker")
     price, date = F.col("o_totalprice"), F.col("o_orderdate")
     spans = orders.groupBy("o_custkey").agg(
@@ -198,14 +275,16 @@ def q_ticker_profiles(spark, sf_dir):
         F.col("o_orderpriority").alias("publisher"),
         F.lit(None).cast("string").alias("summary"),
     )
-    profiles = ticker_profiles(snapshot, quarterly, annual, news)
-    return profiles.select("doc_id", "text", "metadata.*")
+    return ticker_profiles(snapshot, quarterly, annual, news)
 
 
 QUERIES = {
     "index_store": q_index_store,
     "stream_index": q_stream_index,
     "index_life": q_index_life,
+    "index_versions": q_index_versions,
+    "stream_versions": q_stream_versions,
+    "ticker_refresh": q_ticker_refresh,
     "log_life": q_log_life,
     "stream_turns": q_stream_turns,
     "turn_log": q_turn_log,
@@ -223,6 +302,18 @@ _INDEX = f"""
            'hashed-words-384' AS model_name
     FROM chunks"""
 
+_CHANGED = """
+    WITH changed AS (
+        SELECT doc_id, source, lang,
+               CASE WHEN lang = 'fr' THEN 'Nouveau. ' || coalesce(text, '') ELSE text END AS text
+        FROM documents)"""
+_VERSIONED = f"""
+    {_CHANGED}, {SQL_CHUNKS.replace("FROM documents", "FROM changed")}
+    SELECT chunk_id, CAST(doc_id AS VARCHAR) AS doc_id, chunk_no, text, source,
+           CASE WHEN regexp_matches(text, '[\\p{{L}}\\p{{N}}]') THEN 384 END AS dim
+    FROM chunks"""
+
+
 def _money(column: str) -> str:
     return f"coalesce(CAST(CAST(round({column}, 2) AS DECIMAL(20, 2)) AS VARCHAR), 'n/a')"
 
@@ -231,34 +322,7 @@ def _facts(**columns: str) -> str:
     return " || chr(10) || ".join(f"'{n}: ' || {_money(c)}" for n, c in columns.items())
 
 
-ORACLES = {
-    "index_store": _INDEX,
-    "stream_index": _INDEX,
-    "index_life": _INDEX + " WHERE lang = 'en'",
-    "log_life": "SELECT conv_id, turn, role, text AS content FROM conversations",
-    "stream_turns": QUESTIONS["prompt_history"],
-    "turn_log": """
-        SELECT conv_id, turn, role, text AS content FROM (
-            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS newest
-            FROM conversations)
-        WHERE newest <= 3""",
-    "read_documents": """
-        SELECT source, CAST(sum(length(text) + 1) AS INTEGER) AS n_chars
-        FROM documents GROUP BY source""",
-    "read_queries": f"""
-        WITH lines AS (
-            SELECT {sql_strip('unnest(string_split(text, chr(10)))')} AS query FROM documents)
-        SELECT query, count(*) AS n FROM lines WHERE query <> '' GROUP BY query""",
-    "read_split": """
-        SELECT doc_id, lang, text FROM (
-            SELECT *, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) AS i,
-                   count(*) OVER () AS n
-            FROM documents)
-        WHERE i <= ceil(n * 0.25::DOUBLE)""",
-    "report": f"""
-        SELECT *, CASE WHEN task = 'Headline' THEN 'quality labels' END AS dataset_note
-        FROM ({EVALUATION['task_results']})""",
-    "ticker_profiles": f"""
+_PROFILES = f"""
         WITH facts AS (SELECT *, 'C' || o_custkey AS ticker FROM orders),
         spans AS (
             SELECT ticker, o_custkey, max(o_orderdate) AS as_of, max(o_totalprice) AS high,
@@ -307,5 +371,48 @@ ORACLES = {
         SELECT concat_ws('/', ticker, section, nullif(period, '')) AS doc_id,
                concat_ws(' ', ticker, section, nullif(period, '')) || chr(10) || body AS text,
                'market_data' AS source, ticker, strftime(d, '%Y-%m-%d') AS date
-        FROM sections SEMI JOIN complete USING (ticker)""",
+        FROM sections SEMI JOIN complete USING (ticker)"""
+_EARLY = "FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01'"
+
+ORACLES = {
+    "index_store": _INDEX,
+    "stream_index": _INDEX,
+    "index_life": _INDEX + " WHERE lang = 'en'",
+    "stream_versions": _VERSIONED,
+    "index_versions": f"""
+        SELECT * FROM ({_VERSIONED} WHERE lang <> 'de') JOIN (
+            WITH {SQL_CHUNKS}
+            SELECT CAST(doc_id AS VARCHAR) AS doc_id, count(*) AS n_before FROM chunks GROUP BY ALL)
+            USING (doc_id)""",
+    "ticker_refresh": f"""
+        WITH early AS (SELECT doc_id, text, ticker FROM ({_PROFILES.replace("FROM orders", _EARLY)})),
+        late AS ({_PROFILES})
+        SELECT doc_id, text, 'unchanged' AS step FROM early
+        UNION ALL
+        SELECT doc_id, text, 'refreshed' FROM late
+        WHERE ticker IN (SELECT ticker FROM early)""",
+    "log_life": "SELECT conv_id, turn, role, text AS content FROM conversations",
+    "stream_turns": QUESTIONS["prompt_history"],
+    "turn_log": """
+        SELECT conv_id, turn, role, text AS content FROM (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS newest
+            FROM conversations)
+        WHERE newest <= 3""",
+    "read_documents": """
+        SELECT source, CAST(sum(length(text) + 1) AS INTEGER) AS n_chars
+        FROM documents GROUP BY source""",
+    "read_queries": f"""
+        WITH lines AS (
+            SELECT {sql_strip('unnest(string_split(text, chr(10)))')} AS query FROM documents)
+        SELECT query, count(*) AS n FROM lines WHERE query <> '' GROUP BY query""",
+    "read_split": """
+        SELECT doc_id, lang, text FROM (
+            SELECT *, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) AS i,
+                   count(*) OVER () AS n
+            FROM documents)
+        WHERE i <= ceil(n * 0.25::DOUBLE)""",
+    "report": f"""
+        SELECT *, CASE WHEN task = 'Headline' THEN 'quality labels' END AS dataset_note
+        FROM ({EVALUATION['task_results']})""",
+    "ticker_profiles": _PROFILES,
 }

@@ -61,6 +61,13 @@ def whitespace_token_count(col) -> Column:
     return F.regexp_count(F.col(col) if isinstance(col, str) else col, F.lit(TOKEN))
 
 
+def cut_tokens(col, n: int) -> Column:
+    """The text up to its ``n``-th token; shorter texts stay as they are."""
+    col = F.col(col) if isinstance(col, str) else col
+    pieces = F.regexp_extract_all(col, F.lit(f"[ \t\n\r\f\x0b]*{TOKEN}"), F.lit(0))
+    return F.when(F.size(pieces) > n, F.array_join(F.slice(pieces, 1, n), "")).otherwise(col)
+
+
 def words(col) -> Column:
     """Lower-cased runs of letters and digits."""
     return F.regexp_extract_all(F.lower(col), F.lit(WORD), F.lit(0))

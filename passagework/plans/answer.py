@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from passagework.functions.fixed_values import AGENTS, MAX_DISTANCE, PROMPT_HISTORY, TOP_K
 from passagework.functions.prompts import MESSAGE, TURN_TEMPLATE, chat_prompt, messages
-from passagework.functions.text import whitespace_token_count
+from passagework.functions.text import cut_tokens, whitespace_token_count
 from passagework.operators.agents import batch_answer, route_queries
 from passagework.operators.context import enrich
 from passagework.operators.history import fit_history, prompt_history
@@ -40,6 +40,7 @@ def answer_queries(
     max_distance: float = MAX_DISTANCE,
     history: int = PROMPT_HISTORY,
     budget: int | None = None,
+    limit: int | None = None,
     order=None,
     template=TURN_TEMPLATE,
     keep=(),
@@ -51,7 +52,8 @@ def answer_queries(
     (whose newest messages from ``turns`` go into the prompt), an agent override
     column and an ``error`` of an earlier step, which keeps a row unanswered.
     ``budget`` limits the whole prompt by tokens: the oldest messages go until the
-    rest fits beside the system prompt with its passages and the question.
+    rest fits beside the system prompt with its passages and the question. ``limit``
+    then ends the prompt after so many tokens, whatever it holds.
     """
     routed = route_queries(queries, agents, override)
     enriched = enrich(routed, index, embedder, k, max_distance, **search)
@@ -71,7 +73,8 @@ def answer_queries(
     else:
         enriched = enriched.withColumn("history", F.lit(None).cast(f"array<{MESSAGE}>"))
     listed = messages(F.col("system_prompt"), "history", "user_prompt")
-    asked = enriched.withColumn("prompt", chat_prompt(listed, template))
+    prompt = chat_prompt(listed, template)
+    asked = enriched.withColumn("prompt", prompt if limit is None else cut_tokens(prompt, limit))
     if "error" in queries.columns:
         asked = asked.withColumnRenamed("error", "_earlier")
     else:

@@ -50,6 +50,16 @@ def append_index(rows: DataFrame, path: str, skip_existing: bool = False) -> int
     return written.get["n"]
 
 
+def write_batch(rows: DataFrame, path: str, model_name: str, name: str) -> None:
+    """Rows of one model in a folder of their own, in place of what it held.
+
+    Repeats among the rows are left out. The folder lies below the model's, where
+    readers find it like any other file of the index.
+    """
+    own = _conform(rows).dropDuplicates(["chunk_id"]).drop("model_name")
+    own.write.mode("overwrite").parquet(f"{path.rstrip('/')}/model_name={model_name}/{name}")
+
+
 def _only_new(rows: DataFrame, stored: DataFrame) -> DataFrame:
     """Rows whose id is not stored.
 

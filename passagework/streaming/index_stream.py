@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from passagework.operators.chunking import METADATA, index_documents
 from passagework.sources.documents import TEXT_FILES, decode_text
-from passagework.sources.index_store import append_index
+from passagework.sources.index_store import write_batch
+from passagework.sources.index_versions import put_documents
 
 DOCUMENT_SCHEMA = f"doc_id string, text string, metadata {METADATA}"
 
@@ -40,14 +43,43 @@ def stream_index(
 ) -> StreamingQuery:
     """Chunk, embed and append a stream of documents; by default what is there now.
 
-    Every batch is appended as a batch job would, so streams, appends and clearing
-    share one index. Chunk ids come from content: a batch that runs again after a
-    failure adds nothing twice.
+    A batch has a folder of its own in the index, named after the checkpoint and its
+    number: run again after a failure it replaces what it had written, and no stored id
+    is looked up. Streams, appends and clearing share one index. A document that
+    arrives twice is appended twice; :func:`stream_documents` replaces it.
     """
+    stream = _stream_name(checkpoint)
+
+    def add(batch: DataFrame, number: int) -> None:
+        rows = index_documents(batch, embedder)
+        write_batch(rows, path, embedder.name, f"stream-{stream}-{number:012d}")
+
+    return _started(documents, add, checkpoint, trigger)
+
+
+def stream_documents(
+    documents: DataFrame, path: str, checkpoint: str, embedder, **trigger
+) -> StreamingQuery:
+    """A stream of documents into a versioned index: each batch is one new version.
+
+    A document that comes again takes the place of its earlier chunks. The version keeps
+    the number of the batch, so one that runs again after a failure changes nothing.
+    Of a document that comes several times in one batch all chunks stay, each once.
+    """
+    stream = _stream_name(checkpoint)
+
+    def add(batch: DataFrame, number: int) -> None:
+        rows = index_documents(batch, embedder).dropDuplicates(["model_name", "chunk_id"])
+        put_documents(rows, path, stream=(stream, number))
+
+    return _started(documents, add, checkpoint, trigger)
+
+
+def _stream_name(checkpoint: str) -> str:
+    return hashlib.md5(checkpoint.encode()).hexdigest()[:12]
 
-    def add(batch: DataFrame, _: int) -> None:
-        append_index(index_documents(batch, embedder), path, skip_existing=True)
 
+def _started(documents: DataFrame, add, checkpoint: str, trigger: dict) -> StreamingQuery:
     return (
         documents.writeStream.foreachBatch(add)
         .option("checkpointLocation", checkpoint)
