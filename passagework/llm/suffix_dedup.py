@@ -9,13 +9,13 @@ the same place wherever the string stands; windows in a row with one anchor are
    repeats. A block needs no sorting unless a different one shares its anchor.
 3. What is left is sorted. A suffix begins at the anchor of a block and carries the
    bytes before it in reverse. Splitters sampled from the suffixes cut them into
-   buckets by their leading bytes; a suffix that very many texts have is cut by its
-   place too, so no bucket grows with the number of copies.
+   buckets by their leading bytes; where more suffixes share these than a bucket may
+   hold, all their bytes and their places decide, so no bucket grows with a group.
 4. A bucket is sorted by multikey quicksort, eight bytes a step: once by what follows
    the anchor, once by what precedes it. Suffixes side by side share what both orders
    say they share, which tells for every window whether an earlier one is equal.
-5. Windows whose bytes the first or the last suffix of a bucket has too may go on in
-   the bucket beside it. Those are compared across all boundaries, by their bytes.
+5. In such a group, windows whose bytes the first or the last suffix of a bucket has
+   too may go on beside it. Those are compared across all boundaries, by their bytes.
 """
 
 from __future__ import annotations
@@ -36,19 +36,22 @@ WINDOW, LEAD = 100, 32
 SPAN = WINDOW - LEAD + 1
 PART_BYTES = 1 << 20
 BUCKET_ROWS = 1 << 17
-# Anchors are single numbers: so many are some 100 MB in every executor.
-MAX_BROADCAST_ANCHORS = 4_000_000
-MAX_BROADCAST_SPANS = 1_000_000
+# Anchors are single numbers: so many are some 200 MB in every executor.
+MAX_BROADCAST_ANCHORS = 2_500_000
+# Numbers in the lists of all texts together: 32 MB and what the rows add.
+MAX_BROADCAST_SPANS = 4_000_000
 
 _RNG = np.random.default_rng(0x5AFF)
 BYTE_VALUES = _RNG.integers(0, 2**64, size=256, dtype=np.uint64) | np.uint64(1)
 STEP = int(_RNG.integers(2**40, 2**63)) * 2 + 1
 PLACE_BITS = 22
+# What a span of windows is: a block, the first of equal blocks, or a repeat.
+BLOCK, FIRST, REPEAT = range(3)
 
 KEY = ["late", "doc", "version"]
 PLACES = "late int, doc long, version long"
 BLOCKS = f"{PLACES}, anchor long, content long, at long"
-SUFFIXES = f"{PLACES}, at long, suffix binary, before binary"
+SUFFIXES = f"{PLACES}, at long, large boolean, suffix binary, before binary"
 FOUND = f"{PLACES}, start long, windows int, window binary"
 
 
@@ -151,18 +154,21 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        rows, places, suffix, before = [], [], [], []
-        for row, (text, blocks) in enumerate(zip(_bytes_of(batch), batch.column("blocks").to_pylist())):
-            for at in blocks:
+        rows, places, large, suffix, before = [], [], [], [], []
+        lists = batch.column("blocks").to_pylist()
+        for row, (text, blocks) in enumerate(zip(_bytes_of(batch), lists)):
+            for code in blocks:
+                at = code >> 1
                 start, windows, ahead = at >> 14, at >> 7 & 127, at & 127
                 content = text[start : start + windows + WINDOW - 1]
                 rows.append(row)
                 places.append(at)
+                large.append(bool(code & 1))
                 suffix.append(content[ahead:])
                 before.append(content[:ahead][::-1])
         yield pa.RecordBatch.from_arrays(
             [*_keys(batch, np.array(rows, dtype=np.int64)), pa.array(places, pa.int64()),
-             pa.array(suffix, pa.binary()), pa.array(before, pa.binary())],
+             pa.array(large, pa.bool_()), pa.array(suffix, pa.binary()), pa.array(before, pa.binary())],
             names=_names(SUFFIXES),
         )
 
@@ -245,6 +251,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     before, ahead = _matrix(table.column("before").chunk(0), 72)
     keys = [table.column(c).to_numpy() for c in KEY]
     at = table.column("at").to_numpy()
+    large = table.column("large").to_numpy()
     anchor = (at >> 14) + (at & 127)
     rank = np.lexsort((anchor, *reversed(keys)))
     by_suffix = multikey_order(suffix, after)
@@ -262,7 +269,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.ones(len(rows), dtype=bool)
         first[1:] = same[1:] != same[:-1]
         repeated[rows[~first], o + 1] = True
-        edge = rows[first & ((right[rows] == 1) | (right[rows] == right.max()))]
+        edge = rows[first & large[rows] & ((right[rows] == 1) | (right[rows] == right.max()))]
         open_rows.append(edge)
         open_ahead.append(np.full(len(edge), o))
     change = np.diff(repeated.astype(np.int8), axis=1)
@@ -308,35 +315,32 @@ def _attach(texts: DataFrame, lists: DataFrame, how: str) -> DataFrame:
     return texts.join(F.broadcast(lists) if total <= MAX_BROADCAST_SPANS else lists, KEY, how)
 
 
-def repeated_windows(texts: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """``texts`` (late, doc, version, text) to spans of windows that start earlier too:
-    late, doc, version, start, windows."""
+def spans_of_windows(texts: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """``texts`` (late, doc, version, text) to late, doc, version, span.
+
+    A span is a block some of whose bytes are repeated, the first of equal blocks, or
+    windows that start earlier too; a block that is not the first is repeated in full.
+    """
     blocks = stored(texts.mapInArrow(_blocks, BLOCKS), "byte-blocks")
     anchors = stored(
         blocks.groupBy("anchor").count().filter("count > 1").select("anchor"), "byte-anchors"
     )
-    several = blocks.join(sized(anchors, MAX_BROADCAST_ANCHORS), "anchor", "left_semi")
-    place = F.struct(*KEY, "at")
+    several = stored(
+        blocks.join(sized(anchors, MAX_BROADCAST_ANCHORS), "anchor", "left_semi"), "byte-several"
+    )
     index = stored(
-        several.groupBy("anchor", "content").agg(F.min(place).alias("first"), F.count("*").alias("n")),
+        several.groupBy("anchor", "content").agg(F.min(F.struct(*KEY, "at")).alias("first")),
         "byte-index",
     )
-    copied = index.filter("n > 1").select("anchor", "content", "first")
-    copies = (
-        several.join(sized(copied), ["anchor", "content"])
-        .filter(place != F.col("first"))
-        .select(*KEY, F.shiftright("at", 14).alias("start"),
-                F.shiftright("at", 7).bitwiseAND(127).cast("int").alias("windows"))
-    )
     mixed_anchors = stored(
-        index.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"),
-        "byte-mixed",
+        index.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"), "byte-mixed"
     )
+    large = F.col("n") > bucket_rows
     lists = stored(
-        index.join(sized(mixed_anchors), "anchor", "left_semi")
-        .select("first.*")
+        index.join(sized(mixed_anchors), "anchor")
+        .select("first.*", large.cast("long").alias("large"))
         .groupBy(*KEY)
-        .agg(F.collect_list("at").alias("blocks")),
+        .agg(F.collect_list(F.shiftleft("at", 1) + F.col("large")).alias("blocks")),
         "byte-open",
     )
     suffixes = stored(
@@ -344,8 +348,10 @@ def repeated_windows(texts: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFr
         "suffixes",
     )
     buckets = max(1, -(-suffixes.count() // bucket_rows))
+    whole = [F.when(F.col("large"), F.col(c)) for c in ("suffix", *KEY, "at")]
     found = stored(
-        suffixes.repartitionByRange(buckets, "suffix", *KEY, "at").mapInArrow(_windows, FOUND),
+        suffixes.repartitionByRange(buckets, F.substring("suffix", 1, LEAD), *whole)
+        .mapInArrow(_windows, FOUND),
         "byte-windows",
     )
     edges = found.filter("window is not null")
@@ -356,14 +362,22 @@ def repeated_windows(texts: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFr
         "byte-edges",
     )
     across = edges.join(sized(firsts), "window").filter(spot != F.col("first"))
-    spans = [*KEY, "start", "windows"]
+    start, windows = F.shiftright("at", 14), F.shiftright("at", 7).bitwiseAND(127)
     return (
-        copies.select(*spans)
-        .unionByName(found.filter("window is null").select(*spans))
-        .unionByName(across.select(*spans))
+        several.select(*KEY, _span(start, windows, BLOCK))
+        .unionByName(index.select("first.*").select(*KEY, _span(start, windows, FIRST)))
+        .unionByName(
+            found.filter("window is null").unionByName(across.select(found.columns))
+            .select(*KEY, _span(F.col("start"), F.col("windows"), REPEAT))
+        )
     )
 
 
+def _span(start, windows, kind: int):
+    """start, windows and kind as one number."""
+    return (F.shiftleft(start, 9) + F.shiftleft(windows.cast("long"), 2) + kind).alias("span")
+
+
 LISTS = f"{PLACES}, runs array<struct<low: bigint, high: bigint>>"
 
 
@@ -373,8 +387,16 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         merged = []
         for spans in batch.column("spans"):
-            low = spans.values.field("start").to_numpy()
-            high = low + spans.values.field("windows").to_numpy() + WINDOW - 1
+            codes = spans.values.to_numpy()
+            low, kind_of = codes >> 9, codes & 3
+            gone = (kind_of == REPEAT) | (
+                (kind_of == BLOCK) & ~np.isin(low, low[kind_of == FIRST])
+            )
+            if not gone.any():
+                merged.append([])
+                continue
+            low = low[gone]
+            high = low + (codes[gone] >> 2 & 127) + WINDOW - 1
             order = np.argsort(low, kind="stable")
             low, reach = low[order], np.maximum.accumulate(high[order])
             new = np.flatnonzero(np.concatenate(([True], low[1:] > reach[:-1])))
@@ -422,11 +444,9 @@ def without_repeated_bytes(
     An empty table gives no rows; other columns are not read.
     """
     keyed, distinct = _keyed(id_and_text(docs, id_column, text_column))
-    spans = repeated_windows(distinct.select(*KEY, "text"), bucket_rows)
+    spans = spans_of_windows(distinct.select(*KEY, "text"), bucket_rows)
     lists = stored(
-        spans.groupBy(*KEY)
-        .agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
-        .mapInArrow(_runs, LISTS),
+        spans.groupBy(*KEY).agg(F.collect_list("span").alias("spans")).mapInArrow(_runs, LISTS),
         "byte-runs",
     )
     schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if digest else 'binary'}"
