@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +20,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passagework.llm import sentence_pieces
-from passagework.llm.common import id_and_text, sized, slices, stored
+from passagework.llm.common import (
+    id_and_text,
+    sized,
+    slices,
+    stored,
+    texts_of,
+    worker_state,
+)
 
 ROUNDS = 6
 SEQUENCE_TOKENS = 1024
 SHARD_SLOTS = 4096
 MAX_TASKS = 1 << 15
+MAX_VOCABULARY = 1 << 16
+# Longer texts are encoded word by word, as the library holds far more than the text.
+LONG_TEXT = 1 << 16
+CODEC = "zstd"
 INDEX = ["slot", "sequence", "shard", "byte_offset", "doc_ids", "path"]
 
 
@@ -70,16 +82,48 @@ class Permutation:
         return self._walk(slot, back)
 
 
+def special_ids(model: bytes) -> tuple[int, int]:
+    """(end id, id that fills up) of a model whose ids fit 16 bits."""
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_proto=model)
+    if library.get_piece_size() > MAX_VOCABULARY:
+        raise ValueError(f"{library.get_piece_size()} ids do not fit 16 bits")
+    if library.eos_id() < 0:
+        raise ValueError("the model has no end id")
+    return library.eos_id(), max(library.pad_id(), 0)
+
+
+def _library(model: bytes):
+    import sentencepiece
+
+    return worker_state(
+        ("library", hash(model)), lambda: sentencepiece.SentencePieceProcessor(model_proto=model)
+    )
+
+
 def _tokens(shared, end_id: int):
+    def coded(texts: list[str]) -> list[bytes]:
+        """16-bit ids of each text and an end id."""
+        library = _library(shared.value[0])
+        lists = library.encode([t if len(t) <= LONG_TEXT else "" for t in texts])
+        ends = np.cumsum([len(ids) + 1 for ids in lists]).tolist()
+        flat = np.fromiter(
+            chain.from_iterable((*ids, end_id) for ids in lists), dtype="<u2", count=ends[-1]
+        ).tobytes()
+        packed = [flat[2 * a : 2 * b] for a, b in zip([0, *ends], ends)]
+        for i, text in enumerate(texts):
+            if len(text) > LONG_TEXT:
+                ids = sentence_pieces._encoder(shared).encode([text])[0]
+                packed[i] = np.frombuffer(ids, dtype=np.int32).astype("<u2").tobytes() + packed[i]
+        return packed
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = sentence_pieces._encoder(shared)
         part, inside = TaskContext.get().partitionId(), 0
-        for batch in slices(batches, sentence_pieces.SLICE_TEXTS):
-            coded = encoder.encode([t or "" for t in batch.column("text").to_pylist()])
-            end = np.array([end_id], dtype="<u2").tobytes()
-            packed = [np.frombuffer(c, dtype=np.int32).astype("<u2").tobytes() + end for c in coded]
+        for batch in slices(batches):
+            packed = coded(texts_of(batch))
             sizes = np.array([len(p) // 2 for p in packed], dtype=np.int64)
             ends = inside + np.cumsum(sizes)
             inside = int(ends[-1])
@@ -114,8 +158,10 @@ def with_offsets(tokens: DataFrame) -> DataFrame:
 
 
 def _pieces(n_sequences: int, key: str, length: int):
+    """Runs of tokens by sequence; packed, as they are most of what is shuffled."""
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        permutation = Permutation(n_sequences, key)
+        permutation, packed = Permutation(n_sequences, key), pa.Codec(CODEC).compress
         for batch in slices(batches, 1024):
             rows = []
             for doc, raw, offset in zip(
@@ -125,16 +171,17 @@ def _pieces(n_sequences: int, key: str, length: int):
                 while at < len(raw) // 2:
                     sequence, start = divmod(offset + at, length)
                     taken = min(length - start, len(raw) // 2 - at)
-                    rows.append((sequence, start, doc, raw[2 * at : 2 * (at + taken)]))
+                    run = packed(raw[2 * at : 2 * (at + taken)], asbytes=True)
+                    rows.append((sequence, start, taken, doc, run))
                     at += taken
             if not rows:
                 continue
-            sequence, start, doc, raw = zip(*rows)
+            sequence, start, taken, doc, raw = zip(*rows)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(permutation.slot(np.array(sequence))), pa.array(sequence, pa.int64()),
-                 pa.array(start, pa.int32()), pa.array(doc, pa.int64()),
-                 pa.array(raw, pa.binary())],
-                names=["slot", "sequence", "start", "doc_id", "tokens"],
+                 pa.array(start, pa.int32()), pa.array(taken, pa.int32()),
+                 pa.array(doc, pa.int64()), pa.array(raw, pa.binary())],
+                names=["slot", "sequence", "start", "n", "doc_id", "tokens"],
             )
 
     return read
@@ -157,16 +204,16 @@ def _records(length: int, pad_id: int):
         )
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done, now = [], None
+        done, now, unpacked = [], None, pa.Codec(CODEC).decompress
         for batch in slices(batches, 1024):
-            names = ("slot", "sequence", "doc_id", "tokens")
-            for slot, sequence, doc, raw in zip(*(batch.column(c).to_pylist() for c in names)):
+            names = ("slot", "sequence", "n", "doc_id", "tokens")
+            for slot, sequence, n, doc, raw in zip(*(batch.column(c).to_pylist() for c in names)):
                 if now is None or now[0] != slot:
                     if now is not None:
                         done.append(record(*now))
                     now = (slot, sequence, [], [])
                 now[2].append(doc)
-                now[3].append(raw)
+                now[3].append(unpacked(raw, 2 * n, asbytes=True))
             if len(done) >= 256:
                 yield batch_of(done)
                 done = []
@@ -190,25 +237,27 @@ def training_order(
     """One row per slot: slot, sequence, shard, byte_offset, doc_ids, tokens.
 
     ``tokens`` holds ``length`` little-endian 16-bit ids; the last sequence is
-    filled up with id 0. Rows are dealt to partitions by ranges of slots and sorted
+    filled up with the model's padding id, 0 if it has none. A model whose ids do not fit
+    16 bits, or without an end id, is refused. Rows are dealt to partitions by ranges of slots and sorted
     in them. Documents follow each other as they are read, null and repeated ids
     too; null and empty texts are an end id alone. An empty table gives no rows.
     """
     own = id_and_text(docs, id_column, text_column)
     shared = sentence_pieces._shared(docs, model_path)
-    end_id = 2
+    end_id, pad_id = special_ids(shared.value[0])
     tokens = stored(
         own.mapInArrow(
             _tokens(shared, end_id),
             "doc_id long, tokens binary, n long, part long, inside long",
         ),
         "tokens",
+        compression=CODEC,
     )
     total = tokens.agg(F.sum("n")).first()[0] or 0
     sequences = -(-total // length)
     pieces = with_offsets(tokens).mapInArrow(
         _pieces(sequences, key, length),
-        "slot long, sequence long, start int, doc_id long, tokens binary",
+        "slot long, sequence long, start int, n int, doc_id long, tokens binary",
     )
     shards = max(1, -(-sequences // shard_slots))
     shard = F.floor(F.col("slot") / shard_slots)
@@ -216,7 +265,7 @@ def training_order(
     task = F.floor(shard * tasks / shards).cast("int")
     dealt = pieces.repartitionById(tasks, task)
     records = dealt.sortWithinPartitions("slot", "start").mapInArrow(
-        _records(length, 0), "slot long, sequence long, doc_ids array<long>, tokens binary"
+        _records(length, pad_id), "slot long, sequence long, doc_ids array<long>, tokens binary"
     )
     return records.select(
         "slot",
@@ -338,9 +387,17 @@ def read_slots(path_of, slots: Iterator[int], length: int, shard_slots: int) ->
     """Token ids of ``slots`` from the files of :func:`write_shards`, for a reader that resumes."""
     from pyarrow import fs
 
-    for slot in slots:
-        store, path = fs.FileSystem.from_uri(path_of(slot // shard_slots))
-        with store.open_input_file(path) as f:
-            yield np.frombuffer(
-                f.read_at(2 * length, slot % shard_slots * 2 * length), dtype="<u2"
-            )
+    shard, file = None, None
+    try:
+        for slot in slots:
+            if slot // shard_slots != shard:
+                if file is not None:
+                    file.close()
+                shard = slot // shard_slots
+                store, path = fs.FileSystem.from_uri(path_of(shard))
+                file = store.open_input_file(path)
+            at = slot % shard_slots * 2 * length
+            yield np.frombuffer(file.read_at(2 * length, at), dtype="<u2")
+    finally:
+        if file is not None:
+            file.close()
