@@ -1,17 +1,14 @@
-"""Repeated passages, by a relative Lempel-Ziv parse against indexed reference blocks.
-
-The reference is the corpus itself, cut into blocks at places that the words
-decide: a block is a run of windows with the same anchor, the least hash of the
-short word runs in the window. Equal passages are cut alike wherever they stand,
-so a document is parsed by looking its blocks up in the distributed index of all
-blocks: neighbouring blocks that an earlier document has are one factor, and every
-block holds at least a whole window. Factors end inside blocks that are not
-repeated as a whole; there, and in every other block whose anchor several
+"""Repeated passages: blocks cut by their words, looked up in an index of all blocks.
+
+This stands in place of a relative Lempel-Ziv parse, which would factor every document
+against every reference block: all documents would meet all blocks (see the README).
+Here the corpus is its own reference, cut at places that the words decide: a block is
+a run of windows with the same anchor, the least hash of the short word runs in the
+window. Equal passages are cut alike wherever they stand, so blocks are looked up by
+what is in them: neighbouring blocks that an earlier document has are one repeated
+span, and every block holds at least a whole window. Spans end inside blocks that are
+not repeated as a whole; there, and in every other block whose anchor several
 different blocks have, the windows are looked up one by one.
-
-A leftmost-greedy parse against each block of the corpus in turn would compare
-all documents with all blocks; with cuts made by the words, each block meets only
-the blocks that share its anchor, and none is missed.
 """
 
 from __future__ import annotations
@@ -186,12 +183,15 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _with_version(docs: DataFrame) -> DataFrame:
-    """Rows that share an id are told apart by a hash of their text; zero if none do."""
+def _with_version(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(all rows, every text of an id once): rows that share an id are told apart by a
+    hash of their text, which is zero if none do."""
     known = docs.filter("doc_id is not null")
     shared = not known.groupBy("doc_id").count().filter("count > 1").isEmpty()
     version = F.xxhash64(F.coalesce("text", F.lit(""))) if shared else F.lit(0).cast("long")
-    return docs.withColumn("version", version)
+    versioned = docs.withColumn("version", version)
+    known = versioned.filter("doc_id is not null")
+    return versioned, known.dropDuplicates(["doc_id", "version"]) if shared else known
 
 
 def _attach(docs: DataFrame, lists: DataFrame, kind: str) -> DataFrame:
@@ -203,18 +203,17 @@ def _attach(docs: DataFrame, lists: DataFrame, kind: str) -> DataFrame:
 
 
 def _lists(spans: DataFrame) -> DataFrame:
-    """Spans by document: one row with the list of them, never more than it has words."""
+    """Spans by text of an id: one row with the list of them, never more than it has words."""
     return spans.groupBy("doc_id", "version").agg(
         F.collect_list(F.struct("start", "windows")).alias("spans")
     )
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(known: DataFrame) -> DataFrame:
     """Spans (doc_id, version, start, windows) of windows that a smaller id has too.
 
-    ``docs`` has doc_id, text and version. Rows with a null id are left out.
+    ``known`` has doc_id, text and version, every text of an id once and no null id.
     """
-    known = docs.filter("doc_id is not null")
     blocks = stored(known.mapInArrow(_blocks, BLOCKS), "blocks")
     # The index: every different block once, with the first document that has it.
     index = stored(
@@ -243,7 +242,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         .select("doc_id", "version", "start", "windows", "whole"),
         "found",
     )
-    factors = found.filter("whole").drop("whole")
+    whole = found.filter("whole").drop("whole")
     open_blocks = stored(_lists(found.filter("not whole").drop("whole")), "open-blocks")
     windows = stored(
         _attach(known, open_blocks, "inner")
@@ -263,11 +262,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         .filter("first < doc_id")
         .select("doc_id", "version", "start", F.lit(1).alias("windows"))
     )
-    return factors.unionByName(single)
+    return whole.unionByName(single)
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lists of spans with those that touch each other's words made one: the factors."""
+    """Lists of spans with those that touch each other's words made one."""
     for batch in slices(batches):
         merged = []
         for spans in batch.column("spans").to_pylist():
@@ -337,8 +336,8 @@ def without_repeats(
     none. Rows with a null id lose nothing and take nothing from others; rows with
     one id leave each other whole. An empty table gives no rows.
     """
-    own = _with_version(id_and_text(docs, id_column, text_column))
-    spans = stored(_lists(repeated_spans(own)).mapInArrow(_merge, LISTS), "spans")
+    own, distinct = _with_version(id_and_text(docs, id_column, text_column))
+    spans = stored(_lists(repeated_spans(distinct)).mapInArrow(_merge, LISTS), "spans")
     return (
         _attach(own, spans, "left")
         .select("doc_id", "text", "spans")
