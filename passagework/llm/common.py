@@ -21,15 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, purpose: str) -> DataFrame:
-    """``df`` written to the shared folder and read back.
+def stored(df: DataFrame, purpose: str, **options) -> DataFrame:
+    """``df`` written to the shared folder, with options of the writer, and read back.
 
     Cuts the lineage, so that a lost executor never recomputes what lies before,
     and fixes values that depend on the task that made them.
     """
     spark = df.sparkSession
     path = shared_folder(spark, purpose)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -64,3 +64,14 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 def id_and_text(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Only the two columns an operator reads, under fixed names."""
     return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` does not have, in any case of letters."""
+    taken, free = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        free.append(name)
+    return free

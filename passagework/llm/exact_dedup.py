@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passagework.llm.common import SPACE_CLASS, sized, stored
+from passagework.llm.common import SPACE_CLASS, free_names, sized, stored
 
 FINGERPRINT_BITS = 48
 SENDER_ROWS = 1 << 20
@@ -228,7 +228,8 @@ def without_copies(
 ) -> DataFrame:
     """The rows of ``docs`` that :func:`exact_duplicates` keeps, all columns as they are.
 
-    Rows that agree in id, text and length are told apart no further: one stays.
+    Of each group of equal texts one row stays. Where several rows of a group share the
+    id and the length of the one to stay, any one of them does.
     """
     fields = ["doc_id", "fp", "n_chars"]
     found = exact_duplicates(docs, id_column, text_column).filter("group_size > 1")
@@ -239,20 +240,18 @@ def without_copies(
         "dropped",
     )
     norm = normalised(text_column)
+    *key_names, norm_name = free_names(docs, *[f"_key_{f}" for f in fields], "_norm")
 
     def matching(rows: DataFrame, kind: str) -> DataFrame:
-        own = {
-            "doc_id": docs[id_column],
-            "fp": fingerprint(norm),
-            "n_chars": F.char_length(F.coalesce(text_column, F.lit(""))),
-        }
-        keys_side = rows.select(*[F.col(f).alias(f"_key_{f}") for f in fields])
-        same = [own[f].eqNullSafe(F.col(f"_key_{f}")) for f in fields]
-        return docs.join(keys_side, same, kind)
+        own = [docs[id_column], fingerprint(norm),
+               F.char_length(F.coalesce(text_column, F.lit("")))]
+        keys_side = rows.select(*[F.col(f).alias(k) for f, k in zip(fields, key_names)])
+        return docs.join(keys_side, [o.eqNullSafe(F.col(k)) for o, k in zip(own, key_names)], kind)
 
     kept = matching(sized(keys), "left_anti")
     twice = keys.filter("any_kept")
     if twice.isEmpty():
         return kept
-    once = matching(sized(twice), "left_semi").dropDuplicates([id_column, text_column])
-    return kept.unionByName(once)
+    # Rows alike in these may differ in their white space only: the text without it decides.
+    once = matching(sized(twice), "left_semi").withColumn(norm_name, norm)
+    return kept.unionByName(once.dropDuplicates([id_column, norm_name]).drop(norm_name))

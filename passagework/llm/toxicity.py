@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passagework.llm.common import id_and_text, sized, slices, stored, texts_of
+from passagework.llm.common import free_names, id_and_text, sized, slices, stored, texts_of
 
 ORDERS = (3, 4, 5)
 BUCKET_BITS = 18
@@ -268,18 +268,19 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> Data
     """The rows of ``docs`` that score below the threshold, all columns as they are.
 
     Every row goes or stays by its own text, also without an id or with one that
-    other rows have.
+    other rows have; null texts score as empty ones. An empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
     digest = F.xxhash64(F.coalesce("text", F.lit("")))
     found = docs.select("doc_id", "text", digest.alias("digest")).mapInArrow(
         _score(shared, ["digest"]), "doc_id long, digest long, score double"
     )
+    key_id, key_digest = free_names(docs, "_key_id", "_key_digest")
     rejected = stored(
         found.filter(F.col("score") >= threshold)
-        .select(F.col("doc_id").alias("_key_id"), F.col("digest").alias("_key_digest"))
+        .select(F.col("doc_id").alias(key_id), F.col("digest").alias(key_digest))
         .distinct(),
         "rejected",
     )
-    same = docs["doc_id"].eqNullSafe(F.col("_key_id")) & (digest == F.col("_key_digest"))
+    same = docs["doc_id"].eqNullSafe(F.col(key_id)) & (digest == F.col(key_digest))
     return docs.join(sized(rejected), same, "left_anti")
