@@ -25,6 +25,7 @@ from passagework.functions.fixed_values import (
     ERROR_MSG,
     LOW_CONFIDENCE_WARNING,
 )
+from passagework.operators.approximate import approximate_knn, build_cells, recall
 from passagework.operators.chunking import (
     chunk_documents,
     chunk_pages,
@@ -34,6 +35,7 @@ from passagework.operators.chunking import (
 from passagework.operators.context import context_blocks, enrich, first_warning, with_texts
 from passagework.operators.embedding import HashedEmbedder, ModelEmbedder, embed
 from passagework.operators.search import gate, knn
+from passagework.session import shared_folder
 from passagework.sources.index_store import empty_index, index_status, ingest_summary
 
 EMBEDDER = HashedEmbedder()
@@ -114,6 +116,33 @@ def q_knn_many_questions(spark, sf_dir):
     return hits.withColumn("score", F.round("score", 6))
 
 
+def _probed(spark, sf_dir, k, **search):
+    """All vectors put to an index of all vectors that is stored by trained cells."""
+    vectors = table(spark, sf_dir, "embeddings")
+    path = shared_folder(spark, "cells")
+    build_cells(vectors.select(F.col("vec_id").alias("chunk_id"), "embedding"), path)
+    queries = vectors.select(F.col("vec_id").alias("query_id"), "embedding")
+    return approximate_knn(queries, path, k, **search)
+
+
+def q_knn_all_cells(spark, sf_dir):
+    """With every cell probed the approximate search is exact."""
+    hits = _probed(spark, sf_dir, 6, probes=1 << 12, refine=16)
+    others = hits.where(F.col("chunk_id") != F.col("query_id"))
+    again = Window.partitionBy("query_id").orderBy("rank")
+    ranked = others.withColumn("rank", F.row_number().over(again)).where(F.col("rank") <= 5)
+    return ranked.withColumn("score", F.round("score", 6))
+
+
+def q_ann_recall(spark, sf_dir):
+    """The share of the five nearest of all vectors that a search of some cells finds."""
+    vectors = table(spark, sf_dir, "embeddings")
+    queries = vectors.select(F.col("vec_id").alias("query_id"), "embedding")
+    index = vectors.select(F.col("vec_id").alias("chunk_id"), "embedding")
+    measured = recall(_probed(spark, sf_dir, 5), knn(queries, index, 5))
+    return measured.select("n_exact", (F.col("recall") >= 0.9).alias("recall_is_high"))
+
+
 def q_gate_hits(spark, sf_dir):
     hits = gate(_vector_hits(spark, sf_dir))
     return hits.groupBy("query_id").agg(
@@ -213,6 +242,8 @@ QUERIES = {
     "embed_model": q_embed_model,
     "knn_topk": q_knn_topk,
     "knn_many_questions": q_knn_many_questions,
+    "knn_all_cells": q_knn_all_cells,
+    "ann_recall": q_ann_recall,
     "gate_hits": q_gate_hits,
     "text_search": q_text_search,
     "context_blocks": q_context_blocks,
@@ -339,6 +370,8 @@ ORACLES = {
         FROM documents, letters""",
     "knn_topk": _NEAREST,
     "knn_many_questions": _NEAREST,
+    "knn_all_cells": _NEAREST,
+    "ann_recall": "SELECT 5 * count(*) AS n_exact, TRUE AS recall_is_high FROM embeddings",
     "gate_hits": f"""
         WITH {_VECTOR_HITS}
         SELECT query_id, count(*) FILTER (score <= 1.2::DOUBLE) AS n_passing,
