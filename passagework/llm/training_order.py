@@ -106,7 +106,9 @@ def _tokens(shared, end_id: int):
     def coded(texts: list[str]) -> list[bytes]:
         """16-bit ids of each text and an end id."""
         library = _library(shared.value[0])
-        lists = library.encode([t if len(t) <= LONG_TEXT else "" for t in texts])
+        # One thread: the cores of an executor belong to its tasks.
+        short = [t if len(t) <= LONG_TEXT else "" for t in texts]
+        lists = library.encode(short, num_threads=1)
         ends = np.cumsum([len(ids) + 1 for ids in lists]).tolist()
         flat = np.fromiter(
             chain.from_iterable((*ids, end_id) for ids in lists), dtype="<u2", count=ends[-1]
