@@ -7,7 +7,16 @@ import re
 from pyspark.sql import functions as F
 
 from passagework.catalog import retrieval
-from passagework.catalog.common import SQL_TOKEN, documents, sql_text, table, turns
+from passagework.catalog.common import (
+    SQL_TOKEN,
+    SQL_WS,
+    documents,
+    sql_distance,
+    sql_text,
+    sql_vectors,
+    table,
+    turns,
+)
 from passagework.catalog.evaluation import (
     METRICS,
     PUBLISHED,
@@ -29,10 +38,12 @@ from passagework.functions.fixed_values import (
 )
 from passagework.operators.chunking import index_documents
 from passagework.operators.embedding import HashedEmbedder
+from passagework.operators.metrics import avg_keyword_score, graded
 from passagework.plans.answer import answer_queries
-from passagework.plans.batch import run_batch
+from passagework.plans.batch import resume_batch, run_batch
 from passagework.plans.evaluate import (
-    evaluate_questions,
+    cases_result,
+    evaluate_cases,
     evaluate_tasks,
     headline_examples,
     phrasebank_examples,
@@ -77,6 +88,128 @@ def q_batch_files(spark, sf_dir):
     return spark.read.schema(fields).json(answers)
 
 
+def q_batch_resume(spark, sf_dir):
+    """Half of the questions answered, then a file of all with blank and broken lines; what
+    the answers and the log then hold."""
+    questions, answers = shared_folder(spark, "questions"), shared_folder(spark, "answers")
+    log = shared_folder(spark, "batch-log")
+    asked = _questions(spark, sf_dir)
+    index = index_documents(documents(spark, sf_dir), EMBEDDER)
+    line = F.to_json(F.struct("query"))
+    asked.where("query_id % 2 = 0").select(line).write.text(questions + "-half.jsonl")
+    broken = F.array(line, F.lit(" "), F.lit('{"query": '), F.lit('{"question": "?"}'))
+    asked.select(F.explode(broken)).write.text(questions + "-all.jsonl")
+    for part in ("half", "all"):
+        resume_batch(spark, f"{questions}-{part}.jsonl", answers, index, MODELS, log=log,
+                     slices=2, embedder=EMBEDDER, dim=EMBEDDER.dim)
+    fields = "query string, answer string, agent_used string, rag_status string, error string"
+    written = spark.read.schema(fields).json(answers).select(F.lit("answers").alias("file"), "*")
+    logged = load_turns(spark, log).select(
+        F.lit("log").alias("file"), F.when(F.col("role") == "user", F.col("content")).alias("query"),
+        F.when(F.col("role") == "assistant", F.col("content")).alias("answer"),
+        *[F.lit(None).cast("string").alias(c) for c in ("agent_used", "rag_status", "error")],
+    )
+    return written.unionByName(logged)
+
+
+def extracting_reader():
+    """Stands in for a model: says what the first passage it was given says."""
+
+    def answer(prompts):
+        replies = []
+        for prompt in prompts:
+            if CONTEXT_INTRO not in prompt:
+                replies.append("No context.")
+                continue
+            context = prompt.split(CONTEXT_INTRO, 1)[1].split(CONTEXT_END, 1)[0]
+            first = context.split("\n\n[2] source=", 1)[0]
+            replies.append(first.split("\n", 1)[1])
+        return replies
+
+    return answer
+
+
+def _qa_cases(spark, sf_dir):
+    """Benchmark texts as questions; their first, third and fifth words are expected."""
+    words = F.regexp_extract_all("query", F.lit("[A-Za-z]+"), F.lit(0))
+    level = F.element_at(
+        F.array(*[F.lit(d) for d in ("core", "intermediate", "advanced")]),
+        (F.pmod("query_id", F.lit(3)) + 1).cast("int"),
+    )
+    keywords = F.filter(
+        F.array(*[F.get(words, i) for i in (0, 2, 4)]), lambda w: w.isNotNull()
+    )
+    return _questions(spark, sf_dir).select(
+        F.col("query_id").alias("example_id"), F.col("query").alias("question"),
+        keywords.alias("keywords"), level.alias("difficulty"),
+    )
+
+
+def _qa_answered(spark, sf_dir):
+    """Questions put to an index of all chunks, answered by what was retrieved."""
+    index = index_documents(documents(spark, sf_dir), EMBEDDER)
+    readers = {"sentiment": extracting_reader, "multitask": extracting_reader}
+    answers = answer_queries(
+        _questions(spark, sf_dir), index, readers, embedder=EMBEDDER, dim=EMBEDDER.dim
+    )
+    recorded = answers.select(F.col("query_id").alias("example_id"), "answer", "agent_used")
+    return evaluate_cases(_qa_cases(spark, sf_dir), recorded)
+
+
+def q_qa_cases(spark, sf_dir):
+    """Every question with its answer and the keywords retrieval has found for it."""
+    hits = F.array_join("keywords_hit", "|").alias("keywords_hit")
+    return _qa_answered(spark, sf_dir).select(
+        "example_id", "question", "difficulty", "response", "agent_used", "score", hits
+    )
+
+
+def q_qa_result(spark, sf_dir):
+    result = cases_result(_qa_answered(spark, sf_dir), "difficulty")
+    n = F.try_element_at("routing", F.lit("multitask")).alias("n_multitask")
+    return result.select("task", "difficulty", "n_samples", "avg_keyword_score", n)
+
+
+def q_evaluate_with_passages(spark, sf_dir):
+    """Labelled documents asked about by their text, beside an index of the labelled ones
+    of good quality: a document that is in it is found by its own text and judged good."""
+    docs = documents(spark, sf_dir)
+    labels = table(spark, sf_dir, "labels")
+    labelled = docs.join(labels, "doc_id")
+    index = index_documents(
+        labelled.where("quality = 1").select("doc_id", "text", "metadata"), EMBEDDER, auto_chunk=False
+    )
+    asked = labelled.select(
+        F.col("doc_id").alias("example_id"), F.lit(HEADLINE).alias("instruction"),
+        F.col("text").alias("input"),
+        F.when(F.col("quality") == 1, "Yes").otherwise("No").alias("output"),
+    )
+    examples = headline_examples(asked)
+    answers = answer_queries(
+        examples.withColumn("query_id", F.col("example_id")), index,
+        {"multitask": echoing_judge, "sentiment": echoing_judge}, embedder=EMBEDDER,
+        dim=EMBEDDER.dim, keep=["task", "example_id"],
+    )
+    results = evaluate_tasks(examples, answers)
+    return results.select("task", "n_samples", "accuracy", "f1_weighted", "f1_binary")
+
+
+def echoing_judge():
+    """Stands in for a model: yes if the first passage is the text it is asked about."""
+
+    def answer(prompts):
+        replies = []
+        for prompt in prompts:
+            context = prompt.split(CONTEXT_INTRO, 1)[-1].split(CONTEXT_END, 1)[0]
+            passage = context.split("\n\n[2] source=", 1)[0].split("\n", 1)[-1]
+            asked = prompt.rsplit("\nInput: ", 1)[-1] if CONTEXT_INTRO in prompt else ""
+            text = asked.rsplit("<|im_end|>\n<|im_start|>assistant", 1)[0]
+            replies.append("Yes." if passage and passage == text else "No.")
+        return replies
+
+    return answer
+
+
 def q_answer_with_history(spark, sf_dir):
     """Every conversation's first message asked again, with what fits of its history."""
     said = turns(spark, sf_dir)
@@ -230,18 +363,19 @@ def q_evaluate_all_tasks(spark, sf_dir):
 
 
 def q_evaluate_questions(spark, sf_dir):
-    """The open questions put to every document; those without a label have no answer."""
+    """The open questions put to every document; those without a label have no answer.
+
+    A text answers all of them, so it is graded where it lies: it is not copied for
+    each case, and only labels meet the documents.
+    """
+    labelled = table(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("labelled"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    asked = docs.select("doc_id", F.inline(cases()))
-    example = F.concat_ws("/", "doc_id", "question").alias("example_id")
-    labelled = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
-    answers = labelled.select(
-        "doc_id",
-        F.col("text").alias("answer"),
-        F.explode(F.transform(cases(), lambda c: c["question"])).alias("question"),
-    ).select(example, "answer")
-    put = asked.select(example, "keywords", "difficulty")
-    scores = evaluate_questions(put, answers, "difficulty")
+    scored = docs.select("doc_id", graded("text", cases()).alias("answered"),
+                         graded(F.lit(""), cases()).alias("silent"))
+    put = scored.join(labelled, "doc_id", "left").select(
+        F.inline(F.when(F.col("labelled"), F.col("answered")).otherwise(F.col("silent")))
+    )
+    scores = avg_keyword_score(put, "difficulty")
     return scores.withColumn("avg_keyword_score", F.round("avg_keyword_score", 6))
 
 
@@ -249,7 +383,11 @@ QUERIES = {
     "answer_queries": q_answer_queries,
     "answer_with_history": q_answer_with_history,
     "batch_files": q_batch_files,
+    "batch_resume": q_batch_resume,
     "replay_conversations": q_replay_conversations,
+    "qa_cases": q_qa_cases,
+    "qa_result": q_qa_result,
+    "evaluate_with_passages": q_evaluate_with_passages,
     "evaluate_answers": q_evaluate_answers,
     "evaluate_all_tasks": q_evaluate_all_tasks,
     "evaluate_questions": q_evaluate_questions,
@@ -270,7 +408,68 @@ answers AS (
     FROM statuses)
 """
 
+_QA = f"""
+{retrieval.STATUSES},
+qa AS (
+    SELECT q.query_id AS example_id, q.text AS question,
+           ['core', 'intermediate', 'advanced'][q.query_id % 3 + 1] AS difficulty,
+           coalesce(m.text, 'No context.') AS response,
+           list_filter(list_transform([1, 3, 5],
+                           lambda i: regexp_extract_all(q.text, '[A-Za-z]+')[i]),
+                       lambda w: w IS NOT NULL) AS keywords
+    FROM questions q LEFT JOIN (
+        SELECT query_id, text FROM numbered WHERE passing AND i = 1) m USING (query_id)),
+graded AS (
+    SELECT *, list_filter(keywords, lambda w: contains(lower(response), lower(w))) AS hit FROM qa),
+scored AS (
+    SELECT *, round(CAST(len(hit) AS DOUBLE) / nullif(len(keywords), 0), 4) AS score FROM graded)
+"""
+
 ORACLES = {
+    "batch_resume": f"""
+        WITH {_ANSWERS}
+        SELECT 'answers' AS file, text AS query, answer, 'multitask' AS agent_used, rag_status,
+               NULL::VARCHAR AS error FROM answers
+        UNION ALL
+        SELECT 'answers', NULL, NULL, NULL, NULL, 'line is not a JSON object with a query'
+        FROM benchmark, range(2)
+        UNION ALL SELECT 'log', text, NULL, NULL, NULL, NULL FROM answers
+        UNION ALL SELECT 'log', NULL, answer, NULL, NULL, NULL FROM answers""",
+    "qa_cases": f"""
+        WITH {_QA}
+        SELECT example_id, question, difficulty, trim(response, {SQL_WS}) AS response,
+               'multitask' AS agent_used, score, array_to_string(hit, '|') AS keywords_hit
+        FROM scored""",
+    "qa_result": f"""
+        WITH {_QA}
+        SELECT 'QA' AS task, difficulty, count(*) AS n_samples,
+               round(avg(score), 4) AS avg_keyword_score, count(*) AS n_multitask
+        FROM scored GROUP BY difficulty""",
+    "evaluate_with_passages": f"""
+        WITH labelled AS (
+            SELECT d.doc_id, text, quality FROM documents d JOIN labels USING (doc_id)),
+        asked AS (
+            SELECT doc_id AS query_id, {sql_text(HEADLINE)} || chr(10) || 'Input: ' || text AS text
+            FROM labelled),
+        good AS (SELECT doc_id, text FROM labelled WHERE quality = 1),
+        {sql_vectors('asked_vectors', 'asked', 'query_id')},
+        {sql_vectors('good_vectors', 'good', 'doc_id')},
+        pairs AS (
+            SELECT query_id, doc_id, {sql_distance('q.v', 'x.v')} AS score
+            FROM asked_vectors q, good_vectors x),
+        nearest AS (
+            SELECT query_id, text FROM pairs JOIN good USING (doc_id) WHERE score <= 1.2::DOUBLE
+            QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score, md5(
+                length(CAST(doc_id AS VARCHAR)) || ':' || doc_id || '::0:' || text)) = 1),
+        answered AS (
+            SELECT 'Headline' AS task, CAST(CAST(quality = 1 AS INTEGER) AS VARCHAR) AS target,
+                   CAST(CAST(coalesce(n.text = l.text, false) AS INTEGER) AS VARCHAR) AS prediction
+            FROM labelled l LEFT JOIN nearest n ON n.query_id = l.doc_id),
+        {sql_scores('answered', 'task')}
+        SELECT task, n_samples, accuracy, f1_weighted, f1_binary FROM (
+            SELECT task, {METRICS.format(d=4)},
+                   round(coalesce(max(f1) FILTER (label = '1'), 0), 4) AS f1_binary
+            FROM scores GROUP BY task)""",
     "answer_queries": f"""
         WITH {_ANSWERS}
         SELECT query_id, answer, 'multitask' AS agent_used, 'multitask' AS query_type, rag_used,

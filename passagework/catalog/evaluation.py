@@ -22,7 +22,7 @@ from passagework.operators.metrics import (
     avg_keyword_score,
     classification_metrics,
     compare_scores,
-    keyword_scores,
+    graded,
     label_scores,
 )
 from passagework.plans.evaluate import evaluate_tasks
@@ -186,8 +186,7 @@ def cases():
 
 def _scored(spark, sf_dir):
     """Every document graded as an answer to every open question."""
-    docs = texts(spark, sf_dir).select("doc_id", F.col("text").alias("answer"))
-    return keyword_scores(docs.select("doc_id", "answer", F.inline(cases())))
+    return texts(spark, sf_dir).select("doc_id", F.inline(graded("text", cases())))
 
 
 def q_keyword_scores(spark, sf_dir):

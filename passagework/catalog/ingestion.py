@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from passagework.catalog.common import SQL_CHUNKS, documents, sql_strip, table, turns
 from passagework.catalog.evaluation import ORACLES as EVALUATION
+from passagework.catalog.evaluation import PUBLISHED
 from passagework.catalog.evaluation import q_task_results
 from passagework.catalog.questions import ORACLES as QUESTIONS
+from passagework.functions.fixed_values import PUBLISHED_SCORES
 from passagework.operators.chunking import METADATA, index_documents
 from passagework.operators.embedding import HashedEmbedder
 from passagework.operators.history import prompt_history, prune_turns
@@ -29,7 +31,12 @@ from passagework.sources.index_versions import (
 )
 from passagework.sources.query_files import read_queries
 from passagework.sources.reports import read_report, write_report
-from passagework.sources.turn_log import append_turns, load_turns, reset_turns
+from passagework.sources.turn_log import (
+    append_turns,
+    count_bad_turns,
+    load_turns,
+    reset_turns,
+)
 from passagework.streaming.index_stream import stream_documents, stream_index
 from passagework.streaming.turn_stream import stream_turns
 
@@ -190,16 +197,37 @@ def q_turn_log(spark, sf_dir):
     return kept.select(F.col("conv_id").cast("bigint"), "turn", "role", "content")
 
 
+def q_turn_log_bad_lines(spark, sf_dir):
+    """Messages between blank and broken lines: good ones read, bad ones counted."""
+    path = shared_folder(spark, "turns")
+    said = turns(spark, sf_dir)
+    append_turns(said, path)
+    broken = said.select(
+        F.explode(F.array(
+            F.lit(""), F.lit("  "), F.concat(F.lit('{"role": "user", "content": '), "turn"),
+            F.concat(F.lit('{"turn": '), "turn", F.lit("}")),
+        )).alias("value")
+    )
+    broken.write.mode("append").text(path)
+    n_bad = F.broadcast(count_bad_turns(spark, path))  # one row
+    kept = load_turns(spark, path)
+    return kept.select(F.col("conv_id").cast("bigint"), "turn", "role", "content").join(n_bad)
+
+
 def q_read_documents(spark, sf_dir):
-    """One text file per source, read back whole."""
+    """Texts as files of a bounded number of rows, read back whole.
+
+    Every task writes the sources it meets, so no task and no file holds all of one.
+    """
     path = shared_folder(spark, "texts")
     docs = table(spark, sf_dir, "documents").select("source", "text")
-    docs.repartition("source").write.partitionBy("source").text(path)
+    docs.write.partitionBy("source").option("maxRecordsPerFile", 200).text(path)
     files = read_documents(spark, path, recursive=True)
-    return files.select(
+    read = files.select(
         F.regexp_extract("metadata.source", "source=(src[0-9]+)", 1).alias("source"),
         F.length("text").alias("n_chars"),
     )
+    return read.groupBy("source").agg(F.sum("n_chars").alias("n_chars"))
 
 
 def q_read_queries(spark, sf_dir):
@@ -222,8 +250,11 @@ def q_report(spark, sf_dir):
     path = shared_folder(spark, "report")
     results = q_task_results(spark, sf_dir)
     write_report(results.withColumn("accuracy", F.lit(0.0)), path, "20250101_080000")
-    write_report(results, path, "20250101_090000", {"Headline": "quality labels"})
-    return read_report(spark, path).drop("run_ts")
+    notes = {"Headline": "quality labels"}
+    write_report(results, path, "20250101_090000", notes, PUBLISHED_SCORES)
+    latest = read_report(spark, path).drop("run_ts")
+    listed = F.explode_outer("references").alias("system", "reference")
+    return latest.select("*", listed).drop("references")
 
 
 def q_ticker_profiles(spark, sf_dir):
@@ -288,6 +319,7 @@ QUERIES = {
     "log_life": q_log_life,
     "stream_turns": q_stream_turns,
     "turn_log": q_turn_log,
+    "turn_log_bad_lines": q_turn_log_bad_lines,
     "read_documents": q_read_documents,
     "read_queries": q_read_queries,
     "read_split": q_read_split,
@@ -398,8 +430,12 @@ ORACLES = {
             SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS newest
             FROM conversations)
         WHERE newest <= 3""",
+    "turn_log_bad_lines": """
+        SELECT conv_id, turn, role, text AS content,
+               (SELECT 2 * count(*) FROM conversations) AS n_bad
+        FROM conversations""",
     "read_documents": """
-        SELECT source, CAST(sum(length(text) + 1) AS INTEGER) AS n_chars
+        SELECT source, CAST(sum(length(text) + 1) AS BIGINT) AS n_chars
         FROM documents GROUP BY source""",
     "read_queries": f"""
         WITH lines AS (
@@ -412,7 +448,9 @@ ORACLES = {
             FROM documents)
         WHERE i <= ceil(n * 0.25::DOUBLE)""",
     "report": f"""
-        SELECT *, CASE WHEN task = 'Headline' THEN 'quality labels' END AS dataset_note
-        FROM ({EVALUATION['task_results']})""",
+        SELECT r.*, CASE WHEN task = 'Headline' THEN 'quality labels' END AS dataset_note,
+               p.system, p.reference, '2025-01-01 09:00' AS run_date
+        FROM ({EVALUATION['task_results']}) r
+        LEFT JOIN (VALUES {PUBLISHED}) p(task, system, reference) USING (task)""",
     "ticker_profiles": _PROFILES,
 }

@@ -21,6 +21,7 @@ from passagework.functions.prompts import (
 )
 from passagework.functions.text import preview, strip_think
 from passagework.operators.agents import batch_answer, route_queries, routing_counts
+from passagework.operators.dealing import answer_by_cost
 from passagework.operators.history import fit_history, prompt_history, prune_turns
 from passagework.session import spread
 
@@ -94,6 +95,13 @@ def q_batch_answer(spark, sf_dir):
     return batch_answer(routed, models).select("query_id", "agent_used", "answer", "error")
 
 
+def q_answer_by_cost(spark, sf_dir):
+    """The same questions, equal ones asked once, dealt to tasks by what they cost."""
+    routed = _routed(spark, sf_dir).withColumnRenamed("query", "prompt")
+    models = {"sentiment": count_words_model, "multitask": refusing_model}
+    return answer_by_cost(routed, models).select("query_id", "agent_used", "answer", "error")
+
+
 def q_strip_think(spark, sf_dir):
     """Whole texts with no end marker, one, two, and one at the very end."""
     text, end = F.col("text"), F.lit("</think>")
@@ -173,6 +181,7 @@ QUERIES = {
     "route_queries": q_route_queries,
     "routing_counts": q_routing_counts,
     "batch_answer": q_batch_answer,
+    "answer_by_cost": q_answer_by_cost,
     "strip_think": q_strip_think,
     "answer_preview": q_answer_preview,
     "prune_turns": q_prune_turns,
@@ -226,14 +235,7 @@ ranked AS (
     FROM conversations)
 """
 
-ORACLES = {
-    "build_prompts": f"WITH {_PROMPTS} SELECT query_id, query FROM prompts",
-    "route_queries": f"""
-        WITH {_ROUTED} SELECT query_id, agent_override, query_type, agent_used FROM routed""",
-    "routing_counts": f"""
-        WITH {_ROUTED}
-        SELECT lang, agent_used, count(*) AS n_queries FROM routed GROUP BY ALL""",
-    "batch_answer": f"""
+_BATCH = f"""
         WITH {_ROUTED}
         SELECT query_id, agent_used,
                CASE WHEN agent_used = 'sentiment'
@@ -241,7 +243,17 @@ ORACLES = {
                     WHEN NOT contains(query, 'headline') THEN 'seen' END AS answer,
                CASE WHEN agent_used = 'multitask' AND contains(query, 'headline')
                     THEN 'ValueError: no headlines, please' END AS error
-        FROM routed""",
+        FROM routed"""
+
+ORACLES = {
+    "build_prompts": f"WITH {_PROMPTS} SELECT query_id, query FROM prompts",
+    "route_queries": f"""
+        WITH {_ROUTED} SELECT query_id, agent_override, query_type, agent_used FROM routed""",
+    "routing_counts": f"""
+        WITH {_ROUTED}
+        SELECT lang, agent_used, count(*) AS n_queries FROM routed GROUP BY ALL""",
+    "batch_answer": _BATCH,
+    "answer_by_cost": _BATCH,
     "strip_think": f"""
         WITH answers AS (
             SELECT doc_id,

@@ -35,6 +35,7 @@ from passagework.operators.chunking import (
 from passagework.operators.context import context_blocks, enrich, first_warning, with_texts
 from passagework.operators.embedding import HashedEmbedder, ModelEmbedder, embed
 from passagework.operators.search import gate, knn
+from passagework.operators.vector_store import embed_once
 from passagework.session import shared_folder
 from passagework.sources.index_store import empty_index, index_status, ingest_summary
 
@@ -96,6 +97,21 @@ def q_embed_model(spark, sf_dir):
     return counts.withColumn("n", F.col("x").cast("bigint")).drop("x")
 
 
+def q_embed_once(spark, sf_dir):
+    """Documents embedded into a store of vectors, then once more from the store alone."""
+    path = shared_folder(spark, "vectors")
+    docs = texts(spark, sf_dir).select("doc_id", "text")
+    embed_once(docs, ModelEmbedder([("letters", letters_model)], 5), path)
+    again = embed_once(docs, ModelEmbedder([("letters", no_more_calls)], 5), path)
+    counts = again.select("doc_id", "model_name", F.posexplode("embedding").alias("pos", "x"))
+    return counts.withColumn("n", F.col("x").cast("bigint")).drop("x")
+
+
+def no_more_calls():
+    """A model under the same name that must not be asked: its vectors would be wrong."""
+    return lambda texts: [[-1.0] * 5 for _ in texts]
+
+
 def _vector_hits(spark, sf_dir, **search):
     """Every vector's nearest others: one more than wanted, then itself left out."""
     vectors = table(spark, sf_dir, "embeddings")
@@ -240,6 +256,7 @@ QUERIES = {
     "index_status": q_index_status,
     "ingest_summary": q_ingest_summary,
     "embed_model": q_embed_model,
+    "embed_once": q_embed_once,
     "knn_topk": q_knn_topk,
     "knn_many_questions": q_knn_many_questions,
     "knn_all_cells": q_knn_all_cells,
@@ -328,6 +345,12 @@ _WARNING = f"""
                     WHEN 'error' THEN {_FAILED.format(m='rag_status_msg')} END
 """
 
+_LETTERS = """
+        WITH letters AS (SELECT unnest(range(5)) AS i)
+        SELECT doc_id, 'letters' AS model_name, CAST(i AS INTEGER) AS pos,
+               length(text) - length(replace(text, substr('aeiou', i + 1, 1), '')) AS n
+        FROM documents, letters"""
+
 ORACLES = {
     "chunk_documents": f"WITH {SQL_CHUNKS} SELECT doc_id, chunk_no, text FROM chunks",
     "chunk_pages": f"""
@@ -363,11 +386,8 @@ ORACLES = {
         WITH {SQL_CHUNKS}
         SELECT (SELECT count(*) FROM documents) AS chunks_added, count(*) AS total_chunks
         FROM chunks""",
-    "embed_model": """
-        WITH letters AS (SELECT unnest(range(5)) AS i)
-        SELECT doc_id, 'letters' AS model_name, CAST(i AS INTEGER) AS pos,
-               length(text) - length(replace(text, substr('aeiou', i + 1, 1), '')) AS n
-        FROM documents, letters""",
+    "embed_model": _LETTERS,
+    "embed_once": _LETTERS,
     "knn_topk": _NEAREST,
     "knn_many_questions": _NEAREST,
     "knn_all_cells": _NEAREST,

@@ -77,6 +77,24 @@ def batch_answer(
     to answer must not be merged. Columns other than the prompt pass through as
     they are, without becoming Python objects.
     """
+    spark = queries.sparkSession
+    if tasks is None:
+        shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        tasks = max(spark.sparkContext.defaultParallelism, shuffle)
+    dealt = (
+        queries.withColumn("_salt", F.xxhash64(query_id))
+        .repartitionByRange(tasks, "agent_used", "_salt")
+        .sortWithinPartitions("agent_used")
+        .drop("_salt")
+    )
+    return answer_partitions(dealt, models, prompt, clean)
+
+
+def answer_partitions(
+    queries: DataFrame, models: Mapping, prompt: str = "prompt", clean: bool = True
+) -> DataFrame:
+    """Add ``answer`` and ``error`` to rows as they are dealt; a task loads a model when
+    the agent changes."""
     fields = list(queries.schema.fields)
     schema = T.StructType(
         fields + [T.StructField("answer", T.StringType()), T.StructField("error", T.StringType())]
@@ -102,17 +120,7 @@ def batch_answer(
                 [*batch.columns, *added], [*batch.schema.names, "answer", "error"]
             )
 
-    spark = queries.sparkSession
-    if tasks is None:
-        shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        tasks = max(spark.sparkContext.defaultParallelism, shuffle)
-    answered = (
-        queries.withColumn("_salt", F.xxhash64(query_id))
-        .repartitionByRange(tasks, "agent_used", "_salt")
-        .sortWithinPartitions("agent_used")
-        .drop("_salt")
-        .mapInArrow(answer, schema)
-    )
+    answered = queries.mapInArrow(answer, schema)
     return answered.withColumn("answer", strip_think("answer")) if clean else answered
 
 

@@ -105,6 +105,22 @@ def keyword_scores(df: DataFrame, text: str = "answer", keywords: str = "keyword
     return df.withColumn("keywords_hit", keyword_hits(text, keywords)).withColumn("score", share)
 
 
+def graded(text, cases) -> Column:
+    """Every case of an array of structs with ``keywords``, graded against one text.
+
+    The text is lower-cased once and never copied: what comes back are the cases with
+    ``keywords_hit`` and ``score``, to be made rows with ``inline``.
+    """
+
+    def one(lowered: Column, case: Column) -> Column:
+        hits = F.filter(case["keywords"], lambda word: F.contains(lowered, F.lower(word)))
+        return case.withField("keywords_hit", hits)
+
+    marked = F.transform(F.array(F.lower(text)), lambda t: F.transform(cases, lambda c: one(t, c)))
+    share = lambda c: F.size(c["keywords_hit"]) / F.nullif(F.size(c["keywords"]), F.lit(0))
+    return F.transform(F.get(marked, 0), lambda c: c.withField("score", share(c)))
+
+
 def avg_keyword_score(scored: DataFrame, by=()) -> DataFrame:
     """Unweighted mean over the cases."""
     return scored.groupBy(*_listed(by)).agg(

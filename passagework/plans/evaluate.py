@@ -19,6 +19,7 @@ from passagework.functions.labels import (
     score_to_label,
 )
 from passagework.functions.prompts import build_prompt, sentiment_instruction
+from passagework.operators.agents import routing_map
 from passagework.operators.metrics import (
     align,
     avg_keyword_score,
@@ -141,3 +142,28 @@ def evaluate_questions(cases: DataFrame, answers: DataFrame, by=()) -> DataFrame
     """
     aligned = align(answers, cases).withColumn("answer", F.coalesce("answer", F.lit("")))
     return avg_keyword_score(keyword_scores(aligned), by)
+
+
+def evaluate_cases(cases: DataFrame, answers: DataFrame, digits: int = 4) -> DataFrame:
+    """One row per case: its columns, ``response, agent_used, score, keywords_hit``.
+
+    ``cases`` has ``example_id, keywords``, ``answers`` has ``example_id, answer,
+    agent_used``; a case without an answer has an empty response and scores 0.
+    """
+    aligned = align(answers, cases).withColumn("answer", F.coalesce("answer", F.lit("")))
+    scored = keyword_scores(aligned).withColumn("score", F.round("score", digits))
+    return scored.withColumnRenamed("answer", "response").select(
+        *[c for c in cases.columns if c != "keywords"],
+        "response", "agent_used", "score", "keywords_hit",
+    )
+
+
+def cases_result(per_case: DataFrame, by=(), digits: int = 4) -> DataFrame:
+    """What the rows of :func:`evaluate_cases` come to: size, mean score, routing."""
+    by = [by] if isinstance(by, str) else list(by)
+    marked = per_case.withColumn("task", F.lit("QA"))
+    means = avg_keyword_score(marked, ["task", *by]).withColumn(
+        "avg_keyword_score", F.round("avg_keyword_score", digits)
+    )
+    routed = routing_map(marked.where(F.col("agent_used").isNotNull()), ["task", *by])
+    return means.join(routed, ["task", *by], "left")
