@@ -3,7 +3,12 @@
 Two generative models over hashed word n-grams, of a target text and of all raw
 text, give every document an importance weight, the log ratio of their
 probabilities; Gumbel noise hashed from the id and a global top-k then sample
-documents in proportion to their weights, without replacement.
+documents without replacement, in proportion to their weights.
+
+The plain ratio multiplies over all n-grams of a text, so long texts have ratios far
+beyond any noise and their length decides. With ``run_grams`` a document is weighed by
+the mean log ratio of its n-grams times that number: what is sampled in proportion is
+then the ratio a text of so many n-grams would have. None takes the plain ratio.
 """
 
 from __future__ import annotations
@@ -22,7 +27,6 @@ from passagework.llm.substring_dedup import mixed, words_of
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
 SMOOTHING = 0.5
-# A document weighs as much as so many of its n-grams do on average, whatever its length.
 RUN_GRAMS = 100
 BINS = 4096
 RANKED_ROWS = 10_000
@@ -68,14 +72,14 @@ def log_ratios(docs: DataFrame, target_ids: DataFrame) -> np.ndarray:
     return logs[1] - logs[0] if counts[1].any() else np.zeros(BUCKETS)
 
 
-def _weigh(shared):
+def _weigh(shared, run_grams: int | None):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratio = shared.value
         for batch in slices(batches):
             grams, text = grams_of(texts_of(batch))
             count = np.bincount(text, minlength=batch.num_rows)
             total = np.bincount(text, weights=ratio[grams], minlength=batch.num_rows)
-            weight = RUN_GRAMS * total / np.maximum(count, 1)
+            weight = total if run_grams is None else run_grams * total / np.maximum(count, 1)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(count.astype(np.int64)), pa.array(weight)],
                 names=["doc_id", "n_grams", "log_weight"],
@@ -125,13 +129,15 @@ def resampled(
     target_ids: DataFrame,
     share: float,
     seed: str = "quality",
+    run_grams: int | None = RUN_GRAMS,
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_grams, log_weight, key, kept.
 
     ``target_ids`` (doc_id) names the documents whose text is the target; without
-    any of them all weights are zero. ``kept`` marks the ``share`` of rows with the
+    any of them all weights are zero. ``run_grams`` is the number of n-grams a document
+    is weighed by, None for all of its own. ``kept`` marks the ``share`` of rows with the
     largest ``key``, log weight plus noise; of equal keys, as repeated rows have
     them, any rows in the order of the stored table. Null and empty texts have no
     n-grams and log weight zero. Null ids share one noise and are no target. An
@@ -140,7 +146,9 @@ def resampled(
     own = id_and_text(docs, id_column, text_column)
     ids = stored(target_ids.select("doc_id").filter("doc_id is not null").distinct(), "target")
     shared = docs.sparkSession.sparkContext.broadcast(log_ratios(own, ids))
-    weighed = own.mapInArrow(_weigh(shared), "doc_id long, n_grams long, log_weight double")
+    weighed = own.mapInArrow(
+        _weigh(shared, run_grams), "doc_id long, n_grams long, log_weight double"
+    )
     keyed = stored(
         weighed.withColumn("key", F.col("log_weight") + gumbel(seed)).withColumn(
             "row", F.monotonically_increasing_id()

@@ -125,6 +125,7 @@ SELECT vec_id, coalesce(n.n, 0) AS n_links,
 FROM embeddings LEFT JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id
 """
 
+# A rate above 64 is drawn in equal parts, each by a number of its own.
 OP6_SQL = """
 WITH s AS (
     SELECT source, sum(strlen(coalesce(text, '')) + 1) AS size FROM documents GROUP BY source),
@@ -132,19 +133,28 @@ w AS (
     SELECT source, size, sqrt(size) AS weight, sum(size) OVER () AS size_all,
            sum(sqrt(size)) OVER () AS weight_all FROM s),
 r AS (
-    SELECT source, CAST(round(weight * (size_all / weight_all) / size, 9) AS DOUBLE) AS rate FROM w),
-k AS (SELECT source, rate, unnest(range(0, 200)) AS k FROM r),
-p AS (SELECT source, k, exp(-rate + k * ln(rate) - lgamma(k + 1)) AS p FROM k),
+    SELECT source, rate, parts, rate / parts AS mean FROM (
+        SELECT *, greatest(1, CAST(ceil(rate / 64.0) AS INTEGER)) AS parts FROM (
+            SELECT source,
+                   CAST(round(weight * (size_all / weight_all) / size, 9) AS DOUBLE) AS rate
+            FROM w))),
+k AS (
+    SELECT source, mean,
+           unnest(range(0, CAST(ceil(mean + 10 * sqrt(mean) + 30) AS INTEGER) + 1)) AS k FROM r),
+p AS (SELECT source, k, exp(-mean + k * ln(mean) - lgamma(k + 1)) AS p FROM k),
 c AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM p),
-u AS (
-    SELECT doc_id, source, text,
-           CAST('0x' || substr(md5('mix:' || doc_id || ':1'), 1, 13) AS BIGINT)
-               / 4503599627370496.0 AS u
-    FROM documents),
 l AS (SELECT source, list(c ORDER BY k) AS cs FROM c GROUP BY source),
+d AS (
+    SELECT doc_id, d.source, text, cs, list_transform(range(1, parts + 1), lambda part:
+               CAST('0x' || substr(md5('mix:' || doc_id || ':' || part), 1, 13) AS BIGINT)
+                   / 4503599627370496.0) AS us
+    FROM documents d JOIN r ON r.source IS NOT DISTINCT FROM d.source
+         JOIN l ON l.source IS NOT DISTINCT FROM d.source),
 n AS (
-    SELECT doc_id, u.source, text, CAST(len(list_filter(cs, lambda x: x <= u)) AS INTEGER) AS n_copies
-    FROM u JOIN l ON u.source IS NOT DISTINCT FROM l.source),
+    SELECT doc_id, source, text,
+           CAST(list_sum(list_transform(us, lambda u: len(list_filter(cs, lambda x: x <= u))))
+                AS INTEGER) AS n_copies
+    FROM d),
 e AS (SELECT *, CAST(unnest(range(1, n_copies + 1)) AS INTEGER) AS copy FROM n)
 SELECT doc_id, source, n_copies, copy, md5('mix:order:' || doc_id || ':' || copy) AS mix_key, text
 FROM e

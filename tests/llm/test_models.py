@@ -195,5 +195,5 @@ def test_queries_beside_their_sql(spark, name):
 
 def test_one_query_per_operator():
     names = entry_points.queries()
-    assert all(sum(q.startswith(f"op{n}_") for q in names) == 1 for n in range(1, 11))
+    assert all(sum(q.startswith(f"op{n}_") for q in names) == 1 for n in range(1, 14))
     assert "pipeline" in names
