@@ -38,6 +38,7 @@ from passagework.sources.turn_log import (
     reset_turns,
 )
 from passagework.streaming.index_stream import stream_documents, stream_index
+from passagework.streaming.live_history import live_history, stream_history
 from passagework.streaming.turn_stream import stream_turns
 
 EMBEDDER = HashedEmbedder()
@@ -187,6 +188,18 @@ def q_stream_turns(spark, sf_dir):
     ).select("conv_id", "pos", "m.role", "m.content")
 
 
+def q_live_history(spark, sf_dir):
+    """User messages arrive, then all others: the view that the stream keeps."""
+    view, parts = shared_folder(spark, "live"), shared_folder(spark, "arriving")
+    said = turns(spark, sf_dir).select("conv_id", "turn", "role", "content")
+    for rows in (said.where("role = 'user'"), said.where("role <> 'user'")):
+        rows.write.mode("append").parquet(parts)
+        arriving = spark.readStream.schema(said.schema).parquet(parts)
+        stream_history(arriving, view, f"{parts}-checkpoint", n=4).awaitTermination()
+    kept = live_history(spark, view)
+    return kept.select(F.col("conv_id").cast("bigint"), "pos", "role", "content")
+
+
 def q_turn_log(spark, sf_dir):
     """Two appends, one per side of the conversation, read as one log."""
     path = shared_folder(spark, "turns")
@@ -318,6 +331,7 @@ QUERIES = {
     "ticker_refresh": q_ticker_refresh,
     "log_life": q_log_life,
     "stream_turns": q_stream_turns,
+    "live_history": q_live_history,
     "turn_log": q_turn_log,
     "turn_log_bad_lines": q_turn_log_bad_lines,
     "read_documents": q_read_documents,
@@ -425,6 +439,7 @@ ORACLES = {
         WHERE ticker IN (SELECT ticker FROM early)""",
     "log_life": "SELECT conv_id, turn, role, text AS content FROM conversations",
     "stream_turns": QUESTIONS["prompt_history"],
+    "live_history": QUESTIONS["prompt_history"],
     "turn_log": """
         SELECT conv_id, turn, role, text AS content FROM (
             SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS newest
