@@ -5,6 +5,10 @@ data is partitioned, and a lost task recomputes the same one. Hashes are cut
 into 65,536 buckets by their first digits. One small table of bucket totals, at
 most that many rows, turns positions within buckets into global positions, so
 no task ever sees more than a bucket. ``key`` has to identify a row.
+
+Where even a bucket is too much for a task, ``bucket_rows`` bounds it: buckets are then
+cut by the next digits, level by level, until the largest is below the bound. Each level
+has its own table of totals, summed up inside the buckets of the level above.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from passagework.functions.fixed_values import DEFAULT_TEST_SHARE, SPLIT_SEED
 from passagework.functions.text import md5_int
 
 BUCKET_DIGITS = 4  # 16 ** 4 buckets bound the table of totals
+HASH_DIGITS = 32
 
 
 def order_hash(key: str, seed: int = SPLIT_SEED) -> Column:
@@ -46,13 +51,57 @@ def bucket_offsets(hashed: DataFrame, amount: Column) -> DataFrame:
     return totals.withColumn("_before", F.coalesce(F.sum("_total").over(before), F.lit(0)))
 
 
+def _levels(hashed: DataFrame, bucket_rows: int | None) -> int:
+    """How many times BUCKET_DIGITS digits part the rows finely enough."""
+    levels, most = 1, HASH_DIGITS // BUCKET_DIGITS
+    while bucket_rows is not None and levels < most:
+        prefix = F.substring("_hash", 1, BUCKET_DIGITS * levels)
+        largest = hashed.groupBy(prefix).count().agg(F.max("count")).first()[0] or 0
+        if largest <= bucket_rows:
+            break
+        levels += 1
+    return levels
+
+
+def _refined_offsets(hashed: DataFrame, levels: int) -> DataFrame:
+    """Offsets of the finest buckets: those of the level above, and what lies before in it."""
+    offsets = bucket_offsets(hashed, F.col("_amount")).select("_bucket", "_before")
+    for level in range(2, levels + 1):
+        finer = F.substring("_hash", 1, BUCKET_DIGITS * level)
+        totals = hashed.groupBy(finer.alias("_finer")).agg(F.sum("_amount").alias("_total"))
+        above = F.substring("_finer", 1, BUCKET_DIGITS * (level - 1))
+        earlier = (
+            Window.partitionBy("_bucket").orderBy("_finer")
+            .rowsBetween(Window.unboundedPreceding, -1)
+        )
+        inside = F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_inside")
+        own = totals.withColumn("_bucket", above).select("_bucket", "_finer", inside)
+        offsets = own.join(offsets, "_bucket").select(
+            F.col("_finer").alias("_bucket"), (F.col("_before") + F.col("_inside")).alias("_before")
+        )
+    return offsets
+
+
 def running_total(
-    df: DataFrame, key: str, amount: Column, seed: int = SPLIT_SEED, out: str = "start"
+    df: DataFrame,
+    key: str,
+    amount: Column,
+    seed: int = SPLIT_SEED,
+    out: str = "start",
+    bucket_rows: int | None = None,
 ) -> DataFrame:
-    """Add the sum of ``amount`` over all rows before this one in the seeded order."""
+    """Add the sum of ``amount`` over all rows before this one in the seeded order.
+
+    ``bucket_rows`` bounds the rows that a task ranks; it costs a count per level.
+    """
     hashed = _hashed(df.withColumn("_amount", amount.cast("bigint")), key, seed)
     light = _hashed(df.select(key, amount.cast("bigint").alias("_amount")), key, seed)
-    offsets = bucket_offsets(light, F.col("_amount")).select("_bucket", "_before")
+    levels = _levels(light, bucket_rows)
+    offsets = _refined_offsets(light, levels)
+    if levels == 1:
+        offsets = F.broadcast(offsets)  # as many rows as first digits at most
+    else:
+        hashed = hashed.withColumn("_bucket", F.substring("_hash", 1, BUCKET_DIGITS * levels))
     earlier = (
         Window.partitionBy("_bucket")
         .orderBy("_hash", key)
@@ -60,21 +109,29 @@ def running_total(
     )
     within = F.coalesce(F.sum("_amount").over(earlier), F.lit(0))
     return (
-        hashed.join(F.broadcast(offsets), "_bucket")
+        hashed.join(offsets, "_bucket")
         .withColumn(out, F.col("_before") + within)
         .drop("_hash", "_bucket", "_amount", "_before")
     )
 
 
 def global_position(
-    df: DataFrame, key: str, seed: int = SPLIT_SEED, out: str = "position"
+    df: DataFrame,
+    key: str,
+    seed: int = SPLIT_SEED,
+    out: str = "position",
+    bucket_rows: int | None = None,
 ) -> DataFrame:
     """Add the row's place, from 0 and without gaps, in the seeded order."""
-    return running_total(df, key, F.lit(1), seed, out)
+    return running_total(df, key, F.lit(1), seed, out, bucket_rows)
 
 
 def seeded_shuffle(
-    df: DataFrame, key: str, seed: int = SPLIT_SEED, position: str | None = None
+    df: DataFrame,
+    key: str,
+    seed: int = SPLIT_SEED,
+    position: str | None = None,
+    bucket_rows: int | None = None,
 ) -> DataFrame:
     """The rows in seeded random order.
 
@@ -82,7 +139,7 @@ def seeded_shuffle(
     survives writing and reading.
     """
     if position is not None:
-        return global_position(df, key, seed, position)
+        return global_position(df, key, seed, position, bucket_rows)
     return df.orderBy(order_hash(key, seed), key)
 
 

@@ -161,13 +161,14 @@ def collate(
     seed: int = SPLIT_SEED,
     pad_id: int = PAD,
     ids: str = "input_ids",
+    bucket_rows: int | None = None,
 ) -> DataFrame:
     """Batches of the seeded order, padded to the longest row of each batch.
 
     Adds ``batch_id, attention_mask, labels``; labels repeat the ids, with
     padding replaced so that it is left out of the loss.
     """
-    placed = global_position(df, key, seed, "_position")
+    placed = global_position(df, key, seed, "_position", bucket_rows)
     batch = F.floor(F.col("_position") / F.lit(batch_size)).cast("bigint")
     width = F.max(F.size(ids)).over(Window.partitionBy("batch_id"))
     short = F.array_repeat(F.lit(0), (F.col("_width") - F.size(ids)).cast("int"))
@@ -193,6 +194,7 @@ def pack_sequences(
     end_id: int = END,
     ids: str = "input_ids",
     drop_last: bool = False,
+    bucket_rows: int | None = None,
 ) -> DataFrame:
     """All sequences in seeded order, each closed by ``end_id``, cut into blocks.
 
@@ -201,7 +203,7 @@ def pack_sequences(
     tokens. The last block may be shorter and is kept unless ``drop_last``.
     """
     closed = df.select(key, F.concat(ids, F.array(F.lit(end_id))).alias("_ids"))
-    offset = running_total(closed, key, F.size("_ids"), seed, "_start")
+    offset = running_total(closed, key, F.size("_ids"), seed, "_start", bucket_rows)
     last = F.col("_start") + F.size("_ids") - 1
     blocks = F.sequence(
         F.floor(F.col("_start") / F.lit(block)), F.floor(last / F.lit(block))
