@@ -222,9 +222,12 @@ def q_turn_log_bad_lines(spark, sf_dir):
         )).alias("value")
     )
     broken.write.mode("append").text(path)
-    n_bad = F.broadcast(count_bad_turns(spark, path))  # one row
+    n_bad = count_bad_turns(spark, path).first()["n_bad"]
     kept = load_turns(spark, path)
-    return kept.select(F.col("conv_id").cast("bigint"), "turn", "role", "content").join(n_bad)
+    return kept.select(
+        F.col("conv_id").cast("bigint"), "turn", "role", "content",
+        F.lit(n_bad).cast("bigint").alias("n_bad"),
+    )
 
 
 def q_read_documents(spark, sf_dir):
