@@ -89,14 +89,14 @@ def q_batch_files(spark, sf_dir):
 
 
 def q_batch_resume(spark, sf_dir):
-    """Half of the questions answered, then a file of all with blank and broken lines; what
+    """The questions of half the alphabet answered, then a file of all with blank and broken lines; what
     the answers and the log then hold."""
     questions, answers = shared_folder(spark, "questions"), shared_folder(spark, "answers")
     log = shared_folder(spark, "batch-log")
     asked = _questions(spark, sf_dir)
     index = index_documents(documents(spark, sf_dir), EMBEDDER)
     line = F.to_json(F.struct("query"))
-    asked.where("query_id % 2 = 0").select(line).write.text(questions + "-half.jsonl")
+    asked.where("query < 'N'").select(line).write.text(questions + "-half.jsonl")
     broken = F.array(line, F.lit(" "), F.lit('{"query": '), F.lit('{"question": "?"}'))
     asked.select(F.explode(broken)).write.text(questions + "-all.jsonl")
     for part in ("half", "all"):
