@@ -12,10 +12,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +26,6 @@ from passagework.llm.common import (
     sized,
     slices,
     stored,
-    texts_of,
     worker_state,
 )
 
@@ -36,7 +36,17 @@ MAX_TASKS = 1 << 15
 MAX_VOCABULARY = 1 << 16
 # Longer texts are encoded word by word, as the library holds far more than the text.
 LONG_TEXT = 1 << 16
+# Words of one call of the library, and bytes of text whose words are looked up together.
+RUN_WORDS = 500
+PART_BYTES = 8 << 20
+# What is written once and read once is packed well; pages are as large as a part.
 CODEC = "zstd"
+STORED = {
+    "compression": CODEC,
+    "parquet.compression.codec.zstd.level": 7,
+    "parquet.page.size": PART_BYTES,
+}
+RUN_LEVEL = 3
 INDEX = ["slot", "sequence", "shard", "byte_offset", "doc_ids", "path"]
 
 
@@ -94,46 +104,113 @@ def special_ids(model: bytes) -> tuple[int, int]:
     return library.eos_id(), max(library.pad_id(), 0)
 
 
-def _library(model: bytes):
-    import sentencepiece
+class Words:
+    """The library behind a table of the words of a slice: each is encoded once.
 
-    return worker_state(
-        ("library", hash(model)), lambda: sentencepiece.SentencePieceProcessor(model_proto=model)
-    )
+    Where no piece holds a blank inside, and texts are taken as they are, a text is
+    its words side by side. Which tokens start a word is then read off the tokens.
+    """
 
+    def __init__(self, model: bytes):
+        import sentencepiece
 
-def _tokens(shared, end_id: int):
-    def coded(texts: list[str]) -> list[bytes]:
-        """16-bit ids of each text and an end id."""
-        library = _library(shared.value[0])
+        self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
+        pieces = map(self.library.id_to_piece, range(self.library.get_piece_size()))
+        self.starts = np.array([p.startswith(sentence_pieces.MARK) for p in pieces])
+
+    def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts side by side, and how many each has."""
         # One thread: the cores of an executor belong to its tasks.
-        short = [t if len(t) <= LONG_TEXT else "" for t in texts]
-        lists = library.encode(short, num_threads=1)
-        ends = np.cumsum([len(ids) + 1 for ids in lists]).tolist()
-        flat = np.fromiter(
-            chain.from_iterable((*ids, end_id) for ids in lists), dtype="<u2", count=ends[-1]
-        ).tobytes()
-        packed = [flat[2 * a : 2 * b] for a, b in zip([0, *ends], ends)]
-        for i, text in enumerate(texts):
-            if len(text) > LONG_TEXT:
-                ids = sentence_pieces._encoder(shared).encode([text])[0]
-                packed[i] = np.frombuffer(ids, dtype=np.int32).astype("<u2").tobytes() + packed[i]
-        return packed
+        lists = self.library.encode(texts, num_threads=1)
+        sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+        ids = np.fromiter(chain.from_iterable(lists), dtype="<u2", count=int(sizes.sum()))
+        return ids, sizes
+
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of words without a blank, none of them empty."""
+        runs = [" ".join(words[i : i + RUN_WORDS]) for i in range(0, len(words), RUN_WORDS)]
+        ids, _ = self.flat(runs)
+        first = np.flatnonzero(self.starts[ids])
+        if len(first) != len(words):
+            return self.flat(words)
+        return ids, np.diff(np.append(first, len(ids)))
+
+
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of some ``PART_BYTES`` of text; one text is never cut."""
+    for batch in batches:
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0))
+        part = np.cumsum(sizes, dtype=np.int64) // PART_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for start, end in pairwise(cuts):
+            if end > start:
+                yield batch.slice(start, end - start)
+
+
+def _tokens(shared, end_id: int):
+    def alone(words: Words, text: str) -> np.ndarray:
+        if len(text) <= LONG_TEXT:
+            return words.flat([text])[0]
+        ids = sentence_pieces._encoder(shared).encode([text])[0]
+        return np.frombuffer(ids, dtype=np.int32).astype("<u2")
+
+    def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """16-bit ids of all texts, each closed by an end id, and how many each has."""
+        model, tables = shared.value
+        words = worker_state(("words", hash(model)), lambda: Words(model))
+        own = pc.fill_null(texts, "")
+        # Texts whose blanks part no words, or that hold the mark itself, go alone.
+        odd = pc.match_substring_regex(own, f"^$|^ | $|  |{sentence_pieces.MARK}")
+        if not (tables["plain"] and tables["closed"]):
+            odd = pc.fill_null(pc.equal(own, own), True)
+        cut = pc.split_pattern(pc.if_else(odd, "", own), " ")
+        bounds = np.asarray(cut.offsets).astype(np.int64)
+        bounds -= bounds[0]
+        coded_words = cut.flatten().dictionary_encode()
+        index = np.asarray(coded_words.indices).astype(np.int64)
+        known = coded_words.dictionary.to_pylist()
+        short = np.array([0 < len(w) <= LONG_TEXT for w in known], dtype=bool)
+        ids, sizes = words.words([w for w, s in zip(known, short) if s])
+        end = len(known)
+        lengths, starts = np.zeros((2, end + 1), dtype=np.int64)
+        lengths[:end][short], starts[:end][short] = sizes, np.cumsum(sizes) - sizes
+        lengths[end], starts[end] = 1, len(ids)
+        rows = np.flatnonzero(np.asarray(odd))
+        long = np.flatnonzero(~short & np.array([w != "" for w in known], dtype=bool))
+        others = [alone(words, own[row].as_py()) for row in rows.tolist()]
+        others += [alone(words, known[k]) for k in long.tolist()]
+        more = np.array([len(o) for o in others], dtype=np.int64)
+        place = len(ids) + 1 + np.cumsum(more) - more
+        index[bounds[rows]] = end + 1 + np.arange(len(rows))
+        starts[long], lengths[long] = place[len(rows) :], more[len(rows) :]
+        starts = np.append(starts, place[: len(rows)])
+        lengths = np.append(lengths, more[: len(rows)])
+        flat = np.concatenate([ids, [end_id], *others]).astype("<u2")
+        index = np.insert(index, bounds[1:], end)
+        n = lengths[index]
+        ends = np.cumsum(n)
+        place = np.repeat(starts[index] - (ends - n), n)
+        place += np.arange(len(place))
+        return flat[place], np.diff(ends[bounds[1:] + np.arange(len(own))], prepend=0)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, inside = TaskContext.get().partitionId(), 0
-        for batch in slices(batches):
-            packed = coded(texts_of(batch))
-            sizes = np.array([len(p) // 2 for p in packed], dtype=np.int64)
-            ends = inside + np.cumsum(sizes)
-            inside = int(ends[-1])
+        for batch in parts(batches):
+            flat, sizes = coded(batch.column("text"))
+            ends = np.cumsum(sizes)
+            packed = pa.LargeBinaryArray.from_buffers(
+                pa.large_binary(), len(sizes),
+                [None, pa.py_buffer(np.append(0, 2 * ends)), pa.py_buffer(flat)],
+            )
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(packed, pa.binary()), pa.array(sizes),
-                 pa.array(np.full(len(packed), part, dtype=np.int64)), pa.array(ends - sizes)],
+                [batch.column("doc_id"), packed.cast(pa.binary()), pa.array(sizes),
+                 pa.array(np.full(len(sizes), part, dtype=np.int64)),
+                 pa.array(inside + ends - sizes)],
                 names=["doc_id", "tokens", "n", "part", "inside"],
             )
+            inside += int(ends[-1])
 
     return read
 
@@ -163,7 +240,7 @@ def _pieces(n_sequences: int, key: str, length: int):
     """Runs of tokens by sequence; packed, as they are most of what is shuffled."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        permutation, packed = Permutation(n_sequences, key), pa.Codec(CODEC).compress
+        permutation, codec = Permutation(n_sequences, key), pa.Codec(CODEC, RUN_LEVEL)
         for batch in slices(batches, 1024):
             rows = []
             for doc, raw, offset in zip(
@@ -173,7 +250,7 @@ def _pieces(n_sequences: int, key: str, length: int):
                 while at < len(raw) // 2:
                     sequence, start = divmod(offset + at, length)
                     taken = min(length - start, len(raw) // 2 - at)
-                    run = packed(raw[2 * at : 2 * (at + taken)], asbytes=True)
+                    run = codec.compress(raw[2 * at : 2 * (at + taken)], asbytes=True)
                     rows.append((sequence, start, taken, doc, run))
                     at += taken
             if not rows:
@@ -253,7 +330,7 @@ def training_order(
             "doc_id long, tokens binary, n long, part long, inside long",
         ),
         "tokens",
-        compression=CODEC,
+        **STORED,
     )
     total = tokens.agg(F.sum("n")).first()[0] or 0
     sequences = -(-total // length)
