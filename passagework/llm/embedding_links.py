@@ -16,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagework.llm.common import stored
+from passagework.llm.common import sized, stored
 from passagework.llm.components import components, unite
 
 AXES = 6
 MAX_COVARIANCE = 256
 BLOCK_ROWS = 512
+# Blocks that are sent together; divides 2^32, so that a strip lies in one task's numbers.
+STRIP_BLOCKS = 4
 FAN_OUT = 16
 SLACK = 1e-9
 
@@ -149,23 +151,39 @@ def _near(a: str, b: str, epsilon: float):
     return sum(g * g for g in gaps) <= epsilon * epsilon + SLACK
 
 
-def block_pairs(blocked: DataFrame, epsilon: float) -> DataFrame:
-    """Pairs (a, b) of blocks, a <= b in grid order, whose boxes lie within epsilon."""
+def ranked(bounds: DataFrame) -> DataFrame:
+    """Adds ``rank``, the place of a block (label, dim, block) among those of its label.
+
+    Blocks of a label follow each other in a task, so only the counts of the tasks are
+    summed up: a window over a short row for each task, not over the blocks.
+    """
     from pyspark.sql import Window
 
-    order = Window.partitionBy("label", "dim").orderBy("block")
+    task = F.shiftright("block", 32).alias("task")
+    keys = ["label", "dim", "task"]
+    counts = bounds.groupBy("label", "dim", task).agg(
+        F.min("block").alias("first"), F.count("*").alias("n")
+    )
+    before = F.sum("n").over(Window.partitionBy("label", "dim").orderBy("task")) - F.col("n")
+    placed = stored(counts.select(*keys, "first", before.alias("before")), "tasks")
+    return bounds.withColumn("task", task).join(sized(placed), keys).select(
+        *bounds.columns, (F.col("block") - F.col("first") + F.col("before")).alias("rank")
+    )
+
+
+def block_pairs(blocked: DataFrame, epsilon: float) -> DataFrame:
+    """Pairs (a, b) of blocks, a <= b in grid order, whose boxes lie within epsilon."""
     low, high = (
         F.array(*[f(F.col("place")[k]) for k in range(AXES)]) for f in (F.min, F.max)
     )
-    boxes = stored(
-        blocked.groupBy("label", "dim", "block")
-        .agg(low.alias("low"), high.alias("high"))
-        .withColumn("rank", F.row_number().over(order) - 1),
-        "boxes",
+    bounds = stored(
+        blocked.groupBy("label", "dim", "block").agg(low.alias("low"), high.alias("high")),
+        "bounds",
     )
+    boxes = stored(ranked(bounds), "boxes")
     most = boxes.agg(F.max("rank")).first()[0]
     levels = max(1, math.ceil(math.log(max(2, (most or 0) + 1), FAN_OUT)))
-    pairs = boxes.select("label", "dim", F.lit(0).alias("a"), F.lit(0).alias("b")).distinct()
+    pairs = boxes.select("label", "dim", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b")).distinct()
     for level in range(levels - 1, -1, -1):
         width = FAN_OUT**level
         low, high = (
@@ -173,9 +191,9 @@ def block_pairs(blocked: DataFrame, epsilon: float) -> DataFrame:
             for c, f in (("low", F.min), ("high", F.max))
         )
         level_boxes = (
-            boxes.groupBy("label", "dim", F.floor(F.col("rank") / width).cast("int").alias("at"))
+            boxes.groupBy("label", "dim", F.floor(F.col("rank") / width).alias("at"))
             .agg(low.alias("low"), high.alias("high"), F.min("block").alias("block"))
-            .withColumn("parent", F.floor(F.col("at") / FAN_OUT).cast("int"))
+            .withColumn("parent", F.floor(F.col("at") / FAN_OUT))
         )
         x = level_boxes.alias("x")
         y = level_boxes.alias("y")
@@ -213,40 +231,37 @@ def linked(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
 
 
 def _compare(threshold: float):
-    def rows_of(block: list[dict]):
-        nodes = np.array([r["node"] for r in block], dtype=np.int64)
-        copies = np.array([r["copies"] for r in block], dtype=np.int64)
-        return nodes, copies, np.array([r["embedding"] for r in block], dtype=np.float64)
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(whole.num_rows):
-                row = whole.slice(at, 1)
-                same = row.column("same")[0].as_py()
-                a_nodes, a_copies, a = rows_of(row.column("left")[0].as_py())
-                b_nodes, b_copies, b = (
-                    (a_nodes, a_copies, a) if same else rows_of(row.column("right")[0].as_py())
-                )
-                found = linked(a, b, threshold)
-                if same:
-                    np.fill_diagonal(found, False)
-                i, j = np.nonzero(found)
-                if same:
-                    nodes, links = a_nodes, found @ a_copies
-                    label = np.arange(len(nodes))
-                    unite(label, i, j)
-                else:
-                    nodes = np.concatenate((a_nodes, b_nodes))
-                    links = np.concatenate((found @ b_copies, found.T @ a_copies))
-                    label = np.arange(len(nodes))
-                    unite(label, i, j + len(a_nodes))
-                has = np.flatnonzero(links)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(nodes[has]), pa.array(links[has]), pa.array(nodes[label[has]])],
-                    names=["node", "links", "root"],
-                )
+    """The pairs of blocks of two strips, beside the rows of these strips."""
+
+    def one_pair(a, b) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found = linked(a[2], b[2], threshold)
+        if a is b:
+            np.fill_diagonal(found, False)
+            nodes, links, shift = a[0], found @ a[1], 0
+        else:
+            nodes, shift = np.concatenate((a[0], b[0])), len(a[0])
+            links = np.concatenate((found @ b[1], found.T @ a[1]))
+        i, j = np.nonzero(found)
+        label = np.arange(len(nodes))
+        unite(label, i, j + shift)
+        has = np.flatnonzero(links)
+        return nodes[has], links[has], nodes[label[has]]
+
+    def compare(rows: pa.Table, pairs: pa.Table) -> pa.Table:
+        rows = rows.sort_by("block").combine_chunks()
+        blocks, starts = np.unique(rows.column("block").to_numpy(), return_index=True)
+        held = {}
+        for block, start, end in zip(blocks.tolist(), starts, [*starts[1:], len(rows)]):
+            own = rows.slice(start, end - start)
+            nodes, copies = (own.column(c).to_numpy() for c in ("node", "copies"))
+            held[block] = nodes, copies, matrix(own.column("embedding"))
+        ends = zip(*(pairs.column(c).to_pylist() for c in ("a", "b")))
+        found = zip(*(one_pair(held[a], held[b]) for a, b in ends))
+        return pa.table(
+            {n: np.concatenate(f) for n, f in zip(("node", "links", "root"), found)}
+        )
 
-    return read
+    return compare
 
 
 def vector_links(distinct: DataFrame, threshold: float) -> DataFrame:
@@ -265,16 +280,23 @@ def vector_links(distinct: DataFrame, threshold: float) -> DataFrame:
         .mapInArrow(_number, fields + ", block long"),
         "grid-order",
     )
-    content = blocked.groupBy("block").agg(
-        F.collect_list(F.struct("node", "copies", "embedding")).alias("rows")
+    # Neighbouring blocks travel together, once for all pairs between two strips.
+    strip = [F.floor(F.col(c) / STRIP_BLOCKS) for c in ("a", "b")]
+    pairs = stored(
+        block_pairs(blocked, epsilon).select(strip[0].alias("x"), strip[1].alias("y"), "a", "b"),
+        "pairs",
     )
-    left, right = (
-        content.select(F.col("block").alias(k), F.col("rows").alias(v))
-        for k, v in (("a", "left"), ("b", "right"))
+    met = pairs.select("x", "y").distinct()
+    wanted = stored(
+        met.select("x", "y", F.col("x").alias("strip")).unionByName(
+            met.filter("x <> y").select("x", "y", F.col("y").alias("strip"))
+        ),
+        "strips",
     )
-    pairs = block_pairs(blocked, epsilon)
-    joined = pairs.join(left, "a").join(right, "b")
-    return joined.select((F.col("a") == F.col("b")).alias("same"), "left", "right").mapInArrow(
+    rows = blocked.select(
+        F.floor(F.col("block") / STRIP_BLOCKS).alias("strip"), "block", "node", "copies", "embedding"
+    ).join(sized(wanted), "strip").drop("strip")
+    return rows.groupBy("x", "y").cogroup(pairs.groupBy("x", "y")).applyInArrow(
         _compare(threshold), "node long, links long, root long"
     )
 
