@@ -51,6 +51,11 @@ def _index_rows(index):
     )
 
 
+def _arriving(spark, sf_dir, name, schema):
+    """A table as a stream, be it one file or a folder of files: a pattern may meet either."""
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
 def q_index_store(spark, sf_dir):
     """Written, written again without effect, and read back."""
     path = shared_folder(spark, "index")
@@ -63,10 +68,7 @@ def q_index_store(spark, sf_dir):
 def q_stream_index(spark, sf_dir):
     path, checkpoint = shared_folder(spark, "index"), shared_folder(spark, "stream")
     schema = "doc_id bigint, text string, source string"
-    arriving = (
-        spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet")
-        .parquet(sf_dir)
-    )
+    arriving = _arriving(spark, sf_dir, "documents", schema)
     metadata = F.struct("source", F.lit(None).alias("ticker"), F.lit(None).alias("date"))
     docs = arriving.select("doc_id", "text", metadata.cast(METADATA).alias("metadata"))
     docs = docs.repartition(spark.sparkContext.defaultParallelism, "doc_id")  # one file arrives
