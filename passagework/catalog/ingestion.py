@@ -178,10 +178,7 @@ def q_log_life(spark, sf_dir):
 def q_stream_turns(spark, sf_dir):
     path, checkpoint = shared_folder(spark, "turns"), shared_folder(spark, "stream")
     schema = "conv_id bigint, turn bigint, role string, text string"
-    arriving = (
-        spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet")
-        .parquet(sf_dir)
-    )
+    arriving = _arriving(spark, sf_dir, "conversations", schema)
     said = arriving.select("conv_id", "turn", "role", F.col("text").alias("content"))
     stream_turns(said, path, checkpoint).awaitTermination()
     history = prompt_history(load_turns(spark, path), 4)

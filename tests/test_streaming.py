@@ -1,5 +1,8 @@
 """Streams against the batch results of the same files."""
 
+import pytest
+
+from passagework.catalog import ingestion
 from passagework.operators.chunking import index_documents
 from passagework.operators.embedding import HashedEmbedder
 from passagework.operators.history import prompt_history
@@ -89,3 +92,23 @@ def test_a_streamed_log_is_appended_to_and_reset(spark, tmp_path):
     reset_turns(spark, log)
     arrive("c.json")
     assert {r.content for r in load_turns(spark, log).collect()} == {"c.json"}
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_tables_stream_as_one_file_or_as_a_folder_of_files(spark, tmp_path, files):
+    conversations = [(c, t, "user", f"said {c} {t}") for c in range(4) for t in range(3)]
+    documents = [(i, f"text {i} of some words", "src") for i in range(5)]
+    for name, rows_of, schema in (
+        ("conversations", conversations, "conv_id bigint, turn bigint, role string, text string"),
+        ("documents", documents, "doc_id bigint, text string, source string"),
+    ):
+        table = spark.createDataFrame(rows_of, schema).repartition(files)
+        folder = tmp_path / f"{name}.parquet"
+        if files > 1:
+            table.write.parquet(str(folder))
+        else:
+            table.toPandas().to_parquet(folder)
+    turns = ingestion.q_stream_turns(spark, str(tmp_path)).collect()
+    assert sorted((r.conv_id, r.content) for r in turns) == sorted((c, m) for c, _, _, m in conversations)
+    index = ingestion.q_stream_index(spark, str(tmp_path)).collect()
+    assert sorted(r.text for r in index) == [text for _, text, _ in documents]
