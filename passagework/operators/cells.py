@@ -3,9 +3,12 @@
 Index and questions are partitioned by cells around a bounded set of pivots.
 The triangle inequality gives an upper bound of a question's k-th distance and
 a lower bound of its distance to each cell, so a question travels only to cells
-that can hold one of its neighbours. Cells are split by hash of the id into
-shards of bounded size. A task sorts a shard's index rows before its questions,
-so it holds one shard while any number of questions streams through. Vectors are
+that can hold one of its neighbours. Large cells are split by hash of the id into
+shards of bounded size and small ones share a shard; a question is sent to a shard
+once, however many of its cells it can reach. Every shard meets the questions in
+parts of bounded size, one task each: the bytes that are moved grow with the product
+of both sides divided by these bounds, and no task grows with a table. A task sorts
+its index rows before its questions, which stream through. Vectors are
 written to the shared folder first: the passes over them (pivots, cells, search)
 read that table, so that a model makes each of them once.
 """
@@ -22,10 +25,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from passagework.operators.nearest import Best, rows_of
+from passagework.operators.nearest import Best, rows_of, without_surplus_copies
 from passagework.session import written
 
-SHARD_ROWS = 16_384
+SHARD_BYTES = 64 << 20
+PART_ROWS = 65_536
 MAX_PIVOTS = 256
 MAX_TASKS = 50_000
 
@@ -66,62 +70,94 @@ def search_cells(
     k: int,
     dim: int,
     schema,
-    shard_rows: int = SHARD_ROWS,
+    shard_rows: int | None = None,
     pivots: int = MAX_PIVOTS,
 ) -> DataFrame:
     """Nearest index rows per question and shard; both sides have ``id, v``."""
-    queries = _whole(written(queries, "question-vectors"), dim)
-    index = _whole(written(index, "index-vectors"), dim)
+    kind = queries.schema["v"].dataType
+    if kind != index.schema["v"].dataType:
+        kind = "array<double>"
+    queries = _whole(written(queries, "question-vectors"), dim, kind)
+    index = _whole(written(index, "index-vectors"), dim, kind)
     centres = _pivots(index, dim, pivots)
     placed = _placed(index, centres)
     cells = _cells(placed, centres, k)
     if cells is None:
         return index.sparkSession.createDataFrame([], schema)
-    per_cell = -(-cells.rows // shard_rows)
-    pairs = [F.lit(int(n)) for pair in zip(cells.known, per_cell) for n in pair]
-    shards = F.element_at(F.create_map(*pairs), F.col("cell"))
+    bounds = shards_of(cells.rows, rows_per_shard(dim, shard_rows))
+    first = {int(c): a for c, (a, _) in zip(cells.known, bounds)}
+    last = {int(c): b for c, (_, b) in zip(cells.known, bounds)}
+    shards = max(last.values()) + 1
 
     @F.pandas_udf("array<int>")
-    def reachable(v: pd.Series) -> pd.Series:
-        return pd.Series(cells.reachable(np.stack(v.to_numpy()), k))
+    def visited(v: pd.Series) -> pd.Series:
+        reached = cells.reachable(np.stack(v.to_numpy()).astype(np.float64), k)
+        spans = [[np.arange(first[c], last[c] + 1) for c in map(int, r)] for r in reached]
+        return pd.Series([np.unique(np.concatenate(s)).astype(np.int32) for s in spans])
 
     query_type, index_type = schema[0].dataType, schema[1].dataType
-    index_rows = placed.select(
-        "cell",
-        F.pmod(F.xxhash64("id"), shards).cast("int").alias("shard"),
+    cores = index.sparkSession.sparkContext.defaultParallelism
+    parts = max(-(-queries.count() // PART_ROWS), -(-2 * cores // shards))
+    starts = F.create_map(*[F.lit(x) for pair in first.items() for x in pair])
+    ends = F.create_map(*[F.lit(x) for pair in last.items() for x in pair])
+    start, end = F.element_at(starts, F.col("cell")), F.element_at(ends, F.col("cell"))
+    part = F.pmod(F.xxhash64("id"), F.lit(parts))
+    index_rows = placed.withColumn(
+        "shard", (start + F.pmod(F.xxhash64("id"), end - start + 1)).cast("int")
+    ).select(
+        "shard",
+        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"),
         F.lit(0).alias("side"),
         F.col("id").alias("index_id"),
         F.lit(None).cast(query_type).alias("query_id"),
         "v",
     )
-    query_rows = (
-        queries.withColumn("cell", F.explode(reachable("v")))
-        .withColumn("shard", F.explode(F.sequence(F.lit(0), shards - 1)))
-        .select(
-            "cell",
-            "shard",
-            F.lit(1).alias("side"),
-            F.lit(None).cast(index_type).alias("index_id"),
-            F.col("id").alias("query_id"),
-            "v",
-        )
+    query_rows = queries.select(
+        F.explode(visited("v")).alias("shard"),
+        part.cast("int").alias("part"),
+        F.lit(1).alias("side"),
+        F.lit(None).cast(index_type).alias("index_id"),
+        F.col("id").alias("query_id"),
+        "v",
     )
-    # A fixed number: few bytes mean much work here, so partitions must not be
-    # merged by size.
-    cores = index.sparkSession.sparkContext.defaultParallelism
-    tasks = min(max(int(per_cell.sum()), cores), MAX_TASKS)
+    # A task per shard and part of the questions: few bytes mean much work here, so
+    # partitions must not be merged by size, nor meet by chance of a hash.
     return (
         index_rows.unionByName(query_rows)
-        .repartition(tasks, "cell", "shard")
-        .sortWithinPartitions("cell", "shard", "side")
+        .repartitionById(
+            min(shards * parts, MAX_TASKS),
+            ((F.col("shard").cast("long") * parts + F.col("part")) % MAX_TASKS).cast("int"),
+        )
+        .sortWithinPartitions("shard", "part", "side")
         .mapInArrow(_search(k, dim, to_arrow_schema(schema)), schema)
     )
 
 
-def _whole(side: DataFrame, dim: int) -> DataFrame:
+def rows_per_shard(dim: int, shard_rows: int | None = None) -> int:
+    """Index rows that a task holds as doubles at once, bounded in bytes if not by a caller."""
+    return shard_rows or max(1024, SHARD_BYTES // (8 * dim))
+
+
+def shards_of(rows, bound: int) -> list[tuple[int, int]]:
+    """Per cell its first and last shard: small cells share one, large ones have several."""
+    out, shard, held = [], -1, bound
+    for n in map(int, rows):
+        pieces = -(-n // bound)
+        if pieces > 1:
+            out.append((shard + 1, shard + pieces))
+            shard, held = shard + pieces, bound
+            continue
+        if held + n > bound:
+            shard, held = shard + 1, 0
+        held += n
+        out.append((shard, shard))
+    return out
+
+
+def _whole(side: DataFrame, dim: int, kind) -> DataFrame:
     gap = F.exists("v", lambda e: e.isNull() | F.isnan(e))
     usable = side.where((F.size("v") == dim) & ~gap)
-    return usable.select("id", F.col("v").cast("array<double>").alias("v"))
+    return usable.select("id", F.col("v").cast(kind).alias("v"))
 
 
 def _pivots(index: DataFrame, dim: int, n: int) -> np.ndarray:
@@ -135,7 +171,7 @@ def _placed(index: DataFrame, centres: np.ndarray) -> DataFrame:
 
     @F.pandas_udf("struct<cell:int,d:double>")
     def nearest_centre(v: pd.Series) -> pd.DataFrame:
-        distances = to_centres(np.stack(v.to_numpy()), centres)
+        distances = to_centres(np.stack(v.to_numpy()).astype(np.float64), centres)
         cell = distances.argmin(axis=1)
         nearest = distances[np.arange(len(cell)), cell]
         return pd.DataFrame({"cell": cell.astype(np.int32), "d": nearest})
@@ -183,7 +219,8 @@ def _search(k: int, dim: int, arrow: pa.Schema):
                     blocks.append(block)
                 elif blocks:
                     if len(blocks) > 1:
-                        blocks = [np.concatenate(blocks)]
+                        ids, whole = without_surplus_copies(ids, np.concatenate(blocks), k)
+                        blocks = [whole]
                     best = Best(*rows_of(rows["query_id"], rows["v"], dim), k)
                     best.add(ids, blocks[0])
                     yield best.batch(arrow)
@@ -192,10 +229,10 @@ def _search(k: int, dim: int, arrow: pa.Schema):
 
 
 def _runs(batch: pa.RecordBatch):
-    """Slices of equal (cell, shard, side) in a sorted batch."""
+    """Slices of equal (shard, part, side) in a sorted batch."""
     if not batch.num_rows:
         return
-    columns = [batch[c].to_numpy() for c in ("cell", "shard", "side")]
+    columns = [batch[c].to_numpy() for c in ("shard", "part", "side")]
     change = np.zeros(batch.num_rows - 1, dtype=bool)
     for c in columns:
         change |= c[1:] != c[:-1]

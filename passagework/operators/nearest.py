@@ -11,8 +11,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 QUERY_BLOCK = 512
+SLAB_ROWS = 4096
 MERGE_ROWS = 1 << 14
-MARGIN = 1e-7
+ROUNDING = 2.0**-22  # of a term of a sum in single precision, with room
+LARGEST = 1e30  # squared lengths beyond are not compared in single precision
 
 
 def rows_of(ids, vectors, dim: int) -> tuple[list, np.ndarray]:
@@ -35,55 +37,112 @@ def rows_of(ids, vectors, dim: int) -> tuple[list, np.ndarray]:
 
 
 class Best:
-    """Best k per question over the index blocks seen so far."""
+    """Best k per question over the index blocks seen so far, kept in arrays.
+
+    A product in single precision preselects, with a margin beyond its rounding. Once a
+    question has k rows their last distance is the bound for all later slabs of a block.
+    """
 
     def __init__(self, ids, vectors: np.ndarray, k: int):
         self.ids, self.vectors, self.k = ids, vectors, k
         self.norms = np.einsum("ij,ij->i", vectors, vectors)
         self.limit = np.full(len(ids), np.inf)
-        self.found: list[list] = [[] for _ in ids]
+        self.filled = np.zeros(len(ids), dtype=np.int64)
+        self.scores: np.ndarray | None = None  # made with the first block
+        self.hits: np.ndarray | None = None
 
     def add(self, ids, block: np.ndarray) -> None:
         ids, block = without_surplus_copies(ids, block, self.k)
+        if not len(ids) or not len(self.vectors):
+            return
+        ids = _id_array(ids)
+        if self.scores is None:
+            self.scores = np.full((len(self.vectors), self.k), np.inf)
+            self.hits = np.empty((len(self.vectors), self.k), dtype=ids.dtype)
+        elif self.hits.dtype != ids.dtype:
+            self.hits, ids = self.hits.astype(object), ids.astype(object)
         block_norms = np.einsum("ij,ij->i", block, block)
-        for start in range(0, len(self.vectors), QUERY_BLOCK):
-            part = slice(start, start + QUERY_BLOCK)
-            near = self._candidates(part, block, block_norms)
-            for at in range(0, len(near[0]), MERGE_ROWS):
-                piece = slice(at, at + MERGE_ROWS)
-                self._merge(start, (near[0][piece], near[1][piece]), ids, block)
-
-    def _candidates(self, part, block, block_norms):
-        scale = 1.0 + self.norms[part][:, None] + block_norms[None, :]
-        rough = self.norms[part][:, None] + block_norms[None, :]
-        rough -= 2.0 * (self.vectors[part] @ block.T)
-        limit = self.limit[part]
-        if len(block) > self.k:
-            kth = np.partition(rough, self.k - 1, axis=1)[:, self.k - 1]
-            limit = np.minimum(limit, kth + MARGIN * scale.max(axis=1))
-        return np.nonzero(rough <= limit[:, None] + MARGIN * scale)
-
-    def _merge(self, start, near, ids, block) -> None:
-        rows, cols = near
-        left, right = self.vectors[rows + start], block[cols]
+        for at in range(0, len(block), SLAB_ROWS):
+            slab, norms = block[at : at + SLAB_ROWS], block_norms[at : at + SLAB_ROWS]
+            most = norms.max()
+            sides = np.empty((len(slab), slab.shape[1] + 1), dtype=np.float32)
+            if most < LARGEST:
+                sides[:, :-1], sides[:, -1] = slab, norms
+            for start in range(0, len(self.vectors), QUERY_BLOCK):
+                part = slice(start, start + QUERY_BLOCK)
+                rows, cols = self._candidates(part, sides, most)
+                self._merge(rows + start, cols, ids[at : at + SLAB_ROWS], slab)
+
+    def _candidates(self, part, sides, most):
+        norms, limit = self.norms[part], self.limit[part]
+        if not (most < LARGEST and norms.max() < LARGEST):  # beyond single precision
+            return tuple(g.ravel() for g in np.indices((len(norms), len(sides))))
+        asked = np.ones((len(norms), sides.shape[1]), dtype=np.float32)
+        asked[:, :-1] = -2.0 * self.vectors[part]
+        rough = asked @ sides.T  # the distance without the question's own norm
+        margin = (sides.shape[1] + 8) * ROUNDING * (1.0 + norms + most)
+        fresh = np.flatnonzero(limit == np.inf)
+        if len(sides) > self.k and len(fresh):
+            # Among these rows alone the k-th is a bound already.
+            kth = np.partition(rough[fresh], self.k - 1, axis=1)[:, self.k - 1]
+            limit = limit.copy()
+            limit[fresh] = kth + norms[fresh] + margin[fresh]
+        return np.nonzero(rough <= (limit - norms + margin).astype(np.float32)[:, None])
+
+    def _merge(self, rows, cols, ids, block) -> None:
+        if not len(rows):
+            return
         score = np.zeros(len(rows))
-        for d in range(left.shape[1]):  # dimension order, as a left fold
-            step = left[:, d] - right[:, d]
-            score += step * step
-        bounds = np.flatnonzero(np.diff(rows)) + 1
-        for group in np.split(np.arange(len(rows)), bounds):
-            at = rows[group[0]] + start
-            best = self.found[at] + [(score[g], ids[cols[g]]) for g in group]
-            best.sort()
-            self.found[at] = best[: self.k]
-            if len(self.found[at]) == self.k:
-                self.limit[at] = best[self.k - 1][0]
+        for at in range(0, len(rows), MERGE_ROWS):
+            piece = slice(at, at + MERGE_ROWS)
+            gap = np.ascontiguousarray((self.vectors[rows[piece]] - block[cols[piece]]).T)
+            for step in gap:  # dimension order, as a left fold
+                score[piece] += step * step
+        near = ~(score > self.limit[rows])
+        rows, score, found = rows[near], score[near], ids[cols[near]]
+        met = np.unique(rows)
+        held = np.arange(self.k)[None, :] < self.filled[met][:, None]
+        rows = np.concatenate([np.repeat(met, self.filled[met]), rows])
+        score = np.concatenate([self.scores[met][held], score])
+        found = np.concatenate([self.hits[met][held], found])
+        order = np.lexsort((_ranks(found), score, rows))
+        rows, score, found = rows[order], score[order], found[order]
+        first = np.searchsorted(rows, rows)
+        place = np.arange(len(rows)) - first
+        kept = place < self.k
+        rows, place = rows[kept], place[kept]
+        self.scores[rows, place], self.hits[rows, place] = score[kept], found[kept]
+        self.filled[met] = np.bincount(np.searchsorted(met, rows), minlength=len(met))
+        full = met[self.filled[met] == self.k]
+        self.limit[full] = self.scores[full, -1]
 
     def batch(self, schema: pa.Schema) -> pa.RecordBatch:
-        flat = [(q, i, s) for q, best in zip(self.ids, self.found) for s, i in best]
-        columns = zip(*flat) if flat else ((), (), ())
-        arrays = [pa.array(list(c), type=f.type) for c, f in zip(columns, schema)]
-        return pa.RecordBatch.from_arrays(arrays, schema=schema)
+        names, types = schema.names, [f.type for f in schema]
+        if self.scores is None:
+            return pa.RecordBatch.from_arrays([pa.array([], t) for t in types], names=names)
+        held = np.arange(self.k)[None, :] < self.filled[:, None]
+        asked = pa.array(self.ids, type=types[0]).take(pa.array(np.nonzero(held)[0]))
+        columns = [asked, pa.array(self.hits[held], type=types[1]),
+                   pa.array(self.scores[held], type=types[2])]
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def _id_array(ids) -> np.ndarray:
+    """Ids as numbers where all are, as Python objects otherwise."""
+    if all(type(i) is int for i in ids):
+        return np.array(ids, dtype=np.int64)
+    out = np.empty(len(ids), dtype=object)
+    out[:] = ids
+    return out
+
+
+def _ranks(ids: np.ndarray) -> np.ndarray:
+    """Numbers in the order of the ids, null first."""
+    if ids.dtype != object:
+        return ids
+    known = sorted(set(ids.tolist()), key=lambda i: (i is not None, i))
+    rank = {i: n for n, i in enumerate(known)}
+    return np.array([rank[i] for i in ids.tolist()], dtype=np.int64)
 
 
 def without_surplus_copies(ids, block: np.ndarray, k: int):

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from passagework.functions.fixed_values import MAX_DISTANCE, TOP_K
-from passagework.operators.cells import MAX_PIVOTS, SHARD_ROWS, search_cells
+from passagework.operators.cells import MAX_PIVOTS, search_cells
 from passagework.operators.nearest import Best, rows_of
 
 MAX_BROADCAST_BYTES = 64 << 20
@@ -36,7 +36,7 @@ def knn(
     index_id: str = "chunk_id",
     vector: str = "embedding",
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
-    shard_rows: int = SHARD_ROWS,
+    shard_rows: int | None = None,
     pivots: int = MAX_PIVOTS,
     dim: int | None = None,
 ) -> DataFrame:

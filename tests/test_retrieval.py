@@ -5,8 +5,10 @@ import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from passagework.functions.fixed_values import BASE_SYSTEM
+from passagework.operators import cells
 from passagework.operators.cells import Cells
 from passagework.operators.chunking import (
     chunk_documents,
@@ -152,6 +154,30 @@ def test_far_cells_are_left_out():
     assert cells.reachable(questions, 3)[1].tolist() == [0, 1]  # its own holds only two
 
 
+def test_questions_meet_a_shard_in_parts_of_bounded_size(spark, clustered, monkeypatch):
+    queries, index = clustered
+    monkeypatch.setattr(cells, "PART_ROWS", 1)
+    q, x = vectors(spark, queries, "query_id"), vectors(spark, index, "chunk_id")
+    found = cells.search_cells(
+        q.select(F.col("query_id").alias("id"), F.col("embedding").alias("v")),
+        x.select(F.col("chunk_id").alias("id"), F.col("embedding").alias("v")), 3, 8,
+        T.StructType.fromDDL("query_id long, chunk_id long, score double"), shard_rows=10_000,
+    )
+    assert found.rdd.getNumPartitions() == len(queries)  # one shard, a task per part
+    assert search(spark, queries, index, 3, max_broadcast_bytes=1) == brute_force(queries, index, 3)
+
+
+@pytest.mark.parametrize("size", [1.0, 1e-25, 1e25, 1e150])
+def test_distances_of_any_size_and_nearly_equal_ones(spark, size):
+    """Beyond what single precision tells apart, and beyond its range."""
+    rng = np.random.default_rng(2)
+    points = size * (1.0 + 1e-9 * rng.normal(size=(300, 4)))
+    index = [(i, v.tolist()) for i, v in enumerate(points)]
+    queries = index[:20]
+    for options in ({}, {"max_broadcast_bytes": 1}):
+        assert search(spark, queries, index, 4, **options) == brute_force(queries, index, 4)
+
+
 def test_no_plan_multiplies_the_sides(spark, clustered):
     queries, index = clustered
     q, x = vectors(spark, queries, "query_id"), vectors(spark, index, "chunk_id")
