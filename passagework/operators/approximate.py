@@ -3,49 +3,61 @@
 The index is cut into cells around centres trained by k-means, and stored by cell. A
 row carries a code of its residual, the difference from its centre, in one byte per
 dimension. A question is compared with the codes of its nearest cells only; the best
-``refine * k`` of these are compared once more by their vectors, so the scores that come
-back are exact, and only rows outside the probed cells can be missing. How many are is
-measured with :func:`recall`.
+``refine * k`` of a shard are compared once more by their vectors, so the scores that come
+back are exact, and only rows outside the probed cells can be missing. How many cells
+that takes depends on the vectors: it is measured on a bounded sample of the index when
+it is built. What a search finds is measured with :func:`recall`.
 
 Training reads a bounded sample, a pass per round: every task sums up the rows nearest
 to each centre, and the sums, one row per cell, meet on the driver. The index itself is
-coded in one pass. Both sides of a search are dealt by cell and shard, so a cell with a
-third of all rows is read by many tasks.
+coded in one pass. Small cells share a shard and large ones are cut into several; a
+question is sent once to each shard that has one of its cells, in parts of bounded size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from passagework.functions.fixed_values import TOP_K
-from passagework.operators.cells import MAX_TASKS, SHARD_ROWS, _runs, to_centres
-from passagework.operators.nearest import Best, rows_of
-from passagework.operators.search import MAX_BROADCAST_HITS, vector_size
+from passagework.operators.cells import MAX_TASKS, PART_ROWS, _runs, shards_of, to_centres
+from passagework.operators.nearest import rows_of, without_surplus_copies
+from passagework.operators.search import knn, vector_size
 from passagework.session import written
 
 MAX_CELLS = 4096
 SAMPLE_ROWS = 500_000
 ROUNDS = 8
 PROBES, REFINE = 16, 8
+# Rows that tell how many cells hold this share of their nearest others.
+TUNING_ROWS, TUNED_RECALL = 1000, 0.95
+SHARD_ROWS = 32_768
+QUESTION_ROWS = 256
 LEVELS = 255
 
 
 @dataclass(frozen=True)
 class TrainedCells:
-    """Centres, the range of residuals per dimension, and how many rows each cell has."""
+    """Centres, the range of residuals per dimension, how many rows each cell has, and how
+    many cells are probed unless a search says so."""
 
     centres: np.ndarray
     low: np.ndarray
     step: np.ndarray
     rows: np.ndarray
+    probes: int = PROBES
+
+    def parts(self) -> tuple:
+        """What a broadcast carries: the class itself need not be known where it arrives."""
+        return self.centres, self.low, self.step, self.rows, self.probes
 
     def place(self, vectors: np.ndarray) -> np.ndarray:
         return to_centres(vectors, self.centres).argmin(axis=1)
@@ -170,13 +182,14 @@ def build_cells(
     cells = train_cells(rows, dim, n_cells)
     if cells is None:
         return None
-    shared = spark.sparkContext.broadcast(cells)
+    shared = spark.sparkContext.broadcast(cells.parts())
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = TrainedCells(*shared.value)
         for batch in batches:
             ids, vectors = rows_of(batch["id"], batch["v"], dim)
-            place = shared.value.place(vectors)
-            codes = shared.value.code(vectors, place)
+            place = known.place(vectors)
+            codes = known.code(vectors, place)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(place.astype(np.int32)), batch["id"], batch["v"],
                  pa.array([c.tobytes() for c in codes], pa.binary())],
@@ -190,26 +203,52 @@ def build_cells(
     placed.repartitionByRange("cell", F.xxhash64("id")).write.partitionBy("cell").parquet(
         f"{path.rstrip('/')}/rows"
     )
-    sizes = spark.read.parquet(f"{path.rstrip('/')}/rows").groupBy("cell").count().collect()
-    for cell, n in sizes:
+    stored = spark.read.parquet(f"{path.rstrip('/')}/rows")
+    for cell, n in stored.groupBy("cell").count().collect():
         cells.rows[cell] = n
+    cells = replace(cells, probes=_tuned_probes(stored, cells, dim))
     meta = [(i, int(cells.rows[i]), c.tolist()) for i, c in enumerate(cells.centres)]
     schema = "cell int, n long, centre array<double>"
     spark.createDataFrame(meta, schema).coalesce(1).write.parquet(f"{path.rstrip('/')}/centres")
-    scale = [(cells.low.tolist(), cells.step.tolist())]
-    spark.createDataFrame(scale, "low array<double>, step array<double>").coalesce(1).write.parquet(
-        f"{path.rstrip('/')}/scale"
-    )
+    scale = [(cells.low.tolist(), cells.step.tolist(), cells.probes)]
+    schema = "low array<double>, step array<double>, probes int"
+    spark.createDataFrame(scale, schema).coalesce(1).write.parquet(f"{path.rstrip('/')}/scale")
     return cells
 
 
+def _tuned_probes(stored: DataFrame, cells: TrainedCells, dim: int, k: int = TOP_K) -> int:
+    """How many cells hold ``TUNED_RECALL`` of the nearest others of a sample of the rows.
+
+    The sample are the ``TUNING_ROWS`` rows that a hash of the id puts first, searched
+    for in all rows; at most ``k`` cells of each meet on the driver.
+    """
+    first = stored.orderBy(F.xxhash64("id"), "id").limit(TUNING_ROWS)
+    sample = written(first.select(F.col("id").alias("query_id"), "v"), "cell-tuning")
+    rows = stored.select(F.col("id").alias("chunk_id"), "cell", "v")
+    hits = knn(sample, rows, k + 1, vector="v", dim=dim).where("chunk_id <> query_id")
+    met = hits.join(rows.select("chunk_id", "cell"), "chunk_id").groupBy("query_id").agg(
+        F.collect_list("cell").alias("cells")
+    )
+    table = met.join(sample, "query_id").select("query_id", "cells", "v").toArrow()
+    if not table.num_rows:
+        return PROBES
+    known = np.flatnonzero(cells.rows)
+    number = {int(c): i for i, c in enumerate(known)}
+    _, vectors = rows_of(table["query_id"], table["v"], dim)
+    order = np.argsort(to_centres(vectors, cells.centres[known]), axis=1).argsort(axis=1)
+    ranks = np.sort([
+        order[i, number[c]] for i, met in enumerate(table["cells"].to_pylist()) for c in met
+    ])
+    return max(PROBES, int(ranks[int(np.ceil(TUNED_RECALL * len(ranks))) - 1]) + 1)
+
+
 def load_cells(spark: SparkSession, path: str) -> TrainedCells:
     """What :func:`build_cells` stored: at most MAX_CELLS centres."""
     meta = spark.read.parquet(f"{path.rstrip('/')}/centres").orderBy("cell").collect()
-    low, step = spark.read.parquet(f"{path.rstrip('/')}/scale").first()
+    scale = spark.read.parquet(f"{path.rstrip('/')}/scale").first()
     return TrainedCells(
-        np.array([r["centre"] for r in meta]), np.array(low), np.array(step),
-        np.array([r["n"] for r in meta]),
+        np.array([r["centre"] for r in meta]), np.array(scale["low"]), np.array(scale["step"]),
+        np.array([r["n"] for r in meta]), scale["probes"],
     )
 
 
@@ -218,7 +257,7 @@ def approximate_knn(
     path: str,
     k: int = TOP_K,
     *,
-    probes: int = PROBES,
+    probes: int | None = None,
     refine: int = REFINE,
     query_id: str = "query_id",
     index_id: str = "chunk_id",
@@ -227,98 +266,158 @@ def approximate_knn(
 ) -> DataFrame:
     """Near rows of a stored index: ``query_id, chunk_id, score, rank`` like ``knn``.
 
-    ``probes`` cells are read per question, ``refine * k`` rows of each compared exactly.
+    ``probes`` cells are read per question, by default as many as the index was found to
+    need, and of every shard ``refine * k`` rows are compared exactly.
     With all cells probed and rows enough to refine the result is that of ``knn``.
     Questions without a vector of the index's size have no hits.
     """
     spark = queries.sparkSession
     cells = load_cells(spark, path)
     dim = cells.centres.shape[1]
-    wanted = refine * k
+    probes = cells.probes if probes is None else probes
     q = written(_usable(queries, query_id, vector, dim), "probing")
-    shared = spark.sparkContext.broadcast(cells)
+    shared = spark.sparkContext.broadcast(cells.parts())
     rows = spark.read.parquet(f"{path.rstrip('/')}/rows")
+    bounds = shards_of(cells.rows, shard_rows)
+    shards = max(b for _, b in bounds) + 1
+    spans = [list(range(a, b + 1)) for a, b in bounds]
 
     @F.pandas_udf("array<int>")
-    def near(v: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.nearest(np.stack(v.to_numpy()).astype(np.float64), probes))
-
-    probing = written(q.withColumn("cell", F.explode(near("v"))), "probes")
-    probed = sorted(r[0] for r in probing.select("cell").distinct().collect())  # <= MAX_CELLS
-    per_cell = -(-cells.rows // shard_rows)
-    shards = F.element_at(F.lit(per_cell.tolist()), F.col("cell") + 1)
+    def visited(v: pd.Series) -> pd.Series:
+        known = TrainedCells(*shared.value)
+        near = known.nearest(np.stack(v.to_numpy()).astype(np.float64), probes)
+        return pd.Series([np.array(sorted({s for c in n for s in spans[c]}), np.int32) for n in near])
+
+    cores = spark.sparkContext.defaultParallelism
+    parts = max(-(-q.count() // PART_ROWS), -(-2 * cores // shards))
+    start = F.element_at(F.lit([a for a, _ in bounds]), F.col("cell") + 1)
+    end = F.element_at(F.lit([b for _, b in bounds]), F.col("cell") + 1)
     kind_q, kind_i = q.schema["id"].dataType, rows.schema["id"].dataType
-    code_rows = rows.where(F.col("cell").isin(probed)).select(
-        "cell",
-        F.pmod(F.xxhash64("id"), shards).cast("int").alias("shard"),
+    kind_v = rows.schema["v"].dataType
+    if kind_v != q.schema["v"].dataType:
+        kind_v = "array<double>"
+    index_rows = rows.select(
+        (start + F.pmod(F.xxhash64("id"), end - start + 1)).cast("int").alias("shard"),
+        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"),
         F.lit(0).alias("side"),
         F.col("id").alias("index_id"),
         F.lit(None).cast(kind_q).alias("query_id"),
+        "cell",
         "code",
-        F.lit(None).cast("array<double>").alias("v"),
+        F.col("v").cast(kind_v).alias("v"),
     )
-    question_rows = probing.withColumn("shard", F.explode(F.sequence(F.lit(0), shards - 1))).select(
-        "cell",
-        F.col("shard").cast("int").alias("shard"),
+    question_rows = q.select(
+        F.explode(visited("v")).alias("shard"),
+        F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"),
         F.lit(1).alias("side"),
         F.lit(None).cast(kind_i).alias("index_id"),
         F.col("id").alias("query_id"),
+        F.lit(None).cast("int").alias("cell"),
         F.lit(None).cast("binary").alias("code"),
-        F.col("v").cast("array<double>").alias("v"),
-    )
-    tasks = int(per_cell[probed].sum()) if probed else 1
-    tasks = min(max(tasks, spark.sparkContext.defaultParallelism), MAX_TASKS)
-    schema = f"query_id {kind_q.simpleString()}, index_id {kind_i.simpleString()}, rough double, cell int"
-    arrow = to_arrow_schema(spark.createDataFrame([], schema).schema)
-    rough = (
-        code_rows.unionByName(question_rows)
-        .repartition(tasks, "cell", "shard")
-        .sortWithinPartitions("cell", "shard", "side")
-        .mapInArrow(_compare(shared, wanted, dim, arrow), schema)
-    )
-    best = Window.partitionBy("query_id").orderBy("rough", "index_id")
-    candidates = written(
-        rough.withColumn("_i", F.row_number().over(best)).where(F.col("_i") <= wanted).drop("_i"),
-        "candidates",
+        F.col("v").cast(kind_v).alias("v"),
     )
-    few = candidates.count() <= MAX_BROADCAST_HITS
-    vectors = rows.where(F.col("cell").isin(probed)).select(
-        "cell", F.col("id").alias("index_id"), F.col("v").alias("_row")
-    )
-    met = vectors.join(F.broadcast(candidates) if few else candidates, ["cell", "index_id"]).join(
-        q.select(F.col("id").alias("query_id"), F.col("v").alias("_asked")), "query_id"
-    )
-    gap = F.zip_with(
-        F.col("_asked").cast("array<double>"), F.col("_row").cast("array<double>"),
-        lambda a, b: (a - b) * (a - b),
-    )
-    exact = met.select(
-        F.col("query_id").alias(query_id), F.col("index_id").alias(index_id),
-        F.aggregate(gap, F.lit(0.0), lambda total, x: total + x).alias("score"),
+    schema = T.StructType([
+        T.StructField(query_id, kind_q), T.StructField(index_id, kind_i),
+        T.StructField("score", T.DoubleType()),
+    ])
+    exact = (
+        index_rows.unionByName(question_rows)
+        .repartitionById(
+            min(shards * parts, MAX_TASKS),
+            ((F.col("shard").cast("long") * parts + F.col("part")) % MAX_TASKS).cast("int"),
+        )
+        .sortWithinPartitions("shard", "part", "side")
+        .mapInArrow(_compare(shared, probes, refine * k, k, dim, to_arrow_schema(schema)), schema)
     )
     nearest = Window.partitionBy(query_id).orderBy("score", index_id)
     return exact.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
 
 
-def _compare(shared, wanted: int, dim: int, arrow: pa.Schema):
+class _Shard:
+    """The rows of a shard: vectors, what their codes say of them, and where each cell is."""
+
+    def __init__(self, batches: list[pa.RecordBatch], cells: TrainedCells, dim: int, k: int):
+        ids, vectors, codes, at = [], [], [], []
+        for rows in batches:
+            more, block = rows_of(rows["index_id"], rows["v"], dim)
+            ids += more
+            vectors.append(block)
+            at.append(rows["cell"].to_numpy())
+            plain = np.frombuffer(b"".join(rows["code"].to_pylist()), dtype=np.uint8)
+            codes.append(plain.reshape(-1, dim))
+        block, at, codes = np.concatenate(vectors), np.concatenate(at), np.concatenate(codes)
+        # Of copies the least ids are kept, by their places: codes and cells follow.
+        by_id = np.array(sorted(range(len(ids)), key=ids.__getitem__), dtype=np.int64)
+        kept, block = without_surplus_copies(range(len(ids)), block[by_id], k)
+        by_id = by_id[np.array(kept, dtype=np.int64)]
+        # Places are in the order of the ids inside a cell, so a place does not rank rows.
+        order = np.argsort(at[by_id], kind="stable")
+        self.vectors, by_cell = block[order], by_id[order]
+        self.ids = [ids[i] for i in by_cell]
+        self.rank = order
+        self.cells, first = np.unique(at[by_cell], return_index=True)
+        self.edges = [*first.tolist(), len(by_cell)]
+        decoded = np.empty((len(by_cell), dim + 1), dtype=np.float32)
+        for cell, a, b in zip(self.cells, self.edges, self.edges[1:]):
+            near = cells.decode(codes[by_cell[a:b]], cell)
+            decoded[a:b, :-1], decoded[a:b, -1] = near, (near * near).sum(axis=1)
+        self.decoded = decoded
+
+    def search(self, asked: np.ndarray, probed: np.ndarray, wanted: int, k: int):
+        """Question, place and exact score of the best ``k`` of ``wanted`` rows each;
+        ``probed`` tells per question and cell of the shard whether it is compared."""
+        sides = np.ones((len(asked), asked.shape[1] + 1), dtype=np.float32)
+        sides[:, :-1] = -2.0 * asked
+        if probed.all():
+            rough = sides @ self.decoded.T
+        else:
+            rough = np.full((len(asked), len(self.decoded)), np.inf, dtype=np.float32)
+            for j, (a, b) in enumerate(zip(self.edges, self.edges[1:])):
+                some = np.flatnonzero(probed[:, j])
+                rough[some, a:b] = sides[some] @ self.decoded[a:b].T
+        if rough.shape[1] > wanted:
+            places = np.argpartition(rough, wanted - 1, axis=1)[:, :wanted]
+        else:
+            places = np.broadcast_to(np.arange(rough.shape[1]), rough.shape)
+        questions = np.repeat(np.arange(len(asked)), places.shape[1])
+        places = places.ravel()
+        met = rough[questions, places] < np.inf
+        questions, places = questions[met], places[met]
+        gap = np.ascontiguousarray((asked[questions] - self.vectors[places]).T)
+        score = np.zeros(len(questions))
+        for step in gap:  # dimension order, as a left fold
+            score += step * step
+        order = np.lexsort((self.rank[places], score, questions))
+        questions, places, score = questions[order], places[order], score[order]
+        best = np.arange(len(questions)) - np.searchsorted(questions, questions) < k
+        return questions[best], places[best], score[best]
+
+
+def _compare(shared, probes: int, wanted: int, k: int, dim: int, arrow: pa.Schema):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, ids, blocks = None, [], []
+        cells = TrainedCells(*shared.value)
+        here, waiting, shard = None, [], None
         for batch in batches:
-            for here, side, rows in _runs(batch):
-                if here != shard:
-                    shard, ids, blocks = here, [], []
+            for run, side, rows in _runs(batch):
+                if run != here:
+                    here, waiting, shard = run, [], None
                 if side == 0:
-                    codes = np.frombuffer(b"".join(rows["code"].to_pylist()), dtype=np.uint8)
-                    ids += rows["index_id"].to_pylist()
-                    blocks.append(shared.value.decode(codes.reshape(-1, dim), here[0]))
-                elif blocks:
-                    if len(blocks) > 1:
-                        blocks = [np.concatenate(blocks)]
-                    best = Best(*rows_of(rows["query_id"], rows["v"], dim), wanted)
-                    best.add(ids, blocks[0])
-                    found = best.batch(pa.schema(list(arrow)[:3]))
-                    cell = pa.array(np.full(found.num_rows, here[0], dtype=np.int32))
-                    yield pa.RecordBatch.from_arrays([*found.columns, cell], schema=arrow)
+                    waiting.append(rows)
+                    continue
+                if waiting:
+                    shard, waiting = _Shard(waiting, cells, dim, k), []
+                if shard is None:
+                    continue
+                ids, vectors = rows_of(rows["query_id"], rows["v"], dim)
+                for at in range(0, len(ids), QUESTION_ROWS):
+                    asked = vectors[at : at + QUESTION_ROWS]
+                    chosen = cells.nearest(asked, probes)
+                    probed = np.stack([np.isin(shard.cells, c) for c in chosen])
+                    questions, places, score = shard.search(asked, probed, wanted, k)
+                    columns = [[ids[at + i] for i in questions], [shard.ids[i] for i in places], score]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, type=f.type) for c, f in zip(columns, arrow)], schema=arrow
+                    )
 
     return read
 

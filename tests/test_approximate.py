@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from passagework.operators.approximate import approximate_knn, build_cells, load_cells, recall
+from passagework.operators.cells import shards_of
 from passagework.operators.search import knn
 
 DIM = 16
@@ -69,3 +70,7 @@ def test_nothing_to_search(spark, vectors, stored, tmp_path):
     assert build_cells(none, str(tmp_path / "empty")) is None
     odd = questions(vectors).where("query_id > 9000")
     assert approximate_knn(odd, stored, 5).collect() == []
+
+
+def test_a_question_is_sent_once_to_a_shard_of_many_cells():
+    assert shards_of([3, 4, 25, 2, 9, 0], 10) == [(0, 0), (0, 0), (1, 3), (4, 4), (5, 5), (5, 5)]
