@@ -72,5 +72,20 @@ def test_nothing_to_search(spark, vectors, stored, tmp_path):
     assert approximate_knn(odd, stored, 5).collect() == []
 
 
+def test_an_index_finds_how_many_cells_its_vectors_need(spark, tmp_path):
+    """Vectors without clusters: a fixed number of cells misses most of the nearest."""
+    points = np.random.default_rng(11).normal(size=(1500, 32)).astype(np.float32)
+    rows = spark.createDataFrame(
+        [(i, p.tolist()) for i, p in enumerate(points)], "chunk_id long, embedding array<float>"
+    )
+    path = f"file://{tmp_path}/index"
+    cells = build_cells(rows, path, 150)
+    assert cells.probes > 16 and load_cells(spark, path).probes == cells.probes
+    asked = questions(rows)
+    exact = knn(asked, rows, 5)
+    assert recall(approximate_knn(asked, path, 5), exact).first().recall >= 0.9
+    assert recall(approximate_knn(asked, path, 5, probes=16), exact).first().recall < 0.9
+
+
 def test_a_question_is_sent_once_to_a_shard_of_many_cells():
     assert shards_of([3, 4, 25, 2, 9, 0], 10) == [(0, 0), (0, 0), (1, 3), (4, 4), (5, 5), (5, 5)]
