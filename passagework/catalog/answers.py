@@ -150,7 +150,8 @@ def _qa_answered(spark, sf_dir):
     index = index_documents(documents(spark, sf_dir), EMBEDDER)
     readers = {"sentiment": extracting_reader, "multitask": extracting_reader}
     answers = answer_queries(
-        _questions(spark, sf_dir), index, readers, embedder=EMBEDDER, dim=EMBEDDER.dim
+        _questions(spark, sf_dir), index, readers, embedder=EMBEDDER, dim=EMBEDDER.dim,
+        columns=["answer"],
     )
     recorded = answers.select(F.col("query_id").alias("example_id"), "answer", "agent_used")
     return evaluate_cases(_qa_cases(spark, sf_dir), recorded)
@@ -188,7 +189,7 @@ def q_evaluate_with_passages(spark, sf_dir):
     answers = answer_queries(
         examples.withColumn("query_id", F.col("example_id")), index,
         {"multitask": echoing_judge, "sentiment": echoing_judge}, embedder=EMBEDDER,
-        dim=EMBEDDER.dim, keep=["task", "example_id"],
+        dim=EMBEDDER.dim, keep=["task", "example_id"], columns=["answer"],
     )
     results = evaluate_tasks(examples, answers)
     return results.select("task", "n_samples", "accuracy", "f1_weighted", "f1_binary")
@@ -288,6 +289,7 @@ def q_evaluate_answers(spark, sf_dir):
         embedder=EMBEDDER,
         dim=EMBEDDER.dim,
         keep=["task", "example_id"],
+        columns=["answer"],
     )
     results = evaluate_tasks(examples, answers)
     n_sentiment = F.try_element_at("routing", F.lit("sentiment"))
@@ -344,6 +346,7 @@ def q_evaluate_all_tasks(spark, sf_dir):
         models,
         embedder=EMBEDDER,
         keep=["task", "example_id"],
+        columns=["answer"],
     ).where(F.col("error").isNull())
     published = spark.createDataFrame(
         PUBLISHED_SCORES, "task string, system string, score double"

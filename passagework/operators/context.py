@@ -11,6 +11,12 @@ from passagework.functions.status import rag_status, rag_status_msg, rag_warning
 from passagework.operators.search import gate, knn, vector_size
 from passagework.session import written
 
+# Beyond the first, questions are looked at for repeated vectors; at most so many different
+# ones, and characters of their passages, are broadcast.
+MIN_QUESTIONS = 10_000
+MAX_REPEATED = 20_000
+MAX_BROADCAST_CHARS = 32 << 20
+
 
 def with_texts(hits: DataFrame, index: DataFrame, index_id: str = "chunk_id") -> DataFrame:
     """Text and metadata of the hits, joined after the top-k.
@@ -70,15 +76,30 @@ def enrich(
     of the index's vectors, saves computing one to see where it is known. Vectors
     made here are written to the shared folder, as search and status both read them.
     """
-    if embedder is not None and "embedding" not in queries.columns:
+    made = embedder is not None and "embedding" not in queries.columns
+    if made:
         queries = written(queries.withColumn("embedding", embedder.vector("query")), "questions")
     empty = index.isEmpty()
     if dim is None and not empty:
         dim = vector_size(index)
-    hits = gate(knn(queries, index, k, dim=dim, **search), max_distance)
-    blocks = context_blocks(with_texts(hits, index))
-
-    joined = queries.join(blocks, "query_id", "left")
+    repeated = _repeated(queries) if made and not empty else None
+    if repeated is None:
+        hits = gate(knn(queries, index, k, dim=dim, **search), max_distance)
+        joined = queries.join(context_blocks(with_texts(hits, index)), "query_id", "left")
+    else:
+        # Questions with one vector have the same passages: found and laid out once.
+        found = knn(repeated, index, k, query_id="_first", dim=dim, **search)
+        texts = with_texts(gate(found, max_distance), index)
+        blocks = written(context_blocks(texts, "_first"), "repeated-blocks")
+        size = blocks.agg(F.sum(F.length("context_block"))).first()[0] or 0
+        if size <= MAX_BROADCAST_CHARS:
+            blocks = F.broadcast(blocks)
+        firsts = F.broadcast(repeated.select("_first", F.col("embedding").alias("_vector")))
+        joined = (
+            queries.join(firsts, F.col("embedding") == F.col("_vector"), "left")
+            .join(blocks, "_first", "left")
+            .drop("_first", "_vector")
+        )
     n_hits = F.coalesce("n_hits", F.lit(0))
     n_passing = F.coalesce("n_passing", F.lit(0))
     failed = (
@@ -118,6 +139,25 @@ def enrich(
     ).drop("hits", "embedding")
 
 
+def _repeated(queries: DataFrame) -> DataFrame | None:
+    """The different vectors of the questions, each with one of its ids, if they are few.
+
+    Few are at most ``MAX_REPEATED``, and at most half as many as there are questions;
+    the estimate beforehand keeps other questions from being grouped.
+    """
+    estimate = queries.agg(
+        F.count("embedding").alias("n"),
+        F.approx_count_distinct(F.xxhash64("embedding")).alias("different"),
+    ).first()
+    if estimate["n"] < MIN_QUESTIONS or 2 * estimate["different"] > estimate["n"]:
+        return None
+    if estimate["different"] > MAX_REPEATED:
+        return None
+    known = queries.where(F.col("embedding").isNotNull())
+    firsts = known.groupBy("embedding").agg(F.min("query_id").alias("_first"))
+    return written(firsts, "repeated-vectors")
+
+
 def first_warning(results: DataFrame, session, order) -> DataFrame:
     """The one question per session beside which the empty-index notice is shown.
 

@@ -44,6 +44,7 @@ def answer_queries(
     order=None,
     template=TURN_TEMPLATE,
     keep=(),
+    columns=ANSWER_COLUMNS,
     **search,
 ) -> DataFrame:
     """One answered row per question.
@@ -53,7 +54,9 @@ def answer_queries(
     column and an ``error`` of an earlier step, which keeps a row unanswered.
     ``budget`` limits the whole prompt by tokens: the oldest messages go until the
     rest fits beside the system prompt with its passages and the question. ``limit``
-    then ends the prompt after so many tokens, whatever it holds.
+    then ends the prompt after so many tokens, whatever it holds. ``columns`` are the
+    wanted ones of ``ANSWER_COLUMNS``: only these travel to the models beside the prompt
+    (the id, the agent and the error always do).
     """
     routed = route_queries(queries, agents, override)
     enriched = enrich(routed, index, embedder, k, max_distance, **search)
@@ -79,7 +82,8 @@ def answer_queries(
         asked = asked.withColumnRenamed("error", "_earlier")
     else:
         asked = asked.withColumn("_earlier", F.lit(None).cast("string"))
-    carried = [c for c in ANSWER_COLUMNS if c not in ("answer", "error")]
+    wanted = {*columns, "query_id", "agent_used"} - {"answer", "error"}
+    carried = [c for c in ANSWER_COLUMNS if c in wanted]
     asked = asked.select(*carried, *keep, "prompt", "_earlier")
     answered = batch_answer(asked, models)
     failed = F.coalesce("_earlier", "error")

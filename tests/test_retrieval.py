@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passagework.functions.fixed_values import BASE_SYSTEM
-from passagework.operators import cells
+from passagework.operators import cells, context
 from passagework.operators.cells import Cells
 from passagework.operators.chunking import (
     chunk_documents,
@@ -325,3 +325,30 @@ def test_a_model_makes_each_vector_once(spark, tmp_path, options):
         assert enrich(asked, index, embedder, 3, dim=2).collect()
     lines = (tmp_path / "asked").read_text().splitlines()
     assert sorted(lines) == sorted(set(lines)) and len(lines) == 120
+
+
+def test_questions_with_one_vector_share_their_passages(spark, monkeypatch):
+    asked = [(i, ["alpha beta", "beta, ALPHA!", "gamma", "...", None, "nothing of it"][i % 6])
+             for i in range(60)]
+    queries = spark.createDataFrame(asked, "query_id long, query string")
+    docs = spark.createDataFrame(
+        [(1, "alpha beta"), (2, "gamma delta"), (3, "alpha")], "doc_id long, text string"
+    )
+    index = index_documents(docs, HashedEmbedder())
+    asked_for = []
+    plain = context.knn
+
+    def counted(questions, *rest, **options):
+        asked_for.append(questions.count())
+        return plain(questions, *rest, **options)
+
+    monkeypatch.setattr(context, "knn", counted)
+    each = enrich(queries, index, HashedEmbedder()).orderBy("query_id").collect()
+    monkeypatch.setattr(context, "MIN_QUESTIONS", 10)
+    together = enrich(queries, index, HashedEmbedder()).orderBy("query_id")
+    assert [r.asDict() for r in together.select(each[0].__fields__).collect()] == [
+        r.asDict() for r in each
+    ]
+    monkeypatch.setattr(context, "MAX_BROADCAST_CHARS", 0)
+    assert enrich(queries, index, HashedEmbedder()).count() == 60
+    assert asked_for == [60, 3, 3]
