@@ -56,7 +56,7 @@ def write_batch(rows: DataFrame, path: str, model_name: str, name: str) -> None:
     Repeats among the rows are left out. The folder lies below the model's, where
     readers find it like any other file of the index.
     """
-    own = _conform(rows).dropDuplicates(["chunk_id"]).drop("model_name")
+    own = without_repeats(_conform(rows), ["chunk_id"]).drop("model_name")
     own.write.mode("overwrite").parquet(f"{path.rstrip('/')}/model_name={model_name}/{name}")
 
 
@@ -70,7 +70,16 @@ def _only_new(rows: DataFrame, stored: DataFrame) -> DataFrame:
     ids, present = rows.select(key), stored.select(key)
     if ids.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS:
         present = F.broadcast(present.join(F.broadcast(ids), key, "left_semi").distinct())
-    return rows.dropDuplicates(key).join(present, key, "left_anti")
+    return without_repeats(rows.join(present, key, "left_anti"), key)
+
+
+def without_repeats(rows: DataFrame, key: list[str]) -> DataFrame:
+    """One row of each key, as ``dropDuplicates`` gives; rows are moved only if some repeat.
+
+    Ids alone are counted first, so that texts and vectors stay where they are.
+    """
+    repeats = rows.select(key).groupBy(key).count().where("count > 1")
+    return rows if repeats.isEmpty() else rows.dropDuplicates(key)
 
 
 def _conform(rows: DataFrame) -> DataFrame:

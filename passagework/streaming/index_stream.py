@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from passagework.operators.chunking import METADATA, index_documents
 from passagework.sources.documents import TEXT_FILES, decode_text
-from passagework.sources.index_store import write_batch
+from passagework.sources.index_store import without_repeats, write_batch
 from passagework.sources.index_versions import put_documents
 
 DOCUMENT_SCHEMA = f"doc_id string, text string, metadata {METADATA}"
@@ -69,7 +69,7 @@ def stream_documents(
     stream = _stream_name(checkpoint)
 
     def add(batch: DataFrame, number: int) -> None:
-        rows = index_documents(batch, embedder).dropDuplicates(["model_name", "chunk_id"])
+        rows = without_repeats(index_documents(batch, embedder), ["model_name", "chunk_id"])
         put_documents(rows, path, stream=(stream, number))
 
     return _started(documents, add, checkpoint, trigger)

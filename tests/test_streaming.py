@@ -7,7 +7,12 @@ from passagework.operators.chunking import index_documents
 from passagework.operators.embedding import HashedEmbedder
 from passagework.operators.history import prompt_history
 from passagework.sources.documents import read_documents
-from passagework.sources.index_store import append_index, clear_index, load_index
+from passagework.sources.index_store import (
+    append_index,
+    clear_index,
+    load_index,
+    without_repeats,
+)
 from passagework.sources.turn_log import append_turns, load_turns, reset_turns
 from passagework.streaming.index_stream import document_files, stream_index
 from passagework.streaming.turn_stream import stream_turns, turn_files
@@ -112,3 +117,15 @@ def test_tables_stream_as_one_file_or_as_a_folder_of_files(spark, tmp_path, file
     assert sorted((r.conv_id, r.content) for r in turns) == sorted((c, m) for c, _, _, m in conversations)
     index = ingestion.q_stream_index(spark, str(tmp_path)).collect()
     assert sorted(r.text for r in index) == [text for _, text, _ in documents]
+
+
+def test_rows_without_repeats_stay_where_they_are(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id long, text string")
+    index = index_documents(rows, EMBEDDER)
+    key = ["model_name", "chunk_id"]
+    plan = without_repeats(index, key)._jdf.queryExecution().toString()
+    assert "Exchange" not in plan
+    assert without_repeats(index.unionAll(index), key).count() == 50
+    twice = index.unionAll(index)
+    assert append_index(twice, str(tmp_path / "a"), skip_existing=True) == 50
+    assert append_index(twice, str(tmp_path / "a"), skip_existing=True) == 0
