@@ -52,7 +52,7 @@ from passagework.plans.evaluate import (
     tweet_examples,
 )
 from passagework.plans.replay import replay_conversations
-from passagework.session import shared_folder
+from passagework.session import shared_folder, spread
 from passagework.sources.index_store import empty_index
 from passagework.sources.turn_log import load_turns
 
@@ -274,7 +274,7 @@ def q_evaluate_answers(spark, sf_dir):
 
     Each document is one passage of the index here.
     """
-    customers = table(spark, sf_dir, "customer").select(
+    customers = spread(table(spark, sf_dir, "customer"), "c_custkey").select(
         F.col("c_custkey").alias("example_id"),
         F.concat_ws(" ", "c_mktsegment", "c_name").alias("sentence"),
         balance().alias("sentiment_score"),
@@ -314,7 +314,7 @@ def q_evaluate_all_tasks(spark, sf_dir):
 
     Without an index; questions that end in 9 get no answer and count as wrong.
     """
-    customers = table(spark, sf_dir, "customer").select(
+    customers = spread(table(spark, sf_dir, "customer"), "c_custkey").select(
         F.col("c_custkey").alias("example_id"),
         F.concat_ws(" ", "c_mktsegment", "c_name").alias("sentence"),
         F.pmod("c_nationkey", F.lit(3)).alias("label"),

@@ -77,17 +77,24 @@ def batch_answer(
     to answer must not be merged. Columns other than the prompt pass through as
     they are, without becoming Python objects.
     """
+    dealt = deal_by_agent(queries, query_id, tasks)
+    return answer_partitions(dealt, models, prompt, clean)
+
+
+def deal_by_agent(
+    queries: DataFrame, query_id: str = "query_id", tasks: int | None = None
+) -> DataFrame:
+    """Rows ranged by agent and a hash of the id, those of an agent together in a task."""
     spark = queries.sparkSession
     if tasks is None:
         shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
         tasks = max(spark.sparkContext.defaultParallelism, shuffle)
-    dealt = (
+    return (
         queries.withColumn("_salt", F.xxhash64(query_id))
         .repartitionByRange(tasks, "agent_used", "_salt")
         .sortWithinPartitions("agent_used")
         .drop("_salt")
     )
-    return answer_partitions(dealt, models, prompt, clean)
 
 
 def answer_partitions(

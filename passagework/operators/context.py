@@ -76,6 +76,21 @@ def enrich(
     of the index's vectors, saves computing one to see where it is known. Vectors
     made here are written to the shared folder, as search and status both read them.
     """
+    return enrich_dealt(
+        queries, index, embedder, k, max_distance, base_system, dim, None, **search
+    )[0]
+
+
+def enrich_dealt(
+    queries: DataFrame, index: DataFrame, embedder, k: int, max_distance: float,
+    base_system: str, dim: int | None, deal, **search,
+) -> tuple[DataFrame, bool]:
+    """:func:`enrich`, and whether its rows lie as ``deal`` has put the questions.
+
+    That is so where passages are few enough to be broadcast: they then meet questions
+    that are dealt already, and never travel with them.
+    """
+    dealt = False
     made = embedder is not None and "embedding" not in queries.columns
     if made:
         queries = written(queries.withColumn("embedding", embedder.vector("query")), "questions")
@@ -94,6 +109,8 @@ def enrich(
         size = blocks.agg(F.sum(F.length("context_block"))).first()[0] or 0
         if size <= MAX_BROADCAST_CHARS:
             blocks = F.broadcast(blocks)
+            if deal is not None:
+                queries, dealt = deal(queries), True
         firsts = F.broadcast(repeated.select("_first", F.col("embedding").alias("_vector")))
         joined = (
             queries.join(firsts, F.col("embedding") == F.col("_vector"), "left")
@@ -128,7 +145,7 @@ def enrich(
     used = F.col("n_passing") > 0
     returned = F.when(used, F.filter("hits", lambda h: h["passing"])).otherwise(F.col("hits"))
     nothing = F.array().cast(counted.schema["hits"].dataType)
-    return counted.withColumns(
+    enriched = counted.withColumns(
         {
             "system_prompt": system_prompt("context_block", base_system),
             "user_prompt": F.col("query"),
@@ -137,6 +154,7 @@ def enrich(
             "rag_warning": rag_warning(F.col("rag_status"), F.col("rag_status_msg")),
         }
     ).drop("hits", "embedding")
+    return enriched, dealt
 
 
 def _repeated(queries: DataFrame) -> DataFrame | None:

@@ -5,11 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagework.functions.fixed_values import AGENTS, MAX_DISTANCE, PROMPT_HISTORY, TOP_K
+from passagework.functions.fixed_values import (
+    AGENTS,
+    BASE_SYSTEM,
+    MAX_DISTANCE,
+    PROMPT_HISTORY,
+    TOP_K,
+)
 from passagework.functions.prompts import MESSAGE, TURN_TEMPLATE, chat_prompt, messages
 from passagework.functions.text import cut_tokens, whitespace_token_count
-from passagework.operators.agents import batch_answer, route_queries
-from passagework.operators.context import enrich
+from passagework.operators.agents import (
+    answer_partitions,
+    batch_answer,
+    deal_by_agent,
+    route_queries,
+)
+from passagework.operators.context import enrich_dealt
 from passagework.operators.history import fit_history, prompt_history
 from passagework.sources.turn_log import SESSION
 
@@ -59,7 +70,11 @@ def answer_queries(
     (the id, the agent and the error always do).
     """
     routed = route_queries(queries, agents, override)
-    enriched = enrich(routed, index, embedder, k, max_distance, **search)
+    dim = search.pop("dim", None)
+    base = search.pop("base_system", BASE_SYSTEM)
+    enriched, dealt = enrich_dealt(
+        routed, index, embedder, k, max_distance, base, dim, deal_by_agent, **search
+    )
     in_conversation = "conv_id" in queries.columns
     if in_conversation:
         keep = ["conv_id", *[c for c in keep if c != "conv_id"]]
@@ -67,7 +82,7 @@ def answer_queries(
         if budget is not None:
             turns = fit_history(turns, budget, order=order)
         past = prompt_history(turns, history, order=order)
-        enriched = enriched.join(past, "conv_id", "left")
+        enriched, dealt = enriched.join(past, "conv_id", "left"), False
         if budget is not None:
             used = whitespace_token_count("system_prompt") + whitespace_token_count("user_prompt")
             fitting = F.filter("history", lambda m: m["tokens_to_end"] + used <= budget)
@@ -85,7 +100,10 @@ def answer_queries(
     wanted = {*columns, "query_id", "agent_used"} - {"answer", "error"}
     carried = [c for c in ANSWER_COLUMNS if c in wanted]
     asked = asked.select(*carried, *keep, "prompt", "_earlier")
-    answered = batch_answer(asked, models)
+    if dealt:  # the prompts were made where they are answered
+        answered = answer_partitions(asked, models)
+    else:
+        answered = batch_answer(asked, models)
     failed = F.coalesce("_earlier", "error")
     return answered.select(
         *carried,
