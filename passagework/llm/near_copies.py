@@ -1,6 +1,8 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates are found by MinHash: the least values of ``BANDS * ROWS`` hash functions
+Candidates are found by operator 3: SimHashes of the shingles that differ in few bits meet in
+the shards of a vantage-point tree. Pairs near the bound differ in more bits than its shards
+can bear (4 to 14 were measured), so MinHash stands beside it: the least values of ``BANDS * ROWS`` hash functions
 are cut into bands, and texts that share a band in full are linked. Two texts at
 similarity s share none with probability (1 - s^4)^40, under 1e-9 at 0.8. Candidates
 only bring texts together: inside a group of linked ones the shingles themselves are
@@ -17,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from passagework.llm import simhash
 from passagework.llm.common import free_names, sized, slices, stored, texts_of
 from passagework.llm.components import components
 
@@ -24,6 +27,7 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 40, 4
 HASH_SEED = 42
+FINGERPRINT_BITS = 3
 # Rows of a candidate group, and characters, that one task compares with as many others.
 BLOCK_ROWS = 512
 BLOCK_CHARS = 1 << 22
@@ -102,7 +106,7 @@ def _bands(words: int):
 
 
 def candidates(rows: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """``rows`` (node, text) to (node, root): groups linked by a shared band.
+    """``rows`` (node, text) to (node, root): groups linked by near SimHashes or a shared band.
 
     Texts that share a band are linked to the least of them, which spans the same
     group as all pairs would. Texts that share none give no row.
@@ -116,7 +120,26 @@ def candidates(rows: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
         "shared",
     )
     links = keyed.join(sized(shared), "key").filter("node <> root")
-    return components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    banded = links.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return components(near_fingerprints(rows, words).unionAll(banded))
+
+
+def near_fingerprints(rows: DataFrame, words: int, max_bits: int = FINGERPRINT_BITS) -> DataFrame:
+    """``rows`` (node, text) to links (a, b) of texts whose SimHashes are near, by operator 3.
+
+    Equal fingerprints are linked to the least of their nodes. Fingerprint zero, that of
+    texts without words, links nothing.
+    """
+    found = stored(
+        simhash.fingerprints(rows.select(F.col("node").alias("doc_id"), "text"), words)
+        .filter("fp <> 0"),
+        "fingerprints",
+    )
+    distinct = stored(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    equal = found.join(distinct, "fp").filter("doc_id <> first")
+    return simhash.fingerprint_links(distinct, max_bits).unionAll(
+        equal.select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    )
 
 
 def _similar(words: int, similarity: float):
