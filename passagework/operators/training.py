@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +32,7 @@ from passagework.functions.text import (
 from passagework.operators.ordering import global_position, running_total
 
 PAD, END = 0, 1
+TOKENIZER_ROWS = 256
 
 
 def format_examples(
@@ -136,12 +138,15 @@ class ModelTokenizer:
     def ids(self, col, max_len: int | None) -> Column:
         factory = self.factory
 
-        @F.pandas_udf("array<int>")
-        def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @F.arrow_udf("array<int>")
+        def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             tokenizer = factory()
             for batch in batches:
-                encoded = tokenizer(batch.fillna("").tolist())
-                yield pd.Series([list(ids)[:max_len] for ids in encoded], dtype=object)
+                # A list of ids takes many times the room of its text, so a slice at a time.
+                for at in range(0, len(batch), TOKENIZER_ROWS):
+                    texts = pc.fill_null(batch.slice(at, TOKENIZER_ROWS), "").to_pylist()
+                    ids = [list(one)[:max_len] for one in tokenizer(texts)]
+                    yield pa.array(ids, pa.list_(pa.int32()))
 
         return encode(col)
 
