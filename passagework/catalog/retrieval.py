@@ -33,7 +33,7 @@ from passagework.operators.chunking import (
     split_pages,
 )
 from passagework.operators.context import context_blocks, enrich, first_warning, with_texts
-from passagework.operators.embedding import HashedEmbedder, ModelEmbedder, embed
+from passagework.operators.embedding import HashedEmbedder, ModelEmbedder, components, embed
 from passagework.operators.search import gate, knn
 from passagework.operators.vector_store import embed_once
 from passagework.session import shared_folder
@@ -63,7 +63,7 @@ def q_chunk_stats(spark, sf_dir):
 
 def q_embed_hashed(spark, sf_dir):
     index = index_documents(documents(spark, sf_dir), EMBEDDER)
-    weights = index.select("chunk_id", F.posexplode("embedding").alias("bucket", "w"))
+    weights = components(index, "chunk_id", pos="bucket", value="w")
     return weights.where(F.col("w") != 0).select(
         "chunk_id", "bucket", F.round(F.col("w").cast("double"), 6).alias("weight")
     )
@@ -93,7 +93,7 @@ def q_embed_model(spark, sf_dir):
     embedder = ModelEmbedder([("missing", missing_model), ("letters", letters_model)], 5)
     docs = texts(spark, sf_dir).select("doc_id", "text")
     vectors = embed(docs, "text", embedder)
-    counts = vectors.select("doc_id", "model_name", F.posexplode("embedding").alias("pos", "x"))
+    counts = components(vectors, "doc_id", "model_name")
     return counts.withColumn("n", F.col("x").cast("bigint")).drop("x")
 
 
@@ -103,7 +103,7 @@ def q_embed_once(spark, sf_dir):
     docs = texts(spark, sf_dir).select("doc_id", "text")
     embed_once(docs, ModelEmbedder([("letters", letters_model)], 5), path)
     again = embed_once(docs, ModelEmbedder([("letters", no_more_calls)], 5), path)
-    counts = again.select("doc_id", "model_name", F.posexplode("embedding").alias("pos", "x"))
+    counts = components(again, "doc_id", "model_name")
     return counts.withColumn("n", F.col("x").cast("bigint")).drop("x")
 
 
