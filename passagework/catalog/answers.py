@@ -52,7 +52,7 @@ from passagework.plans.evaluate import (
     tweet_examples,
 )
 from passagework.plans.replay import replay_conversations
-from passagework.session import shared_folder, spread
+from passagework.session import shared_folder, spread, written
 from passagework.sources.index_store import empty_index
 from passagework.sources.turn_log import load_turns
 
@@ -94,7 +94,7 @@ def q_batch_resume(spark, sf_dir):
     questions, answers = shared_folder(spark, "questions"), shared_folder(spark, "answers")
     log = shared_folder(spark, "batch-log")
     asked = _questions(spark, sf_dir)
-    index = index_documents(documents(spark, sf_dir), EMBEDDER)
+    index = written(index_documents(documents(spark, sf_dir), EMBEDDER), "index")
     line = F.to_json(F.struct("query"))
     asked.where("query < 'N'").select(line).write.text(questions + "-half.jsonl")
     broken = F.array(line, F.lit(" "), F.lit('{"query": '), F.lit('{"question": "?"}'))
@@ -103,13 +103,13 @@ def q_batch_resume(spark, sf_dir):
         resume_batch(spark, f"{questions}-{part}.jsonl", answers, index, MODELS, log=log,
                      slices=2, embedder=EMBEDDER, dim=EMBEDDER.dim)
     fields = "query string, answer string, agent_used string, rag_status string, error string"
-    written = spark.read.schema(fields).json(answers).select(F.lit("answers").alias("file"), "*")
+    replies = spark.read.schema(fields).json(answers).select(F.lit("answers").alias("file"), "*")
     logged = load_turns(spark, log).select(
         F.lit("log").alias("file"), F.when(F.col("role") == "user", F.col("content")).alias("query"),
         F.when(F.col("role") == "assistant", F.col("content")).alias("answer"),
         *[F.lit(None).cast("string").alias(c) for c in ("agent_used", "rag_status", "error")],
     )
-    return written.unionByName(logged)
+    return replies.unionByName(logged)
 
 
 def extracting_reader():

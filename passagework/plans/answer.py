@@ -62,19 +62,20 @@ def answer_queries(
 
     ``queries`` has ``query_id, query`` and may have ``embedding``, ``conv_id``
     (whose newest messages from ``turns`` go into the prompt), an agent override
-    column and an ``error`` of an earlier step, which keeps a row unanswered.
+    column and an ``error`` of an earlier step, which keeps a row unanswered. Rows of
+    ``retrieve`` are answered with the passages they have, without a search.
     ``budget`` limits the whole prompt by tokens: the oldest messages go until the
     rest fits beside the system prompt with its passages and the question. ``limit``
     then ends the prompt after so many tokens, whatever it holds. ``columns`` are the
     wanted ones of ``ANSWER_COLUMNS``: only these travel to the models beside the prompt
     (the id, the agent and the error always do).
     """
-    routed = route_queries(queries, agents, override)
-    dim = search.pop("dim", None)
-    base = search.pop("base_system", BASE_SYSTEM)
-    enriched, dealt = enrich_dealt(
-        routed, index, embedder, k, max_distance, base, dim, deal_by_agent, **search
-    )
+    if "system_prompt" in queries.columns:
+        enriched, dealt = queries, False
+    else:
+        enriched, dealt = retrieve(
+            queries, index, embedder, agents, override, k, max_distance, deal_by_agent, **search
+        )
     in_conversation = "conv_id" in queries.columns
     if in_conversation:
         keep = ["conv_id", *[c for c in keep if c != "conv_id"]]
@@ -113,6 +114,26 @@ def answer_queries(
     )
 
 
+def retrieve(
+    queries: DataFrame,
+    index: DataFrame,
+    embedder=None,
+    agents=AGENTS,
+    override: str | None = None,
+    k: int = TOP_K,
+    max_distance: float = MAX_DISTANCE,
+    deal=None,
+    dim: int | None = None,
+    base_system: str = BASE_SYSTEM,
+    **search,
+) -> tuple[DataFrame, bool]:
+    """Questions routed and enriched, and whether their rows lie as ``deal`` puts them."""
+    routed = route_queries(queries, agents, override)
+    return enrich_dealt(
+        routed, index, embedder, k, max_distance, base_system, dim, deal, **search
+    )
+
+
 def new_turns(answers: DataFrame, ts=None) -> DataFrame:
     """The two messages each answered question adds to its conversation's log.
 

@@ -8,8 +8,8 @@ from hashlib import md5
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.plans.answer import answer_queries, new_turns
-from passagework.session import shared_folder
+from passagework.plans.answer import answer_queries, new_turns, retrieve
+from passagework.session import shared_folder, written
 from passagework.sources.files import is_complete, names
 from passagework.sources.query_files import read_queries, write_results
 from passagework.sources.turn_log import append_turns
@@ -47,6 +47,14 @@ LEDGER = (
     "error string"
 )
 SLICES = 8
+# What a slice needs of its questions, and the options that do not concern the search.
+RETRIEVED = ["query_id", "query", "agent_used", "rag_status", "rag_warning", "system_prompt",
+             "user_prompt"]
+ANSWERING = ("turns", "history", "budget", "limit", "order", "template", "keep", "columns")
+
+
+def _slice(slices: int):
+    return F.pmod(F.xxhash64("query_id"), F.lit(slices)).cast("int")
 
 
 def resume_batch(
@@ -75,18 +83,20 @@ def resume_batch(
     key = F.md5("query").alias("key")
     good = queries.where(F.col("error").isNull())
     different = good.select(key, "query").dropDuplicates(["key"])
-    for number in range(slices):
-        own = different.where(F.pmod(F.xxhash64("key"), F.lit(slices)) == number)
-        done = answered_so_far(spark, ledger).where(F.col("error").isNull()).select("key")
-        todo = own.join(done, "key", "left_anti")
-        if todo.isEmpty():
-            continue
-        asked = todo.select(F.col("key").alias("query_id"), "query")
-        answered = answer_queries(asked, index, models, **options)
-        fields = [f.split()[0] for f in LEDGER.split(", ")[1:]]
-        answered.select(F.col("query_id").alias("key"), *fields).write.parquet(
-            f"{ledger}/{number:04d}-{uuid.uuid4().hex}"
-        )
+    done = answered_so_far(spark, ledger).where(F.col("error").isNull()).select("key")
+    todo = different.join(done, "key", "left_anti").select(F.col("key").alias("query_id"), "query")
+    answering = {"columns": RETRIEVED} | {n: options.pop(n) for n in ANSWERING if n in options}
+    if not todo.isEmpty():
+        # One search for all that is open, or every slice would read the whole index.
+        found, _ = retrieve(todo, index, **options)
+        found = written(found.select(*RETRIEVED, _slice(slices).alias("_slice")), "retrieved")
+        for (number,) in found.select("_slice").distinct().orderBy("_slice").collect():
+            own = found.where(F.col("_slice") == number).drop("_slice")
+            answered = answer_queries(own, index, models, **answering)
+            fields = [f.split()[0] for f in LEDGER.split(", ")[1:]]
+            answered.select(F.col("query_id").alias("key"), *fields).write.parquet(
+                f"{ledger}/{number:04d}-{uuid.uuid4().hex}"
+            )
     fields = [F.col(f.split()[0]) for f in LEDGER.split(", ")[1:]]
     # A success is kept before a failure of an earlier run.
     best = F.min(F.struct(F.col("error").isNotNull().alias("failed"), *fields)).alias("best")
