@@ -18,7 +18,7 @@ from passagework.operators.embedding import HashedEmbedder
 from passagework.operators.history import prompt_history, prune_turns
 from passagework.operators.ordering import train_test_split
 from passagework.operators.tickers import ticker_profiles
-from passagework.session import shared_folder
+from passagework.session import shared_folder, written
 from passagework.sources.documents import read_documents, read_split, write_splits
 from passagework.sources.index_store import append_index, clear_index, load_index
 from passagework.sources.index_versions import (
@@ -138,7 +138,8 @@ def q_ticker_refresh(spark, sf_dir):
     """Profiles of before a year, then of today; one that lacks a section changes nothing."""
     path = shared_folder(spark, "tickers")
     rows = lambda docs: index_documents(docs, EMBEDDER, auto_chunk=False)
-    early, late = _profiles(spark, sf_dir, "1996-01-01"), _profiles(spark, sf_dir)
+    early = written(_profiles(spark, sf_dir, "1996-01-01"), "early-profiles")
+    late = written(_profiles(spark, sf_dir), "late-profiles")
     known = early.select(F.col("metadata.ticker").alias("ticker")).distinct()
     refresh_tickers(known, early, path, rows)
     everyone = table(spark, sf_dir, "customer").select(

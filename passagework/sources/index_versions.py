@@ -231,7 +231,7 @@ def refresh_tickers(
     """
     spark = tickers.sparkSession
     profiles = written(profiles, "profiles")  # read three times below
-    wanted = tickers.select("ticker").distinct()
+    wanted = written(tickers.select("ticker").distinct(), "wanted-tickers")  # these too
     have = profiles.select(F.col("metadata.ticker").alias("ticker")).distinct()
     lacking = [r[0] for r in wanted.join(have, "ticker", "left_anti").limit(5).collect()]
     if lacking:

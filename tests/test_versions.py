@@ -148,3 +148,20 @@ def test_publish(spark, tmp_path):
     assert publish(spark, path, "é") and not publish(spark, path, "b")
     assert read_text(spark, path) == "é" and exists(spark, path)
     assert names(spark, str(tmp_path / "x")) == ["1.json"] and names(spark, str(tmp_path / "y")) == []
+
+
+def test_wanted_tickers_are_made_once(spark, tmp_path):
+    path, made = str(tmp_path / "tickers"), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    schema = "doc_id string, text string, metadata struct<source:string,ticker:string,date:string>"
+    profiles = spark.createDataFrame([("A/news/1", "a", ("m", "A", None))], schema)
+    wanted = spark.createDataFrame([("A",)], "ticker string").mapInArrow(counted, "ticker string")
+    iv.refresh_tickers(
+        wanted, profiles, path, lambda docs: index_documents(docs, EMBEDDER, auto_chunk=False)
+    )
+    assert texts_in(spark, path) == [("A/news/1", "a")] and made.value == 1
