@@ -6,6 +6,8 @@ doubles; the matrix product only preselects, with a margin.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,6 +15,7 @@ import pyarrow.compute as pc
 QUERY_BLOCK = 512
 SLAB_ROWS = 4096
 MERGE_ROWS = 1 << 14
+SLICE_BYTES = 4 << 20
 ROUNDING = 2.0**-22  # of a term of a sum in single precision, with room
 LARGEST = 1e30  # squared lengths beyond are not compared in single precision
 
@@ -36,6 +39,13 @@ def rows_of(ids, vectors, dim: int) -> tuple[list, np.ndarray]:
     return ids.filter(pa.array(good)).to_pylist(), matrix[good]
 
 
+def slices_of(batch: pa.RecordBatch, dim: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose vectors take ``SLICE_BYTES`` as doubles; copies are sorted there."""
+    rows = max(256, SLICE_BYTES // (8 * dim))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 class Best:
     """Best k per question over the index blocks seen so far, kept in arrays.
 

@@ -21,7 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from passagework.functions.fixed_values import MAX_DISTANCE, TOP_K
 from passagework.operators.cells import MAX_PIVOTS, search_cells
-from passagework.operators.nearest import Best, rows_of
+from passagework.operators.nearest import Best, rows_of, slices_of
 
 MAX_BROADCAST_BYTES = 64 << 20
 MAX_BROADCAST_HITS = 1_000_000
@@ -96,9 +96,10 @@ def _by_broadcast(table: pa.Table, x: DataFrame, k: int, dim: int, schema) -> Da
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = Best(*shared.value, k)
         for batch in batches:
-            ids, block = rows_of(batch["id"], batch["v"], dim)
-            if ids:
-                best.add(ids, block)
+            for rows in slices_of(batch, dim):
+                ids, block = rows_of(rows["id"], rows["v"], dim)
+                if ids:
+                    best.add(ids, block)
         yield best.batch(arrow)
 
     return x.mapInArrow(search, schema)

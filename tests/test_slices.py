@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from passagework import catalog
 from passagework.operators import embedding
 from passagework.operators.embedding import HashedEmbedder, ModelEmbedder, components, embed
+from passagework.operators.nearest import SLICE_BYTES, slices_of
 from passagework.operators.training import TOKENIZER_ROWS, ModelTokenizer, tokenize
 
 
@@ -54,3 +55,11 @@ def test_slices_and_forgotten_words_give_the_same_vectors(spark, monkeypatch):
         if text:
             one = embedding._scattered(pa.array([text.split(" ")]), 16, buckets).to_pylist()[0]
             assert np.array_equal(np.float32(one), np.float32(got[i]))
+
+
+def test_a_search_turns_a_slice_of_a_batch_into_doubles():
+    rows = 2 * SLICE_BYTES // (8 * 384) + 10
+    batch = pa.RecordBatch.from_arrays([pa.array(range(rows))], names=["id"])
+    parts = list(slices_of(batch, 384))
+    assert max(p.num_rows for p in parts) * 8 * 384 <= SLICE_BYTES
+    assert [i for p in parts for i in p["id"].to_pylist()] == list(range(rows))
