@@ -22,10 +22,11 @@ from pyspark.sql import functions as F
 from passagework.llm.common import id_and_text, slices, texts_of, worker_state
 
 MARK = "▁"
-CACHE_SEGMENTS = 200_000
+# What a worker keeps for its later tasks, in two such caches, and texts that are cut up at once.
+CACHE_SEGMENTS = 60_000
 PAIR_SLOTS = 1 << 21
 RUN_LETTERS = 300_000
-SLICE_TEXTS = 1024
+SLICE_TEXTS = 256
 FAR = np.int64(2**40)
 START, UNKNOWN, NONE = -1, -2, -3
 NORMAL, BYTE = 1, 6

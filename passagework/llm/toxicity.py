@@ -27,6 +27,7 @@ SMOOTHING = 1.0
 PENALTY = 1.0
 STEPS = 120
 LEAST_RATIO = 0.25
+FIT_ROWS = 256
 HELD_OUT_FOLD = 2
 FOLDS = 4
 
@@ -129,14 +130,20 @@ def log_count_ratios(labelled: DataFrame) -> tuple[np.ndarray, int, int]:
     return ratio.astype(np.float32), *rows
 
 
+def _row_sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    starts = np.cumsum(sizes) - sizes
+    return np.add.reduceat(np.append(values, 0), starts) * (sizes > 0)
+
+
 def fit_logistic(
     buckets: np.ndarray, sizes: np.ndarray, labels: np.ndarray, ratio: np.ndarray
 ) -> tuple[np.ndarray, float]:
     """(weights with the scale folded in, bias) by accelerated gradient steps."""
-    ends = np.cumsum(sizes)
-    starts = ends - sizes
-    scale = ratio[buckets]
-    row_norm = np.add.reduceat(np.append(scale * scale, 0), starts) * (sizes > 0)
+    cuts = [0, *np.cumsum(sizes)[FIT_ROWS - 1 :: FIT_ROWS].tolist(), len(buckets)]
+    rows = [sizes[at : at + FIT_ROWS] for at in range(0, len(sizes), FIT_ROWS)]
+    # Only a part of the rows has its numbers as doubles at a time.
+    parts = [(buckets[a:b], ratio[buckets[a:b]], n) for a, b, n in zip(cuts, cuts[1:], rows)]
+    row_norm = np.concatenate([_row_sums(scale * scale, n) for _, scale, n in parts])
     step = 4.0 / (row_norm.mean() + 1.0)
     weights, bias = np.zeros(ALL_FEATURES), 0.0
     speed, bias_speed = np.zeros(ALL_FEATURES), 0.0
@@ -144,9 +151,13 @@ def fit_logistic(
     for turn in range(1, STEPS + 1):
         momentum = (turn - 1) / (turn + 2)
         ahead, bias_ahead = weights + momentum * speed, bias + momentum * bias_speed
-        margin = np.add.reduceat(np.append(scale * ahead[buckets], 0), starts) * (sizes > 0)
-        error = 1 / (1 + np.exp(-np.clip(margin + bias_ahead, -30, 30))) - labels
-        gradient = np.bincount(buckets, weights=scale * np.repeat(error, sizes), minlength=ALL_FEATURES)
+        gradient, error = np.zeros(ALL_FEATURES), np.zeros(n)
+        for i, (own, scale, count) in enumerate(parts):
+            here = slice(i * FIT_ROWS, i * FIT_ROWS + len(count))
+            margin = _row_sums(scale * ahead[own], count)
+            error[here] = 1 / (1 + np.exp(-np.clip(margin + bias_ahead, -30, 30))) - labels[here]
+            pull = scale * np.repeat(error[here], count)
+            gradient += np.bincount(own, weights=pull, minlength=ALL_FEATURES)
         new = ahead - step * (gradient + PENALTY * ahead) / n
         new_bias = bias_ahead - step * error.sum() / n
         speed, bias_speed = new - weights, new_bias - bias
@@ -164,7 +175,9 @@ def _fit(ratio):
                 found.append(features[ratio.value[features] != 0])
         sizes = np.array([len(f) for f in found])
         labels = sample.column("label").to_numpy().astype(np.float64)
-        weights, bias = fit_logistic(np.concatenate(found), sizes, labels, ratio.value)
+        buckets = np.concatenate(found)
+        found.clear()
+        weights, bias = fit_logistic(buckets, sizes, labels, ratio.value)
         return pa.table(
             {"weights": pa.array([weights.tobytes()], pa.binary()), "bias": [bias]}
         )
