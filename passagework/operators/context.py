@@ -74,7 +74,8 @@ def enrich(
     ``system_prompt, user_prompt, retrieved_chunks, rag_used, rag_status,
     rag_status_msg, rag_warning`` and the counts behind them. ``dim``, the size
     of the index's vectors, saves computing one to see where it is known. Vectors
-    made here are written to the shared folder, as search and status both read them.
+    made here are written to the shared folder, as search and status both read them;
+    with an empty index none are made.
     """
     return enrich_dealt(
         queries, index, embedder, k, max_distance, base_system, dim, None, **search
@@ -91,14 +92,19 @@ def enrich_dealt(
     that are dealt already, and never travel with them.
     """
     dealt = False
-    made = embedder is not None and "embedding" not in queries.columns
+    empty = index.isEmpty()
+    made = embedder is not None and "embedding" not in queries.columns and not empty
     if made:
         queries = written(queries.withColumn("embedding", embedder.vector("query")), "questions")
-    empty = index.isEmpty()
     if dim is None and not empty:
         dim = vector_size(index)
-    repeated = _repeated(queries) if made and not empty else None
-    if repeated is None:
+    repeated = _repeated(queries) if made else None
+    if empty:
+        # Nothing can be found, and the status says so whatever the vectors are: none is made.
+        found = context_blocks(with_texts(gate(knn(queries, index, 0, dim=0)), index))
+        nothing_found = [f for f in found.schema if f.name != "query_id"]
+        joined = queries.withColumns({f.name: F.lit(None).cast(f.dataType) for f in nothing_found})
+    elif repeated is None:
         hits = gate(knn(queries, index, k, dim=dim, **search), max_distance)
         joined = queries.join(context_blocks(with_texts(hits, index)), "query_id", "left")
     else:
@@ -119,7 +125,7 @@ def enrich_dealt(
         )
     n_hits = F.coalesce("n_hits", F.lit(0))
     n_passing = F.coalesce("n_passing", F.lit(0))
-    failed = (
+    failed = F.lit(False) if empty else (
         F.col("embedding").isNull()
         | (F.size("embedding") != F.lit(dim if dim is not None else -1))
         | F.exists("embedding", lambda x: x.isNull() | F.isnan(x))
