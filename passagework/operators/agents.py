@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping
 from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,9 @@ from pyspark.sql import types as T
 from passagework.functions.fixed_values import AGENTS, DEFAULT_AGENT, ROUTES
 from passagework.functions.routing import route
 from passagework.functions.text import strip_think
+from passagework.sources.text_store import TextReader, bytes_of
+
+PROMPT_BYTES = 16 << 20  # of the prompts that a worker takes out of a batch at a time
 
 
 def agents_table(spark: SparkSession, agents=AGENTS) -> DataFrame:
@@ -98,10 +103,12 @@ def deal_by_agent(
 
 
 def answer_partitions(
-    queries: DataFrame, models: Mapping, prompt: str = "prompt", clean: bool = True
+    queries: DataFrame, models: Mapping, prompt: str = "prompt", clean: bool = True,
+    marker: str | None = None,
 ) -> DataFrame:
     """Add ``answer`` and ``error`` to rows as they are dealt; a task loads a model when
-    the agent changes."""
+    the agent changes. A ``marker`` in a prompt stands for the text at the next of the row's
+    ``_places`` in ``_folder``: texts are read, and forgotten, a slice of the rows at a time."""
     fields = list(queries.schema.fields)
     schema = T.StructType(
         fields + [T.StructField("answer", T.StringType()), T.StructField("error", T.StringType())]
@@ -109,9 +116,13 @@ def answer_partitions(
     factories = dict(models)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, failure, loaded = None, None, []
-        for batch in batches:
+        model, failure, loaded, reader = None, None, [], None
+        for batch in (part for whole in batches for part in _parts(whole, prompt, marker)):
             prompts, answers, errors = batch[prompt].to_pylist(), [], []
+            if marker is not None and prompts:
+                reader = reader or TextReader(batch["_folder"][0].as_py())
+                texts = reader.texts(batch["_places"]).to_pylist()
+                prompts = [_filled(p, marker, t) for p, t in zip(prompts, texts)]
             for agent, rows in _runs(batch["agent_used"].to_pylist()):
                 if loaded != [agent]:
                     model, failure, loaded = None, None, [agent]
@@ -126,11 +137,34 @@ def answer_partitions(
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, *added], [*batch.schema.names, "answer", "error"]
             )
+        if reader is not None:
+            reader.close()
 
     answered = queries.mapInArrow(answer, schema)
     return answered.withColumn("answer", strip_think("answer")) if clean else answered
 
 
+def _parts(batch: pa.RecordBatch, prompt: str, marker: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with some ``PROMPT_BYTES`` of prompts each: long prompts are not all
+    there as Python objects at once."""
+    sizes = pc.fill_null(pc.binary_length(batch[prompt]), 0).to_numpy().astype(np.int64)
+    if marker is not None:
+        sizes += bytes_of(batch["_places"])
+    part = (np.cumsum(sizes) - sizes) // PROMPT_BYTES
+    edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1), len(part)]
+    for a, b in zip(edges, edges[1:]):
+        yield batch.slice(a, b - a)
+
+
+def _filled(prompt: str | None, marker: str, texts: list[str]) -> str | None:
+    if prompt is None:
+        return None
+    pieces = prompt.split(marker)
+    if len(pieces) != len(texts) + 1:
+        raise ValueError(f"{len(texts)} passages for {len(pieces) - 1} places in a prompt")
+    return "".join(x for pair in zip(pieces, [*texts, ""]) for x in pair)
+
+
 def _runs(values: list) -> Iterator[tuple[object, slice]]:
     """Neighbouring equal values and where they are."""
     start = 0

@@ -2,15 +2,15 @@
 
 Index and questions are partitioned by cells around a bounded set of pivots.
 The triangle inequality gives an upper bound of a question's k-th distance and
-a lower bound of its distance to each cell, so a question travels only to cells
+a lower bound of its distance to each cell, so a question meets only cells
 that can hold one of its neighbours. Large cells are split by hash of the id into
-shards of bounded size and small ones share a shard; a question is sent to a shard
-once, however many of its cells it can reach. Every shard meets the questions in
-parts of bounded size, one task each: the bytes that are moved grow with the product
-of both sides divided by these bounds, and no task grows with a table. A task sorts
-its index rows before its questions, which stream through. Vectors are
-written to the shared folder first: the passes over them (pivots, cells, search)
-read that table, so that a model makes each of them once.
+shards of bounded size and small ones share a shard. Shards and blocks of questions are
+files of the shared folder, each written once; a task reads a block of questions and, one
+after another, the shards of its run of them that a question of the block can reach. So
+neither side is copied for each meeting, no task grows with a table, and only the best k
+of a block and a run of shards are shuffled. Index vectors are written to the shared
+folder first: the passes over them (pivots, cells, shards) read that table, so that a
+model makes each of them once.
 """
 
 from __future__ import annotations
@@ -19,19 +19,21 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from passagework.operators.nearest import Best, rows_of, without_surplus_copies
-from passagework.session import written
+from passagework.operators.nearest import SLAB_ROWS, Best, rows_of
+from passagework.session import shared_files, shared_folder, written
+from passagework.sources.vector_blocks import read_block, write_blocks
 
 SHARD_BYTES = 64 << 20
 PART_ROWS = 65_536
 MAX_PIVOTS = 256
 MAX_TASKS = 50_000
+MAX_RUN = 16  # shards that a task reads
+PLACE_ROWS = 1024
 
 
 @dataclass(frozen=True)
@@ -77,7 +79,6 @@ def search_cells(
     kind = queries.schema["v"].dataType
     if kind != index.schema["v"].dataType:
         kind = "array<double>"
-    queries = _whole(written(queries, "question-vectors"), dim, kind)
     index = _whole(written(index, "index-vectors"), dim, kind)
     centres = _pivots(index, dim, pivots)
     placed = _placed(index, centres)
@@ -89,47 +90,44 @@ def search_cells(
     last = {int(c): b for c, (_, b) in zip(cells.known, bounds)}
     shards = max(last.values()) + 1
 
-    @F.pandas_udf("array<int>")
-    def visited(v: pd.Series) -> pd.Series:
-        reached = cells.reachable(np.stack(v.to_numpy()).astype(np.float64), k)
-        spans = [[np.arange(first[c], last[c] + 1) for c in map(int, r)] for r in reached]
-        return pd.Series([np.unique(np.concatenate(s)).astype(np.int32) for s in spans])
+    member = np.zeros((cells.known.max() + 1, shards), dtype=bool)
+    for c in cells.known:
+        member[c, first[int(c)] : last[int(c)] + 1] = True
 
-    query_type, index_type = schema[0].dataType, schema[1].dataType
-    cores = index.sparkSession.sparkContext.defaultParallelism
-    parts = max(-(-queries.count() // PART_ROWS), -(-2 * cores // shards))
+    spark = index.sparkSession
+    folder = shared_folder(spark, "search-blocks")
+    most = min(max(1, PART_ROWS // 8), rows_per_shard(dim))
+    asked = queries.select(F.lit(0).alias("block"), "id", F.col("v").cast(kind).alias("v"))
+    blocks = write_blocks(asked, folder, most)
     starts = F.create_map(*[F.lit(x) for pair in first.items() for x in pair])
     ends = F.create_map(*[F.lit(x) for pair in last.items() for x in pair])
     start, end = F.element_at(starts, F.col("cell")), F.element_at(ends, F.col("cell"))
-    part = F.pmod(F.xxhash64("id"), F.lit(parts))
-    index_rows = placed.withColumn(
-        "shard", (start + F.pmod(F.xxhash64("id"), end - start + 1)).cast("int")
-    ).select(
-        "shard",
-        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"),
-        F.lit(0).alias("side"),
-        F.col("id").alias("index_id"),
-        F.lit(None).cast(query_type).alias("query_id"),
-        "v",
+    index_rows = placed.select(
+        (start + F.pmod(F.xxhash64("id"), end - start + 1)).cast("int").alias("block"), "id", "v"
     )
-    query_rows = queries.select(
-        F.explode(visited("v")).alias("shard"),
-        part.cast("int").alias("part"),
-        F.lit(1).alias("side"),
-        F.lit(None).cast(index_type).alias("index_id"),
-        F.col("id").alias("query_id"),
-        "v",
-    )
-    # A task per shard and part of the questions: few bytes mean much work here, so
-    # partitions must not be merged by size, nor meet by chance of a hash.
-    return (
-        index_rows.unionByName(query_rows)
-        .repartitionById(
-            min(shards * parts, MAX_TASKS),
-            ((F.col("shard").cast("long") * parts + F.col("part")) % MAX_TASKS).cast("int"),
-        )
-        .sortWithinPartitions("shard", "part", "side")
-        .mapInArrow(_search(k, dim, to_arrow_schema(schema)), schema)
+    dealt = index_rows.repartitionById(min(shards, MAX_TASKS), F.col("block") % MAX_TASKS)
+    written_shards = write_blocks(dealt.sortWithinPartitions("block"), folder)
+    files = [{"shard": b, "file": f} for b, f, _ in sorted(written_shards)]
+    # Few bytes mean much work here: the number of tasks is fixed by the blocks.
+    parts = _together(blocks, most)
+    cores = spark.sparkContext.defaultParallelism
+    runs = max(-(-4 * cores // max(1, len(parts))), -(-len(files) // MAX_RUN))
+    cut = np.linspace(0, len(files), min(runs, len(files)) + 1).astype(int)
+    tasks = [
+        (part, files[a:b]) for part in parts for a, b in zip(cut.tolist(), cut[1:].tolist())
+    ]
+    if not tasks:
+        return spark.createDataFrame([], schema)
+    shard_file = pa.struct([("shard", pa.int32()), ("file", pa.string())])
+    listed = pa.table({
+        "task": pa.array(range(len(tasks)), pa.int32()),
+        "questions": pa.array([part for part, _ in tasks], pa.list_(pa.string())),
+        "shards": pa.array([run for _, run in tasks], pa.list_(shard_file)),
+    })
+    meetings = spark.createDataFrame(listed)  # from Arrow: needs no Python worker
+    n = min(len(tasks), MAX_TASKS)
+    return meetings.repartitionById(n, F.col("task") % n).mapInArrow(
+        _search(folder, cells, member, k, dim, to_arrow_schema(schema)), schema
     )
 
 
@@ -169,12 +167,19 @@ def _pivots(index: DataFrame, dim: int, n: int) -> np.ndarray:
 def _placed(index: DataFrame, centres: np.ndarray) -> DataFrame:
     """Index rows with the cell they are in and their distance to its centre."""
 
-    @F.pandas_udf("struct<cell:int,d:double>")
-    def nearest_centre(v: pd.Series) -> pd.DataFrame:
-        distances = to_centres(np.stack(v.to_numpy()).astype(np.float64), centres)
-        cell = distances.argmin(axis=1)
-        nearest = distances[np.arange(len(cell)), cell]
-        return pd.DataFrame({"cell": cell.astype(np.int32), "d": nearest})
+    @F.arrow_udf("struct<cell:int,d:double>")
+    def nearest_centre(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for at in range(0, len(batch), PLACE_ROWS):
+                rows = batch.slice(at, PLACE_ROWS)
+                flat = rows.flatten().to_numpy(zero_copy_only=False)
+                vectors = flat.astype(np.float64).reshape(len(rows), -1)
+                distances = to_centres(vectors, centres)
+                cell = distances.argmin(axis=1)
+                nearest = distances[np.arange(len(cell)), cell]
+                yield pa.StructArray.from_arrays(
+                    [pa.array(cell.astype(np.int32)), pa.array(nearest)], ["cell", "d"]
+                )
 
     return index.withColumn("at", nearest_centre("v")).select("id", "v", "at.cell", "at.d")
 
@@ -206,24 +211,40 @@ def _cells(placed: DataFrame, centres: np.ndarray, k: int) -> Cells | None:
     )
 
 
-def _search(k: int, dim: int, arrow: pa.Schema):
+def _together(blocks, most: int) -> list[list[str]]:
+    """Files of questions, as many for a task as have ``most`` rows at most."""
+    parts, held = [], most
+    for block in sorted(blocks, key=lambda b: (-b["n"], b["file"])):
+        if held + block["n"] > most:
+            parts.append([])
+            held = 0
+        parts[-1].append(block["file"])
+        held += block["n"]
+    return parts
+
+
+def _search(folder: str, cells: Cells, member: np.ndarray, k: int, dim: int, arrow: pa.Schema):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, ids, blocks = None, [], []
+        store, root = shared_files(folder)
+
+        def slabs(file: str) -> Iterator[tuple[list, np.ndarray]]:
+            for rows in read_block(store, root, file, SLAB_ROWS):
+                yield rows_of(rows["id"], rows["v"], dim)
+
         for batch in batches:
-            for here, side, rows in _runs(batch):
-                if here != shard:
-                    shard, ids, blocks = here, [], []
-                if side == 0:
-                    more, block = rows_of(rows["index_id"], rows["v"], dim)
-                    ids += more
-                    blocks.append(block)
-                elif blocks:
-                    if len(blocks) > 1:
-                        ids, whole = without_surplus_copies(ids, np.concatenate(blocks), k)
-                        blocks = [whole]
-                    best = Best(*rows_of(rows["query_id"], rows["v"], dim), k)
-                    best.add(ids, blocks[0])
-                    yield best.batch(arrow)
+            for task in batch.to_pylist():
+                ids, vectors = zip(*(slab for file in task["questions"] for slab in slabs(file)))
+                best = Best([i for part in ids for i in part], np.concatenate(vectors), k)
+                del ids, vectors
+                reached = np.zeros((len(best.ids), member.shape[1]), dtype=bool)
+                for at in range(0, len(best.ids), PLACE_ROWS):
+                    near = cells.reachable(best.vectors[at : at + PLACE_ROWS], k)
+                    reached[at : at + len(near)] = [member[c].any(axis=0) for c in near]
+                for shard in task["shards"]:
+                    asked = np.flatnonzero(reached[:, shard["shard"]])
+                    for slab in slabs(shard["file"]) if len(asked) else ():
+                        best.add(*slab, asked)
+                yield best.batch(arrow)
 
     return search
 

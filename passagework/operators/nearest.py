@@ -14,8 +14,9 @@ import pyarrow.compute as pc
 
 QUERY_BLOCK = 512
 SLAB_ROWS = 4096
-MERGE_ROWS = 1 << 14
+MERGE_ROWS = 1 << 11
 SLICE_BYTES = 4 << 20
+CROWDED = 4  # times k rows of a slab below the bound: the slab's own k-th is looked at
 ROUNDING = 2.0**-22  # of a term of a sum in single precision, with room
 LARGEST = 1e30  # squared lengths beyond are not compared in single precision
 
@@ -50,7 +51,8 @@ class Best:
     """Best k per question over the index blocks seen so far, kept in arrays.
 
     A product in single precision preselects, with a margin beyond its rounding. Once a
-    question has k rows their last distance is the bound for all later slabs of a block.
+    question has k rows their last distance is a bound for all later slabs; a slab with many
+    rows below it has a better one of its own.
     """
 
     def __init__(self, ids, vectors: np.ndarray, k: int):
@@ -61,9 +63,11 @@ class Best:
         self.scores: np.ndarray | None = None  # made with the first block
         self.hits: np.ndarray | None = None
 
-    def add(self, ids, block: np.ndarray) -> None:
+    def add(self, ids, block: np.ndarray, asked: np.ndarray | None = None) -> None:
+        """Index rows for all questions, or for those at the places ``asked`` alone."""
+        asked = np.arange(len(self.vectors)) if asked is None else asked
         ids, block = without_surplus_copies(ids, block, self.k)
-        if not len(ids) or not len(self.vectors):
+        if not len(ids) or not len(asked):
             return
         ids = _id_array(ids)
         if self.scores is None:
@@ -78,10 +82,10 @@ class Best:
             sides = np.empty((len(slab), slab.shape[1] + 1), dtype=np.float32)
             if most < LARGEST:
                 sides[:, :-1], sides[:, -1] = slab, norms
-            for start in range(0, len(self.vectors), QUERY_BLOCK):
-                part = slice(start, start + QUERY_BLOCK)
+            for start in range(0, len(asked), QUERY_BLOCK):
+                part = asked[start : start + QUERY_BLOCK]
                 rows, cols = self._candidates(part, sides, most)
-                self._merge(rows + start, cols, ids[at : at + SLAB_ROWS], slab)
+                self._merge(part[rows], cols, ids[at : at + SLAB_ROWS], slab)
 
     def _candidates(self, part, sides, most):
         norms, limit = self.norms[part], self.limit[part]
@@ -91,13 +95,18 @@ class Best:
         asked[:, :-1] = -2.0 * self.vectors[part]
         rough = asked @ sides.T  # the distance without the question's own norm
         margin = (sides.shape[1] + 8) * ROUNDING * (1.0 + norms + most)
-        fresh = np.flatnonzero(limit == np.inf)
-        if len(sides) > self.k and len(fresh):
-            # Among these rows alone the k-th is a bound already.
-            kth = np.partition(rough[fresh], self.k - 1, axis=1)[:, self.k - 1]
-            limit = limit.copy()
-            limit[fresh] = kth + norms[fresh] + margin[fresh]
-        return np.nonzero(rough <= (limit - norms + margin).astype(np.float32)[:, None])
+        bound = (limit - norms + margin).astype(np.float32)
+        near = rough <= bound[:, None]
+        if len(sides) > self.k:
+            # Among these rows alone the k-th is a bound too, and the better one where many
+            # rows are nearer than what was found so far.
+            crowded = np.flatnonzero(np.count_nonzero(near, axis=1) > CROWDED * self.k)
+            if len(crowded):
+                kth = np.partition(rough[crowded], self.k - 1, axis=1)[:, self.k - 1]
+                nearer = (kth + 2.0 * margin[crowded]).astype(np.float32)
+                bound[crowded] = np.minimum(bound[crowded], nearer)
+                near[crowded] = rough[crowded] <= bound[crowded, None]
+        return np.nonzero(near)
 
     def _merge(self, rows, cols, ids, block) -> None:
         if not len(rows):

@@ -66,16 +66,18 @@ def knn(
     table = usable.limit(bound + 1).toArrow()  # never more than the broadcast bound
     if table.num_rows == 0:
         return index.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(0))
-    few = table.num_rows <= bound
+    rows = table.num_rows
+    few = rows <= bound
     if few:
         hits = _by_broadcast(table, x, k, dim, schema)
     else:
+        del table  # the driver needs the memory
         hits = search_cells(q, x, k, dim, schema, shard_rows, pivots)
     nearest = Window.partitionBy(query_id).orderBy("score", index_id)
     ranked = hits.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
     # The number of questions is known here, so is the size of the result: say so
     # to a later join, which would otherwise start to shuffle the index.
-    return F.broadcast(ranked) if few and table.num_rows * k <= MAX_BROADCAST_HITS else ranked
+    return F.broadcast(ranked) if few and rows * k <= MAX_BROADCAST_HITS else ranked
 
 
 def gate(hits: DataFrame, max_distance: float = MAX_DISTANCE, score: str = "score") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +40,9 @@ ANSWER_COLUMNS = [
     "error",
 ]
 
+# What has the texts of passages, beside the prompt.
+PASSAGE_COLUMNS = {"system_prompt", "context_block", "retrieved_chunks"}
+
 
 def answer_queries(
     queries: DataFrame,
@@ -70,13 +75,18 @@ def answer_queries(
     wanted ones of ``ANSWER_COLUMNS``: only these travel to the models beside the prompt
     (the id, the agent and the error always do).
     """
+    in_conversation = "conv_id" in queries.columns
+    # Where only the model wants the passages, they are put into the prompt beside it.
+    unread = limit is None and not (in_conversation and turns is not None)
+    unread = unread and not PASSAGE_COLUMNS & {*columns, *keep}
+    marker = f"<{uuid.uuid4().hex}>" if unread else None
     if "system_prompt" in queries.columns:
         enriched, dealt = queries, False
     else:
         enriched, dealt = retrieve(
-            queries, index, embedder, agents, override, k, max_distance, deal_by_agent, **search
+            queries, index, embedder, agents, override, k, max_distance, deal_by_agent,
+            marker=marker, **search
         )
-    in_conversation = "conv_id" in queries.columns
     if in_conversation:
         keep = ["conv_id", *[c for c in keep if c != "conv_id"]]
     if in_conversation and turns is not None:
@@ -100,9 +110,10 @@ def answer_queries(
         asked = asked.withColumn("_earlier", F.lit(None).cast("string"))
     wanted = {*columns, "query_id", "agent_used"} - {"answer", "error"}
     carried = [c for c in ANSWER_COLUMNS if c in wanted]
-    asked = asked.select(*carried, *keep, "prompt", "_earlier")
+    placed = [c for c in ("_places", "_folder") if c in asked.columns]
+    asked = asked.select(*carried, *keep, "prompt", "_earlier", *placed)
     if dealt:  # the prompts were made where they are answered
-        answered = answer_partitions(asked, models)
+        answered = answer_partitions(asked, models, marker=marker if placed else None)
     else:
         answered = batch_answer(asked, models)
     failed = F.coalesce("_earlier", "error")
@@ -125,12 +136,13 @@ def retrieve(
     deal=None,
     dim: int | None = None,
     base_system: str = BASE_SYSTEM,
+    marker: str | None = None,
     **search,
 ) -> tuple[DataFrame, bool]:
     """Questions routed and enriched, and whether their rows lie as ``deal`` puts them."""
     routed = route_queries(queries, agents, override)
     return enrich_dealt(
-        routed, index, embedder, k, max_distance, base_system, dim, deal, **search
+        routed, index, embedder, k, max_distance, base_system, dim, deal, marker, **search
     )
 
 
